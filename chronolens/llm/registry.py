@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontamination, licenses, sstable
+from . import bpe, chat, decontamination, langid, licenses, quality, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +34,16 @@ def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ["doc_id"], keep=False)
 
 
+def fold(n: int) -> Column:
+    return F.crc32(F.col("doc_id").cast("string")) % n
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs, fold(3) != 1)
+    return langid.identified(docs.withColumn("held_out", F.coalesce(fold(3) == 1, F.lit(False))), model, ["doc_id", "held_out"])
+
+
 def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(table(spark, sf_dir, "documents"))
 
@@ -44,10 +54,18 @@ def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_pairs(table(spark, sf_dir, "conversations"), pair, F.pmod("conv_id", F.lit(2)) == 0)
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"), fold(5) != 0)
+    return quality.scored(docs.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False))), model, ["doc_id", "held_out"])
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
     "op4_decontaminate": op4_decontaminate,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
+    "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
     "op9_preference_format": op9_preference_format,
+    "op10_quality": op10_quality,
 }
