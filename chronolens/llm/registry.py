@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontamination, langid, licenses, neardup, quality, sstable
+from . import ann, bpe, chat, decontamination, langid, licenses, neardup, quality, rnnlm, sstable
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "item_id", F.round("similarity", 6).alias("similarity"), "start", "n_words")
 
 
+def op5_recurrent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rnnlm.scores(table(spark, sf_dir, "documents"), F.coalesce(fold(10) != 0, F.lit(True)), fold(10) == 0)
+
+
 def op6_forced_boundary_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), ["doc_id"], keep=False)
 
@@ -73,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_shards": op2_token_shards,
     "op3_bag_minhash": op3_bag_minhash,
     "op4_decontaminate": op4_decontaminate,
+    "op5_recurrent_lm": op5_recurrent_lm,
     "op6_forced_boundary_bpe": op6_forced_boundary_bpe,
     "op7_language_id": op7_language_id,
     "op8_license_scan": op8_license_scan,
