@@ -7,13 +7,14 @@ weight lies below the shingle's count, so that larger counts see a superset of t
 signature is its earliest point. Two texts agree in a register with probability sum(min) / sum(max) of their counts, the weighted
 Jaccard similarity. Points are made in order of time only until every register has one, which is what makes it quick.
 
-Signatures are banded; texts that share a band are candidates. In each bucket, members are compared with a pivot, by the exact
-similarity of the multisets; links join texts to components. What a bucket then still holds of different components is compared
-pairwise (in buckets of more than BIG members, pairs that share a second band), so no link between candidates is lost although
-copies are not expanded to all pairs. At the threshold 0.8, 30 bands of 5 registers miss a pair with probability 7e-6.
+Signatures are banded; texts that share a band are candidates, and what bands join, directly or through others, is a cluster. In a
+cluster all pairs are compared by their exact similarity: its members are dealt to blocks of BLOCK at most, every two blocks are one task,
+which finds all overlaps by multiplying matrices of occurrences and returns only links that join different parts, fewer
+than it has members. So no link between candidates is lost, and neither pairs nor an unbounded group come together. Links make components,
+the groups. At the threshold 0.8, 30 bands of 5 registers miss a pair with probability 7e-6.
 
 Equal texts are one class from the start. Nulls: a null text counts as empty; empty texts are equal to each other and link to nothing else.
-A null doc_id is kept and never the smallest of a group unless alone. Repeated rows are copies. Empty tables give empty results;
+A null doc_id is kept and stands for its group only where no other doc_id does. Repeated rows are copies. Empty tables give empty results;
 other columns are ignored. Nothing but counts comes to the driver.
 """
 
@@ -24,12 +25,14 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
-SHINGLE, BANDS, ROWS, BIG, PIVOTS = 5, 30, 5, 64, 3
+SHINGLE, BANDS, ROWS, BLOCK, SMALL = 5, 30, 5, 1024, 64
+#: So many columns of an occurrence matrix are held at once.
+COLUMNS = 4096
 _U = np.uint64
 
 
@@ -167,34 +170,91 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>")
 
 
+def node_of(text: Column) -> Column:
+    return F.unhex(F.md5(F.coalesce(text, F.lit("")).cast("binary")))
+
+
 def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node, size (sum of counts) and packed multiset of the texts of the wanted nodes, each once."""
+    """node and packed multiset of the texts of the wanted (node, doc_id), each node once."""
 
     def run(batches):
         for b in batches:
             rows = [(node.as_py(), shingles(text)) for node, text in zip(b.column(0), _texts(b.column(1)))]
             yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in rows], pa.binary()), pa.array([int(c.sum()) for _, (_, c) in rows], pa.int64()), pa.array([pack(x, c) for _, (x, c) in rows], pa.binary())], names=["node", "size", "bag"]
+                [pa.array([n for n, _ in rows], pa.binary()), pa.array([pack(x, c) for _, (x, c) in rows], pa.binary())], names=["node", "bag"]
             )
 
-    nodes = docs.select(F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))).alias("node"), "text", "doc_id")
-    one = nodes.join(wanted, ["node", "doc_id"], "left_semi").dropDuplicates(["node"])
-    return one.select("node", "text").mapInArrow(run, "node binary, size long, bag binary")
-
-
-def verified(pairs: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """Of the pairs (a, b) of nodes, those whose similarity reaches the threshold."""
-    size = bags.select("node", "size")
-    fits = F.least("sa", "sb") >= threshold * F.greatest("sa", "sb") - 1e-9
-    near = pairs.join(size.toDF("a", "sa"), "a").join(size.toDF("b", "sb"), "b").where(fits).select("a", "b")
-    both = near.join(bags.select("node", "bag").toDF("a", "bag_a"), "a").join(bags.select("node", "bag").toDF("b", "bag_b"), "b")
-
-    def run(frames):
-        for f in frames:
-            ok = [overlap(x, y) >= threshold for x, y in zip(f["bag_a"], f["bag_b"])]
-            yield f.loc[np.array(ok, bool), ["a", "b"]] if len(f) else pd.DataFrame({"a": [], "b": []})
-
-    return both.select("a", "b", "bag_a", "bag_b").mapInPandas(run, "a binary, b binary")
+    nodes = docs.select(node_of(F.col("text")).alias("node"), "text", "doc_id")
+    wanted = wanted.toDF(*[f"_{c}" for c in wanted.columns])
+    one = nodes.join(wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi").dropDuplicates(["node"])
+    return one.select("node", "text").mapInArrow(run, "node binary, bag binary")
+
+
+def overlaps(bags: list[tuple[np.ndarray, np.ndarray]], split: int) -> np.ndarray:
+    """Sums of smaller counts of the first `split` bags (rows) with the others (columns); with split = 0, of all with all. Occurrences (shingle, nth) are columns of 0 and 1."""
+    sizes = [int(c.sum()) for _, c in bags]
+    owner = np.repeat(np.arange(len(bags)), sizes)
+    name = np.concatenate([np.repeat(x, c) for x, c in bags])
+    nth = np.concatenate([np.arange(int(c.sum())) - np.repeat(np.cumsum(c) - c, c) for _, c in bags]).astype(np.uint64)
+    _, column, times = np.unique(mix(name + nth * _U(_BASE)), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], (np.cumsum(times > 1) - 1)[column[shared]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    left, right = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+    out = np.zeros((len(range(len(bags))[left]), len(range(len(bags))[right])), np.float32)
+    for lo in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        part = slice(*np.searchsorted(column, [lo, lo + COLUMNS]))
+        held = np.zeros((len(bags), COLUMNS), np.float32)
+        held[owner[part], column[part] - lo] = 1
+        out += held[left] @ held[right].T
+    return out
+
+
+def links_of(nodes: list[bytes], bags: list[tuple[np.ndarray, np.ndarray]], split: int, threshold: float) -> list[tuple[bytes, bytes]]:
+    """Links between the first `split` and the others (all with all for 0), but for those that others already make."""
+    size = np.array([c.sum() for _, c in bags], float)
+    both = overlaps(bags, split)
+    rows, columns = (np.arange(split), np.arange(split, len(bags))) if split else (np.arange(len(bags)),) * 2
+    found = both >= threshold * (size[rows][:, None] + size[columns][None] - both) - 1e-6
+    parent, out = list(range(len(bags))), []
+
+    def root(i):
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, j in zip(*(v.tolist() for v in np.nonzero(found))):
+        i, j = int(rows[i]), int(columns[j])
+        if i != j and (a := root(i)) != (b := root(j)):
+            parent[a] = b
+            out.append((nodes[i], nodes[j]))
+    return out
+
+
+def verified(clusters: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """clusters: node, label. Links (a, b) between nodes of a cluster whose similarity reaches the threshold; enough of them to join what all of them join."""
+    sizes = clusters.groupBy("label").agg(F.count("*").alias("n"))
+    packs = max(1, clusters.count() // BLOCK)
+    held = clusters.join(sizes, "label").join(bags, "node")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), own.alias("own")))
+    held = held.select("label", "node", "bag", F.when(F.col("n") <= SMALL, F.pmod(F.xxhash64("label"), F.lit(packs))).alias("pack"), F.explode(pairs).alias("p"))
+    held = held.select("label", "node", "bag", "pack", F.when(F.col("pack").isNull(), F.col("label")).alias("big"), "p.lo", "p.hi", "p.own")
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, group in rows.groupby("label", sort=False):
+            group = group.sort_values("own", kind="stable")
+            nodes, found = group["node"].tolist(), [unpack(x) for x in group["bag"]]
+            split = int((group["own"] == group["lo"]).sum()) if group["lo"].iloc[0] != group["hi"].iloc[0] else 0
+            if len(nodes) > 1 and split < len(nodes):
+                out += links_of(nodes, found, split, threshold)
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return held.groupBy("big", "pack", "lo", "hi").applyInPandas(run, "a binary, b binary")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -212,45 +272,32 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def grouped(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """doc_id, node, group_id, group_node (which row stands for the group), group_size for each row of docs."""
+    sig = staged(signatures(docs), "signatures")
+    nodes = staged(sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
+    rows = nodes.select("node", F.explode("bands").alias("key"))
+    pivot = rows.withColumn("pivot", F.min("node").over(Window.partitionBy("key"))).where(F.col("node") != F.col("pivot"))
+    clusters = components(pivot.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
+    bags = multisets(docs, clusters.select("node").join(nodes.select("node", F.col("rep").alias("doc_id")), "node"))
+    labels = components(staged(verified(clusters, bags, threshold), "verified"))
+
+    named = nodes.select("node", "rep", "copies").join(labels, "node", "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
+    named = staged(named, "classes")
+    first = F.min(F.struct(F.col("rep").isNull().alias("unknown"), F.col("rep"), F.col("node")))
+    groups = named.groupBy("label").agg(first.alias("first"), F.sum("copies").alias("group_size"))
+    of = named.join(groups, "label").select("node", F.col("first.rep").alias("group_id"), F.col("first.node").alias("group_node"), "group_size")
+    return sig.select("doc_id", "node").join(of, "node")
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, group_id (smallest doc_id of its group), group_size (rows), for each row of docs."""
-    sig = staged(signatures(docs), "signatures")
-    nodes = staged(sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")), "nodes")
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    rank = F.struct(F.xxhash64("node", F.col("band") % PIVOTS).alias("h"), "node")
-    shared = rows.groupBy("key").agg(F.count("*").alias("n"), F.min(rank).getField("node").alias("pivot")).where("n > 1")
-    members = staged(rows.join(shared, "key").select("key", "node", "n", "pivot"), "members")
-    involved = members.select("node").distinct().join(nodes.select("node", F.col("rep").alias("doc_id")), "node").where(F.col("doc_id").isNotNull())
-    bags = staged(multisets(docs, involved), "bags")
-
-    pair = lambda x, y: (F.least(x, y).alias("a"), F.greatest(x, y).alias("b"))
-    stars = members.where(F.col("node") != F.col("pivot")).select(*pair("node", "pivot")).distinct()
-    links = staged(verified(stars, bags, threshold), "star-links")
-    labels = components(links)
-
-    named = members.join(labels, "node", "left").select("key", "node", "n", F.coalesce("label", "node").alias("label"))
-    mixed = named.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("key")
-    open_ = staged(named.join(mixed, "key", "left_semi"), "open")
-    if not open_.isEmpty():
-        small = open_.where(F.col("n") <= BIG).select("key", "node", "label")
-        big = open_.where(F.col("n") > BIG).join(nodes.select("node", "bands"), "node")
-        big = big.select(F.col("key").alias("first"), "node", "label", F.explode("bands").alias("second")).where("first < second")
-        big = big.select(F.xxhash64("first", "second").alias("key"), "node", "label")
-        sides = small.union(big)
-        other = sides.toDF("key", "node2", "label2")
-        cross = sides.join(other, "key").where((F.col("label") < F.col("label2"))).select(*pair("node", "node2")).distinct()
-        more = staged(verified(cross.join(stars, ["a", "b"], "left_anti"), bags, threshold), "cross-links")
-        if not more.isEmpty():
-            labels = components(links.union(more))
-
-    labels = staged(nodes.select("node", "rep").join(labels, "node", "left").select("node", "rep", F.coalesce("label", "node").alias("label")), "classes")
-    copies = sig.groupBy("node").agg(F.count("*").alias("copies"))
-    groups = labels.join(copies, "node").groupBy("label").agg(F.min("rep").alias("group_id"), F.sum("copies").alias("group_size"))
-    of = labels.join(groups, "label").select("node", "group_id", "group_size")
-    return sig.select("doc_id", "node").join(of, "node").select("doc_id", "group_id", "group_size")
+    return grouped(docs, threshold).select("doc_id", "group_id", "group_size")
 
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """One row of docs, whole, of each group: that of the smallest doc_id (of rows that repeat it, any one)."""
-    kept = near_duplicates(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("group_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")), "left_semi").dropDuplicates(["doc_id"])
+    """One row of docs, whole, of each group: that of the smallest doc_id (of equal rows that repeat it, any one)."""
+    kept = grouped(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("node") == F.col("group_node"))).select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct()
+    marked = docs.withColumn("_node", node_of(F.col("text")))
+    held = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_node") == F.col("kept_node")), "left_semi")
+    return held.dropDuplicates(["doc_id", "_node"]).drop("_node")
