@@ -1,0 +1,269 @@
+"""Grouping a day's events into activities and contexts.
+
+The fold is sequential by nature (each decision depends on the ones before), so it runs as a grouped map over (session_id, work_day), a
+group bounded by what one person does in a day. Everything around it (anchors, keywords, spans, names) is relational.
+"""
+
+from __future__ import annotations
+
+import json
+from dataclasses import dataclass, field, replace
+
+import pandas as pd
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import pretty
+from . import anchors as A
+from .intervals import covered_ms
+
+KEYS = ["session_id", "work_day"]
+#: These events end an activity and belong to none.
+HARD_BOUNDARY = ["system.idle.start", "system.session.lock", "system.power.sleep", "system.capture.paused"]
+NAMES_BY_SOURCE = {"external": "External", "terminal": "Terminal", "git": "Git"}
+
+
+@dataclass(frozen=True)
+class EngineConfig:
+    """Fixed values of the method as defaults, in milliseconds."""
+
+    activity_gap: int = 90_000
+    activity_longest: int = 20 * 60_000
+    drift: int = 10 * 60_000
+    threshold: float = 0.22
+    half_life: int = 3 * 3_600_000
+    least_events: int = 2
+    continuation: int = 120_000
+
+
+Anchor = tuple[str, str, float]  # type, norm, confidence
+
+
+def _match(a: Anchor, b: Anchor) -> bool:
+    """Asymmetric: whether equal norms of different types match depends on a's type alone."""
+    if a[1] == b[1] and (a[0] == b[0] or a[0] in A.LOOSE):
+        return True
+    if a[0] in A.LOOSE and b[0] in A.LOOSE:
+        return bool({p for p in a[1].split("-") if len(p) >= 4} & {p for p in b[1].split("-") if len(p) >= 4})
+    return False
+
+
+def _shared(xs: list[Anchor], ys: list[Anchor]) -> list[Anchor]:
+    return [a for a in xs if any(_match(a, b) for b in ys)]
+
+
+def _conflict(xs: list[Anchor], ys: list[Anchor]) -> bool:
+    """Both sides have an identity of one type and none of it matches."""
+    for kind in A.IDENTITY:
+        here, there = [a for a in xs if a[0] == kind], [b for b in ys if b[0] == kind]
+        if here and there and not _shared(here, there):
+            return True
+    return False
+
+
+def _strength(a: Anchor) -> str:
+    return "strong" if a[0] in A.STRONG else "medium" if a[0] in A.MEDIUM else "weak"
+
+
+@dataclass
+class Group:
+    """An activity or a context: its events by position, span, applications and anchors in order of first sight."""
+
+    number: int
+    start: int
+    end: int
+    events: list[int] = field(default_factory=list)
+    apps: dict[str, None] = field(default_factory=dict)
+    anchors: dict[tuple[str, str], float] = field(default_factory=dict)
+    anchored: int = 0
+    members: list[int] = field(default_factory=list)
+
+    def listed(self) -> list[Anchor]:
+        return [(t, n, c) for (t, n), c in self.anchors.items()]
+
+    def take(self, start: int, end: int, apps, anchors) -> None:
+        self.start, self.end = min(self.start, start), max(self.end, end)
+        self.apps.update(dict.fromkeys(apps))
+        for kind, norm, c in anchors:
+            self.anchors[kind, norm] = max(c, self.anchors.get((kind, norm), 0.0))
+
+
+def activities(events: list[dict], config: EngineConfig) -> list[Group]:
+    """events in order, each with ts, end, type, app, anchors."""
+    done: list[Group] = []
+    now: Group | None = None
+    for i, e in enumerate(events):
+        if e["type"] in HARD_BOUNDARY:
+            now = None
+            continue
+        if now:
+            recent = list({(a[0], a[1]): a for k in reversed(now.events[-3:]) for a in events[k]["anchors"]}.values())
+            held = bool(_shared(e["anchors"], recent)) or e["app"] in now.apps
+            if e["ts"] - now.end > config.activity_gap or e["end"] - now.start > config.activity_longest or _conflict(e["anchors"], recent) or not held:
+                now = None
+        if now is None:
+            now = Group(len(done) + 1, e["ts"], e["end"])
+            done.append(now)
+        now.events.append(i)
+        now.take(e["ts"], e["end"], [e["app"]], e["anchors"])
+        now.start = min(now.start, events[now.events[0]]["ts"])
+    return done
+
+
+def affinity(act: Group, ctx: Group, config: EngineConfig, continues: bool) -> float:
+    """How well an activity fits a context; continues: the context holds the activity before, and its last application goes on."""
+    mine, theirs = act.listed(), ctx.listed()
+    shared = _shared(mine, theirs)
+    kinds = {_strength(a) for a in shared}
+    if "strong" not in kinds and _conflict(mine, theirs):
+        return 0.0
+    gap = max(0, act.start - ctx.end)
+    if not shared:
+        if not mine:
+            drift = max(0, act.end - ctx.anchored) if theirs else gap
+            return config.threshold * (1 - drift / config.drift) if drift < config.drift else 0.0
+        return config.threshold if continues and gap < config.continuation else 0.0
+    weak = len({a[1] for a in shared if _strength(a) == "weak"})
+    recency = 0.5 ** (gap / config.half_life)
+    raw = 0.5 * (1 if "strong" in kinds else 0.7 if "medium" in kinds else 0) + 0.28 * min(1, weak / 2) + 0.14 * recency + 0.04 * any(a in ctx.apps for a in act.apps)
+    return raw if "strong" in kinds else raw * (0.4 + 0.6 * recency)
+
+
+def _absorb(host: Group, other: Group) -> None:
+    host.take(other.start, other.end, other.apps, other.listed())
+    host.anchored = max(host.anchored, other.anchored)
+    host.events += other.events
+    host.members += other.members
+
+
+def contexts(acts: list[Group], config: EngineConfig) -> list[Group]:
+    """Greedy assignment, then merging by shared anchors, then what lies inside an anchored context without an identity of its own."""
+    found: list[Group] = []
+    before: tuple[Group, str] | None = None
+    for act in acts:
+        first = next(iter(act.apps))
+        best, most = None, 0.0
+        for ctx in found:
+            fit = affinity(act, ctx, config, before is not None and before[0] is ctx and before[1] == first)
+            if fit > most:
+                best, most = ctx, fit
+        if best is None or most < config.threshold:
+            best = Group(len(found) + 1, act.start, act.end, anchored=act.start)
+            found.append(best)
+        best.take(act.start, act.end, act.apps, act.listed())
+        if act.anchors:
+            best.anchored = max(best.anchored, act.end)
+        best.events += act.events
+        best.members.append(act.number)
+        before = (best, list(act.apps)[-1])
+
+    def merge() -> bool:
+        for i, a in enumerate(found):
+            for j in range(i + 1, len(found)):
+                b = found[j]
+                if _shared(a.listed(), b.listed()) and not _conflict(a.listed(), b.listed()):
+                    _absorb(a, b)
+                    del found[j]
+                    return True
+        return False
+
+    def bracket() -> bool:
+        for i, inner in enumerate(found):
+            if all(_strength(a) == "weak" for a in inner.listed()):
+                host = next((c for c in found if c is not inner and c.anchors and c.start < inner.start and c.end > inner.end), None)
+                if host:
+                    _absorb(host, inner)
+                    del found[i]
+                    return True
+        return False
+
+    while merge():
+        pass
+    while bracket():
+        pass
+    return found
+
+
+def group_day(rows: pd.DataFrame, config: EngineConfig) -> pd.DataFrame:
+    """The grouped map: ord, activity, context (null: in none), context_ord for each event of one day."""
+    rows = rows.sort_values(["ts_ms", "ord"], kind="stable").reset_index(drop=True)
+    events = [
+        {"ts": int(t), "end": int(t if pd.isna(e) else e), "type": k, "app": a, "anchors": [tuple(x) for x in json.loads(j or "[]")]}
+        for t, e, k, a, j in zip(rows["ts_ms"], rows["end_ms"], rows["type"], rows["app_name"], rows["anchors"])
+    ]
+    acts = activities(events, config)
+    kept = [c for c in contexts(acts, config) if len(c.events) >= config.least_events]
+    activity = {i: a.number for a in acts for i in a.events}
+    context = {i: c.number for c in kept for i in c.events}
+    at = range(len(rows))
+    out = rows[["session_id", "work_day", "ord"]].copy()
+    out["activity"] = pd.array([activity.get(i) for i in at], "Int64")
+    out["context"] = pd.array([context.get(i) for i in at], "Int64")
+    return out
+
+
+def app_name(events: DataFrame) -> F.Column:
+    """The name under which an event's application counts; by source where that says more."""
+    name = F.coalesce(*[F.col(c) for c in ("app_display", "app") if c in events.columns], F.lit("System"))
+    for source, fixed in NAMES_BY_SOURCE.items():
+        name = F.when(F.col("source") == source, F.lit(fixed)).otherwise(name)
+    return name
+
+
+def assignments(events: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
+    """session_id, work_day, ord, activity, context for every event. Hard boundaries have neither; events of too small contexts have no context."""
+    anchors = A.with_keywords(A.event_anchors(events), events)
+    listed = anchors.groupBy(*KEYS, "ord").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "type", "norm", "confidence"))), lambda a: F.array(a["type"], a["norm"], a["confidence"].cast("string")))).alias("anchors"))
+    frame = events.withColumn("app_name", app_name(events)).join(listed, [*KEYS, "ord"], "left").select(*KEYS, "ord", "ts_ms", "end_ms", "type", "app_name", "anchors")
+    kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
+    schema = f"session_id {kinds['session_id']}, work_day {kinds['work_day']}, ord {kinds['ord']}, activity long, context long"
+    return frame.groupBy(*KEYS).applyInPandas(lambda rows: group_day(_typed(rows), config), schema)
+
+
+def _typed(rows: pd.DataFrame) -> pd.DataFrame:
+    rows = rows.copy()
+    rows["anchors"] = rows["anchors"].map(lambda j: None if not isinstance(j, str) else json.dumps([[t, n, float(c)] for t, n, c in json.loads(j)]))
+    return rows
+
+
+def contexts_frame(events: DataFrame, assigned: DataFrame) -> DataFrame:
+    """One row a context: session_id, work_day, context, start, end, n_events, active_ms, label, fallback, repository, branch, project, issue, confidence, key, ord, tz."""
+    on = [*KEYS, "ord"]
+    rows = events.withColumn("app_name", app_name(events)).join(assigned.where(F.col("context").isNotNull()), on)
+    by = [*KEYS, "context"]
+    end = F.coalesce("end_ms", "ts_ms")
+    base = rows.groupBy(*by).agg(
+        F.min("ts_ms").alias("start"), F.max(end).alias("end"), F.count("*").alias("n_events"), F.first("tz").alias("tz"),
+        F.min_by("app_name", F.struct("ts_ms", "ord")).alias("first_app"), F.countDistinct("app_name").alias("apps"),
+    )
+    spans = rows.groupBy(*by, "activity").agg(F.min("ts_ms").alias("start"), F.max(end).alias("end"))
+    active = covered_ms(spans, by).withColumnRenamed("covered_ms", "active_ms")
+    all_anchors = A.with_keywords(A.event_anchors(events), events)
+    held = all_anchors.join(assigned.where(F.col("context").isNotNull()), on)
+    best = lambda kind: F.max_by(F.when(F.col("type") == kind, F.col("value")), F.when(F.col("type") == kind, F.struct(F.col("confidence"), -F.col("ord"), -F.col("rank")))).alias(kind)
+    named = held.groupBy(*by).agg(*[best(k) for k in ("issue", "document", "branch", "repository", "project")], F.countDistinct(F.when(F.col("type").isin(A.STRONG), F.struct("type", "norm"))).alias("strong"))
+    topic = subjects_of(events, assigned, all_anchors)
+    tidy = F.udf(pretty, "string")  # one call a context, on a name
+    out = base.join(active, by).join(named, by, "left").join(topic, by, "left")
+    subject = tidy(F.coalesce("topic", "branch", "document"))
+    label = F.when(F.col("issue").isNotNull() & subject.isNotNull(), F.concat(subject, F.lit(" ("), F.col("issue"), F.lit(")"))).otherwise(F.coalesce("issue", subject))
+    out = out.withColumn("_label", label).withColumn("fallback", F.col("_label").isNull()).withColumn("label", F.coalesce("_label", "first_app"))
+    confidence = F.least(F.lit(1.0), 0.3 + 0.25 * F.least(F.coalesce("strong", F.lit(0)), F.lit(2)) + 0.1 * F.least("apps", F.lit(4)))
+    key = F.lower(F.concat(F.when(F.col("fallback"), F.lit("app:")).otherwise(F.lit("")), F.col("label")))
+    out = out.withColumns({"confidence": confidence, "key": key, "ord": F.col("context"), "project": F.when(~F.col("project").eqNullSafe(F.col("repository")), F.col("project"))})
+    return out.select(*by, "start", "end", "n_events", "active_ms", "label", "fallback", "repository", "branch", "project", "issue", "confidence", "key", "ord", "tz")
+
+
+def subjects_of(events: DataFrame, assigned: DataFrame, anchors: DataFrame) -> DataFrame:
+    """KEYS, context, topic: the subject with the largest share of the context's events times its confidence."""
+    mine = assigned.where(F.col("context").isNotNull())
+    size = mine.groupBy(*KEYS, "context").agg(F.count("*").alias("size"))
+    hits = A.phrases(events).groupBy(*KEYS, "ord", "norm").agg(F.min("pos").alias("pos")).join(A.subject_anchors(events, anchors), [*KEYS, "norm"]).join(mine, [*KEYS, "ord"])
+    counted = hits.groupBy(*KEYS, "context", "norm").agg(F.count("*").alias("n"), F.first("confidence").alias("confidence"), F.first("value").alias("value"), F.min(F.struct("ord", "pos")).alias("seen"))
+    scored = counted.join(size, [*KEYS, "context"]).withColumn("score", F.col("n") / F.col("size") * F.col("confidence"))
+    first = F.row_number().over(Window.partitionBy(*KEYS, "context").orderBy(F.desc("score"), "seen")) == 1
+    return scored.withColumn("_f", first).where("_f").select(*KEYS, "context", F.col("value").alias("topic"))
+
+
+def with_config(**changes) -> EngineConfig:
+    return replace(EngineConfig(), **changes)

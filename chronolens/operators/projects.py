@@ -1,0 +1,68 @@
+"""Projects: roots found in the data, owners of paths by a prefix join, per-project folds."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from .intervals import merged_spans
+
+
+def path_key(path: Column) -> Column:
+    """Trimmed, without closing separators; a Windows path with backslashes and in lower case."""
+    bare = F.regexp_replace(F.trim(path), r"[/\\]+$", "")
+    return F.when(F.rlike(bare, F.lit(r"^[A-Za-z]:|\\")), F.lower(F.regexp_replace(bare, "/", r"\\\\"))).otherwise(bare)
+
+
+def same_place(a: Column, b: Column) -> Column:
+    """Equal, or one inside the other; case and kind of separator don't matter."""
+    tidy = lambda p: F.concat(F.lower(F.regexp_replace(F.regexp_replace(p, r"\\", "/"), "/+$", "")), F.lit("/"))
+    return F.startswith(tidy(a), tidy(b)) | F.startswith(tidy(b), tidy(a))
+
+
+def ancestors(key: Column) -> Column:
+    """All prefixes of a path that end before a separator, the path itself included: for equi-joins in place of prefix joins."""
+    n = F.size(F.split(key, r"[/\\]"))
+    sep = F.when(F.contains(key, F.lit("\\")), "\\").otherwise("/")
+    return F.transform(F.sequence(F.lit(1), n), lambda i: F.call_function("substring_index", key, sep, i))
+
+
+def project_roots(roots: DataFrame) -> DataFrame:
+    """root: distinct roots that contain no other root."""
+    distinct = roots.select("root").where(F.col("root").isNotNull() & (F.col("root") != "")).distinct()
+    above = distinct.select(F.explode(ancestors(F.col("root"))).alias("parent"), F.col("root").alias("child")).where("parent <> child").select(F.col("parent").alias("root")).distinct()
+    return distinct.join(above, "root", "left_anti")
+
+
+def owners(paths: DataFrame, roots: DataFrame, path: str = "path") -> DataFrame:
+    """paths with the deepest root that holds them (null if none). Ancestors make it an equi-join."""
+    long = paths.select(path).distinct().withColumn("root", F.explode(ancestors(F.col(path))))
+    best = long.join(roots.select("root"), "root").groupBy(path).agg(F.max_by("root", F.length("root")).alias("root"))
+    return paths.join(best, path, "left")
+
+
+def project_fold(events: DataFrame, now_day: Column, keys: list[str]) -> DataFrame:
+    """keys and, of each, last_ms, last_type, last_important, n_events, days_7 (work days active among the last seven)."""
+    at = F.struct("ts_ms", "ord")
+    return events.groupBy(*keys).agg(
+        F.max("ts_ms").alias("last_ms"), F.max_by("type", at).alias("last_type"), F.max_by(F.when(F.col("importance") >= 80, F.col("ord")), F.when(F.col("importance") >= 80, at)).alias("last_important"),
+        F.count("*").alias("n_events"), F.countDistinct(F.when((F.col("work_day") > F.date_sub(now_day, 7)) & (F.col("work_day") <= now_day), F.col("work_day"))).alias("days_7"),
+    )
+
+
+def top_projects(folded: DataFrame, keys: list[str], n: int = 6) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("last_ms"), "repository"))
+    return folded.withColumn("rank", rank).where(F.col("rank") <= n)
+
+
+def week_notes(folded: DataFrame, now_ms: int, keys: list[str]) -> DataFrame:
+    """keys, note, repository: the main project (three days at least), and those paused for 7 to 30 days with five events at least."""
+    idle = (F.lit(now_ms) - F.col("last_ms")) / 86_400_000
+    main = folded.where("days_7 >= 3").groupBy(*keys).agg(F.max_by("repository", F.struct("days_7", "last_ms")).alias("repository")).select(*keys, F.lit("main").alias("note"), "repository")
+    paused = folded.where((idle >= 7) & (idle <= 30) & (F.col("n_events") >= 5)).select(*keys, F.lit("paused").alias("note"), "repository")
+    return main.union(paused)
+
+
+def today_spans(events: DataFrame, keys: list[str], tolerance_ms: int = 10 * 60_000) -> DataFrame:
+    """Spans of activity, merged over gaps up to the tolerance."""
+    return merged_spans(events.select(*keys, F.col("ts_ms").alias("start"), F.greatest("end_ms", F.col("ts_ms") + 60_000).alias("end")), keys, tolerance_ms)
