@@ -38,6 +38,12 @@ def own_shingles(words: Column) -> Column:
     return F.when(F.size(words) >= SHINGLE, shingles(words, SHINGLE)).when(F.size(words) > 0, whole).otherwise(F.array().cast("array<bigint>"))
 
 
+def _runs(words: Column, length: int) -> Column:
+    """Places and hashes of all runs of less than SHINGLE words, hashed as own_shingles() does."""
+    runs = F.transform(F.sequence(F.lit(0), F.size(words) - length), lambda i: F.struct(i.alias("p"), F.xxhash64(F.array_join(F.slice(words, i + 1, length), " ")).alias("hash")))
+    return F.when(F.size(words) >= length, runs).otherwise(F.array().cast("array<struct<p:int,hash:bigint>>"))
+
+
 def simhash(hashes: Column) -> Column:
     """64 bits; a bit is set if more than half of the hashes have it."""
     ones = lambda b: F.aggregate(hashes, F.lit(0), lambda n, x: n + F.getbit(x, b).cast("int"))
@@ -74,9 +80,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radi
     n_places = places.count()
     short = [r.length for r in places.where(F.col("length") < SHINGLE).select("length").distinct().collect()]  # 4 values at most
     hashes = [F.transform(shingles(F.col("words"), SHINGLE), lambda h, i: F.struct(i.alias("p"), h.alias("hash")))]
-    for length in short:
-        runs = F.transform(F.sequence(F.lit(0), F.size("words") - length), lambda i, n=length: F.struct(i.alias("p"), F.xxhash64(F.array_join(F.slice("words", i + 1, n), " ")).alias("hash")))
-        hashes.append(F.when(F.size("words") >= length, runs).otherwise(F.array().cast("array<struct<p:int,hash:bigint>>")))
+    hashes += [_runs(F.col("words"), length) for length in short]
     seen = texts.select("doc_id", "key", F.size("words").alias("n"), F.explode(F.concat(*hashes) if short else hashes[0]).alias("s")).select("doc_id", "key", "n", "s.p", "s.hash")
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("n") - F.col("w")))
     windows = seen.join(F.broadcast(places) if n_places <= BROADCAST_ROWS else places, "hash").select("doc_id", "key", start.alias("start"), "w").distinct()

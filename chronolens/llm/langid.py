@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import bounded_sample
+
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 
@@ -148,7 +150,8 @@ def fit(docs: DataFrame, learn_from: Column, limit: int = 2_000, sample_bytes: i
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learn_from & (F.length("text") > 0))
     data = F.encode(F.col("text"), "UTF-8")
     part = F.substring(data, F.greatest(F.lit(1), (F.octet_length(data) / 2).cast("int") - sample_bytes // 2), F.lit(sample_bytes))
-    some = rows.select("doc_id", "lang", part.alias("part")).orderBy(F.xxhash64("doc_id"), "doc_id", "part").limit(limit).collect()
+    some = bounded_sample(rows, limit).select("doc_id", "lang", part.alias("part")).limit(2 * limit).collect()
+    some.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.part)))
     some = [(r.lang, bytes(r.part)) for r in some if LETTER.search(bytes(r.part).decode("utf-8", "ignore"))]
     if not some:
         return None

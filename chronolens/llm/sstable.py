@@ -21,6 +21,7 @@ An empty table gives no shards and no rows. Other columns are ignored.
 from __future__ import annotations
 
 import functools
+import hashlib
 import re
 import struct
 import uuid
@@ -57,8 +58,8 @@ def id_of(key: bytes) -> int | None:
 
 
 def probes(key: bytes, bits: int) -> list[int]:
-    a, b = zlib.crc32(key), zlib.crc32(key, 0x9E3779B9) | 1
-    return [((a << 20) + i * (b << 12) + i * i * a) % bits for i in range(BLOOM_HASHES)]
+    a, b = struct.unpack("<QQ", hashlib.blake2b(key, digest_size=16).digest())
+    return [(a + i * b) % bits for i in range(BLOOM_HASHES)]
 
 
 class ShardWriter:
