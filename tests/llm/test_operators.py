@@ -319,3 +319,17 @@ def test_spelling_masses(spark):
     words = [f"{w}{i}".encode() for i, w in enumerate(WORDS * 4)]
     counts = spark.createDataFrame([(w, 1 + i % 5) for i, w in enumerate(words)], "word binary, c long")
     assert rnnlm.spelling(counts, set()).mass.sum() == pytest.approx(1, abs=0.02)
+
+
+def test_language_model_learns_from_shards(spark, monkeypatch):
+    """Several shards are averaged; the model beats the base on texts of the same kind, and more input gives more to learn from."""
+    rows = [(i, " ".join(["red green blue yellow"] * (3 + i % 4))) for i in range(120)]
+    docs = spark.createDataFrame([*rows, (None, "red"), (7, None)], "doc_id long, text string")
+    names = {w.encode(): i + rnnlm.UNKNOWN + 1 for i, w in enumerate(["red", "green", "blue", "yellow"])}
+    start = rnnlm.GatedLm(np.ones(rnnlm.UNKNOWN + 5))
+    before = start.packed()
+    text = np.array([names[w] for w in (b"red", b"green", b"blue", b"yellow")] * 4 + [rnnlm.UNKNOWN])
+    untaught = start.score([text], rnnlm.UNKNOWN)[0].sum()
+    taught = rnnlm.trained(docs, start, names, share=1.0, shard=20)
+    assert taught.packed() != before
+    assert taught.score([text], rnnlm.UNKNOWN)[0].sum() > untaught + 10
