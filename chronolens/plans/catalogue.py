@@ -570,3 +570,15 @@ def engine_contexts(spark, d):
 
 def engine_events(spark, d):
     return silver_events(spark, d).withColumn("title", F.concat_ws(" ", "type", "repository"))
+
+
+@query(f"WITH {EV} SELECT ord, session_id, type FROM ev")
+def stream_ingest(spark, d):
+    """The events as a stream, each delivered twice, written once."""
+    from ..streaming import ingest
+
+    schema = table(spark, d, "events").schema
+    e = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
+    twice = e.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
+    once = ingest.deduplicated(twice, ["event_id"], "10000 days")
+    return ingest.drained(once.select(F.col("event_id").alias("ord"), F.col("user_id").alias("session_id"), F.col("event_type").alias("type")), "ingest")
