@@ -1 +1,3 @@
-"""Whole questions: the query catalogue, plain-language search, exports."""
+"""Query catalogue and text exports."""
+
+from . import asking  # noqa: F401  registers its queries in the catalogue

@@ -554,7 +554,7 @@ def resume_next_step(spark, d):
 
 @query(None)
 def engine_assignments(spark, d):
-    """Checked against labelled sessions in the tests; SQL has no fold of this kind."""
+    """Held against labelled sessions in tests/test_sessions.py; SQL has no fold of this kind."""
     from ..operators.engine import assignments, with_config
 
     return assignments(engine_events(spark, d), with_config(activity_gap=6 * HOUR, activity_longest=24 * HOUR))
