@@ -39,8 +39,10 @@ from .common import fresh_path, staged
 END = "\n"
 HOT, VOCABULARY, CLASS, UNKNOWN = 300_000, 6_144, 64, 64
 BLOCK_TOKENS = 400_000
-#: The share of the training documents that the network learns from, and documents of a shard.
-SHARE, SHARD = 0.02, 800
+#: The share of the training documents that the network learns from, and documents and tokens of a shard.
+SHARE, SHARD, SHARD_TOKENS = 0.02, 800, 320_000
+#: So many shards are learned from and averaged in one task.
+TASK_SHARDS = 4
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -250,15 +252,18 @@ class GatedLm:
         return g, state, loss
 
     def train(self, stream: np.ndarray, end: int, lanes: int = 64, window: int = 16, updates: int = 500, rate: float = 0.04) -> GatedLm:
-        """stream: ids of texts in a row, each closed by the end. Lanes read on from window to window with their state, reset at a text's begin."""
-        span = len(stream) // lanes
-        if span < 2:
+        """stream: ids of texts in a row, each closed by the end. Lanes read on from window to window with their state, reset at a text's begin.
+
+        Every id is read: there are as many updates as one pass takes, or `updates` if those are more. The last lane is filled up from the stream's begin."""
+        if not len(stream):
             return self
-        grid = stream[: span * lanes].reshape(lanes, span)
+        span = max(2, -(-len(stream) // lanes))
+        grid = np.resize(stream, (lanes, span))
+        updates = max(updates, -(-span // window))
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
         state, at = np.zeros((lanes, self.h), np.float32), 0
         for i in range(1, updates + 1):
-            if at + 1 >= span:
+            if at >= span:
                 state, at = np.zeros_like(state), 0
             stop = min(at + window, span)
             ids = grid[:, at:stop].T
@@ -287,28 +292,51 @@ class GatedLm:
         return self
 
 
-def trained(train: DataFrame, model: GatedLm, names: dict[bytes, int], share: float = SHARE, shard: int = SHARD) -> GatedLm:
+def _encoder(names: dict[bytes, int]):
+    """Of batches (place, text): place, the text's ids with the end as two bytes each, and how many they are."""
+
+    def run(batches):
+        for b in batches:
+            ids = []
+            for text in _texts(b.column(1)):
+                words = tokens(text)
+                ids.append(np.array([*(names[w] if w in names else int(STAND_IN[w[-2] if len(w) > 1 else 32, w[-1]]) for w in words), UNKNOWN], np.uint16))
+            arrays = [b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["place", "ids", "n"])
+
+    return run
+
+
+def shard_count(rows: int, n_tokens: int, shard: int = SHARD, shard_tokens: int = SHARD_TOKENS) -> int:
+    """Shards of about `shard` documents, or of about `shard_tokens` tokens where documents are long."""
+    return max(1, round(rows / shard), -(-n_tokens // shard_tokens))
+
+
+def trained(train: DataFrame, model: GatedLm, names: dict[bytes, int], share: float = SHARE, shard: int = SHARD, shard_tokens: int = SHARD_TOKENS) -> GatedLm:
     """model after learning from the share of train (doc_id, text) whose doc_ids have the smallest hashes. Of texts with one doc_id the first in order counts; null doc_ids teach no network."""
     known = train.where(F.col("doc_id").isNotNull())
     n = known.count()
     if not n:
         return model
     part = min(1.0, max(share, shard / n))
-    shards = max(1, round(n * part / shard))
     hashed = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007))).where(F.col("h") < int(part * 1_000_000_007) + 1)
     texts = hashed.groupBy("doc_id", "h").agg(F.min(F.col("text").cast("binary")).alias("text"))
-    texts = staged(texts.select("doc_id", "text", (F.col("h") % shards).cast("int").alias("shard")), "lm-shards")
+    texts = staged(texts.select(F.xxhash64("doc_id").alias("place"), "text").mapInArrow(_encoder(names), "place long, ids binary, n long"), "lm-shards")
+    sizes = texts.agg(F.count("*").alias("rows"), F.sum("n").alias("tokens")).first()
+    if not sizes.rows:
+        return model
+    shards = shard_count(sizes.rows, sizes.tokens, shard, shard_tokens)
+    texts = texts.withColumn("shard", F.pmod("place", F.lit(shards)).cast("int")).withColumn("task", F.floor(F.col("shard") / TASK_SHARDS).cast("int"))
     kind = "shard int, tokens long, weights binary"
 
     def learn(start: bytes, updates: int, rate: float):
         def run(rows: pd.DataFrame) -> pd.DataFrame:
-            ids: list[int] = []
-            for text in rows.sort_values("doc_id")["text"]:
-                words = tokens(bytes(text) if text is not None else b"")
-                ids += [names[w] if w in names else int(STAND_IN[w[-2] if len(w) > 1 else 32, w[-1]]) for w in words]
-                ids.append(UNKNOWN)
-            own = GatedLm(np.ones(model.n), model.h).unpacked(start).train(np.array(ids, np.int64), UNKNOWN, updates=updates, rate=rate)
-            return pd.DataFrame({"shard": [rows["shard"].iloc[0]], "tokens": [len(ids)], "weights": [own.packed()]})
+            total, read = 0.0, 0
+            for _, own in rows.sort_values(["place", "ids"]).groupby("shard"):
+                ids = np.frombuffer(b"".join(own["ids"]), np.uint16).astype(np.int64)
+                weights = GatedLm(np.ones(model.n), model.h).unpacked(start).train(ids, UNKNOWN, updates=updates, rate=rate).packed()
+                total, read = total + len(ids) * np.frombuffer(weights, np.float32).astype(float), read + len(ids)
+            return pd.DataFrame({"shard": [rows["task"].iloc[0]], "tokens": [read], "weights": [(total / read).astype(np.float32).tobytes()]})
 
         return run
 
@@ -318,15 +346,15 @@ def trained(train: DataFrame, model: GatedLm, names: dict[bytes, int], share: fl
         total = sum(w * np.frombuffer(x, np.float32) for w, x in zip(share_of, rows["weights"]))
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0]) // 16], "tokens": [int(rows["tokens"].sum())], "weights": [total.astype(np.float32).tobytes()]})
 
-    first = texts.where("shard = 0").groupBy("shard").applyInPandas(learn(model.packed(), 500, 0.04), kind).first()
-    if first is None:
-        return model
+    least = texts.agg(F.min("shard")).first()[0]
+    first = texts.where(F.col("shard") == least).groupBy("task").applyInPandas(learn(model.packed(), 500, 0.04), kind).first()
     if shards > 1:
-        dealt = texts.repartition(shards, "shard").groupBy("shard").applyInPandas(learn(bytes(first.weights), 150, 0.01), kind)
+        tasks = -(-shards // TASK_SHARDS)
+        dealt = texts.repartition(tasks, "task").groupBy("task").applyInPandas(learn(bytes(first.weights), 150, 0.01), kind)
         parts = staged(dealt, "lm-weights")
-        while shards > 1:
+        while tasks > 1:
             parts = parts.groupBy(F.floor(F.col("shard") / 16)).applyInPandas(mean, kind)
-            shards = -(-shards // 16)
+            tasks = -(-tasks // 16)
         first = parts.first()
     return model.unpacked(bytes(first.weights))
 

@@ -333,3 +333,24 @@ def test_language_model_learns_from_shards(spark, monkeypatch):
     taught = rnnlm.trained(docs, start, names, share=1.0, shard=20)
     assert taught.packed() != before
     assert taught.score([text], rnnlm.UNKNOWN)[0].sum() > untaught + 10
+
+
+def test_language_model_reads_whole_shards(monkeypatch):
+    """However long a shard is, all its ids are taught, those behind the last full window and lane too."""
+    taught = Counter()
+
+    def gradients(self, ids, before, state):
+        taught.update(ids.ravel().tolist())
+        return {k: np.zeros_like(w) for k, w in self.w.items()}, state, 0.0
+
+    monkeypatch.setattr(rnnlm.GatedLm, "gradients", gradients)
+    for n in (5, 64 * 16 * 4, 64 * 16 * 40 + 64 + 37):
+        taught.clear()
+        rnnlm.GatedLm(np.ones(n)).train(np.arange(n), rnnlm.UNKNOWN, updates=3)
+        assert set(taught) == set(range(n)) and sum(taught.values()) <= max(n + 64, 64 * 16 * 3)
+
+
+def test_language_model_cuts_shards_by_tokens():
+    """Few long documents are several shards."""
+    assert rnnlm.shard_count(800, 800 * 400) == 1 and rnnlm.shard_count(8_000, 8_000 * 100) == 10
+    assert rnnlm.shard_count(800, 800 * 4_000) == 10
