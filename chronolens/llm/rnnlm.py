@@ -11,11 +11,11 @@ each whole document, end token included.
 Counts of words come from all training documents and stay distributed. Words of the highest counts, HOT at most, are read by every task from the
 shared folder; the counts of all other words reach the documents by a join on the word, each of which is rare.
 
-The network learns from a fixed share of the training documents (those of the smallest hashes of doc_id, so the set grows with the input;
-SHARD of them where the share would be fewer), whole texts, dealt to shards of about SHARD documents, each one task. The first shard
-gives a start; from it every shard trains on, and the shards' weights are averaged, sixteen at a time, weighted by tokens.
+The network learns from all training documents, whole texts, dealt to shards of about SHARD documents, of fewer where these would have
+more than about SHARD_TOKENS tokens. A shard is read to its end, once at least. The first shard gives a start; from it every shard trains on,
+TASK_SHARDS of them in a task, and their weights are averaged, those of the tasks sixteen at a time, weighted by tokens.
 
-Nulls: a null text counts as empty: its one token is the end. A row with a null doc_id is learned from and not held out. Each row gets its
+Nulls: a null text counts as empty: its one token is the end. A row with a null doc_id is learned from, by the network too, and not held out. Each row gets its
 own result row, repeated ones too. Empty tables give empty results; without training documents all counts are 0. Other columns are ignored.
 """
 
@@ -40,7 +40,7 @@ END = "\n"
 HOT, VOCABULARY, CLASS, UNKNOWN = 300_000, 6_144, 64, 64
 BLOCK_TOKENS = 400_000
 #: The share of the training documents that the network learns from, and documents and tokens of a shard.
-SHARE, SHARD, SHARD_TOKENS = 0.02, 800, 320_000
+SHARE, SHARD, SHARD_TOKENS = 1.0, 800, 320_000
 #: So many shards are learned from and averaged in one task.
 TASK_SHARDS = 4
 
@@ -223,20 +223,26 @@ class GatedLm:
         pc = s @ w["oc"] + w["bc"]
         pc = np.exp(pc - pc.max(1, keepdims=True))
         pc /= pc.sum(1, keepdims=True)
-        pw = np.einsum("nh,nhk->nk", s, w["ow"][kind]) + w["bw"][kind]
-        pw = np.exp(pw - pw.max(1, keepdims=True))
-        pw /= pw.sum(1, keepdims=True)
-        loss = float(-(np.log(pc[rows, kind] + 1e-12) + np.log(pw[rows, place] + 1e-12)).mean())
+        loss = -np.log(pc[rows, kind] + 1e-12)
         pc[rows, kind] -= 1
-        pw[rows, place] -= 1
         pc /= len(flat)
-        pw /= len(flat)
         g = {k: np.zeros_like(v) for k, v in w.items()}
         g["oc"], g["bc"] = s.T @ pc, pc.sum(0)
-        np.add.at(g["ow"], kind, s[:, :, None] * pw[:, None, :])
-        np.add.at(g["bw"], kind, pw)
-        top = (pc @ w["oc"].T + np.einsum("nk,nhk->nh", pw, w["ow"][kind])).reshape(steps, lanes, h)
-        back = np.zeros((lanes, h), np.float32)
+        top = pc @ w["oc"].T
+        order = np.argsort(kind, kind="stable")
+        found, begins = np.unique(kind[order], return_index=True)
+        for k, part in zip(found.tolist(), np.split(order, begins[1:])):  # class by class, so that no row copies its class's weights
+            own, at = s[part], np.arange(len(part))
+            pw = own @ w["ow"][k] + w["bw"][k]
+            pw = np.exp(pw - pw.max(1, keepdims=True))
+            pw /= pw.sum(1, keepdims=True)
+            loss[part] -= np.log(pw[at, place[part]] + 1e-12)
+            pw[at, place[part]] -= 1
+            pw /= len(flat)
+            g["ow"][k], g["bw"][k] = own.T @ pw, pw.sum(0)
+            top[part] += pw @ w["ow"][k].T
+        top = top.reshape(steps, lanes, h)
+        back, inputs = np.zeros((lanes, h), np.float32), np.empty((steps, lanes, 3 * h), w["x"].dtype)
         for t in reversed(range(steps)):
             prior, z, r, cand = held[t]
             d = back + top[t]
@@ -247,9 +253,12 @@ class GatedLm:
             gates = np.concatenate([dz, dr], 1)
             g["c"] += (r * prior).T @ dc
             g["zr"] += prior.T @ gates
-            np.add.at(g["x"], before[t], np.concatenate([gates, dc], 1))
+            inputs[t] = np.concatenate([gates, dc], 1)
             back = d * z + through * r + gates @ w["zr"].T
-        return g, state, loss
+        order = np.argsort(before, axis=None, kind="stable")
+        words, begins = np.unique(before.ravel()[order], return_index=True)
+        g["x"][words] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], begins)
+        return g, state, float(loss.mean())
 
     def train(self, stream: np.ndarray, end: int, lanes: int = 64, window: int = 16, updates: int = 500, rate: float = 0.04) -> GatedLm:
         """stream: ids of texts in a row, each closed by the end. Lanes read on from window to window with their state, reset at a text's begin.
@@ -270,12 +279,22 @@ class GatedLm:
             before = np.concatenate([grid[:, at - 1 : at].T if at else np.full((1, lanes), end), ids[:-1]])
             state = np.where((before[0] == end)[:, None], np.float32(0), state)
             g, state, _ = self.gradients(ids, before, state)
-            norm = np.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            for k, x in g.items():
-                x = x / max(1.0, norm)
-                m[k] += 0.1 * (x - m[k])
-                v[k] += 0.01 * (x * x - v[k])
-                self.w[k] -= (rate * (1 - i / (updates + 1)) * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-6)).astype(np.float32)
+            norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
+            for k, x in g.items():  # in place: m += 0.1 * (x - m), v += 0.01 * (x * x - v), w -= rate * m / (sqrt(v) + 1e-6), m and v corrected for their start
+                if norm > 1:
+                    x *= np.float32(1 / norm)
+                m[k] *= np.float32(0.9)
+                m[k] += np.float32(0.1) * x
+                v[k] *= np.float32(0.99)
+                x *= x
+                x *= np.float32(0.01)
+                v[k] += x
+                np.sqrt(v[k], out=x)
+                x *= np.float32((1 - 0.99**i) ** -0.5)
+                x += np.float32(1e-6)
+                np.divide(m[k], x, out=x)
+                x *= np.float32(rate * (1 - i / (updates + 1)) / (1 - 0.9**i))
+                self.w[k] -= x
             at = stop
         return self
 
@@ -313,15 +332,14 @@ def shard_count(rows: int, n_tokens: int, shard: int = SHARD, shard_tokens: int
 
 
 def trained(train: DataFrame, model: GatedLm, names: dict[bytes, int], share: float = SHARE, shard: int = SHARD, shard_tokens: int = SHARD_TOKENS) -> GatedLm:
-    """model after learning from the share of train (doc_id, text) whose doc_ids have the smallest hashes. Of texts with one doc_id the first in order counts; null doc_ids teach no network."""
-    known = train.where(F.col("doc_id").isNotNull())
-    n = known.count()
-    if not n:
-        return model
-    part = min(1.0, max(share, shard / n))
-    hashed = known.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000_007))).where(F.col("h") < int(part * 1_000_000_007) + 1)
-    texts = hashed.groupBy("doc_id", "h").agg(F.min(F.col("text").cast("binary")).alias("text"))
-    texts = staged(texts.select(F.xxhash64("doc_id").alias("place"), "text").mapInArrow(_encoder(names), "place long, ids binary, n long"), "lm-shards")
+    """model after learning from train (doc_id, text), every row once; of less than all with share under 1, those of the smallest hashes."""
+    rows = train.select(F.xxhash64("doc_id", "text").alias("place"), F.col("text").cast("binary").alias("text"))
+    if share < 1:
+        rows = rows.where(F.pmod("place", F.lit(1_000_000_007)) < int(share * 1_000_000_007) + 1)
+    # equal rows are counted and dealt apart by their number, lest they come to one shard
+    texts = rows.mapInArrow(_encoder(names), "place long, ids binary, n long").groupBy("place", "ids", "n").agg(F.count("*").alias("times"))
+    texts = texts.withColumn("copy", F.explode(F.expr("sequence(1L, times)"))).select(F.xxhash64("place", "copy").alias("place"), "ids", "n")
+    texts = staged(texts, "lm-shards")
     sizes = texts.agg(F.count("*").alias("rows"), F.sum("n").alias("tokens")).first()
     if not sizes.rows:
         return model

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from chronolens.llm import ann, bpe, chat, decontamination, langid, licenses, neardup, quality, rnnlm, sstable
+from chronolens.llm.common import staged
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, key string, label string, node string"
 WORDS = "river stone cloud winter letter garden silver market candle window bridge forest meadow harbour thunder".split()
@@ -354,3 +355,16 @@ def test_language_model_cuts_shards_by_tokens():
     """Few long documents are several shards."""
     assert rnnlm.shard_count(800, 800 * 400) == 1 and rnnlm.shard_count(8_000, 8_000 * 100) == 10
     assert rnnlm.shard_count(800, 800 * 4_000) == 10
+
+
+def test_language_model_learns_from_all_documents(spark, monkeypatch):
+    """Rows without an id, with an id of their own or not, and repeated ones are each dealt to a shard, at the default share."""
+    held = []
+    monkeypatch.setattr(rnnlm, "staged", lambda df, name: (held.append((name, df)), staged(df, name))[1])
+    rows = [*((i, f"red green {i}") for i in range(3_000)), (None, "blue red"), (None, "blue"), (None, None), (7, "blue"), (7, "blue"), (7, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    names = {w: i + rnnlm.UNKNOWN + 1 for i, w in enumerate((b"red", b"green", b"blue"))}
+    rnnlm.trained(docs, rnnlm.GatedLm(np.ones(rnnlm.UNKNOWN + 4)), names)
+    dealt = [r for name, df in held if name == "lm-shards" for r in df.collect()]
+    assert len(dealt) == len(rows) and sum(r.n for r in dealt) == sum(len((t or "").split()) + 1 for _, t in rows)
+    assert sum(np.frombuffer(r.ids, np.uint16).tolist().count(names[b"blue"]) for r in dealt) == 4
