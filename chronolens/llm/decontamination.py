@@ -69,8 +69,8 @@ def similarity(a: Column, b: Column) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
-def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: int = 21) -> DataFrame:
-    """docs: doc_id, text; items: item_id, text. Rows doc_id, item_id, start, n_words, distance, similarity: the best window of each document for each item it holds."""
+def _matches(docs: DataFrame, items: DataFrame, threshold: float, radius: int) -> DataFrame:
+    """doc_id, key (row_key of the text), start, w, item_id, distance, similarity of all windows that reach the threshold."""
     texts = docs.select("doc_id", row_key(text_of()).alias("key"), word_array(text_of()).alias("words"))
     item = items.select("item_id", word_array(text_of()).alias("words")).where(F.size("words") > 0).dropDuplicates()
     item = item.select("item_id", F.size("words").alias("w"), own_shingles(F.col("words")).alias("item_shingles"))
@@ -88,21 +88,27 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radi
 
     held = texts.withColumnsRenamed({"doc_id": "d", "key": "k"})
     here = windows.join(held, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
-    here = here.select("doc_id", "start", "w", own_shingles(F.slice("words", F.col("start") + 1, F.col("w"))).alias("window_shingles")).distinct()
+    here = here.select("doc_id", "key", "start", "w", own_shingles(F.slice("words", F.col("start") + 1, F.col("w"))).alias("window_shingles")).distinct()
     here = staged(here.withColumn("window_print", simhash(F.col("window_shingles"))), "window-prints")
 
-    left = here.select("doc_id", "start", "w", "window_shingles", "window_print", F.explode(blocks(F.col("window_print"), radius)).alias("block"))
+    left = here.select("doc_id", "key", "start", "w", "window_shingles", "window_print", F.explode(blocks(F.col("window_print"), radius)).alias("block"))
     right = item.select("item_id", "w", "item_shingles", "item_print", F.explode(blocks(F.col("item_print"), radius)).alias("block"))
     distance = F.bit_count(F.col("window_print").bitwiseXOR(F.col("item_print"))).cast("int")
     # several blocks may agree: of each pair, the first agreeing block speaks
     agree = F.array_position(F.zip_with(blocks(F.col("window_print"), radius), blocks(F.col("item_print"), radius), lambda x, y: x == y), True) - 1
     pairs = left.join(right, ["w", "block"]).withColumn("distance", distance).where((F.col("distance") <= radius) & (F.col("block.no") == agree))
     checked = pairs.withColumn("similarity", similarity(F.col("window_shingles"), F.col("item_shingles"))).where(F.col("similarity") >= threshold)
+    return checked.select("doc_id", "key", "start", "w", "item_id", "distance", "similarity")
+
+
+def contaminated(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: int = 21) -> DataFrame:
+    """docs: doc_id, text; items: item_id, text. Rows doc_id, item_id, start, n_words, distance, similarity: the best window of each document for each item it holds."""
+    checked = _matches(docs, items, threshold, radius)
     best = checked.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.col("similarity"), (-F.col("start")).alias("neg_start"), F.col("w"), F.col("distance"))).alias("b"))
     return best.select("doc_id", "item_id", (-F.col("b.neg_start")).alias("start"), F.col("b.w").alias("n_words"), F.col("b.distance").alias("distance"), F.col("b.similarity").alias("similarity"))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, threshold: float = 0.8, radius: int = 21) -> DataFrame:
-    """The rows of docs, whole, that hold no item."""
-    bad = contaminated(docs, items, threshold, radius).select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    """The rows of docs, whole, that hold no item. Rows are told apart by doc_id and text, so a clean text stays beside a contaminated one of the same or no doc_id."""
+    bad = _matches(docs, items, threshold, radius).select(F.col("doc_id").alias("bad_id"), F.col("key").alias("bad_key")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (row_key(text_of()) == F.col("bad_key")), "left_anti")

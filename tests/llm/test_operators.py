@@ -368,3 +368,14 @@ def test_language_model_learns_from_all_documents(spark, monkeypatch):
     dealt = [r for name, df in held if name == "lm-shards" for r in df.collect()]
     assert len(dealt) == len(rows) and sum(r.n for r in dealt) == sum(len((t or "").split()) + 1 for _, t in rows)
     assert sum(np.frombuffer(r.ids, np.uint16).tolist().count(names[b"blue"]) for r in dealt) == 4
+
+
+def test_decontamination_by_row(spark):
+    """A contaminated text takes no clean text of the same or no doc_id with it."""
+    item = prose(99, 30)
+    bad = prose(1, 40) + " " + item
+    rows = [(None, bad), (None, prose(2, 60)), (None, None), (7, bad), (7, prose(3, 60)), (8, prose(4, 60)), (8, prose(4, 60))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = decontamination.decontaminate(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(r for r in rows if r[1] != bad)
+    assert clean.columns == df.columns
