@@ -50,9 +50,3 @@ def word_array(text: Column) -> Column:
 def row_key(text: Column) -> Column:
     """Beside doc_id, tells rows of the same doc_id apart; rows equal in both have equal results."""
     return F.xxhash64(text)
-
-
-def bounded_sample(rows: DataFrame, limit: int) -> DataFrame:
-    """The rows of the `limit` smallest doc_ids by a hash (more rows or fewer ids where doc_ids repeat). Only numbers are compared; the chosen ones, `limit` at most, are broadcast."""
-    chosen = rows.select("doc_id").where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit).distinct()
-    return rows.join(F.broadcast(chosen), "doc_id")

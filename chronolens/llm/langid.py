@@ -5,8 +5,8 @@ the right; from both states together every position gets a probability of each l
 are the means over its positions. The network is trained in numpy by backpropagation through time over all steps of a window,
 each position being taught its document's language.
 
-Learning uses windows of at most `limit` documents (the smallest by a hash of doc_id among those with a language; a bounded
-sample). Without any, every text is `und` with score 0.
+Learning uses windows of a bounded sample: of each language of the training rows limit / languages documents, LEAST if that is fewer (those of the
+smallest hashes; all of a language with fewer). Without any, every text is `und` with score 0.
 
 Nulls: a text that is null or holds no letter is `und` with score 0. Repeated rows get a row each. Empty tables give
 empty results; other columns are ignored.
@@ -15,16 +15,17 @@ empty results; other columns are ignored.
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_sample
-
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
+#: Documents sampled of each language at least.
+LEAST = 50
 
 
 class ByteBiGru:
@@ -148,9 +149,21 @@ class ByteBiGru:
 def fit(docs: DataFrame, learn_from: Column, limit: int = 2_000, sample_bytes: int = 256) -> ByteBiGru | None:
     """docs: doc_id, text, lang; learn_from: a condition on doc_id. Of each sampled document the bytes around its middle are used."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learn_from & (F.length("text") > 0))
+    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
+    if not sizes:
+        return None
+    each = max(LEAST, limit // len(sizes))
+    # repeated rows count once; twice as many as wanted pass by their hashes; the smallest of these are taken here
+    below = docs.sparkSession.createDataFrame([(lang, min(1.0, 2 * each / n)) for lang, n in sizes.items()], "lang string, passing double")
     data = F.encode(F.col("text"), "UTF-8")
     part = F.substring(data, F.greatest(F.lit(1), (F.octet_length(data) / 2).cast("int") - sample_bytes // 2), F.lit(sample_bytes))
-    some = bounded_sample(rows, limit).select("doc_id", "lang", part.alias("part")).limit(2 * limit).collect()
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(below), "lang").where(F.pmod("h", F.lit(1_000_000_007)) <= F.col("passing") * 1_000_000_007)
+    ranked = sorted(hashed.select("h", "doc_id", "lang", part.alias("part")).distinct().collect(), key=lambda r: (r.h % 1_000_000_007, r.doc_id, bytes(r.part)))
+    some, taken = [], Counter()
+    for r in ranked:
+        taken[r.lang] += 1
+        if taken[r.lang] <= each:
+            some.append(r)
     some.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.part)))
     some = [(r.lang, bytes(r.part)) for r in some if LETTER.search(bytes(r.part).decode("utf-8", "ignore"))]
     if not some:

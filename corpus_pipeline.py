@@ -31,8 +31,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the recurrent network finds to be in one of the languages it has learned."""
-    found = langid.identified(docs, langid.fit(docs, _fold(3) != 1), COLUMNS)
+    """Documents that the recurrent network finds to be in one of the languages it has learned; all where no labelled text teaches it any."""
+    model = langid.fit(docs, _fold(3) != 1)
+    if model is None:
+        return docs.select(*COLUMNS)
+    found = langid.identified(docs, model, COLUMNS)
     return found.where((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LANGUAGE_SCORE)).select(*COLUMNS)
 
 

@@ -379,3 +379,9 @@ def test_decontamination_by_row(spark):
     clean = decontamination.decontaminate(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert Counter((r.doc_id, r.text) for r in clean.collect()) == Counter(r for r in rows if r[1] != bad)
     assert clean.columns == df.columns
+
+
+def test_language_id_learns_rare_languages(spark):
+    rows = [(i, prose(i, 12), "aa") for i in range(1500)] + [(5000 + i, f"{chr(0x430 + i) * 9} {chr(0x430 + i) * 5}", f"r{i}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.fit(df, F.lit(True), limit=100).languages == ["aa", *(f"r{i}" for i in range(8))]

@@ -53,3 +53,8 @@ def test_null_columns(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         docs = staged(stage(spark, docs, folder), name)
     assert docs.count() > 100
+
+
+def test_language_stage_keeps_unlabelled_documents(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
+    assert corpus_pipeline.language_stage(spark, docs, folder).count() == docs.count()
