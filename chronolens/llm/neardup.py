@@ -7,11 +7,12 @@ weight lies below the shingle's count, so that larger counts see a superset of t
 signature is its earliest point. Two texts agree in a register with probability sum(min) / sum(max) of their counts, the weighted
 Jaccard similarity. Points are made in order of time only until every register has one, which is what makes it quick.
 
-Signatures are banded; texts that share a band are candidates, and what bands join, directly or through others, is a cluster. In a
-cluster all pairs are compared by their exact similarity: its members are dealt to blocks of BLOCK at most, every two blocks are one task,
-which finds all overlaps by multiplying matrices of occurrences and returns only links that join different parts, fewer
-than it has members. So no link between candidates is lost, and neither pairs nor an unbounded group come together. Links make components,
-the groups. At the threshold 0.8, 30 bands of 5 registers miss a pair with probability 7e-6.
+Signatures are banded. The smallest text of a band is its pivot, and what pivots join, directly or through others, is a cluster. First each text is
+compared with the one pivot it shares most bands with, so that most clusters become one part at the cost of a comparison a text. Where a
+cluster still has several parts, the texts outside its largest part are compared with all its texts: both are dealt to blocks of BLOCK texts
+and WEIGHT shingles at most, every two blocks are one task, which finds all overlaps by multiplying matrices of occurrences and returns only
+links that join different parts, fewer than it has members. So no link between candidates is lost, and neither pairs nor an unbounded group
+come together. Links make components, the groups. At the threshold 0.8, 30 bands of 5 registers miss a pair with probability 7e-6.
 
 Equal texts are one class from the start. Nulls: a null text counts as empty; empty texts are equal to each other and link to nothing else.
 A null doc_id is kept and stands for its group only where no other doc_id does. Repeated rows are copies. Empty tables give empty results;
@@ -25,12 +26,14 @@ import hashlib
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import free_name, staged
 
 SHINGLE, BANDS, ROWS, BLOCK, SMALL = 5, 30, 5, 1024, 64
+#: Shingles (occurrences) of a block's texts, unless one text has more.
+WEIGHT = 1_000_000
 #: So many columns of an occurrence matrix are held at once.
 COLUMNS = 4096
 _U = np.uint64
@@ -175,19 +178,18 @@ def node_of(text: Column) -> Column:
 
 
 def multisets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """node and packed multiset of the texts of the wanted (node, doc_id), each node once."""
+    """node, packed multiset and its size (weight) of the texts of the wanted (node, doc_id), each node once."""
 
     def run(batches):
         for b in batches:
             rows = [(node.as_py(), shingles(text)) for node, text in zip(b.column(0), _texts(b.column(1)))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in rows], pa.binary()), pa.array([pack(x, c) for _, (x, c) in rows], pa.binary())], names=["node", "bag"]
-            )
+            arrays = [pa.array([n for n, _ in rows], pa.binary()), pa.array([pack(x, c) for _, (x, c) in rows], pa.binary()), pa.array([int(c.sum()) for _, (_, c) in rows], pa.int64())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["node", "bag", "weight"])
 
     nodes = docs.select(node_of(F.col("text")).alias("node"), "text", "doc_id")
     wanted = wanted.toDF(*[f"_{c}" for c in wanted.columns])
     one = nodes.join(wanted, (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("_doc_id")), "left_semi").dropDuplicates(["node"])
-    return one.select("node", "text").mapInArrow(run, "node binary, bag binary")
+    return one.select("node", "text").mapInArrow(run, "node binary, bag binary, weight long")
 
 
 def overlaps(bags: list[tuple[np.ndarray, np.ndarray]], split: int) -> np.ndarray:
@@ -233,25 +235,48 @@ def links_of(nodes: list[bytes], bags: list[tuple[np.ndarray, np.ndarray]], spli
     return out
 
 
-def verified(clusters: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
-    """clusters: node, label. Links (a, b) between nodes of a cluster whose similarity reaches the threshold; enough of them to join what all of them join."""
-    sizes = clusters.groupBy("label").agg(F.count("*").alias("n"))
-    packs = max(1, clusters.count() // BLOCK)
-    held = clusters.join(sizes, "label").join(bags, "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    pairs = F.transform(F.sequence(F.lit(0), blocks - 1), lambda other: F.struct(F.least(own, other).alias("lo"), F.greatest(own, other).alias("hi"), own.alias("own")))
-    held = held.select("label", "node", "bag", F.when(F.col("n") <= SMALL, F.pmod(F.xxhash64("label"), F.lit(packs))).alias("pack"), F.explode(pairs).alias("p"))
-    held = held.select("label", "node", "bag", "pack", F.when(F.col("pack").isNull(), F.col("label")).alias("big"), "p.lo", "p.hi", "p.own")
+def similar(links: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """Those of links (a, b) whose similarity reaches the threshold. A b that many links have is a skewed key of a join, which Spark splits."""
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(*(c.to_pylist() for c in batch.columns))
+            found = [(a, b) for a, b, x, y in rows if overlap(x, y) >= threshold - 1e-9]
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
+
+    one, other = bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), bags.select(F.col("node").alias("b"), F.col("bag").alias("y"))
+    return links.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
+
+
+def verified(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """members: node, label (of its cluster), part. Links (a, b) between nodes of a cluster, but of different parts, whose similarity reaches the
+    threshold; enough of them to join what all of them join. Clusters of one part need none."""
+    held = members.join(bags, "node")
+    largest = F.max(F.struct("n", "weight", "part")).alias("main")
+    parts = held.groupBy("label", "part").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+    sizes = parts.groupBy("label").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"), largest).where(F.col("n") > F.col("main.n"))
+    blocks = lambda n, weight: F.greatest(F.ceil(n / BLOCK), F.ceil(weight / WEIGHT)).cast("int")
+    sizes = staged(sizes.select("label", F.col("n").alias("members"), F.col("weight").alias("total"), F.col("main.part").alias("main"), blocks(F.col("n"), F.col("weight")).alias("all"), blocks(F.col("n") - F.col("main.n"), F.col("weight") - F.col("main.weight")).alias("outer")), "open")
+    load = sizes.agg(F.coalesce(F.sum("members"), F.lit(0)).alias("n"), F.coalesce(F.sum("total"), F.lit(0)).alias("weight")).first()
+    packs = max(1, load.n // BLOCK, load.weight // WEIGHT)
+    held = held.join(sizes, "label")
+    at = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    until = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # an outer node stands left in every task of its block, and each node, outer or not, right in every task of its own
+    left = F.when(F.col("part") != F.col("main"), F.transform(until("all"), lambda k: F.struct(at("outer").alias("lo"), k.alias("hi"), F.lit(0).alias("side"))))
+    right = F.transform(until("outer"), lambda k: F.struct(k.alias("lo"), at("all").alias("hi"), F.lit(1).alias("side")))
+    tasks = F.explode(F.concat(F.coalesce(left, F.array().cast("array<struct<lo:int,hi:int,side:int>>")), right)).alias("t")
+    small = (F.col("members") <= SMALL) & (F.col("all") == 1)
+    held = held.select("label", "node", "bag", F.when(small, F.pmod(F.xxhash64("label"), F.lit(packs))).alias("pack"), tasks)
+    held = held.select("label", "node", "bag", "pack", F.when(F.col("pack").isNull(), F.col("label")).alias("big"), "t.lo", "t.hi", "t.side")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, group in rows.groupby("label", sort=False):
-            group = group.sort_values("own", kind="stable")
-            nodes, found = group["node"].tolist(), [unpack(x) for x in group["bag"]]
-            split = int((group["own"] == group["lo"]).sum()) if group["lo"].iloc[0] != group["hi"].iloc[0] else 0
-            if len(nodes) > 1 and split < len(nodes):
-                out += links_of(nodes, found, split, threshold)
+            group = group.sort_values("side", kind="stable")
+            nodes, split = group["node"].tolist(), int((group["side"] == 0).sum())
+            if 0 < split < len(nodes):
+                out += [(a, b) for a, b in links_of(nodes, [unpack(x) for x in group["bag"]], split, threshold) if a != b]
         return pd.DataFrame(out, columns=["a", "b"])
 
     return held.groupBy("big", "pack", "lo", "hi").applyInPandas(run, "a binary, b binary")
@@ -272,15 +297,28 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def pivots(nodes: DataFrame) -> DataFrame:
+    """nodes: node, bands. node, first (smallest pivot of its bands), most (the pivot of most of them, itself left out; or null), all: for nodes with bands."""
+    rows = nodes.select("node", F.explode("bands").alias("key"))
+    # both sides are aggregates or skewed join keys, so a band of a third of all texts is no one task's
+    held = rows.join(rows.groupBy("key").agg(F.min("node").alias("pivot")), "key")
+    other = F.when(F.col("pivot") != F.col("node"), F.col("pivot"))
+    return held.groupBy("node").agg(F.min("pivot").alias("first"), F.mode(other, True).alias("most"), F.collect_set("pivot").alias("all"))
+
+
 def grouped(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """doc_id, node, group_id, group_node (which row stands for the group), group_size for each row of docs."""
     sig = staged(signatures(docs), "signatures")
     nodes = staged(sig.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "nodes")
-    rows = nodes.select("node", F.explode("bands").alias("key"))
-    pivot = rows.withColumn("pivot", F.min("node").over(Window.partitionBy("key"))).where(F.col("node") != F.col("pivot"))
-    clusters = components(pivot.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct())
-    bags = multisets(docs, clusters.select("node").join(nodes.select("node", F.col("rep").alias("doc_id")), "node"))
-    labels = components(staged(verified(clusters, bags, threshold), "verified"))
+    led = staged(pivots(nodes), "pivots")
+    # one link a node, and one from each of its pivots to the smallest: the same clusters as by all links
+    links = led.select(F.col("node").alias("a"), F.col("first").alias("b")).union(led.select(F.explode("all").alias("a"), F.col("first").alias("b")).distinct())
+    clusters = components(links.where(F.col("a") != F.col("b")))
+    bags = staged(multisets(docs, clusters.select("node").join(nodes.select("node", F.col("rep").alias("doc_id")), "node")), "bags")
+    direct = staged(similar(led.where(F.col("most").isNotNull()).select(F.col("node").alias("a"), F.col("most").alias("b")), bags, threshold), "direct")
+    parts = components(direct).withColumnRenamed("label", "part")
+    members = clusters.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    labels = components(staged(verified(staged(members, "members"), bags, threshold).union(direct), "verified"))
 
     named = nodes.select("node", "rep", "copies").join(labels, "node", "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
     named = staged(named, "classes")
@@ -297,7 +335,9 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 def deduplicated(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     """One row of docs, whole, of each group: that of the smallest doc_id (of equal rows that repeat it, any one)."""
-    kept = grouped(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("node") == F.col("group_node"))).select(F.col("doc_id").alias("kept_id"), F.col("node").alias("kept_node")).distinct()
-    marked = docs.withColumn("_node", node_of(F.col("text")))
-    held = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("_node") == F.col("kept_node")), "left_semi")
-    return held.dropDuplicates(["doc_id", "_node"]).drop("_node")
+    kept = grouped(docs, threshold).where(F.col("doc_id").eqNullSafe(F.col("group_id")) & (F.col("node") == F.col("group_node")))
+    node, kept_id, kept_node = free_name(docs, "node"), free_name(docs, "kept_id"), free_name(docs, "kept_node")
+    kept = kept.select(F.col("doc_id").alias(kept_id), F.col("node").alias(kept_node)).distinct()
+    marked = docs.withColumn(node, node_of(F.col("text")))
+    held = marked.join(kept, F.col("doc_id").eqNullSafe(F.col(kept_id)) & (F.col(node) == F.col(kept_node)), "left_semi")
+    return held.dropDuplicates(["doc_id", node]).drop(node)

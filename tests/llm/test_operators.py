@@ -62,13 +62,50 @@ def test_bag_minhash_is_unbiased():
     assert abs(np.mean(errors)) < 0.02
 
 
-def test_large_cluster_is_linked_by_blocks(spark, monkeypatch):
-    monkeypatch.setattr(neardup, "BLOCK", 8)
-    monkeypatch.setattr(neardup, "SMALL", 4)
-    base = prose(7, 200).split()
-    texts = [" ".join("edit" + str(i) if k == (i * 7) % 200 else w for k, w in enumerate(base)) for i in range(40)]
-    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
-    assert {r.group_id for r in neardup.near_duplicates(df).collect()} == {0}
+def linked_groups(texts, threshold=0.8):
+    """Components of all pairs whose weighted Jaccard similarity reaches the threshold, by brute force: the smallest index of each."""
+    bags = [Counter(tuple(t.split()[i : i + 5]) for i in range(max(1, len(t.split()) - 4))) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = sum((bags[i] & bags[j]).values())
+            if both / (bags[i].total() + bags[j].total() - both) >= threshold:
+                a, b = group[i], group[j]
+                group = [min(a, b) if g in (a, b) else g for g in group]
+    return dict(enumerate(group))
+
+
+@pytest.mark.parametrize("limits", [{"BLOCK": 8, "SMALL": 4}, {"WEIGHT": 600, "SMALL": 4}, {}])
+def test_large_cluster_is_linked_by_blocks(spark, monkeypatch, limits):
+    """Copies of copies, so that few are near the pivot: however blocks are cut, what brute force links is linked."""
+    for name, value in limits.items():
+        monkeypatch.setattr(neardup, name, value)
+    rng, texts = random.Random(12), []
+    for g in range(2):
+        words = prose(7 + g, 120).split()
+        for i in range(40):
+            words = list(words)
+            for k in rng.sample(range(120), 2 if i % 10 else 9):
+                words[k] = f"edit{rng.randrange(10**6)}"
+            texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    want = linked_groups(texts)
+    assert 3 < len(set(want.values())) < 40
+    assert {r.doc_id: r.group_id for r in neardup.near_duplicates(df).collect()} == want
+
+
+def test_near_duplicates_of_thousands_and_of_long_texts(spark):
+    base, long = prose(21, 60).split(), prose(22, 20_000).split()
+    texts = [" ".join(f"edit{i}" if k == i % 60 else w for k, w in enumerate(base)) for i in range(3_000)]
+    texts += [" ".join(f"edit{i}" if k % 997 == i else w for k, w in enumerate(long)) for i in range(6)] + [prose(23, 20_000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = neardup.near_duplicates(df).groupBy("group_id").count().collect()
+    assert {(r.group_id, r["count"]) for r in got} == {(0, 3_000), (3_000, 6), (3_006, 1)}
+
+
+def test_deduplicated_keeps_columns_of_any_name(spark):
+    df = spark.createDataFrame([(1, prose(1, 30), 5, b"x", b"y"), (2, prose(1, 30), 6, b"x", b"y")], "doc_id long, text string, kept_id long, kept_node binary, node binary")
+    assert neardup.deduplicated(df).collect() == df.where("doc_id = 1").collect()
 
 
 def test_near_duplicates_equal_brute_force(spark):
@@ -82,15 +119,7 @@ def test_near_duplicates_equal_brute_force(spark):
                 edited[k] = "zz" + str(rng.randrange(10**6))
             texts.append(" ".join(edited))
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    group = list(range(len(texts)))
-    bags = [Counter(tuple(t.split()[i : i + 5]) for i in range(96)) for t in texts]
-    for i in range(len(texts)):
-        for j in range(i):
-            both = sum((bags[i] & bags[j]).values())
-            if both / (192 - both) >= 0.8:
-                a, b = group[i], group[j]
-                group = [min(a, b) if g in (a, b) else g for g in group]
-    assert {r.doc_id: r.group_id for r in neardup.near_duplicates(df).collect()} == dict(enumerate(group))
+    assert {r.doc_id: r.group_id for r in neardup.near_duplicates(df).collect()} == linked_groups(texts)
 
 
 def test_decontamination(spark, docs, empty):
