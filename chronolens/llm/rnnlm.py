@@ -2,8 +2,9 @@
 
 Method. The vocabulary is the most frequent words of the training documents and UNKNOWN stand-ins for all other words, chosen by a word's last two
 bytes. Such a word has the stand-in's probability times its own given the stand-in: its share of the training counts there, mixed
-with a byte-bigram spelling model of the words outside the vocabulary, whose mass for each stand-in is known exactly; so
-probabilities over all words sum to 1 (but for what the spelling model spends on words of the vocabulary). The output is factored: the
+with a spelling model of the words outside the vocabulary: each byte after the three behind it, from the word's end to its begin, so that the
+stand-in is known after two bytes and its mass exactly; so
+probabilities over all words sum to 1 (but for what the spelling model spends on words of the vocabulary and of other cases of its contexts). The output is factored: the
 probability of the word's class (words of neighbouring frequency; the stand-ins are one), then of the word in its class. Training is truncated backpropagation
 through time in numpy: the state is carried from window to window, gradients aren't. Scoring carries the state through
 each whole document, end token included.
@@ -43,6 +44,8 @@ BLOCK_TOKENS = 400_000
 SHARE, SHARD, SHARD_TOKENS = 1.0, 800, 320_000
 #: So many shards are learned from and averaged in one task.
 TASK_SHARDS = 4
+#: Lanes that a shard is read in, and updates that the first shard makes at least (every shard makes those that one pass takes).
+LANES, FIRST_UPDATES = 512, 200
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -84,48 +87,94 @@ def frequent(counts: DataFrame) -> DataFrame:
 STAND_IN = (np.arange(256)[:, None] * 31 + np.arange(256)[None]) % UNKNOWN
 
 
+#: Contexts of one, two and three bytes; of the longer ones so many are told apart by a hash.
+CONTEXTS = (256, 1 << 12, 1 << 14)
+_BEGINS = np.cumsum((0, *CONTEXTS)) * 256
+
+
+def backwards(words: list[bytes]) -> np.ndarray:
+    """The words from the last to the first, each from its last byte to its first and closed by a blank, behind three blanks."""
+    return np.frombuffer(b"   " + b" ".join(words)[::-1] + b" ", np.uint8)
+
+
+def contexts(data: np.ndarray) -> list[np.ndarray]:
+    """For each byte of data but the first three its context of one, two and three bytes behind it; blanks stand for what is before a word."""
+    data = data.astype(np.int64)
+    one = data[2:-1]
+    two = np.where(one == 32, 32, data[1:-2])
+    three = np.where(two == 32, 32, data[:-3])
+    hashed = lambda x, n: (x * 2654435761 & 0xFFFFFFFF) >> (33 - n.bit_length())
+    pair = one | two << 8
+    return [one, hashed(pair, CONTEXTS[1]), hashed(pair | three << 16, CONTEXTS[2])]
+
+
 class Spelling:
-    """Of words outside the vocabulary: pairs (256, 256) of bytes with their counts, a blank standing for begin and end; counts of the stand-ins; and how many words occur once."""
-
-    def __init__(self, pairs: np.ndarray, stand_ins: np.ndarray, once: float):
-        p = pairs + 0.01
-        p[32, 32] = 0  # no word is empty
-        p[:, [9, 10, 11, 12, 13]] = 1e-12
-        p /= p.sum(1, keepdims=True)
-        self.log, self.counts = np.log(np.maximum(p, 1e-300)), stand_ins
+    """Of words outside the vocabulary: counts (contexts, 256) of bytes for each length of context, each distinct word once; counts of the stand-ins;
+    and how many words occur once. Lengths are mixed by how many bytes follow a context (Witten and Bell's estimate)."""
+
+    def __init__(self, counts: list[np.ndarray], stand_ins: np.ndarray, once: float):
+        self.counts = stand_ins
         #: of the tokens outside the vocabulary, the share that was seen in training (Good and Turing's estimate)
         self.seen = float(np.clip(1 - once / max(1.0, stand_ins.sum()), 0.05, 0.99))
-        inner = p.copy()
-        inner[32], inner[:, 32] = 0, 0
-        visits = np.linalg.solve(np.eye(256) - inner.T, np.where(np.arange(256) == 32, 0, p[32]))
-        visits[32] = 1
-        ends = visits[:, None] * p * p[:, 32][None]
-        ends[:, 32] = 0
-        self.mass = np.bincount(STAND_IN.ravel(), ends.ravel(), UNKNOWN)
+        p = counts[0].sum(0) + 0.05
+        p[[9, 10, 11, 12, 13]] = 1e-12
+        self.flat = (p / p.sum()).astype(np.float32)
+        self.own, self.less = [], []
+        for n in counts:
+            kinds = np.maximum(1.0, (n > 0).sum(1))
+            whole = n.sum(1) + kinds
+            self.own.append((n / whole[:, None]).astype(np.float32).ravel())
+            self.less.append((kinds / whole).astype(np.float32))
+        pair = np.arange(65_536)  # last byte b, the one before it a (or a blank)
+        b, a = pair >> 8, pair & 255
+        blank = np.full_like(b, 32)
+        ending = self.probabilities(np.stack([blank, blank, blank, b], 1).ravel().astype(np.uint8))[::4]
+        more = self.probabilities(np.stack([blank, blank, b, a], 1).ravel().astype(np.uint8))[::4]
+        mass = np.where(b == 32, 0.0, ending.astype(float) * more)
+        self.mass = np.bincount(STAND_IN[a, b], mass, UNKNOWN)
+
+    def probabilities(self, data: np.ndarray) -> np.ndarray:
+        """Of each byte of data but the first three."""
+        byte = data[3:].astype(np.int64)
+        p = self.flat[byte]
+        for context, own, less in zip(contexts(data), self.own, self.less):
+            p = own[context << 8 | byte] + less[context] * p
+        return p
+
+    def log(self, words: list[bytes]) -> np.ndarray:
+        """Natural logs of the words' probabilities."""
+        if not words:
+            return np.zeros(0)
+        data = backwards(words)
+        along = np.cumsum(np.log(np.maximum(self.probabilities(data), 1e-30)), dtype=float)
+        return np.diff(along[np.flatnonzero(data[3:] == 32)], prepend=0.0)[::-1]
 
 
 def spelling(counts: DataFrame, known: set[bytes]) -> Spelling:
     """From the counts of all words but those in `known`."""
+    size = int(_BEGINS[-1]) + UNKNOWN + 1
 
     def run(batches):
-        total = np.zeros(65_536 + UNKNOWN + 1)
+        total = np.zeros(size)
         for b in batches:
             rows = [(w, c) for w, c in zip((x.as_py() for x in b.column(0)), b.column(1).to_pylist()) if w not in known and w != END.encode()]
             if rows:
-                data = np.frombuffer(b" " + b" ".join(w for w, _ in rows) + b" ", np.uint8).astype(np.int64)
+                data = backwards([w for w, _ in rows])
+                byte = data[3:].astype(np.int64)
+                for begin, context in zip(_BEGINS, contexts(data)):
+                    total[begin:] += np.bincount(context << 8 | byte, minlength=size - begin)
                 each = np.array([c for _, c in rows])
-                sizes = np.array([len(w) for w, _ in rows])
-                last = np.cumsum(sizes + 1) - 1
-                total[:65_536] += np.bincount(data[:-1] << 8 | data[1:], np.repeat(each, sizes + 1)[: len(data) - 1], 65_536)
-                total[65_536:-1] += np.bincount(STAND_IN[data[last - 1], data[last]], each, UNKNOWN)
+                last = np.array([w[-1] for w, _ in rows])
+                prior = np.array([w[-2] if len(w) > 1 else 32 for w, _ in rows])
+                total[_BEGINS[-1] : -1] += np.bincount(STAND_IN[prior, last], each, UNKNOWN)
                 total[-1] += (each == 1).sum()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at], pa.float64())], names=["place", "n"])
 
-    n = np.zeros(65_536 + UNKNOWN + 1)
-    for r in counts.select("word", "c").mapInArrow(run, "place int, n double").groupBy("place").agg(F.sum("n").alias("n")).collect():  # 65,601 rows at most
-        n[r.place] += r.n
-    return Spelling(n[:65_536].reshape(256, 256), n[65_536:-1], n[-1])
+    n = np.zeros(size)
+    found = counts.select("word", "c").mapInArrow(run, "place int, n double").groupBy("place").agg(F.sum("n").alias("n")).toArrow()  # `size` rows of 12 bytes at most
+    n[found["place"].to_numpy()] = found["n"].to_numpy()
+    return Spelling([n[i:j].reshape(-1, 256) for i, j in zip(_BEGINS, _BEGINS[1:])], n[_BEGINS[-1] : -1], n[-1])
 
 
 class GatedLm:
@@ -210,55 +259,75 @@ class GatedLm:
         return out
 
     def gradients(self, ids: np.ndarray, before: np.ndarray, state: np.ndarray) -> tuple[dict, np.ndarray, float]:
-        """Of one window: ids and before (steps, lanes), state (lanes, hidden). Also the state after it and the mean loss."""
+        """Of one window: ids and before (steps, lanes), state (lanes, hidden). Also the state after it and the mean loss.
+
+        Behind an end token the state is zero, within a window too, as it is where a text begins in score()."""
         w, h, (steps, lanes) = self.w, self.h, ids.shape
-        held, states = [], []
+        n, kind_of = ids.size, w["x"].dtype
+        x, live = w["x"][before], (before != UNKNOWN).astype(kind_of)[:, :, None]
+        held, states = [], np.empty((steps, lanes, h), kind_of)
         for t in range(steps):
-            new, z, r, cand = self.step(w["x"][before[t]], state)
+            state = state * live[t]
+            states[t], z, r, cand = self.step(x[t], state)
             held.append((state, z, r, cand))
-            states.append(new)
-            state = new
-        s, flat = np.concatenate(states), ids.ravel()
-        kind, place, rows = flat // CLASS, flat % CLASS, np.arange(len(flat))
-        pc = s @ w["oc"] + w["bc"]
-        pc = np.exp(pc - pc.max(1, keepdims=True))
-        pc /= pc.sum(1, keepdims=True)
-        loss = -np.log(pc[rows, kind] + 1e-12)
-        pc[rows, kind] -= 1
-        pc /= len(flat)
+            state = states[t]
+        flat, s = ids.ravel(), states.reshape(n, h)
+        kind, place = np.divmod(flat, CLASS)
         g = {k: np.zeros_like(v) for k, v in w.items()}
-        g["oc"], g["bc"] = s.T @ pc, pc.sum(0)
-        top = pc @ w["oc"].T
-        order = np.argsort(kind, kind="stable")
-        found, begins = np.unique(kind[order], return_index=True)
-        for k, part in zip(found.tolist(), np.split(order, begins[1:])):  # class by class, so that no row copies its class's weights
-            own, at = s[part], np.arange(len(part))
-            pw = own @ w["ow"][k] + w["bw"][k]
-            pw = np.exp(pw - pw.max(1, keepdims=True))
-            pw /= pw.sum(1, keepdims=True)
-            loss[part] -= np.log(pw[at, place[part]] + 1e-12)
-            pw[at, place[part]] -= 1
-            pw /= len(flat)
-            g["ow"][k], g["bw"][k] = own.T @ pw, pw.sum(0)
-            top[part] += pw @ w["ow"][k].T
+        top, loss = np.empty((n, h), kind_of), 0.0
+        for lo in range(0, n, 4096):  # so that what is worked on stays in the processor's cache
+            part, rows = slice(lo, lo + 4096), np.arange(min(4096, n - lo))
+            p = s[part] @ w["oc"]
+            p += w["bc"]
+            loss -= float(p[rows, kind[part]].sum())
+            np.exp(p, out=p)
+            sums = p.sum(1)
+            loss += float(np.log(sums).sum())
+            p *= (1 / (sums * n))[:, None]
+            p[rows, kind[part]] -= kind_of.type(1 / n)
+            g["oc"] += s[part].T @ p
+            g["bc"] += p.sum(0)
+            np.matmul(p, w["oc"].T, out=top[part])
+        order = np.argsort(kind.astype(np.int16), kind="stable")  # class by class, so that no row copies its class's weights
+        own, place = s[order], place[order]
+        below = np.empty_like(top)
+        edges = np.searchsorted(kind[order], np.arange(self.classes + 1)).tolist()
+        for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+            if lo < hi:
+                p, at = own[lo:hi] @ w["ow"][k], np.arange(hi - lo)
+                p += w["bw"][k]
+                loss -= float(p[at, place[lo:hi]].sum())
+                np.exp(p, out=p)
+                sums = p.sum(1)
+                loss += float(np.log(sums).sum())
+                p *= (1 / (sums * n))[:, None]
+                p[at, place[lo:hi]] -= kind_of.type(1 / n)
+                g["ow"][k], g["bw"][k] = own[lo:hi].T @ p, p.sum(0)
+                np.matmul(p, w["ow"][k].T, out=below[lo:hi])
+        top[order] += below
         top = top.reshape(steps, lanes, h)
-        back, inputs = np.zeros((lanes, h), np.float32), np.empty((steps, lanes, 3 * h), w["x"].dtype)
+        back, inputs = np.zeros((lanes, h), kind_of), np.empty((steps, lanes, 3 * h), kind_of)
         for t in reversed(range(steps)):
             prior, z, r, cand = held[t]
             d = back + top[t]
-            dc = d * (1 - z) * (1 - cand * cand)
-            dz = d * (prior - cand) * z * (1 - z)
+            dz = d * z
+            dc = inputs[t, :, 2 * h :]
+            np.multiply(d - dz, 1 - cand * cand, out=dc)
             through = dc @ w["c"].T
-            dr = through * prior * r * (1 - r)
-            gates = np.concatenate([dz, dr], 1)
-            g["c"] += (r * prior).T @ dc
+            carried = r * prior
+            gates = inputs[t, :, : 2 * h]
+            np.multiply(dz * (1 - z), prior - cand, out=gates[:, :h])
+            np.multiply(through * carried, 1 - r, out=gates[:, h:])
+            g["c"] += carried.T @ dc
             g["zr"] += prior.T @ gates
-            inputs[t] = np.concatenate([gates, dc], 1)
-            back = d * z + through * r + gates @ w["zr"].T
-        order = np.argsort(before, axis=None, kind="stable")
+            through *= r
+            back = dz + through
+            back += gates @ w["zr"].T
+            back *= live[t]
+        order = np.argsort(before.ravel().astype(np.int16), kind="stable")
         words, begins = np.unique(before.ravel()[order], return_index=True)
         g["x"][words] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], begins)
-        return g, state, float(loss.mean())
+        return g, state, loss / n
 
     def train(self, stream: np.ndarray, end: int, lanes: int = 64, window: int = 16, updates: int = 500, rate: float = 0.04) -> GatedLm:
         """stream: ids of texts in a row, each closed by the end. Lanes read on from window to window with their state, reset at a text's begin.
@@ -277,7 +346,6 @@ class GatedLm:
             stop = min(at + window, span)
             ids = grid[:, at:stop].T
             before = np.concatenate([grid[:, at - 1 : at].T if at else np.full((1, lanes), end), ids[:-1]])
-            state = np.where((before[0] == end)[:, None], np.float32(0), state)
             g, state, _ = self.gradients(ids, before, state)
             norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
             for k, x in g.items():  # in place: m += 0.1 * (x - m), v += 0.01 * (x * x - v), w -= rate * m / (sqrt(v) + 1e-6), m and v corrected for their start
@@ -298,7 +366,6 @@ class GatedLm:
             at = stop
         return self
 
-
     def packed(self) -> bytes:
         return b"".join(self.w[k].tobytes() for k in sorted(self.w))
 
@@ -352,7 +419,7 @@ def trained(train: DataFrame, model: GatedLm, names: dict[bytes, int], share: fl
             total, read = 0.0, 0
             for _, own in rows.sort_values(["place", "ids"]).groupby("shard"):
                 ids = np.frombuffer(b"".join(own["ids"]), np.uint16).astype(np.int64)
-                weights = GatedLm(np.ones(model.n), model.h).unpacked(start).train(ids, UNKNOWN, updates=updates, rate=rate).packed()
+                weights = GatedLm(np.ones(model.n), model.h).unpacked(start).train(ids, UNKNOWN, lanes=LANES, updates=updates, rate=rate).packed()
                 total, read = total + len(ids) * np.frombuffer(weights, np.float32).astype(float), read + len(ids)
             return pd.DataFrame({"shard": [rows["task"].iloc[0]], "tokens": [read], "weights": [(total / read).astype(np.float32).tobytes()]})
 
@@ -365,10 +432,10 @@ def trained(train: DataFrame, model: GatedLm, names: dict[bytes, int], share: fl
         return pd.DataFrame({"shard": [int(rows["shard"].iloc[0]) // 16], "tokens": [int(rows["tokens"].sum())], "weights": [total.astype(np.float32).tobytes()]})
 
     least = texts.agg(F.min("shard")).first()[0]
-    first = texts.where(F.col("shard") == least).groupBy("task").applyInPandas(learn(model.packed(), 500, 0.04), kind).first()
+    first = texts.where(F.col("shard") == least).groupBy("task").applyInPandas(learn(model.packed(), FIRST_UPDATES, 0.04), kind).first()
     if shards > 1:
         tasks = -(-shards // TASK_SHARDS)
-        dealt = texts.repartition(tasks, "task").groupBy("task").applyInPandas(learn(bytes(first.weights), 150, 0.01), kind)
+        dealt = texts.repartition(tasks, "task").groupBy("task").applyInPandas(learn(bytes(first.weights), 0, 0.01), kind)
         parts = staged(dealt, "lm-weights")
         while tasks > 1:
             parts = parts.groupBy(F.floor(F.col("shard") / 16)).applyInPandas(mean, kind)
@@ -421,7 +488,6 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
         to_id = np.array([*(names.get(w, -1) for w in sorted(place, key=place.get)), -1], np.int64)
         counted = np.append(c, 0)
         base_end, known_end = (float(in_base[place[end]]), 1) if end in place else (float(-1 - log_all), 0)
-        flat = spelled.log.ravel()
         per_count = spelled.seen / np.maximum(1, spelled.counts)
         log_mass = np.log10(1 - spelled.seen) - np.log10(np.maximum(spelled.mass, 1e-300))
 
@@ -435,19 +501,15 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
             for i in rare:
                 at[i] = -1
             at = np.array(at, np.int64)
-            data = np.frombuffer(b" " + b" ".join(joined) + b" ", np.uint8).astype(np.int32)
-            along = np.concatenate([[0.0], np.cumsum(flat[data[:-1] << 8 | data[1:]])])
-            blanks = np.flatnonzero(data == 32)
-            spell = along[blanks[1:]] - along[blanks[:-1]] if len(joined) else np.zeros(0)
             ids = to_id[at] if len(at) else np.zeros(0, np.int64)
             edges = np.concatenate([[0], np.cumsum(sizes)])
             outside = np.flatnonzero(ids < 0)
-            last = blanks[1:][outside] - 1
-            kind = STAND_IN[data[last - 1], data[last]]
+            others = [joined[i] for i in outside.tolist()]
+            kind = np.array([STAND_IN[w[-2] if len(w) > 1 else 32, w[-1]] for w in others], np.int64)
             ids[outside] = kind
             found = model.score([np.append(ids[i:j], UNKNOWN) for i, j in zip(edges, edges[1:])], UNKNOWN)
             # of a word outside the vocabulary: log10(count * share + 10 ** spelled), the count of a rare one being joined later
-            share, spelt = per_count[kind], spell[outside] / np.log(10) + log_mass[kind]
+            share, spelt = per_count[kind], spelled.log(others) / np.log(10) + log_mass[kind]
             own = np.zeros(len(ids))
             own[outside] = np.where(at[outside] >= 0, np.log10(counted[at[outside]] * share + 10.0**spelt + 1e-300), 0.0)
             shares, spells = np.zeros(len(ids)), np.zeros(len(ids))

@@ -414,3 +414,56 @@ def test_language_id_learns_rare_languages(spark):
     rows = [(i, prose(i, 12), "aa") for i in range(1500)] + [(5000 + i, f"{chr(0x430 + i) * 9} {chr(0x430 + i) * 5}", f"r{i}") for i in range(8)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     assert langid.fit(df, F.lit(True), limit=100).languages == ["aa", *(f"r{i}" for i in range(8))]
+
+
+def test_language_model_gradients():
+    """Truncated backpropagation against differences, with texts that begin and end inside the window."""
+    rng = np.random.default_rng(2)
+    model = rnnlm.GatedLm(np.arange(200.0))
+    model.w = {k: v.astype(float) + (0 if k in ("bw", "bc") else rng.normal(0, 0.3, v.shape)) for k, v in model.w.items()}
+    ids, state = rng.integers(0, 200, (7, 5)), rng.normal(size=(5, model.h))
+    before = np.concatenate([np.full((1, 5), rnnlm.UNKNOWN), ids[:-1]])
+    before[3, 2], before[0, 1] = rnnlm.UNKNOWN, 5
+    grad = model.gradients(ids, before, state)[0]
+    for name, w in model.w.items():
+        at, losses = np.unravel_index(np.argmax(np.abs(grad[name])), w.shape), []
+        base = w[at]
+        for e in (1e-5, -1e-5):
+            w[at] = base + e
+            losses.append(model.gradients(ids, before, state)[2])
+        w[at] = base
+        assert (losses[0] - losses[1]) / 2e-5 == pytest.approx(grad[name][at], rel=1e-4)
+
+
+def test_language_model_trains_as_it_scores():
+    """The loss of a window over several texts is that of the texts scored one by one: states start anew behind an end."""
+    model, end = rnnlm.GatedLm(np.arange(100.0)), rnnlm.UNKNOWN
+    texts = [np.array([3, 70, 8, end]), np.array([end]), np.array([5, 90, end])]
+    stream = np.concatenate(texts)
+    loss = model.gradients(stream[:, None], np.concatenate([[end], stream[:-1]])[:, None], np.ones((1, model.h), np.float32))[2]
+    assert -loss * len(stream) == pytest.approx(sum(s.sum() for s in model.score(texts, end)), rel=1e-4)
+
+
+def test_spelling_is_a_distribution():
+    """Over all bytes after any context the probabilities sum to 1, and a word's are those of its bytes, from its end, one by one."""
+    words = [f"{w}{i}".encode() for i, w in enumerate(WORDS * 4)]
+    data = rnnlm.backwards(words)
+    byte = data[3:].astype(np.int64)
+    counts = [np.bincount(c << 8 | byte, minlength=n * 256).reshape(n, 256).astype(float) for c, n in zip(rnnlm.contexts(data), rnnlm.CONTEXTS)]
+    model = rnnlm.Spelling(counts, np.ones(rnnlm.UNKNOWN), 3)
+    for context in (b"   ", b"  r", b" 7s", b"xyz"):
+        every = np.frombuffer(b"".join(context + bytes([b]) for b in range(256)), np.uint8)
+        assert model.probabilities(every)[::4].sum() == pytest.approx(1, abs=1e-3)
+    one = lambda w: sum(math.log(model.probabilities(np.frombuffer((b"   " + w[::-1] + b" ")[i : i + 4], np.uint8))[0]) for i in range(len(w) + 1))
+    assert model.log([b"stone7", b"x", b"rivers"]) == pytest.approx([one(b"stone7"), one(b"x"), one(b"rivers")], rel=1e-4)
+
+
+def test_language_model_beats_the_base_on_held_out_documents(spark):
+    from chronolens.llm import registry
+
+    got = registry.QUERIES["op5_recurrent_lm"](spark, "/root/testdata/sf0.01").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id").toPandas()
+    assert sorted(got.doc_id) == sorted(docs.doc_id)
+    assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 10 == 0)).all()
+    for _, rows in got.groupby("held_out"):
+        assert (rows.score.sum() - rows.base_score.sum()) / rows.n_tokens.sum() > 0.1
