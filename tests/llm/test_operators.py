@@ -467,3 +467,68 @@ def test_language_model_beats_the_base_on_held_out_documents(spark):
     assert (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 10 == 0)).all()
     for _, rows in got.groupby("held_out"):
         assert (rows.score.sum() - rows.base_score.sum()) / rows.n_tokens.sum() > 0.1
+
+
+def best_windows(texts, items, threshold=0.8):
+    """(doc, item): best similarity of a window of as many words as the item, by brute force over all windows."""
+    grams = lambda w: Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)])
+    out = {}
+    for d, t in texts.items():
+        for i, item in items.items():
+            w, x = t.split(), item.split()
+            run = lambda s: w[s : s + len(x)]  # noqa: E731, B023
+            for s in range(max(1, len(w) - len(x) + 1)):
+                a, b = grams(run(s)), grams(x)
+                both = (a & b).total()
+                value = both / (a.total() + b.total() - both)
+                if value >= threshold and value > out.get((d, i), 0):
+                    out[d, i] = value
+    return out
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_decontamination_loses_no_window(spark, monkeypatch, broadcast):
+    """Items moved about, cut, repeated, edited and mixed, against brute force; many items of one size share most of their words."""
+    if not broadcast:
+        monkeypatch.setattr(decontamination, "BROADCAST_ROWS", -1)
+    rng = random.Random(31)
+    base = prose(600, 60)
+    items = {0: base, 1: prose(601, 60), 2: prose(602, 14), 3: "one two three", 4: prose(603, 9), 5: " ".join(["again"] * 30), 6: prose(604, 55)}
+    for k in range(10, 40):  # boilerplate that all of these have in common
+        items[k] = " ".join([*base.split()[:30], *prose(700 + k, 30).split()])
+    texts, around = {}, lambda k: prose(900 + k, 40)
+    halves = base.split()
+    texts[0] = " ".join([around(0), *halves[30:], *halves[:30], around(1)])
+    texts[1] = " ".join([*halves[30:], *halves[:30]])
+    texts[2] = base
+    texts[3] = " ".join(["again"] * 27)
+    texts[4] = " ".join([around(2), *["again"] * 80, "one two three", around(3)])
+    texts[5] = " ".join(halves[:50])
+    for k in range(6, 70):
+        item = items[rng.choice([0, 1, 2, 4, 6, 12, 13])].split()
+        for _ in range(rng.randrange(4)):
+            at, how = rng.randrange(len(item)), rng.randrange(5)
+            if how == 0:
+                item[at] = "zz"
+            elif how == 1:
+                item.insert(at, "zz")
+            elif how == 2:
+                del item[at]
+            elif how == 3:
+                item = item[at:] + item[:at]
+            else:
+                item = item[:at] + item[max(0, at - 6) :]
+        texts[k] = " ".join([around(k), *item, around(k + 100)])
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    table = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    want = best_windows(texts, items)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontamination.contaminated(docs, table).collect()}
+    assert got == pytest.approx(want) and (0, 0) in want and (1, 0) in want and (3, 5) in want and len(want) > 30
+
+
+def test_decontamination_with_clashing_names_and_ties(spark):
+    item = prose(99, 30)
+    df = spark.createDataFrame([(1, f"{item} x {item}", 5, 6, 7), (2, prose(3, 40), 5, 6, 7)], "doc_id long, text string, bad_id long, bad_key long, item_id long")
+    items = spark.createDataFrame([(1, item, 9)], "item_id long, text string, doc_id long")
+    assert decontamination.decontaminate(df, items).collect() == df.where("doc_id = 2").collect()
+    assert [(r.doc_id, r.item_id, r.start) for r in decontamination.contaminated(df, items).collect()] == [(1, 1, 0)]
