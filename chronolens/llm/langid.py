@@ -1,12 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes.
 
-Method. A text's bytes, whole, go in windows of `window` bytes through two gated recurrent layers, one from the left and one from
-the right; from both states together every position gets a probability of each language, and a document's probabilities
-are the means over its positions. The network is trained in numpy by backpropagation through time over all steps of a window,
-each position being taught its document's language.
+Method. A text's bytes, whole, go through two gated recurrent layers, one from the left and one from the right; from both states
+together every position gets a probability of each language, and a document's probabilities are the means over its
+positions. The states are carried from the text's first byte to its last, and from its last to its first, and start at zero there. Many texts
+of about one length are read in step. Of a text longer than WINDOW bytes its windows are, each with WARM bytes more on either side that are read
+but not counted: behind so many the states are those of the whole text but for rounding. The network is trained in numpy by backpropagation
+through time over all steps of a piece of text, each position being taught its document's language.
 
-Learning uses windows of a bounded sample: of each language of the training rows limit / languages documents, LEAST if that is fewer (those of the
-smallest hashes; all of a language with fewer). Without any, every text is `und` with score 0.
+Learning uses whole texts of a bounded sample: of each language of the training rows limit / languages documents, LEAST if that is fewer (those of the
+smallest hashes; all of a language with fewer). A text is cut into pieces of 16, 32, 64 or 128 bytes, so that short texts are known too, and every
+piece is taught once at least. Without any such row, every text is `und` with score 0.
 
 Nulls: a text that is null or holds no letter is `und` with score 0. Repeated rows get a row each. Empty tables give
 empty results; other columns are ignored.
@@ -15,87 +18,87 @@ empty results; other columns are ignored.
 from __future__ import annotations
 
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Documents sampled of each language at least.
 LEAST = 50
+#: Bytes of a window and those read before and behind it, and bytes whose states are held at once.
+WINDOW, WARM, GROUP = 4_096, 256, 2_000_000
+#: Sizes of the pieces that texts are cut into for learning.
+PIECES = (16, 32, 64, 128)
 
 
 class ByteBiGru:
     """Arrays are laid out feature by feature, sequences along the last axis. Gates: update z, reset r, candidate c."""
 
-    def __init__(self, languages: list[str], hidden: int = 8, window: int = 128, seed: int = 7):
-        self.languages, self.hidden, self.window = languages, hidden, window
+    def __init__(self, languages: list[str], hidden: int = 8, seed: int = 7):
+        self.languages, self.hidden = languages, hidden
         rng, h, k = np.random.default_rng(seed), hidden, len(languages)
         self.w = {"out": rng.normal(0, 0.3, (k, 2 * h)), "bias": np.zeros((k, 1))}
         for d in "fb":
             self.w |= {f"{d}x": rng.normal(0, 0.3, (3 * h, 256)), f"{d}zr": rng.normal(0, 0.3, (2 * h, h)), f"{d}c": rng.normal(0, 0.3, (h, h))}
         self.w = {name: v.astype(np.float32) for name, v in self.w.items()}
 
-    def _states(self, data: np.ndarray, d: str, keep: bool = False):
-        """States (steps, hidden, n) of one direction over data (steps, n); the steps from the right for d = "b". keep: also what backpropagation needs."""
-        h, (steps, n) = self.hidden, data.shape
-        half = np.float32(0.5)
+    def _reader(self, d: str):
+        """A function (bytes (n), state (h, n), out (h, n) or None) that gives the next state of one direction (in out), and its z, r and candidate."""
+        h, half = self.hidden, np.float32(0.5)
         table = np.concatenate([self.w[d + "x"][: 2 * h] * half, self.w[d + "x"][2 * h :]])  # sigmoid(x) = (1 + tanh(x / 2)) / 2
         zr, c = self.w[d + "zr"] * half, self.w[d + "c"]
-        out = np.empty((steps, h, n), np.float32)
-        state, held = np.zeros((h, n), np.float32), []
-        gates, cand, x = np.empty((2 * h, n), np.float32), np.empty((h, n), np.float32), np.empty((3 * h, n), np.float32)
-        for t in range(steps) if d == "f" else range(steps - 1, -1, -1):
-            np.take(table, data[t], axis=1, out=x, mode="clip")
-            np.matmul(zr, state, out=gates)
+
+        def step(data, state, out=None):
+            x = np.take(table, data, axis=1, mode="clip")
+            gates = np.matmul(zr, state)
             gates += x[: 2 * h]
             np.tanh(gates, out=gates)
             gates *= half
             gates += half
             z, r = gates[:h], gates[h:]
-            np.matmul(c, r * state, out=cand)
+            cand = np.matmul(c, r * state)
             cand += x[2 * h :]
             np.tanh(cand, out=cand)
-            if keep:
-                held.append((t, state, z.copy(), r.copy(), cand.copy()))
-            new = out[t]
-            np.subtract(state, cand, out=new)
+            new = np.subtract(state, cand, out=out)
             new *= z
             new += cand
-            state = new
-        return (out, held) if keep else out
-
-    def probabilities(self, data: np.ndarray) -> np.ndarray:
-        """(languages, steps * n) for data (steps, n)."""
-        h, out = self.hidden, self.w["out"]
-        logits = np.matmul(out[:, :h], self._states(data, "f")) + np.matmul(out[:, h:], self._states(data, "b"))
-        logits += self.w["bias"]
-        logits -= logits.max(1, keepdims=True)
-        np.exp(logits, out=logits)
-        logits /= logits.sum(1, keepdims=True)
-        return logits  # (steps, languages, n)
-
-    def gradients(self, data: np.ndarray, label: np.ndarray) -> tuple[float, dict]:
+            return new, z, r, cand
+
+        return step
+
+    def gradients(self, data: np.ndarray, label: np.ndarray, real: np.ndarray | None = None) -> tuple[float, dict]:
+        """data (steps, n), label (n), real (steps, n): false where a text has ended, which is neither read from the right nor taught."""
         h, (steps, n) = self.hidden, data.shape
-        states = {d: self._states(data, d, keep=True) for d in "fb"}
-        both = np.concatenate([states["f"][0], states["b"][0]], 1)
+        kind = self.w["out"].dtype
+        live = np.ones((steps, n), kind) if real is None else real.astype(kind)
+        taught = live.sum()
+        held, both = {"f": [], "b": []}, np.empty((steps, 2 * h, n), kind)
+        for d, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
+            step, state = self._reader(d), np.zeros((h, n), kind)
+            for t in order:
+                new, z, r, cand = step(data[t], state)
+                held[d].append((t, state, z, r, cand))
+                state = new * live[t] if d == "b" else new
+                both[t, slice(0, h) if d == "f" else slice(h, None)] = state
         logits = np.matmul(self.w["out"], both) + self.w["bias"]
         p = np.exp(logits - logits.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
-        loss = float(-np.log(p[:, label, np.arange(n)] + 1e-9).mean())
+        loss = float(-(np.log(p[:, label, np.arange(n)] + 1e-9) * live).sum() / taught)
         p[:, label, np.arange(n)] -= 1
-        p /= steps * n
+        p *= (live / taught)[:, None]
         grad = {"out": np.einsum("tkn,thn->kh", p, both), "bias": p.sum((0, 2))[:, None]}
         top = np.matmul(self.w["out"].T, p)
         for d in "fb":
             zr, c = self.w[d + "zr"], self.w[d + "c"]
-            gx, gzr, gc = np.zeros((256, 3 * h), np.float32), np.zeros_like(zr), np.zeros_like(c)
-            back = np.zeros((h, n), np.float32)
-            for t, before, z, r, cand in reversed(states[d][1]):
+            gzr, gc, inputs = np.zeros_like(zr), np.zeros_like(c), np.empty((steps, n, 3 * h), kind)
+            back = np.zeros((h, n), kind)
+            for t, before, z, r, cand in reversed(held[d]):
                 dh = back + (top[t, :h] if d == "f" else top[t, h:])
+                if d == "b":
+                    dh = dh * live[t]
                 dc = dh * (1 - z) * (1 - cand * cand)
                 dz = dh * (before - cand) * z * (1 - z)
                 through = c.T @ dc
@@ -103,19 +106,43 @@ class ByteBiGru:
                 dgates = np.concatenate([dz, dr])
                 gc += dc @ (r * before).T
                 gzr += dgates @ before.T
-                np.add.at(gx, data[t], np.concatenate([dgates, dc]).T)
+                inputs[t, :, : 2 * h], inputs[t, :, 2 * h :] = dgates.T, dc.T
                 back = dh * z + through * r + zr.T @ dgates
+            order = np.argsort(data, axis=None, kind="stable")
+            bytes_, begins = np.unique(data.ravel()[order], return_index=True)
+            gx = np.zeros((256, 3 * h), kind)
+            gx[bytes_] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], begins)
             grad |= {d + "x": gx.T, d + "zr": gzr, d + "c": gc}
         return loss, grad
 
-    def train(self, data: np.ndarray, label: np.ndarray, steps: int = 350, batch: int = 128, span: int = 48, rate: float = 0.02, seed: int = 3) -> ByteBiGru:
-        """data (rows, at least span) bytes, label (rows): steps of Adam."""
+    def train(self, texts: list[bytes], label: np.ndarray, least: int = 350, most: int = 800, rate: float = 0.02, seed: int = 3) -> ByteBiGru:
+        """Steps of Adam over all pieces of texts (none of them empty), in passes until there were `least` steps; one pass takes about `most`, by larger steps where there is much to read."""
         rng = np.random.default_rng(seed)
+        pieces: dict[int, list] = {size: [] for size in PIECES}
+        for i, text in enumerate(texts):
+            size = PIECES[i % len(PIECES)]
+            pieces[size] += [(i, at, min(size, len(text) - at)) for at in range(0, len(text), size)]
+        step_bytes = max(8_192, sum(map(len, texts)) // most)
+        flat, begins = np.frombuffer(b"".join(texts) + bytes(max(PIECES)), np.uint8), np.cumsum([0, *map(len, texts)])
+        held = {size: np.array(found).reshape(-1, 3) for size, found in pieces.items()}
+
+        def batches():
+            while True:
+                rows = [(size, part) for size, x in held.items() if len(x) for part in np.array_split(rng.permutation(len(x)), max(1, len(x) * size // step_bytes))]
+                for k in rng.permutation(len(rows)):
+                    size, part = rows[k]
+                    of, at, n = held[size][part].T
+                    yield flat[(begins[of] + at)[None] + np.arange(size)[:, None]], label[of], np.arange(size)[:, None] < n[None]
+                yield None
+
         m, v = ({k: np.zeros_like(x) for k, x in self.w.items()} for _ in range(2))
+        one_pass = sum(max(1, len(x) * size // step_bytes) for size, x in held.items() if len(x))
+        steps, source = -(-least // one_pass) * one_pass, batches()
         for i in range(1, steps + 1):
-            rows = rng.integers(0, len(data), batch)
-            at = rng.integers(0, data.shape[1] - span + 1)
-            _, grad = self.gradients(np.ascontiguousarray(data[rows, at : at + span].T), label[rows])
+            while (batch := next(source)) is None:
+                pass
+            data, of, real = batch
+            _, grad = self.gradients(np.where(real, data, 0), of, real)
             norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
             lr = rate * min(1.0, 3 * (1 - i / (steps + 1)))
             for k, g in grad.items():
@@ -126,54 +153,78 @@ class ByteBiGru:
         return self
 
     def pool(self, texts: list[bytes]) -> np.ndarray:
-        """(texts, languages): mean probabilities over the positions of each text."""
-        size, k = self.window, len(self.languages)
-        counts = np.array([-(-len(t) // size) for t in texts])
-        total = np.zeros((len(texts), k))
-        if not counts.sum():
-            return total
-        rows = np.zeros((counts.sum(), size), np.uint8)
-        real = np.zeros((counts.sum(), size), bool)
-        owner, at = np.repeat(np.arange(len(texts)), counts), 0
-        for text, n in zip(texts, counts.tolist()):
-            flat = rows[at : at + n].reshape(-1)
-            flat[: len(text)] = np.frombuffer(text, np.uint8)
-            real[at : at + n].reshape(-1)[: len(text)] = True
-            at += n
-        p = self.probabilities(np.ascontiguousarray(rows.T))
-        sums = np.einsum("tkn,tn->nk", p, np.ascontiguousarray(real.T).astype(np.float32))
-        np.add.at(total, owner, sums)
+        """(texts, languages): mean probabilities over the positions of each text; zeros for an empty one."""
+        total = np.zeros((len(texts), len(self.languages)))
+        pieces = [(max(0, at - WARM), min(len(t), at + WINDOW + WARM), i, at) for i, t in enumerate(texts) for at in range(0, len(t), WINDOW)]
+        pieces.sort(key=lambda x: x[0] - x[1])  # so that those of about one length are read in step
+        some, size = [], 0
+        for piece in [*pieces, None]:
+            if some and (piece is None or size + piece[1] - piece[0] > GROUP):
+                owner = np.array([i for _, _, i, _ in some])
+                begin = np.array([at - a for a, _, _, at in some])
+                end = np.array([min(at + WINDOW, len(texts[i])) - a for a, _, i, at in some])
+                np.add.at(total, owner, self._in_step([texts[i][a:b] for a, b, i, _ in some], begin, end))
+                some, size = [], 0
+            if piece:
+                some.append(piece)
+                size += piece[1] - piece[0]
         return total / np.maximum(1, np.array([len(t) for t in texts]))[:, None]
 
-
-def fit(docs: DataFrame, learn_from: Column, limit: int = 2_000, sample_bytes: int = 256) -> ByteBiGru | None:
-    """docs: doc_id, text, lang; learn_from: a condition on doc_id. Of each sampled document the bytes around its middle are used."""
-    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learn_from & (F.length("text") > 0))
+    def _in_step(self, texts: list[bytes], first: np.ndarray, stop: np.ndarray) -> np.ndarray:
+        """Sums of the probabilities at positions first to stop - 1 of texts that get shorter and shorter: byte t of all texts that have one is one step."""
+        h, k, out = self.hidden, len(self.languages), self.w["out"]
+        length = np.array([len(t) for t in texts])
+        steps = int(length[0])
+        active = len(texts) - np.searchsorted(length[::-1], np.arange(steps), "right")  # texts longer than t
+        begins = np.concatenate([[0], np.cumsum(active)])
+        owner = np.arange(begins[-1]) - np.repeat(begins[:-1], active)
+        counted = np.repeat(np.arange(steps), active)
+        counted = (counted >= first[owner]) & (counted < stop[owner])
+        data = np.empty(begins[-1], np.uint8)
+        for i, text in enumerate(texts):
+            data[begins[: len(text)] + i] = np.frombuffer(text, np.uint8)
+        begins, active = begins.tolist(), active.tolist()
+        states = {}
+        for d, order in (("f", range(steps)), ("b", range(steps - 1, -1, -1))):
+            step, held, state = self._reader(d), np.empty((h, len(data)), np.float32), np.zeros((h, len(texts)), np.float32)
+            for t in order:  # from the right, a text that ends here comes in with the state zero
+                a, b, n = begins[t], begins[t + 1], active[t]
+                state[:, :n] = step(data[a:b], state[:, :n], held[:, a:b])[0]
+            states[d] = held
+        total = np.zeros((k, len(texts)))
+        for a in range(0, len(data), 65_536):
+            part = slice(a, a + 65_536)
+            logits = out[:, :h] @ states["f"][:, part]
+            logits += out[:, h:] @ states["b"][:, part]
+            logits += self.w["bias"]
+            logits -= logits.max(0)
+            np.exp(logits, out=logits)
+            logits *= counted[part] / logits.sum(0)
+            for j in range(k):
+                total[j] += np.bincount(owner[part], logits[j], len(texts))
+        return total.T
+
+
+def fit(docs: DataFrame, learn_from: Column, limit: int = 2_000) -> ByteBiGru | None:
+    """docs: doc_id, text, lang; learn_from: a condition on doc_id. `limit` whole texts (LEAST of each language, if those are more) come to the driver, where the network learns."""
+    rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learn_from & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
     sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
     if not sizes:
         return None
     each = max(LEAST, limit // len(sizes))
-    # repeated rows count once; twice as many as wanted pass by their hashes; the smallest of these are taken here
+    # repeated rows count once; about twice as many as wanted pass by their hashes, of which each language's smallest are taken
     below = docs.sparkSession.createDataFrame([(lang, min(1.0, 2 * each / n)) for lang, n in sizes.items()], "lang string, passing double")
-    data = F.encode(F.col("text"), "UTF-8")
-    part = F.substring(data, F.greatest(F.lit(1), (F.octet_length(data) / 2).cast("int") - sample_bytes // 2), F.lit(sample_bytes))
     hashed = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(below), "lang").where(F.pmod("h", F.lit(1_000_000_007)) <= F.col("passing") * 1_000_000_007)
-    ranked = sorted(hashed.select("h", "doc_id", "lang", part.alias("part")).distinct().collect(), key=lambda r: (r.h % 1_000_000_007, r.doc_id, bytes(r.part)))
-    some, taken = [], Counter()
-    for r in ranked:
-        taken[r.lang] += 1
-        if taken[r.lang] <= each:
-            some.append(r)
-    some.sort(key=lambda r: (r.doc_id, r.lang, bytes(r.part)))
-    some = [(r.lang, bytes(r.part)) for r in some if LETTER.search(bytes(r.part).decode("utf-8", "ignore"))]
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000_007)), "doc_id"))
+    some = hashed.dropDuplicates(["h", "lang"]).withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "doc_id", F.encode("text", "UTF-8").alias("text")).collect()
+    some = sorted((r.doc_id, r.lang, bytes(r.text)) for r in some if LETTER.search(bytes(r.text).decode("utf-8", "ignore")))
     if not some:
         return None
-    languages = sorted({lang for lang, _ in some})
-    held = np.stack([np.frombuffer((p * (sample_bytes // len(p) + 1))[:sample_bytes], np.uint8) for _, p in some])
-    return ByteBiGru(languages).train(held, np.array([languages.index(lang) for lang, _ in some]))
+    languages = sorted({lang for _, lang, _ in some})
+    return ByteBiGru(languages).train([text for _, _, text in some], np.array([languages.index(lang) for _, lang, _ in some]))
 
 
-def identified(docs: DataFrame, model: ByteBiGru | None, columns: list[str], block_bytes: int = 500_000) -> DataFrame:
+def identified(docs: DataFrame, model: ByteBiGru | None, columns: list[str], block_bytes: int = 16_000_000) -> DataFrame:
     """columns of docs, lang_pred and score (the pooled probability of lang_pred)."""
     held = docs.select(*columns, F.col("text").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.drop("__text").schema)
