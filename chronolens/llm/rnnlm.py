@@ -5,7 +5,7 @@ bytes. Such a word has the stand-in's probability times its own given the stand-
 with a spelling model of the words outside the vocabulary: each byte after the three behind it, from the word's end to its begin, so that the
 stand-in is known after two bytes and its mass exactly; so
 probabilities over all words sum to 1 (but for what the spelling model spends on words of the vocabulary and of other cases of its contexts). The output is factored: the
-probability of the word's class (words of neighbouring frequency; the stand-ins are one), then of the word in its class. Training is truncated backpropagation
+probability of the word's class (words of neighbouring frequency; the stand-ins are the first ones), then of the word in its class. Training is truncated backpropagation
 through time in numpy: the state is carried from window to window, gradients aren't. Scoring carries the state through
 each whole document, end token included.
 
@@ -38,14 +38,14 @@ from .common import fresh_path, staged
 
 #: The end token is held as a string that no word can be.
 END = "\n"
-HOT, VOCABULARY, CLASS, UNKNOWN = 300_000, 6_144, 64, 64
-BLOCK_TOKENS = 400_000
+HOT, VOCABULARY, CLASS, UNKNOWN = 300_000, 2_048, 32, 64
+BLOCK_TOKENS = 200_000
 #: The share of the training documents that the network learns from, and documents and tokens of a shard.
 SHARE, SHARD, SHARD_TOKENS = 1.0, 800, 320_000
 #: So many shards are learned from and averaged in one task.
 TASK_SHARDS = 4
 #: Lanes that a shard is read in, and updates that the first shard makes at least (every shard makes those that one pass takes).
-LANES, FIRST_UPDATES = 512, 200
+LANES, FIRST_UPDATES = 1_024, 120
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -271,40 +271,41 @@ class GatedLm:
             states[t], z, r, cand = self.step(x[t], state)
             held.append((state, z, r, cand))
             state = states[t]
-        flat, s = ids.ravel(), states.reshape(n, h)
+        flat, s = ids.ravel(), np.concatenate([states.reshape(n, h), np.ones((n, 1), kind_of)], 1)  # so that biases are one more row of the weights
         kind, place = np.divmod(flat, CLASS)
         g = {k: np.zeros_like(v) for k, v in w.items()}
         top, loss = np.empty((n, h), kind_of), 0.0
+        classes, turned = np.concatenate([w["oc"], w["bc"][None]]), np.ascontiguousarray(w["oc"].T)
+        words, into = np.concatenate([w["ow"], w["bw"][:, None]], 1), np.ascontiguousarray(w["ow"].transpose(0, 2, 1))
+        of_classes, of_words = np.zeros_like(classes), np.zeros_like(words)
         for lo in range(0, n, 4096):  # so that what is worked on stays in the processor's cache
             part, rows = slice(lo, lo + 4096), np.arange(min(4096, n - lo))
-            p = s[part] @ w["oc"]
-            p += w["bc"]
+            p = s[part] @ classes
             loss -= float(p[rows, kind[part]].sum())
             np.exp(p, out=p)
             sums = p.sum(1)
             loss += float(np.log(sums).sum())
             p *= (1 / (sums * n))[:, None]
             p[rows, kind[part]] -= kind_of.type(1 / n)
-            g["oc"] += s[part].T @ p
-            g["bc"] += p.sum(0)
-            np.matmul(p, w["oc"].T, out=top[part])
+            of_classes += s[part].T @ p
+            np.matmul(p, turned, out=top[part])
         order = np.argsort(kind.astype(np.int16), kind="stable")  # class by class, so that no row copies its class's weights
         own, place = s[order], place[order]
         below = np.empty_like(top)
         edges = np.searchsorted(kind[order], np.arange(self.classes + 1)).tolist()
         for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
             if lo < hi:
-                p, at = own[lo:hi] @ w["ow"][k], np.arange(hi - lo)
-                p += w["bw"][k]
+                p, at = own[lo:hi] @ words[k], np.arange(hi - lo)
                 loss -= float(p[at, place[lo:hi]].sum())
                 np.exp(p, out=p)
                 sums = p.sum(1)
                 loss += float(np.log(sums).sum())
                 p *= (1 / (sums * n))[:, None]
                 p[at, place[lo:hi]] -= kind_of.type(1 / n)
-                g["ow"][k], g["bw"][k] = own[lo:hi].T @ p, p.sum(0)
-                np.matmul(p, w["ow"][k].T, out=below[lo:hi])
+                of_words[k] = own[lo:hi].T @ p
+                np.matmul(p, into[k], out=below[lo:hi])
         top[order] += below
+        g["oc"], g["bc"], g["ow"], g["bw"] = of_classes[:h], of_classes[h], np.ascontiguousarray(of_words[:, :h]), of_words[:, h].copy()
         top = top.reshape(steps, lanes, h)
         back, inputs = np.zeros((lanes, h), kind_of), np.empty((steps, lanes, 3 * h), kind_of)
         for t in reversed(range(steps)):
@@ -325,8 +326,8 @@ class GatedLm:
             back += gates @ w["zr"].T
             back *= live[t]
         order = np.argsort(before.ravel().astype(np.int16), kind="stable")
-        words, begins = np.unique(before.ravel()[order], return_index=True)
-        g["x"][words] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], begins)
+        found, begins = np.unique(before.ravel()[order], return_index=True)
+        g["x"][found] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], begins)
         return g, state, loss / n
 
     def train(self, stream: np.ndarray, end: int, lanes: int = 64, window: int = 16, updates: int = 500, rate: float = 0.04) -> GatedLm:
@@ -524,20 +525,23 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
             return sizes + 1, known, base, score, cold
 
         for b in batches:
-            out, group, size = [], [], 0
-            for text in _texts(b.column(2)):
-                group.append(text)
-                size += len(text)
+            texts = list(_texts(b.column(2)))
+            order, out, group, size = sorted(range(len(texts)), key=lambda i: -len(texts[i])), [], [], 0  # texts of about one length are read in step
+            for i in order:
+                group.append(texts[i])
+                size += len(texts[i])
                 if size >= BLOCK_TOKENS * 6:
                     out.append(block(group))
                     group, size = [], 0
             if group:
                 out.append(block(group))
+            place = np.argsort(np.array(order, np.int64), kind="stable")
             mark = os.urandom(12)  # with its place, a name of the row; this frame is written once and read from there
             names_ = [mark + i.to_bytes(4, "big") for i in range(b.num_rows)]
-            join = lambda k: np.concatenate([o[k] for o in out]) if out else np.zeros(0)
+            join = lambda k: np.concatenate([o[k] for o in out])[place] if out else np.zeros(0)
+            cold = [c for o in out for c in o[4]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names_, pa.binary()), b.column(0), b.column(1), pa.array(join(0), pa.int64()), pa.array(join(1), pa.int64()), pa.array(join(2), pa.float64()), pa.array(join(3), pa.float64()), pa.array([c for o in out for c in o[4]], cold_type)],
+                [pa.array(names_, pa.binary()), b.column(0), b.column(1), pa.array(join(0), pa.int64()), pa.array(join(1), pa.int64()), pa.array(join(2), pa.float64()), pa.array(join(3), pa.float64()), pa.array([cold[i] for i in place.tolist()], cold_type)],
                 names=["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "score", "cold"],
             )
 
