@@ -5,15 +5,21 @@ components a code of four bits. Its loss weighs the part of the residual paralle
 `eta` times as much as the part across: |r|^2 + (eta - 1) <r, x>^2. Codebooks start from k-means and alternate coordinate descent over
 codes with the closed-form least-squares update; they are fitted to `sample` vectors (a bounded sample, the smallest by a
 hash of vec_id), and then every vector is encoded. A query makes a table of 16 partial products for each code, two of which are joined
-to one of 256 entries for a byte; a scan adds table entries; the best `shortlist` of each block are reranked by exact cosines in
-double precision.
+to one of 256 entries for a byte; a scan adds table entries; the best `shortlist` of each block, one in SHORT of a large one, are reranked by
+exact cosines in double precision.
 
-Work is split by index block: a task holds one block of the index and reads the queries, block after block, from the shared
-folder; only each block's best survive. Equal vectors are indexed once, with their k + 1 smallest ids, more of which no
+In front of the scan, vectors are dealt to cells by their nearest centre (k-means on the same sample; sqrt(n) / 4 cells, CELLS at most). A query
+probes the cells of the nearest centres, so many that of the sample's own five nearest neighbours RECALL lie in them. Clustered vectors need few cells,
+so the work of a query grows like the square root of the rows; vectors without any structure need most cells, whatever their number. What is
+encoded is a vector's difference from its cell's centre; the centre's own product is the same for all rows of a cell and changes no shortlist.
+
+Work is split by cell, and within by blocks of BLOCK rows and BYTES at most, so a cell that many vectors fall into is many tasks;
+its queries are split in the same way. Only each block's best survive. Equal vectors are indexed once, with their k + 1 smallest ids, more of which no
 query can need; so ties between equal vectors are exact and a vector that repeats without bound isn't gathered.
 
-Null, zero, empty vectors and those with null or non-finite components take no part, nor rows without an id, nor vectors of another length than
-the most frequent one. Repeated rows count once. Empty tables give empty results; other columns are ignored.
+Vectors are compared with those of the same length only. The LENGTHS most frequent ones have an index each; the others are scanned exactly.
+Null, zero, empty vectors and those with null or non-finite components take no part, nor rows without an id; very small and very large
+components do. Repeated rows count once. Empty tables give empty results; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -22,28 +28,30 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow.parquet as pq
-from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path, staged
+from .common import staged
 
-BLOCK, QUERY_BLOCK = 32_768, 2_048
+BLOCK, BYTES, QUERY_BLOCK = 32_768, 32_000_000, 2_048
+CELLS, RECALL, LENGTHS, SHORT = 1_024, 0.98, 8, 16
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
-    """vec_id long, v array<double>; without what takes no part."""
+    """vec_id long, v array<double>, n (its length); without what takes no part."""
     v = F.col(vector).cast("array<double>")
     rows = vectors.where(F.col("vec_id").isNotNull() & v.isNotNull()).select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    rows = rows.where((F.size("v") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).collect()
-    return rows.where(F.size("v") == (sizes[0].n if sizes else 0))
+    return rows.where((F.size("v") > 0) & F.coalesce(finite, F.lit(False)) & F.exists("v", lambda x: x != 0)).withColumn("n", F.size("v"))
+
+
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows times a power of two, which changes no digit, so that squares neither vanish nor overflow."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1])
 
 
 def unit(x: np.ndarray) -> np.ndarray:
-    x = x / np.abs(x).max(1, keepdims=True)  # so that squares neither vanish nor overflow
+    x = scaled(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -61,17 +69,17 @@ class AnisotropicQuantiser:
         m = len(self.books)
         return np.pad(x, ((0, 0), (0, m * self.width - x.shape[1]))).reshape(len(x), m, self.width)
 
-    def encode(self, x: np.ndarray, sweeps: int = 2, start: np.ndarray | None = None) -> np.ndarray:
-        """Codes (rows, codes) of unit vectors by coordinate descent on the anisotropic loss."""
-        parts, rows = self.split(x), np.arange(len(x))
+    def encode(self, x: np.ndarray, target: np.ndarray, sweeps: int = 2, start: np.ndarray | None = None) -> np.ndarray:
+        """Codes (rows, codes) of target, what unit vectors x have beyond their cell's centre, by coordinate descent on the anisotropic loss."""
+        parts, way, rows = self.split(target), self.split(x), np.arange(len(x))
         codes = ((parts[:, :, None] - self.books[None]) ** 2).sum(3).argmin(2) if start is None else start.copy()
-        along = np.stack([((parts[:, m] - self.books[m][codes[:, m]]) * parts[:, m]).sum(1) for m in range(len(self.books))], 1)
+        along = np.stack([((parts[:, m] - self.books[m][codes[:, m]]) * way[:, m]).sum(1) for m in range(len(self.books))], 1)
         total = along.sum(1)
         for _ in range(sweeps):
             for m, book in enumerate(self.books):
                 part = parts[:, m]
                 across = (part * part).sum(1)[:, None] - 2 * part @ book.T + (book * book).sum(1)
-                parallel = (part * part).sum(1)[:, None] - part @ book.T
+                parallel = (part * way[:, m]).sum(1)[:, None] - way[:, m] @ book.T
                 rest = (total - along[:, m])[:, None]
                 codes[:, m] = (across + (self.eta - 1) * (rest + parallel) ** 2).argmin(1)
                 own = parallel[rows, codes[:, m]]
@@ -80,14 +88,14 @@ class AnisotropicQuantiser:
         return codes
 
     @classmethod
-    def fit(cls, x: np.ndarray, width: int = 2, threshold: float = 0.2, rounds: int = 3, seed: int = 5) -> AnisotropicQuantiser:
-        """x: unit vectors (rows, dimension), at least one."""
+    def fit(cls, x: np.ndarray, target: np.ndarray, width: int = 2, threshold: float = 0.2, rounds: int = 3, seed: int = 5) -> AnisotropicQuantiser:
+        """x: unit vectors (rows, dimension), at least one; target: what is encoded of each."""
         n, d = x.shape
         m = -(-d // width)
         eta = max(1.0, (d - 1) * threshold**2 / (1 - threshold**2))
         rng = np.random.default_rng(seed)
         q = cls(np.zeros((m, 16, width)), eta)
-        parts = q.split(x)
+        parts, way = q.split(target), q.split(x)
         for k in range(m):
             book = parts[rng.integers(0, n, 16), k] + rng.normal(0, 1e-3, (16, width))
             for _ in range(8):
@@ -96,18 +104,19 @@ class AnisotropicQuantiser:
                 sums = np.stack([np.bincount(near, parts[:, k, j], 16) for j in range(width)], 1)
                 book = np.where(count > 0, sums / np.maximum(1, count), book)
             q.books[k] = book
-        codes = q.encode(x)
+        codes, inner = q.encode(x, target), (x * target).sum(1)
         for _ in range(rounds):
-            # least squares over all codewords at once: sum over x of (x - Bc)' (1 + (eta - 1) x x') (x - Bc)
-            z = np.zeros((n, m, 16, width))
+            # least squares over all codewords at once: sum over x of (t - Bc)' (1 + (eta - 1) x x') (t - Bc)
+            z, sums = np.zeros((n, m, 16, width)), np.zeros((m, 16, width))
             used = np.zeros((n, m, 16))
             at = (np.arange(n)[:, None], np.arange(m)[None], codes)
-            z[at], used[at] = parts, 1
+            z[at], used[at] = way, 1
+            np.add.at(sums, (np.broadcast_to(np.arange(m), codes.shape), codes), parts)
             z = z.reshape(n, -1)
             normal = (eta - 1) * z.T @ z
             normal[np.diag_indices_from(normal)] += np.repeat(used.sum(0).ravel(), width) + 1e-6
-            q.books = np.linalg.solve(normal, eta * z.sum(0)).reshape(m, 16, width)
-            codes = q.encode(x, start=codes)
+            q.books = np.linalg.solve(normal, sums.ravel() + (eta - 1) * inner @ z).reshape(m, 16, width)
+            codes = q.encode(x, target, start=codes)
         return q
 
     def tables(self, queries: np.ndarray) -> np.ndarray:
@@ -125,13 +134,49 @@ class AnisotropicQuantiser:
         return np.ascontiguousarray((codes[:, ::2] | codes[:, 1::2] << 4).astype(np.uint8).T)
 
 
-def search_block(q: AnisotropicQuantiser, packed: np.ndarray, x: np.ndarray, queries: np.ndarray, shortlist: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the rows of its shortlist and their exact cosines. x, queries: original vectors."""
-    norm, out = np.sqrt((x * x).sum(1)), []
+@dataclass
+class Index:
+    """What is fitted for one length of vectors: the quantiser, centres of cells and how many cells a query probes."""
+
+    quantiser: AnisotropicQuantiser
+    centres: np.ndarray
+    probes: int
+
+    @classmethod
+    def fit(cls, x: np.ndarray, rows: int, k: int = 5, seed: int = 4) -> Index:
+        """x: unit vectors of the sample; rows: how many vectors there are."""
+        rng = np.random.default_rng(seed)
+        n = max(1, min(CELLS, len(x) // 8, int(rows**0.5 / 4)))
+        centres = x[rng.choice(len(x), n, replace=False)]
+        for _ in range(8):
+            own = (x @ centres.T).argmax(1)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, own, x)
+            full = np.sqrt((sums * sums).sum(1)) > 0
+            centres[full] = unit(sums[full])
+        own = (x @ centres.T).argmax(1)
+        some = rng.choice(len(x), min(len(x), 512), replace=False)
+        near = x[some] @ x.T
+        near[np.arange(len(some)), some] = -2
+        near = np.argsort(-near, 1)[:, : min(k, len(x) - 1)]
+        order = np.argsort(np.argsort(-(x[some] @ centres.T), 1), 1)  # places of the cells, nearest first
+        needed = np.sort(np.take_along_axis(order, own[near], 1).ravel()) + 1 if near.size else np.array([n])
+        return cls(AnisotropicQuantiser.fit(x, x - centres[own]), centres, int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)]))
+
+    def cells(self, x: np.ndarray, n: int = 1) -> np.ndarray:
+        """(rows, n): the nearest cells of unit vectors, nearest first."""
+        return np.argsort(-(x @ self.centres.T), 1, kind="stable")[:, :n] if n > 1 else (x @ self.centres.T).argmax(1)[:, None]
+
+
+def search_block(q: AnisotropicQuantiser | None, packed: np.ndarray, x: np.ndarray, queries: np.ndarray, shortlist: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows of its shortlist (all rows without a quantiser) and their exact cosines. x, queries: original vectors."""
+    x, queries = scaled(x), scaled(queries)
+    norm, out, shortlist = np.sqrt((x * x).sum(1)), [], max(shortlist, len(x) // SHORT)
     for lo in range(0, len(queries), 64):
         part = queries[lo : lo + 64]
-        for query, tables in zip(part, q.tables(unit(part))):
-            if len(x) > shortlist:
+        scan = q is not None and len(x) > shortlist
+        for query, tables in zip(part, q.tables(unit(part)) if scan else part):
+            if scan:
                 score = tables[0][packed[0]]
                 for table, byte in zip(tables[1:], packed[1:]):
                     score += table[byte]
@@ -142,64 +187,74 @@ def search_block(q: AnisotropicQuantiser, packed: np.ndarray, x: np.ndarray, que
     return out
 
 
+def by_length(frame: pd.DataFrame):
+    """(length, rows, their vectors as one matrix) for each length in the frame."""
+    for n, rows in frame.groupby("n", sort=False):
+        yield int(n), rows, np.stack(rows["v"].to_numpy())
+
+
 def nearest(vectors: DataFrame, is_query: Column, k: int = 5, shortlist: int = 150, sample: int = 8_192) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest others found, by cosine, ties to the smaller vec_id. is_query: a condition on vec_id."""
     spark = vectors.sparkSession
     rows = usable(vectors)
-    some = [r.v for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()]
-    if not some:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    q = AnisotropicQuantiser.fit(unit(np.array(some)))
+    models: dict[int, Index] = {}
+    for size in rows.groupBy("n").count().orderBy(F.desc("count"), F.desc("n")).limit(LENGTHS).collect():
+        some = rows.where(F.col("n") == size.n).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
+        if len(some) > shortlist:
+            models[size.n] = Index.fit(unit(np.array([r.v for r in some])), size["count"], k)
     same = Window.partitionBy("v").orderBy("vec_id")
     distinct = rows.dropDuplicates(["vec_id", "v"]).withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
-    distinct = distinct.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
+    distinct = distinct.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("n").alias("n"))
 
     def encode(frames):
         for f in frames:
-            if len(f):
-                packed = q.pack(q.encode(unit(np.stack(f["v"].to_numpy())))).T
-                yield f.assign(code=[p.tobytes() for p in packed])[["ids", "v", "code"]]
+            for n, part, x in by_length(f):
+                model = models.get(n)
+                if model:
+                    u = unit(x)
+                    cell = model.cells(u)[:, 0]
+                    code = [p.tobytes() for p in model.quantiser.pack(model.quantiser.encode(u, u - model.centres[cell])).T]
+                else:
+                    cell, code = 0, b""
+                yield pd.DataFrame({"n": n, "cell": cell, "ids": part["ids"], "v": [v.tobytes() for v in x], "code": code})
 
-    index = staged(distinct.mapInPandas(encode, "ids array<long>, v array<double>, code binary"), "ann-index")
+    def probe(frames):
+        for f in frames:
+            for n, part, x in by_length(f):
+                model = models.get(n)
+                cells = model.cells(unit(x), model.probes) if model else np.zeros((len(x), 1), int)
+                yield pd.DataFrame({"n": n, "cells": list(cells), "q": part["q"], "v": [v.tobytes() for v in x]})
+
+    index = staged(distinct.mapInPandas(encode, "n int, cell int, ids array<long>, v binary, code binary"), "ann-index")
     asked = rows.where(is_query)
-    path = fresh_path(spark, "ann-queries")
-    names = asked.groupBy("v").agg(F.min("vec_id").alias("q"))
-    names.write.option("maxRecordsPerFile", QUERY_BLOCK).parquet(path)
-
-    def scan(frames):
-        store, root = pafs.FileSystem.from_uri(path)
-        files = sorted(f.path for f in store.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet"))
-        for block in blocks(frames):
-            x = np.stack(block["v"].to_numpy())
+    names = asked.groupBy("v").agg(F.min("vec_id").alias("q"), F.first("n").alias("n"))
+    queries = names.mapInPandas(probe, "n int, cells array<int>, q long, v binary").select("n", F.explode("cells").alias("cell"), "q", "v")
+    queries = staged(queries, "ann-queries")
+    at_most = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BYTES) / (8 * F.col("n")))))
+    held = index.groupBy("n", "cell").agg(F.ceil(F.count("*") / at_most).cast("int").alias("blocks"))
+    askers = queries.groupBy("n", "cell").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("parts"))
+    split = staged(held.join(askers, ["n", "cell"]), "ann-blocks")
+    until = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    left = index.join(split, ["n", "cell"]).select("n", "cell", F.pmod(F.xxhash64("v"), "blocks").cast("int").alias("block"), until("parts").alias("part"), "ids", "v", "code")
+    right = queries.join(split, ["n", "cell"]).select("n", "cell", until("blocks").alias("block"), F.pmod(F.xxhash64("q"), "parts").cast("int").alias("part"), "q", "v")
+
+    def scan(key, block: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
+        found, matrix = [], lambda column: np.frombuffer(b"".join(column), float).reshape(len(column), -1)
+        if len(block) and len(some):
+            model, ids = models.get(int(key[0])), block["ids"].to_numpy()
             packed = np.ascontiguousarray(np.frombuffer(b"".join(block["code"]), np.uint8).reshape(len(block), -1).T)
-            ids = block["ids"].to_numpy()
             first = np.array([i[0] for i in ids])
-            for name in files:
-                table = pq.read_table(name, filesystem=store)
-                numbers, asked_v = table["q"].to_numpy(), np.stack(table["v"].to_numpy()) if len(table) else np.zeros((0, 1))
-                found = []
-                for number, (near, score) in zip(numbers, search_block(q, packed, x, asked_v, shortlist)):
-                    best = np.lexsort((first[near], -score))[: k + 1]
-                    every = sorted((-s, int(v)) for i, s in zip(near[best].tolist(), score[best].tolist()) for v in ids[i])
-                    found += [(int(number), v, -s) for s, v in every[: k + 1]]
-                yield pd.DataFrame(found, columns=["q", "vec_id", "score"]).astype({"q": "int64", "vec_id": "int64", "score": "float64"})
-
-    def blocks(frames):
-        held, n = [], 0
-        for f in frames:
-            if len(f):
-                held.append(f)
-                n += len(f)
-            if n >= BLOCK:
-                yield pd.concat(held, ignore_index=True)
-                held, n = [], 0
-        if n:
-            yield pd.concat(held, ignore_index=True)
-
-    found = index.mapInPandas(scan, "q long, vec_id long, score double")
+            for number, (near, score) in zip(some["q"], search_block(model and model.quantiser, packed, matrix(block["v"]), matrix(some["v"]), shortlist)):
+                best = np.lexsort((first[near], -score))[: k + 1]
+                every = sorted((-s, int(v)) for i, s in zip(near[best].tolist(), score[best].tolist()) for v in ids[i])
+                found += [(int(number), v, -s) for s, v in every[: k + 1]]
+        return pd.DataFrame(found, columns=["q", "vec_id", "score"]).astype({"q": "int64", "vec_id": "int64", "score": "float64"})
+
+    place = ["n", "cell", "block", "part"]
+    found = left.groupBy(*place).cogroup(right.groupBy(*place)).applyInPandas(scan, "q long, vec_id long, score double")
     order = [F.desc("score"), F.asc("vec_id")]
     best = found.withColumn("nth", F.row_number().over(Window.partitionBy("q").orderBy(*order))).where(F.col("nth") <= k + 1).drop("nth")
-    readers = asked.select(F.col("vec_id").alias("query_id"), "v").distinct().join(names, "v").select("query_id", "q")
+    readers = asked.select(F.col("vec_id").alias("query_id"), "v").distinct().join(names.select("v", "q"), "v").select("query_id", "q")
     # a vector that a third of the queries have is one group of k + 1 rows here; the join on q is what AQE may split
     pairs = readers.join(best, "q").where(F.col("query_id") != F.col("vec_id"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(*order))

@@ -532,3 +532,92 @@ def test_decontamination_with_clashing_names_and_ties(spark):
     items = spark.createDataFrame([(1, item, 9)], "item_id long, text string, doc_id long")
     assert decontamination.decontaminate(df, items).collect() == df.where("doc_id = 2").collect()
     assert [(r.doc_id, r.item_id, r.start) for r in decontamination.contaminated(df, items).collect()] == [(1, 1, 0)]
+
+
+def neighbours_found(spark, rows, **options):
+    """Share of the true five nearest (by brute force, in double precision) that nearest() finds, and its rows."""
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4), F.col("vec_id") % 50 == 0, **options).collect()
+    hits = total = 0
+    for q, v in rows:
+        if q % 50 == 0:
+            u = lambda x: x / np.linalg.norm(x)
+            scores = sorted((-float(u(np.array(x)) @ u(np.array(v))), i) for i, x in rows if i != q and len(x) == len(v))[:5]
+            hits += len({i for _, i in scores} & {r.vec_id for r in got if r.query_id == q})
+            total += len(scores)
+    return hits / total, got
+
+
+def test_nearest_neighbours_recall_on_thousands(spark):
+    """On vectors without structure and on clustered ones, of which a query probes a small share of the cells; with small blocks too."""
+    rng = np.random.default_rng(8)
+    plain = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(4_000, 32)))]
+    assert neighbours_found(spark, plain)[0] >= 0.9
+    centres = rng.normal(size=(40, 32))
+    clustered = [(i, (centres[i % 40] + rng.normal(0, 0.15, 32)).tolist()) for i in range(4_000)]
+    model = ann.Index.fit(ann.unit(np.array([v for _, v in clustered])), 40_000)
+    assert len(model.centres) == 50 and model.probes <= 8
+    assert neighbours_found(spark, clustered)[0] >= 0.9
+
+
+def test_nearest_neighbours_of_odd_vectors(spark, monkeypatch):
+    """Very small and very large components, several lengths, hot cells in many blocks."""
+    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 3)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(700, 8))
+    rows = [(i, (v * (1e-200 if i % 3 == 0 else 1e200 if i % 3 == 1 else 1)).tolist()) for i, v in enumerate(x)]
+    rows += [(1_000 + i, rng.normal(size=5).tolist()) for i in range(60)] + [(2_000, [3.0])]
+    share, got = neighbours_found(spark, [(i, (np.array(v) / np.abs(v).max()).tolist()) for i, v in rows], shortlist=60)
+    odd = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, shortlist=60).collect()
+    assert share >= 0.9 and {r.query_id for r in got} == {i for i, v in rows if i % 50 == 0 and len(v) > 1}
+    assert {(r.query_id, r.rank): round(r.score, 9) for r in odd} == {(r.query_id, r.rank): round(r.score, 9) for r in got}
+
+
+def test_language_id_reads_whole_texts():
+    """Against a plain forward pass, position by position, from both ends; long texts are windows with what warms them up."""
+    net = langid.ByteBiGru(["a", "b", "c"], hidden=5, seed=2)
+    rng = random.Random(6)
+    texts = ["bonjour tout le monde".encode(), b"x", b"", prose(4, 2_000).encode(), bytes(rng.randrange(256) for _ in range(900)), prose(5, 12).encode()]
+
+    def states(text, d):
+        h, w, state, out = net.hidden, {k: v.astype(float) for k, v in net.w.items()}, np.zeros(net.hidden), []
+        for byte in text if d == "f" else reversed(text):
+            x = w[d + "x"][:, byte]
+            z, r = 1 / (1 + np.exp(-(w[d + "zr"] @ state + x[: 2 * h]))).reshape(2, h)
+            state = z * state + (1 - z) * np.tanh(w[d + "c"] @ (r * state) + x[2 * h :])
+            out.append(state)
+        return out if d == "f" else out[::-1]
+
+    got = net.pool(texts)
+    for text, p in zip(texts, got):
+        if text:
+            logits = np.array([net.w["out"] @ np.concatenate(x) + net.w["bias"][:, 0] for x in zip(states(text, "f"), states(text, "b"))])
+            q = np.exp(logits - logits.max(1, keepdims=True))
+            assert p == pytest.approx((q / q.sum(1, keepdims=True)).mean(0), abs=2e-4)
+        else:
+            assert not p.any()
+    assert np.allclose(net.pool(texts[:1]), got[0])
+
+
+def test_gru_gradients_behind_the_end_of_a_text():
+    """What stands behind a text's end changes neither loss nor gradients."""
+    rng = np.random.default_rng(1)
+    net = langid.ByteBiGru(["a", "b"], hidden=3)
+    data, label = rng.integers(0, 256, (6, 4)).astype(np.uint8), np.array([0, 1, 1, 0])
+    real = np.arange(6)[:, None] < np.array([6, 2, 4, 1])
+    one, other = net.gradients(data, label, real), net.gradients(np.where(real, data, 77), label, real)
+    assert one[0] == pytest.approx(other[0]) and all(np.allclose(one[1][k], other[1][k]) for k in one[1])
+    alone = [net.gradients(data[:n, i : i + 1], label[i : i + 1])[0] * n for i, n in enumerate((6, 2, 4, 1))]
+    assert one[0] == pytest.approx(sum(alone) / 13, rel=1e-4)
+
+
+def test_language_id_of_held_out_documents(spark):
+    """The registered query on sf0.01: folds, columns and accuracy, that of short texts too."""
+    from chronolens.llm import registry
+
+    got = registry.QUERIES["op7_language_id"](spark, "/root/testdata/sf0.01").toPandas()
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").toPandas()
+    assert sorted(got.doc_id) == sorted(docs.doc_id) and (got.held_out == got.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 3 == 1)).all()
+    held = got.merge(docs, on="doc_id").query("held_out and text.notna() and lang.notna()")
+    right = held.lang == held.lang_pred
+    assert right.mean() > 0.97 and right[held.text.str.len() < 200].mean() > 0.85
