@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.display import absolute
+from ..functions.text import leaf
 from .intervals import merged_spans
 
 
@@ -66,3 +68,105 @@ def week_notes(folded: DataFrame, now_ms: int, keys: list[str]) -> DataFrame:
 def today_spans(events: DataFrame, keys: list[str], tolerance_ms: int = 10 * 60_000) -> DataFrame:
     """Spans of activity, merged over gaps up to the tolerance."""
     return merged_spans(events.select(*keys, F.col("ts_ms").alias("start"), F.greatest("end_ms", F.col("ts_ms") + 60_000).alias("end")), keys, tolerance_ms)
+
+
+#: Events that say which folder is a project.
+NAMES_A_PROJECT = ["agent.session", "git.commit", "git.status.summary", "git.branch.checkout"]
+#: Titles that agents give by default, of which nothing is learnt; titles of sessions that get back to where a crash left off.
+GENERIC_TITLE, RECOVERY = r"(?i)^(claude code|codex)\b", r"(?i)plantage|crash"
+FILES, PAUSED_DAYS, PAUSED_SESSIONS, RECOVERIES = 8, (7, 30), 5, 3
+
+
+def _meta(name: str) -> Column:
+    return F.get_json_object("metadata", f"$.{name}")
+
+
+def is_scratch(path: Column) -> Column:
+    return F.rlike(path, F.lit(r"(?i)[\\/](temp|tmp)[\\/]|[\\/]scratchpad([\\/]|$)"))
+
+
+def place_of() -> Column:
+    """The folder in which an event happened."""
+    return F.coalesce(*map(_meta, ("projectPath", "worktree", "workspacePath", "cwd")))
+
+
+def owned_events(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Events that belong to a project of their key, with columns root (its path_key) and end (not before ts_ms).
+
+    A folder that names itself a project and holds no other one is a project; scratch folders aren't. The owner is an equi-join on the ancestors of an event's folder."""
+    placed = events.withColumn("_key", F.when(~is_scratch(place_of()), path_key(place_of()))).withColumn("end", F.greatest(F.coalesce("end_ms", "ts_ms"), "ts_ms"))
+    placed = placed.where(F.col("_key").isNotNull() & (F.col("_key") != ""))
+    named = placed.where(F.col("type").isin(NAMES_A_PROJECT)).select(*keys, F.col("_key").alias("root")).distinct()
+    above = named.select(*keys, F.explode(ancestors(F.col("root"))).alias("parent"), "root").where("parent <> root").select(*keys, F.col("parent").alias("root")).distinct()
+    roots = named.join(above, [*keys, "root"], "left_anti")
+    folders = placed.select(*keys, "_key").distinct()
+    owner = folders.withColumn("root", F.explode(ancestors(F.col("_key")))).join(roots, [*keys, "root"]).groupBy(*keys, "_key").agg(F.max_by("root", F.length("root")).alias("root"))
+    return placed.join(owner, [*keys, "_key"]).drop("_key")
+
+
+def project_cards(owned: DataFrame, now_day: Column, keys: list[str]) -> DataFrame:
+    """Of owned_events(): keys, root, name, last_at, branch, dirty, last_commit, last_session, sessions, days_7, files (newest first, FILES at most)."""
+    at, kind = F.struct("ts_ms", "ord"), F.col("type")
+    latest = lambda value: F.max_by(value, F.when(value.isNotNull(), at))
+    title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), _meta("title"))
+    session = kind == "agent.session"
+    branch = F.when(session & (_meta("gitBranch") != "HEAD"), _meta("gitBranch")).when(kind == "git.commit", _meta("branch")).when(kind == "git.branch.checkout", F.coalesce(_meta("to"), _meta("branch")))
+    week = (F.col("work_day") > F.date_sub(now_day, 7)) & (F.col("work_day") <= now_day)
+    by = [*keys, "root"]
+    cards = owned.groupBy(*by).agg(
+        F.max("end").alias("last_at"), latest(F.nullif(branch, F.lit(""))).alias("branch"), latest(F.when(kind == "git.status.summary", _meta("dirtyFiles").try_cast("int"))).alias("dirty"),
+        latest(F.nullif(F.when(kind == "git.commit", F.coalesce(_meta("messageRedacted"), F.col("title"))), F.lit(""))).alias("last_commit"),
+        latest(F.when(session & ~F.rlike(F.trim(title), F.lit(GENERIC_TITLE)), title)).alias("last_session"),
+        F.count_if(session).alias("sessions"), F.countDistinct(F.when(week, F.col("work_day"))).alias("days_7"),
+    )
+    touched = owned.where(session).select(*by, "ts_ms", "ord", F.posexplode(F.from_json(_meta("filesTouched"), "array<string>")).alias("i", "file")).where(F.col("file").isNotNull() & ~is_scratch(F.col("file")))
+    newest = touched.groupBy(*by, absolute(F.col("file"), F.col("root")).alias("file")).agg(F.max(F.struct("ts_ms", "ord", "i")).alias("at"))
+    newest = newest.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("at")))).where(F.col("n") <= FILES)
+    files = newest.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "file"))), lambda x: x["file"]).alias("files"))
+    out = cards.join(files, by, "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
+    return out.withColumn("name", leaf(F.col("root")))
+
+
+def typed_spans(owned: DataFrame, keys: list[str], day: Column, tolerance_ms: int = 10 * 60_000) -> DataFrame:
+    """keys, root, start, end, n: what each project did on a work day: sessions, commits (a minute), commands (a minute at least), merged over gaps up to the tolerance."""
+    kind = F.col("type")
+    length = F.when(kind == "git.commit", F.lit(60_000)).when(kind == "terminal.command", F.greatest(F.coalesce(_meta("durationMs").try_cast("bigint"), F.lit(0)), F.lit(60_000)))
+    spans = owned.where((F.col("work_day") == day) & kind.isin("agent.session", "git.commit", "terminal.command"))
+    spans = spans.select(*keys, "root", F.col("ts_ms").alias("start"), F.coalesce(F.col("ts_ms") + length, F.col("end")).alias("end"))
+    return merged_spans(spans, [*keys, "root"], tolerance_ms).drop("island")
+
+
+def axis(spans: DataFrame, keys: list[str], now_ms: int, tz_minutes: int, hours: int = 4) -> DataFrame:
+    """keys, axis_start, axis_end: whole local hours from the first span to now or the last one, `hours` at least."""
+    hour, shift = 3_600_000, tz_minutes * 60_000
+    local = spans.groupBy(*keys).agg((F.min("start") + shift).alias("a"), (F.greatest(F.max("end"), F.lit(now_ms)) + shift).alias("b"))
+    start = F.col("a") - F.pmod("a", F.lit(hour))
+    end = F.col("b") + F.pmod(-F.col("b"), F.lit(hour))
+    return local.select(*keys, (start - shift).alias("axis_start"), (F.greatest(end, start + hours * hour) - shift).alias("axis_end"))
+
+
+def placed(spans: DataFrame, axes: DataFrame, keys: list[str], least: float = 1.5) -> DataFrame:
+    """spans with left and width in percent of their axis, widths of `least` at least."""
+    percent = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col(c) - F.col("axis_start")) / (F.col("axis_end") - F.col("axis_start")) * 100))
+    return spans.join(axes, keys).withColumns({"left": percent("start"), "width": F.greatest(F.lit(least), percent("end") - percent("start"))}).drop("axis_start", "axis_end")
+
+
+def card_notes(cards: DataFrame, events: DataFrame, now_ms: int, now_day: Column, keys: list[str]) -> DataFrame:
+    """keys, note, name, n: the project of the most days this week (three at least), the one of most sessions that has been quiet for PAUSED_DAYS, and how many sessions recovered from a crash (RECOVERIES at least)."""
+    note = lambda rows, kind, n: rows.select(*keys, F.lit(kind).alias("note"), F.col("b.name").alias("name"), n.cast("bigint").alias("n"))
+    best = lambda rows, c: rows.groupBy(*keys).agg(F.max_by(F.struct("name", F.col(c).alias("n"), "idle", "sessions"), F.struct(F.col(c), F.col("last_at"), F.col("root"))).alias("b"))
+    cards = cards.withColumn("idle", F.floor((F.lit(now_ms) - F.col("last_at")) / 86_400_000))
+    main = best(cards, "days_7").where("b.n >= 3")
+    paused = best(cards.where(F.col("idle").between(*PAUSED_DAYS)), "sessions").where(F.col("b.n") >= PAUSED_SESSIONS)
+    week = (F.col("work_day") > F.date_sub(now_day, 7)) & (F.col("work_day") <= now_day)
+    again = events.where((F.col("type") == "agent.session") & week & F.rlike("title", F.lit(RECOVERY))).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= RECOVERIES)
+    return note(main, "main", F.col("b.n")).union(note(paused, "paused", F.col("b.idle"))).union(again.select(*keys, F.lit("recoveries").alias("note"), F.lit(None).cast("string").alias("name"), "n"))
+
+
+def project_brief(cards: DataFrame) -> DataFrame:
+    """cards with a column brief: what somebody new to a project needs, as plain text."""
+    part = lambda label, c: F.when(c.isNotNull(), F.concat(F.lit(f"{label}: "), c.cast("string")))
+    files = F.when(F.size("files") > 0, F.concat(F.lit("Files touched lately:\n- "), F.array_join("files", "\n- ")))
+    head = F.concat(F.lit("Project "), "name", F.lit(" ("), "root", F.lit(")"))
+    dirty = F.when(F.col("dirty") > 0, F.col("dirty"))
+    return cards.withColumn("brief", F.concat_ws("\n", head, part("Branch", F.col("branch")), part("Last session", F.col("last_session")), part("Last commit", F.col("last_commit")), part("Uncommitted files", dirty), files))

@@ -8,40 +8,59 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.display import absolute
 from ..functions.text import leaf
 
 KEYS = ["session_id", "work_day", "context"]
 #: Fixed values.
 CAPS = {"working": 5, "reading": 5, "ran": 3, "produced": 4, "failure": 1}
 RESOURCE_ORDER = ["workspace", "folder", "terminal", "file", "url"]
-RESOURCES = 10
+RESOURCES, AGENT_FILES = 10, 8
+#: Fixed value: paths of temporary folders.
+THROWAWAY = r"(?i)[/\\](?:temp|tmp)[/\\]|^/var/folders/"
 
 
 def _meta(name: str) -> Column:
     return F.get_json_object("metadata", f"$.{name}")
 
 
+AGENT_TYPES = ["external.run.finished", "external.mission.started", "agent.session.started", "agent.session", "agent.activity"]
+
+
+def _app_display(events: DataFrame) -> Column:
+    return F.col("app_display") if "app_display" in events.columns else F.lit(None).cast("string")
+
+
 def lines(events: DataFrame) -> DataFrame:
-    """KEYS, ord, ts_ms, bucket, label, detail, key: events as lines, the first of each key only."""
-    kind, failed = F.col("type"), ~F.coalesce(_meta("exitCode") == "0", F.lit(False))
-    path = F.coalesce(_meta("path"), _meta("toPath"))
-    tail = F.from_json(_meta("lines"), "array<string>")
-    line = lambda bucket, label, detail, key: F.struct((F.lit(bucket) if isinstance(bucket, str) else bucket).alias("bucket"), label.alias("label"), detail.cast("string").alias("detail"), key.alias("key"))
-    none = F.lit(None).cast("string")
+    """KEYS, ord, ts_ms, bucket, label, detail, tone: events as lines. A file name or address worked on or read stands once, at its first event; all others each time."""
+    kind, exit_code = F.col("type"), _meta("exitCode")
+    path, tail = F.coalesce(_meta("path"), _meta("toPath")), F.from_json(_meta("lines"), "array<string>")
+    own, none = F.col("ord").cast("string"), F.lit(None).cast("string")
+    shown = F.coalesce(_app_display(events), F.lit("Agent"))
+
+    def line(bucket: str, label: Column, detail: Column, key: Column = own, tone: Column = none) -> Column:
+        return F.struct(F.lit(bucket).alias("bucket"), label.alias("label"), detail.cast("string").alias("detail"), key.alias("key"), tone.alias("tone"))
+
+    agent = (
+        F.when(kind == "external.mission.started", F.concat(F.lit("Mission: "), F.coalesce(_meta("mission"), F.lit(""))))
+        .when(kind == "external.run.finished", F.concat(F.lit("Run "), F.coalesce(_meta("runId"), F.lit("")), F.lit(" — "), F.coalesce(_meta("status"), F.lit(""))))
+        .when(kind == "agent.session.started", F.lit("Session started"))
+        .when(kind == "agent.session", F.coalesce(_meta("title"), F.col("title"), shown))
+        .otherwise(F.concat(shown, F.lit(" — "), F.coalesce(_meta("toolCallCount"), F.lit("0")), F.lit(" tool calls")))
+    )
+    passed = F.coalesce(exit_code == "0", F.lit(False))
     made = (
-        F.when(kind.isin("ide.file.opened", "ide.file.saved", "fs.file.created", "fs.file.modified", "fs.file.renamed"), line("working", leaf(path), path, leaf(path)))
-        .when(kind == "browser.navigation", line("reading", F.coalesce(F.when(F.col("title") != "", F.col("title")), _meta("url")), _meta("url"), _meta("url")))
-        .when(kind == "terminal.command", line(F.when(failed, "failure").otherwise("ran"), _meta("commandRedacted"), _meta("cwd"), F.concat_ws("|", F.when(failed, "f").otherwise("r"), _meta("commandRedacted"))))
-        .when(kind == "terminal.error_tail", line("failure", F.get(tail, 0), F.array_join(F.slice(tail, 2, 100), "\n"), F.get(tail, 0)))
-        .when(kind == "ide.diagnostic.error", line("failure", _meta("messageRedacted"), _meta("path"), _meta("messageRedacted")))
-        .when(kind == "git.commit", line("produced", _meta("messageRedacted"), none, _meta("messageRedacted")))
-        .when(kind == "git.branch.checkout", line("produced", _meta("to"), none, _meta("to")))
-        .when(kind == "agent.activity", line("produced", F.coalesce(_meta("outcome"), _meta("agent")), none, F.coalesce(_meta("outcome"), _meta("agent"))))
-        .when(kind == "manual.note", line("note", _meta("text"), none, F.concat(F.lit("note|"), F.col("ord").cast("string"))))
+        F.when(kind.isin("ide.file.opened", "ide.file.saved", "fs.file.created", "fs.file.renamed") & path.isNotNull(), line("working", leaf(path), path, leaf(path)))
+        .when((kind == "browser.navigation") & _meta("url").isNotNull(), line("reading", F.coalesce(F.col("title"), _meta("host"), _meta("url")), _meta("url"), _meta("url")))
+        .when((kind == "terminal.command") & _meta("commandRedacted").isNotNull(), line("ran", _meta("commandRedacted"), F.concat(F.lit("exit "), F.coalesce(exit_code, F.lit("?"))), tone=F.when(passed, "success").otherwise("failure")))
+        .when((kind == "terminal.error_tail") & (F.size(tail) > 0), line("failure", F.get(tail, 0), F.array_join(F.slice(tail, 2, 1 << 20), "\n"), tone=F.lit("failure")))
+        .when(kind == "git.commit", line("produced", F.coalesce(_meta("messageRedacted"), F.lit("commit")), F.left(_meta("sha"), F.lit(7)), tone=F.lit("success")))
+        .when(kind == "manual.note", line("note", F.coalesce(_meta("text"), F.lit("")), none))
+        .when(kind.isin(AGENT_TYPES), line("produced", agent, F.array_join(F.from_json(_meta("filesTouched"), "array<string>"), ", ")))
     )
-    long = events.withColumn("l", made).where(F.col("l").isNotNull()).select(*KEYS, "ord", "ts_ms", "l.*").where(F.col("label").isNotNull())
-    first = F.row_number().over(Window.partitionBy(*KEYS, "key").orderBy("ts_ms", "ord")) == 1
-    return long.withColumn("_f", first).where("_f").drop("_f")
+    long = events.withColumn("l", made).where(F.col("l").isNotNull()).select(*KEYS, "ord", "ts_ms", "l.*")
+    first = F.row_number().over(Window.partitionBy(*KEYS, "bucket", "key").orderBy("ts_ms", "ord")) == 1
+    return long.withColumn("_f", first).where("_f").drop("_f", "key")
 
 
 def capped(card: DataFrame) -> DataFrame:
@@ -72,14 +91,24 @@ def next_step(events: DataFrame) -> DataFrame:
 
 
 def resources(events: DataFrame) -> DataFrame:
-    """KEYS, nth, kind, target: what to open, workspaces first, ten at most; no temporary paths, each target once."""
-    path = F.coalesce(_meta("path"), _meta("toPath"))
-    some = lambda kind, target: F.struct(F.lit(kind).alias("kind"), F.trim(target).alias("target"))
-    every = F.array(some("workspace", F.coalesce(_meta("workspacePath"), _meta("projectPath"))), some("folder", _meta("directory")), some("terminal", F.when(F.col("type") == "terminal.command", _meta("cwd"))), some("file", path), some("url", _meta("url")))
-    long = events.select(*KEYS, "ord", "ts_ms", F.explode(every).alias("r")).select(*KEYS, "ord", "ts_ms", "r.*").where((F.col("target") != "") & ~F.rlike("target", F.lit(r"(?i)[/\\]te?mp[/\\]|/var/folders")))
-    last_cwd = F.row_number().over(Window.partitionBy(*KEYS, "kind").orderBy(F.desc("ts_ms"), F.desc("ord")))
-    long = long.withColumn("_l", last_cwd).where((F.col("kind") != "terminal") | (F.col("_l") == 1))
+    """KEYS, nth, kind, target: what to open, workspaces first, RESOURCES at most; no temporary paths, each target once, where it came up first."""
+    kind, path = F.col("type"), F.coalesce(_meta("path"), _meta("toPath"))
+    project = F.coalesce(_meta("projectPath"), _meta("worktree"), _meta("cwd"))
+    one = lambda when, name, target: F.when(when, F.struct(F.lit(name).alias("kind"), target.alias("target")))
+    touched = F.slice(F.from_json(_meta("filesTouched"), "array<string>"), 1, AGENT_FILES)
+    touched = F.transform(touched, lambda f: F.when(F.trim(f) != "", F.struct(F.lit("file").alias("kind"), absolute(f, project).alias("target"))))
+    some = F.array(
+        one(kind.isin("ide.file.opened", "ide.file.saved", "fs.file.created", "fs.file.renamed"), "file", path), one(kind == "browser.navigation", "url", _meta("url")),
+        one(kind.isin("git.commit", "git.status.summary"), "folder", _meta("worktree")), one(kind.isin("git.branch.checkout", "git.repo.detected"), "folder", F.coalesce(_meta("worktree"), _meta("path"))),
+        one(kind == "ide.workspace.opened", "workspace", _meta("workspacePath")), one(kind.isin(AGENT_TYPES), "workspace", project),
+    )
+    every = F.array_compact(F.concat(some, F.when(kind.isin(AGENT_TYPES) & touched.isNotNull(), touched).otherwise(F.array().cast("array<struct<kind:string,target:string>>"))))
+    long = events.select(*KEYS, "ord", "ts_ms", F.posexplode(every).alias("rank", "r")).select(*KEYS, F.lit(0).alias("last"), "ts_ms", "ord", "rank", "r.*")
+    cwd = events.where(_meta("cwd").isNotNull()).groupBy(*KEYS).agg(F.max_by(_meta("cwd"), F.struct("ts_ms", "ord")).alias("target"))
+    long = long.unionByName(cwd.select(*KEYS, F.lit(1).alias("last"), F.lit(0).cast("bigint").alias("ts_ms"), F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("rank"), F.lit("terminal").alias("kind"), "target"))
+    long = long.withColumn("target", F.trim("target")).where((F.col("target") != "") & ~F.rlike("target", F.lit(THROWAWAY)))
+    at = ["last", "ts_ms", "ord", "rank"]
+    once = long.withColumn("_n", F.row_number().over(Window.partitionBy(*KEYS, "target").orderBy(*at))).where("_n = 1")
     place = F.array_position(F.array(*map(F.lit, RESOURCE_ORDER)), F.col("kind"))
-    once = long.withColumn("_place", place).withColumn("_n", F.row_number().over(Window.partitionBy(*KEYS, F.lower("target")).orderBy("_place", "ts_ms", "ord"))).where("_n = 1")
-    nth = F.row_number().over(Window.partitionBy(*KEYS).orderBy("_place", "ts_ms", "ord"))
+    nth = F.row_number().over(Window.partitionBy(*KEYS).orderBy(place, *at))
     return once.withColumn("nth", nth).where(F.col("nth") <= RESOURCES).select(*KEYS, "nth", "kind", "target")

@@ -360,19 +360,19 @@ def _paths(spark, d):
 
 
 @query(
-    f"""WITH {_PATHS}, roots AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS root FROM paths WHERE page_id % 3 = 0)
+    f"""WITH {_PATHS}, roots AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS root FROM paths)
 SELECT root FROM roots r WHERE root <> '' AND NOT EXISTS (SELECT 1 FROM roots o WHERE starts_with(o.root, r.root || '/'))"""
 )
 def project_roots(spark, d):
-    return H.project_roots(_paths(spark, d).where("page_id % 3 = 0").select(F.regexp_replace("path", "/[^/]*$", "").alias("root")))
+    return H.project_roots(_paths(spark, d).select(F.regexp_replace("path", "/[^/]*$", "").alias("root")))
 
 
 @query(
-    f"""WITH {_PATHS}, roots AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS root FROM paths WHERE page_id % 3 = 0)
+    f"""WITH {_PATHS}, roots AS (SELECT DISTINCT regexp_replace(path, '/[^/]*$', '') AS root FROM paths)
 SELECT page_id, path, (SELECT arg_max(root, length(root)) FROM roots WHERE path = root OR starts_with(path, root || '/')) AS root FROM paths"""
 )
 def path_owner(spark, d):
-    roots = _paths(spark, d).where("page_id % 3 = 0").select(F.regexp_replace("path", "/[^/]*$", "").alias("root")).distinct()
+    roots = _paths(spark, d).select(F.regexp_replace("path", "/[^/]*$", "").alias("root")).distinct()
     return H.owners(_paths(spark, d), roots).select("page_id", "path", "root")
 
 
