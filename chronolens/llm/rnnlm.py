@@ -39,7 +39,8 @@ from .common import fresh_path, staged
 #: The end token is held as a string that no word can be.
 END = "\n"
 HOT, VOCABULARY, CLASS, UNKNOWN = 300_000, 2_048, 32, 64
-BLOCK_TOKENS = 200_000
+#: Tokens of texts that are scored in step, and states that are held until their probabilities are taken.
+BLOCK_TOKENS, HELD_STATES = 500_000, 65_536
 #: The share of the training documents that the network learns from, and documents and tokens of a shard.
 SHARE, SHARD, SHARD_TOKENS = 1.0, 800, 320_000
 #: So many shards are learned from and averaged in one task.
@@ -243,15 +244,17 @@ class GatedLm:
         before = np.concatenate([np.concatenate([[end], texts[i][:-1]]) for i in by_length])
         ids, before = ids[order], before[order]
         active = np.bincount(when)
-        states = np.empty((total, self.h), np.float32)
-        state, at = np.zeros((len(texts), self.h), np.float32), 0
-        for lo in range(0, len(active)):
-            n = active[lo]
+        states, found = np.empty((HELD_STATES + len(texts), self.h), np.float32), np.empty(total)
+        state, at, done = np.zeros((len(texts), self.h), np.float32), 0, 0
+        for n in active.tolist():
             state = self.step(self.w["x"][before[at : at + n]], state[:n])[0]
-            states[at : at + n] = state
+            states[at - done : at - done + n] = state
             at += n
+            if at - done >= HELD_STATES or at == total:
+                found[done:at] = self.log_probabilities(states[: at - done], ids[done:at])
+                done = at
         flat = np.empty(total)
-        flat[order] = self.log_probabilities(states, ids)
+        flat[order] = found
         parts = np.split(flat, np.cumsum(sizes)[:-1])
         out: list = [None] * len(texts)
         for i, part in zip(by_length.tolist(), parts):
