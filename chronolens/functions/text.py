@@ -5,11 +5,8 @@ from __future__ import annotations
 import re
 import unicodedata
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import StringType
 
 #: Shapes that look like issue ids but are none.
 ISSUE_DENYLIST = ["UTF-8", "UTF-16", "HTTP-2", "SHA-1", "SHA-256", "ISO-8601", "RFC-3339"]
@@ -26,15 +23,24 @@ TITLE_STOPWORDS = (
 ).split()
 
 
-@pandas_udf(StringType())
-def fold(text: pd.Series) -> pd.Series:
-    """Lower case without accents. Spark has no function for Unicode's decomposition."""
-    return text.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if not "̀" <= c <= "ͯ").lower())
+def _bare(s: str) -> str:
+    """Decomposed, without the accents U+0300 to U+036F."""
+    return "".join(c for c in unicodedata.normalize("NFD", s) if not "\u0300" <= c <= "\u036f")
+
+
+#: Letters that are one letter and accents, and that letter; then the accents themselves, which go.
+_ACCENTED = [c for c in map(chr, range(0x80, 0x10000)) if not 0xD800 <= ord(c) < 0xE000 and len(_bare(c)) == 1 and _bare(c) != c]
+_FROM, _TO = "".join(_ACCENTED) + "".join(map(chr, range(0x300, 0x370))), "".join(map(_bare, _ACCENTED))
+
+
+def fold(text: Column) -> Column:
+    """Lower case without accents, in the JVM. Letters that aren't one letter and accents when decomposed (Hangul's) stay whole."""
+    return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.lower(F.translate(text, _FROM, _TO)))
 
 
 def fold_text(s: str) -> str:
     """fold() of one string, for questions on the driver."""
-    return "".join(c for c in unicodedata.normalize("NFD", s) if not "̀" <= c <= "ͯ").lower()
+    return s.translate(str.maketrans({**dict(zip(_FROM, _TO)), **dict.fromkeys(_FROM[len(_TO) :], "")})).lower()
 
 
 def slug(folded: Column) -> Column:
@@ -48,7 +54,7 @@ def normalize(text: Column) -> Column:
 
 def tokens(text: Column, folded: Column) -> Column:
     """Words of two characters at least of the folded text, then the parts of camel-case words, each once."""
-    plain = F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 2)
+    plain = F.filter(F.split(folded, r"[^\p{L}\p{N}]+"), lambda t: (F.length(t) >= 2) | F.rlike(t, F.lit("[\uac00-\ud7a3]")))
     humps = F.flatten(F.transform(F.split(text, r"[^\p{L}\p{N}]+"), lambda w: F.when(F.rlike(w, F.lit("[a-z0-9][A-Z]")), F.split(w, "(?<=[a-z0-9])(?=[A-Z])")).otherwise(F.array().cast("array<string>"))))
     parts = F.filter(F.transform(humps, F.lower), lambda t: F.length(t) >= 2)
     return F.array_distinct(F.concat(plain, parts))
@@ -86,9 +92,8 @@ def title_phrases(title: Column) -> Column:
     return F.concat(F.filter(words, lambda w: F.length(w) >= 4), pairs)
 
 
-def pretty(s: str | None) -> str | None:
+def pretty(name: Column) -> Column:
     """A branch or document name for people: no kind prefix, blanks for separators, capital letters at ASCII word starts."""
-    if s is None:
-        return None
-    s = re.sub(r"[-_/]+", " ", re.sub(r"^(fix|feat|chore|refactor|investigate)/", "", s))
-    return re.sub(r"\b\w", lambda m: m.group().upper(), s, flags=re.ASCII)
+    bare = F.regexp_replace(F.regexp_replace(name, "^(fix|feat|chore|refactor|investigate)/", ""), "[-_/]+", " ")
+    words = F.split(bare, "(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])")
+    return F.array_join(F.transform(words, lambda w: F.when(F.rlike(w, F.lit("^[a-z]")), F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 1 << 30))).otherwise(w)), "")

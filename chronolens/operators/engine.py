@@ -6,10 +6,11 @@ group bounded by what one person does in a day. Everything around it (anchors, k
 
 from __future__ import annotations
 
-import json
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
+from itertools import groupby
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -39,26 +40,30 @@ class EngineConfig:
 Anchor = tuple[str, str, float]  # type, norm, confidence
 
 
-def _match(a: Anchor, b: Anchor) -> bool:
-    """Asymmetric: whether equal norms of different types match depends on a's type alone."""
-    if a[1] == b[1] and (a[0] == b[0] or a[0] in A.LOOSE):
-        return True
-    if a[0] in A.LOOSE and b[0] in A.LOOSE:
-        return bool({p for p in a[1].split("-") if len(p) >= 4} & {p for p in b[1].split("-") if len(p) >= 4})
-    return False
+@lru_cache(maxsize=65_536)
+def _parts(norm: str) -> frozenset[str]:
+    return frozenset(p for p in norm.split("-") if len(p) >= 4)
 
 
-def _shared(xs: list[Anchor], ys: list[Anchor]) -> list[Anchor]:
-    return [a for a in xs if any(_match(a, b) for b in ys)]
+class View:
+    """Anchors as sets, for matching others against them. Whether equal norms of different types match depends on the other's type alone."""
 
+    def __init__(self, anchors: list[Anchor]):
+        self.exact = {(kind, norm) for kind, norm, _ in anchors}
+        self.norms = {norm for _, norm, _ in anchors}
+        self.parts = set().union(*(_parts(norm) for kind, norm, _ in anchors if kind in A.LOOSE))
+        self.identity = {kind: {norm for k, norm, _ in anchors if k == kind} for kind in A.IDENTITY}
 
-def _conflict(xs: list[Anchor], ys: list[Anchor]) -> bool:
-    """Both sides have an identity of one type and none of it matches."""
-    for kind in A.IDENTITY:
-        here, there = [a for a in xs if a[0] == kind], [b for b in ys if b[0] == kind]
-        if here and there and not _shared(here, there):
-            return True
-    return False
+    def holds(self, a: Anchor) -> bool:
+        return (a[0], a[1]) in self.exact or a[0] in A.LOOSE and (a[1] in self.norms or not self.parts.isdisjoint(_parts(a[1])))
+
+    def conflicts(self, other: View) -> bool:
+        """Both sides have an identity of one type and none of it is the same."""
+        return any(mine and other.identity[kind] and mine.isdisjoint(other.identity[kind]) for kind, mine in self.identity.items())
+
+
+def _shared(xs: list[Anchor], ys: View) -> list[Anchor]:
+    return [a for a in xs if ys.holds(a)]
 
 
 def _strength(a: Anchor) -> str:
@@ -77,14 +82,22 @@ class Group:
     anchors: dict[tuple[str, str], float] = field(default_factory=dict)
     anchored: int = 0
     members: list[int] = field(default_factory=list)
+    _view: View | None = None
 
     def listed(self) -> list[Anchor]:
         return [(t, n, c) for (t, n), c in self.anchors.items()]
 
+    def view(self) -> View:
+        if self._view is None:
+            self._view = View(self.listed())
+        return self._view
+
     def take(self, start: int, end: int, apps, anchors) -> None:
         self.start, self.end = min(self.start, start), max(self.end, end)
         self.apps.update(dict.fromkeys(apps))
         for kind, norm, c in anchors:
+            if (kind, norm) not in self.anchors:
+                self._view = None
             self.anchors[kind, norm] = max(c, self.anchors.get((kind, norm), 0.0))
 
 
@@ -98,8 +111,9 @@ def activities(events: list[dict], config: EngineConfig) -> list[Group]:
             continue
         if now:
             recent = list({(a[0], a[1]): a for k in reversed(now.events[-3:]) for a in events[k]["anchors"]}.values())
-            held = bool(_shared(e["anchors"], recent)) or e["app"] in now.apps
-            if e["ts"] - now.end > config.activity_gap or e["end"] - now.start > config.activity_longest or _conflict(e["anchors"], recent) or not held:
+            seen = View(recent)
+            held = e["app"] in now.apps or any(map(seen.holds, e["anchors"]))
+            if e["ts"] - now.end > config.activity_gap or e["end"] - now.start > config.activity_longest or not held or View(e["anchors"]).conflicts(seen):
                 now = None
         if now is None:
             now = Group(len(done) + 1, e["ts"], e["end"])
@@ -112,15 +126,15 @@ def activities(events: list[dict], config: EngineConfig) -> list[Group]:
 
 def affinity(act: Group, ctx: Group, config: EngineConfig, continues: bool) -> float:
     """How well an activity fits a context; continues: the context holds the activity before, and its last application goes on."""
-    mine, theirs = act.listed(), ctx.listed()
+    mine, theirs = act.listed(), ctx.view()
     shared = _shared(mine, theirs)
     kinds = {_strength(a) for a in shared}
-    if "strong" not in kinds and _conflict(mine, theirs):
+    if "strong" not in kinds and act.view().conflicts(theirs):
         return 0.0
     gap = max(0, act.start - ctx.end)
     if not shared:
         if not mine:
-            drift = max(0, act.end - ctx.anchored) if theirs else gap
+            drift = max(0, act.end - ctx.anchored) if ctx.anchors else gap
             return config.threshold * (1 - drift / config.drift) if drift < config.drift else 0.0
         return config.threshold if continues and gap < config.continuation else 0.0
     weak = len({a[1] for a in shared if _strength(a) == "weak"})
@@ -157,15 +171,18 @@ def contexts(acts: list[Group], config: EngineConfig) -> list[Group]:
         best.members.append(act.number)
         before = (best, list(act.apps)[-1])
 
-    def merge() -> bool:
-        for i, a in enumerate(found):
-            for j in range(i + 1, len(found)):
-                b = found[j]
-                if _shared(a.listed(), b.listed()) and not _conflict(a.listed(), b.listed()):
-                    _absorb(a, b)
-                    del found[j]
-                    return True
-        return False
+    def fits(a: Group, b: Group) -> bool:
+        return any(map(b.view().holds, a.listed())) and not a.view().conflicts(b.view())
+
+    i = 0
+    while i < len(found):  # the first pair that fits is joined, until none does; only pairs with what has changed are looked at again
+        j = next((j for j in range(i + 1, len(found)) if fits(found[i], found[j])), None)
+        if j is None:
+            i += 1
+            continue
+        _absorb(found[i], found[j])
+        del found[j]
+        i = next((k for k in range(i) if fits(found[k], found[i])), i)
 
     def bracket() -> bool:
         for i, inner in enumerate(found):
@@ -177,29 +194,18 @@ def contexts(acts: list[Group], config: EngineConfig) -> list[Group]:
                     return True
         return False
 
-    while merge():
-        pass
     while bracket():
         pass
     return found
 
 
-def group_day(rows: pd.DataFrame, config: EngineConfig) -> pd.DataFrame:
-    """The grouped map: ord, activity, context (null: in none), context_ord for each event of one day."""
-    rows = rows.sort_values(["ts_ms", "ord"], kind="stable").reset_index(drop=True)
-    events = [
-        {"ts": int(t), "end": int(t if pd.isna(e) else e), "type": k, "app": a, "anchors": [tuple(x) for x in json.loads(j or "[]")]}
-        for t, e, k, a, j in zip(rows["ts_ms"], rows["end_ms"], rows["type"], rows["app_name"], rows["anchors"])
-    ]
+def group_day(events: list[dict], config: EngineConfig) -> list[tuple[int | None, int | None]]:
+    """(activity, context; null: in none) for each event of one day, in order."""
     acts = activities(events, config)
     kept = [c for c in contexts(acts, config) if len(c.events) >= config.least_events]
     activity = {i: a.number for a in acts for i in a.events}
     context = {i: c.number for c in kept for i in c.events}
-    at = range(len(rows))
-    out = rows[["session_id", "work_day", "ord"]].copy()
-    out["activity"] = pd.array([activity.get(i) for i in at], "Int64")
-    out["context"] = pd.array([context.get(i) for i in at], "Int64")
-    return out
+    return [(activity.get(i), context.get(i)) for i in range(len(events))]
 
 
 def app_name(events: DataFrame) -> F.Column:
@@ -210,24 +216,49 @@ def app_name(events: DataFrame) -> F.Column:
     return name
 
 
-def assignments(events: DataFrame, config: EngineConfig = EngineConfig()) -> DataFrame:
-    """session_id, work_day, ord, activity, context for every event. Hard boundaries have neither; events of too small contexts have no context."""
-    anchors = A.with_keywords(A.event_anchors(events), events)
-    listed = anchors.groupBy(*KEYS, "ord").agg(F.to_json(F.transform(F.array_sort(F.collect_list(F.struct("rank", "type", "norm", "confidence"))), lambda a: F.array(a["type"], a["norm"], a["confidence"].cast("string")))).alias("anchors"))
+def assignments(events: DataFrame, config: EngineConfig = EngineConfig(), anchors: DataFrame | None = None) -> DataFrame:
+    """session_id, work_day, ord, activity, context for every event. Hard boundaries have neither; events of too small contexts have no context.
+
+    Days come sorted in Arrow batches of many days each; the one that is open is held, whichever batches it lies in. anchors: all_anchors(events), if they are at hand."""
+    anchors = all_anchors(events) if anchors is None else anchors
+    listed = anchors.groupBy(*KEYS, "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "type", "norm", "confidence"))), lambda a: F.struct(a["type"].alias("type"), a["norm"].alias("norm"), a["confidence"].cast("double").alias("c"))).alias("anchors"))
     frame = events.withColumn("app_name", app_name(events)).join(listed, [*KEYS, "ord"], "left").select(*KEYS, "ord", "ts_ms", "end_ms", "type", "app_name", "anchors")
     kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
     schema = f"session_id {kinds['session_id']}, work_day {kinds['work_day']}, ord {kinds['ord']}, activity long, context long"
-    return frame.groupBy(*KEYS).applyInPandas(lambda rows: group_day(_typed(rows), config), schema)
 
+    def fold(batches):
+        def rows():
+            for b in batches:
+                yield from zip(b.column(0), b.column(1), b.column(2), *(b.column(i).to_pylist() for i in range(3, 8)))
 
-def _typed(rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.copy()
-    rows["anchors"] = rows["anchors"].map(lambda j: None if not isinstance(j, str) else json.dumps([[t, n, float(c)] for t, n, c in json.loads(j)]))
-    return rows
+        out: list = []
+        for (session, day), group in groupby(rows(), key=lambda r: (r[0], r[1])):
+            held = list(group)
+            own = [{"ts": t, "end": t if e is None else e, "type": k, "app": a, "anchors": [(x["type"], x["norm"], x["c"]) for x in anchors or []]} for _, _, _, t, e, k, a, anchors in held]
+            out += [(session, day, r[2], *found) for r, found in zip(held, group_day(own, config))]
+            if len(out) >= 10_000:
+                yield _batch(out, kinds)
+                out = []
+        if out:
+            yield _batch(out, kinds)
 
+    return frame.repartition(*KEYS).sortWithinPartitions(*KEYS, "ts_ms", "ord").mapInArrow(fold, schema)
 
-def contexts_frame(events: DataFrame, assigned: DataFrame) -> DataFrame:
-    """One row a context: session_id, work_day, context, start, end, n_events, active_ms, label, fallback, repository, branch, project, issue, confidence, key, ord, tz."""
+
+def _batch(rows: list[tuple], kinds: dict[str, str]) -> pa.RecordBatch:
+    first, second, third, activity, context = zip(*rows)
+    scalars = [pa.array([x.as_py() for x in column], column[0].type) for column in (first, second, third)]
+    return pa.RecordBatch.from_arrays([*scalars, pa.array(activity, pa.int64()), pa.array(context, pa.int64())], names=["session_id", "work_day", "ord", "activity", "context"])
+
+
+def all_anchors(events: DataFrame) -> DataFrame:
+    return A.with_keywords(A.event_anchors(events), events)
+
+
+def contexts_frame(events: DataFrame, assigned: DataFrame, anchors: DataFrame | None = None) -> DataFrame:
+    """anchors: all_anchors(events), if they are at hand. Both are read several times: stage() what is not a table yet.
+
+    One row a context: session_id, work_day, context, start, end, n_events, active_ms, label, fallback, repository, branch, project, issue, confidence, key, ord, tz."""
     on = [*KEYS, "ord"]
     rows = events.withColumn("app_name", app_name(events)).join(assigned.where(F.col("context").isNotNull()), on)
     by = [*KEYS, "context"]
@@ -238,14 +269,13 @@ def contexts_frame(events: DataFrame, assigned: DataFrame) -> DataFrame:
     )
     spans = rows.groupBy(*by, "activity").agg(F.min("ts_ms").alias("start"), F.max(end).alias("end"))
     active = covered_ms(spans, by).withColumnRenamed("covered_ms", "active_ms")
-    all_anchors = A.with_keywords(A.event_anchors(events), events)
-    held = all_anchors.join(assigned.where(F.col("context").isNotNull()), on)
+    anchors = all_anchors(events) if anchors is None else anchors
+    held = anchors.join(assigned.where(F.col("context").isNotNull()), on)
     best = lambda kind: F.max_by(F.when(F.col("type") == kind, F.col("value")), F.when(F.col("type") == kind, F.struct(F.col("confidence"), -F.col("ord"), -F.col("rank")))).alias(kind)
     named = held.groupBy(*by).agg(*[best(k) for k in ("issue", "document", "branch", "repository", "project")], F.countDistinct(F.when(F.col("type").isin(A.STRONG), F.struct("type", "norm"))).alias("strong"))
-    topic = subjects_of(events, assigned, all_anchors)
-    tidy = F.udf(pretty, "string")  # one call a context, on a name
+    topic = subjects_of(events, assigned, anchors)
     out = base.join(active, by).join(named, by, "left").join(topic, by, "left")
-    subject = tidy(F.coalesce("topic", "branch", "document"))
+    subject = pretty(F.coalesce("topic", "branch", "document"))
     label = F.when(F.col("issue").isNotNull() & subject.isNotNull(), F.concat(subject, F.lit(" ("), F.col("issue"), F.lit(")"))).otherwise(F.coalesce("issue", subject))
     out = out.withColumn("_label", label).withColumn("fallback", F.col("_label").isNull()).withColumn("label", F.coalesce("_label", "first_app"))
     confidence = F.least(F.lit(1.0), 0.3 + 0.25 * F.least(F.coalesce("strong", F.lit(0)), F.lit(2)) + 0.1 * F.least("apps", F.lit(4)))
@@ -267,3 +297,28 @@ def subjects_of(events: DataFrame, assigned: DataFrame, anchors: DataFrame) -> D
 
 def with_config(**changes) -> EngineConfig:
     return replace(EngineConfig(), **changes)
+
+
+def label_activities(events: DataFrame, assigned: DataFrame, anchors: DataFrame) -> DataFrame:
+    """KEYS, activity, label: the first strong, else medium, else keyword anchor's value and the first application; the application alone without any."""
+    on = [*KEYS, "ord"]
+    acts = events.withColumn("app_name", app_name(events)).join(assigned.where(F.col("activity").isNotNull()), on)
+    first = acts.groupBy(*KEYS, "activity").agg(F.min_by("app_name", F.struct("ts_ms", "ord")).alias("app_name"))
+    tier = F.when(F.col("type").isin(A.STRONG), 0).when(F.col("type").isin(A.MEDIUM), 1).when(F.col("type") == "keyword", 2)
+    held = anchors.join(acts.select(*on, "activity", "ts_ms"), on).withColumn("tier", tier).where(F.col("tier").isNotNull())
+    named = held.groupBy(*KEYS, "activity").agg(F.min_by("value", F.struct("tier", "ts_ms", "ord", "rank")).alias("value"))
+    return first.join(named, [*KEYS, "activity"], "left").select(*KEYS, "activity", F.concat_ws(" — ", "value", "app_name").alias("label"))
+
+
+def ordered(contexts_: DataFrame) -> DataFrame:
+    """contexts with a column place: of each day those of most activity first, older numbers before newer ones."""
+    return contexts_.withColumn("place", F.row_number().over(Window.partitionBy(*KEYS).orderBy(F.desc("active_ms"), "context")))
+
+
+def timeline_blocks(events: DataFrame, assigned: DataFrame) -> DataFrame:
+    """KEYS, context, block, activity, ords: a context's activities, the newest first, each with its events from new to old."""
+    rows = events.join(assigned.where(F.col("context").isNotNull()), [*KEYS, "ord"])
+    newest = F.transform(F.sort_array(F.collect_list(F.struct("ts_ms", "ord")), False), lambda x: x["ord"])
+    blocks = rows.groupBy(*KEYS, "context", "activity").agg(newest.alias("ords"), F.max(F.struct("ts_ms", "ord")).alias("last"))
+    block = F.row_number().over(Window.partitionBy(*KEYS, "context").orderBy(F.desc("last")))
+    return blocks.withColumn("block", block).select(*KEYS, "context", "block", "activity", "ords")

@@ -70,3 +70,27 @@ PREDICTORS = {
     "time-gap": lambda e: gap_buckets(e, ["session_id"], 15 * 60_000).select("session_id", "ref", F.col("bucket").cast("string").alias("cluster")),
     "repository-and-gap": lambda e: repo_gap_buckets(e, ["session_id"], 15 * 60_000).select("session_id", "ref", F.col("bucket").cast("string").alias("cluster")),
 }
+
+
+def oracle(truth: DataFrame) -> DataFrame:
+    """The labels as a prediction."""
+    return truth.select("session_id", "ref", F.col("tag").cast("string").alias("cluster"))
+
+
+def from_assignments(events: DataFrame, assigned: DataFrame) -> DataFrame:
+    """The grouping engine's contexts as a prediction; events in none have a null cluster. events: session_id, work_day, ord, ref."""
+    on = ["session_id", "work_day", "ord"]
+    held = events.select(*on, "ref").join(assigned.select(*on, "context"), on, "left")
+    return held.select("session_id", "ref", F.concat_ws(".", F.col("work_day").cast("string"), F.when(F.col("context").isNotNull(), F.col("context").cast("string"))).alias("c"), "context").select("session_id", "ref", F.when(F.col("context").isNotNull(), F.col("c")).alias("cluster"))
+
+
+def summary(truth: DataFrame, predictions: dict[str, DataFrame], sessions: str | None = None) -> DataFrame:
+    """predictor, sessions, f1, false_merge, false_split, ari: means over the sessions, of those whose name holds the text given."""
+    if sessions is not None:
+        truth = truth.where(F.contains("session_id", F.lit(sessions)))
+    out = None
+    for name, predicted in predictions.items():
+        means = pairwise(contingency(truth, predicted)).agg(F.count("*").alias("sessions"), *[F.avg(c).alias(c) for c in ("f1", "false_merge", "false_split", "ari")])
+        means = means.select(F.lit(name).alias("predictor"), "*")
+        out = means if out is None else out.union(means)
+    return out

@@ -5,8 +5,10 @@ Detectors run in order, each on the output of the one before. A text that can't
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +45,13 @@ ALLOWED_SHAPES = [
 ENTROPY_LEAST, ENTROPY_MOST, ENTROPY_BITS = 20, 200, 4.0
 
 
+#: What every detector's match holds; texts without it aren't looked at further.
+GUARD = (
+    r"PRIVATE KEY|sk-|[sr]k_(?:live|test)_|whsec_|gh[pousr]_|github_pat_|glpat-|npm_|xox[baprs]-|SG\.|A(?:KIA|SIA|IDA|ROA|GPA|NPA)|AIza|eyJ|://[^\s/:@]{1,128}:|"
+    r"(?i:authorization|secret|token|password|passwd|api[-_]?key|access_key|private_key|credential)"
+)
+
+
 def redact(df: DataFrame, column: str, extra: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """df with the column redacted, redaction_applied (ids, in order), redaction_count and redaction_ok. Null counts as empty.
 
@@ -51,7 +60,10 @@ def redact(df: DataFrame, column: str, extra: list[tuple[str, str, str]] | None
     state = F.array(start)  # of one element, so that each step's lambda names the state once and the expression stays small
     for name, pattern, replacement in [*DETECTORS, *(extra or [])]:
         state = F.transform(state, _step(name, pattern, replacement))
-    out = df.withColumn("_state", F.element_at(state, 1))
+    looked = F.element_at(state, 1)
+    if not extra:
+        looked = F.when(F.rlike(F.coalesce(F.col(column), F.lit("")), F.lit(GUARD)), looked).otherwise(start)
+    out = df.withColumn("_state", looked)
     done = {column: F.col("_state.text"), "redaction_applied": F.col("_state.applied"), "redaction_count": F.col("_state.count"), "redaction_ok": F.col("_state.text").isNotNull()}
     return out.withColumns(done).drop("_state")
 
@@ -78,6 +90,49 @@ def redact_fields(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.drop(*[f"_{k}{i}" for i in stamps for k in ("applied", "count", "ok")])
 
 
+def _python_detectors(extra: list[tuple[str, str, str]]):
+    return [(name, re.compile(pattern), re.sub(r"\$(\d)", r"\\\1", replacement)) for name, pattern, replacement in [*DETECTORS, *extra]]
+
+
+def redact_json(df: DataFrame, column: str, extra: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """df with every string inside a column of JSON text redacted, however deep, keys left as they are; stamps as redact() gives, ids of all strings united in the detectors' order.
+
+    Text that isn't JSON, null included, has redaction_ok = false and a null value: it is to be dropped. Escapes make expressions on the raw text unsafe, so the value is parsed, in Arrow batches."""
+    import json
+
+    extra = extra or []
+
+    @F.pandas_udf("text string, applied array<string>, count int")
+    def walk(values: pd.Series) -> pd.DataFrame:
+        detectors, guard = _python_detectors(extra), re.compile(GUARD)
+
+        def clean(x, seen):
+            if isinstance(x, dict):
+                return {k: clean(v, seen) for k, v in x.items()}
+            if isinstance(x, list):
+                return [clean(v, seen) for v in x]
+            if isinstance(x, str) and (extra or guard.search(x)):
+                for i, (_, pattern, replacement) in enumerate(detectors):
+                    x, n = pattern.subn(replacement, x)
+                    if n:
+                        seen[i] = seen.get(i, 0) + n
+            return x
+
+        out = []
+        for text in values:
+            seen: dict[int, int] = {}
+            try:
+                done = json.dumps(clean(json.loads(text), seen), ensure_ascii=False, separators=(",", ":"))
+            except (TypeError, ValueError, RecursionError):
+                done = None
+            out.append((done, [detectors[i][0] for i in sorted(seen)], sum(seen.values())))
+        return pd.DataFrame(out, columns=["text", "applied", "count"])
+
+    out = df.withColumn("_state", walk(F.col(column)))
+    done = {column: F.col("_state.text"), "redaction_applied": F.col("_state.applied"), "redaction_count": F.col("_state.count"), "redaction_ok": F.col("_state.text").isNotNull()}
+    return out.withColumns(done).drop("_state")
+
+
 def storable(df: DataFrame) -> DataFrame:
     """Only rows with a good stamp may be written."""
     return df.where(F.coalesce("redaction_ok", F.lit(False)))

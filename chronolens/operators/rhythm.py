@@ -131,3 +131,9 @@ def lunch_hour(events: DataFrame) -> DataFrame:
     hours = found.groupBy("session_id").agg(F.array_sort(F.collect_list("hour")).alias("h"))
     picked = hours.select("session_id", F.when(F.size("h") >= 3, F.get("h", F.floor(F.size("h") / 2).cast("int"))).otherwise(12).alias("hour"))
     return events.select("session_id").distinct().join(picked, "session_id", "left").select("session_id", F.coalesce("hour", F.lit(12)).alias("hour"))
+
+
+def predicted(contexts: DataFrame, now_ms: int, at_hour: int, usual_return: DataFrame | None = None, limit: int = 3) -> dict[str, DataFrame]:
+    """What the history of contexts says for now, each part as a frame: rhythm, interruptions, suggestions by the hour alone (nothing is known of what went before) and drift."""
+    current = contexts.select("session_id").distinct().withColumn("from_key", F.lit(None).cast("string"))
+    return {"rhythm": day_rhythm(contexts), "interruptions": interruptions(contexts), "suggestions": suggest_next(contexts, current, at_hour, limit), "drift": detect_drift(contexts, now_ms, usual_return)}

@@ -562,10 +562,12 @@ def engine_assignments(spark, d):
 
 @query(None)
 def engine_contexts(spark, d):
-    from ..operators.engine import assignments, contexts_frame, with_config
+    from ..operators.engine import all_anchors, assignments, contexts_frame, with_config
+    from ..sources.staging import staged
 
     e = engine_events(spark, d)
-    return contexts_frame(e, assignments(e, with_config(activity_gap=6 * HOUR, activity_longest=24 * HOUR)))
+    anchors = staged(all_anchors(e), "anchors")
+    return contexts_frame(e, staged(assignments(e, with_config(activity_gap=6 * HOUR, activity_longest=24 * HOUR), anchors), "assigned"), anchors)
 
 
 def engine_events(spark, d):

@@ -6,10 +6,12 @@ file is (offset of its block, number in the block), which orders lines however S
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.events import reflog_action
+from ..functions.text import leaf
+from ..operators.intervals import bursts
 
 #: Fields of an agent's session record that may be read.
 AGENT_RECORD = "type string, sessionId string, timestamp string, cwd string, gitBranch string, version string, isSidechain boolean, aiTitle string, agentName string, trackingPath string, message struct<content string>"
@@ -58,6 +60,69 @@ def agent_sessions(spark: SparkSession, path: str) -> DataFrame:
     return out.join(tools, "file", "left").withColumn("tools", F.coalesce("tools", F.array().cast("array<struct<name:string,calls:bigint>>")))
 
 
+#: Fields of a rollout's record that may be read.
+ROLLOUT_RECORD = (
+    "timestamp string, type string, payload struct<type: string, id: string, cwd: string, cli_version: string, source: string, model: string, name: string, "
+    "item: struct<type: string, changes: map<string, string>, server: string>>"
+)
+
+
+def rollouts(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each rollout file (plain or compressed, as Hadoop's codecs read it): session_id, cwd, version and subagent of its first session_meta, models, tools (name, calls), files, tool_calls, first_ms, last_ms, stamps.
+
+    Only the first session_meta describes the thread: a sub-agent's file repeats its parent's. Its cwd, if absent, is a later turn's."""
+    rows = json_lines(spark, path, ROLLOUT_RECORD).where("ok").withColumn("ms", F.unix_millis(F.try_to_timestamp("timestamp")))
+    meta = F.when(F.col("type") == "session_meta", F.col("at"))
+    turn = F.col("type") == "turn_context"
+    call = (F.col("type") == "response_item") & F.col("payload.type").isin("function_call", "custom_tool_call")
+    done = (F.col("type") == "event_msg") & (F.col("payload.type") == "item_completed")
+    name = F.when(call, F.col("payload.name")).when(done & (F.col("payload.item.type") == "McpToolCall"), F.concat(F.lit("mcp:"), F.coalesce("payload.item.server", F.lit(""))))
+    used = rows.select("file", name.alias("name")).where("name is not null").groupBy("file", "name").agg(F.count("*").alias("calls"))
+    tools = used.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("calls")).alias("n"), "name"))), lambda x: F.struct(x["name"].alias("name"), (-x["n"]).alias("calls"))).alias("tools"), F.sum("calls").alias("tool_calls"))
+    changed = F.when(done & (F.col("payload.item.type") == "FileChange"), F.map_keys("payload.item.changes"))
+    files = rows.select("file", "at", F.explode(changed).alias("name")).groupBy("file", "name").agg(F.min("at").alias("at")).groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("files"))
+    out = rows.groupBy("file").agg(
+        F.min_by("payload.id", meta).alias("session_id"), F.coalesce(F.min_by("payload.cwd", meta), F.min_by("payload.cwd", F.when(turn & F.col("payload.cwd").isNotNull(), F.col("at")))).alias("cwd"),
+        F.min_by("payload.cli_version", meta).alias("version"), F.coalesce(F.min_by(F.startswith("payload.source", F.lit("{")), meta), F.lit(False)).alias("subagent"),
+        F.array_sort(F.collect_set(F.when(turn, F.col("payload.model")))).alias("models"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"), F.count("ms").alias("stamps"),
+    )
+    out = out.join(tools, "file", "left").join(files, "file", "left")
+    none = {"tools": "array<struct<name:string,calls:bigint>>", "files": "array<string>"}
+    return out.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in none.items()}).withColumn("tool_calls", F.coalesce("tool_calls", F.lit(0)))
+
+
+def agent_events(sessions: DataFrame, stamps: DataFrame, gap_ms: int, tools: int = 8) -> DataFrame:
+    """Events of agent sessions, one for each burst: file, start, end, title, tool_list, tool_calls.
+
+    sessions: file, title, cwd, tools, first_ms, last_ms; stamps: file, ms. A burst ends where no stamp follows within gap_ms; without stamps the whole span is one.
+    The totals (the `tools` most used as name×calls) stand at the last burst only, so that sums over events count once. Sessions without calls are left out."""
+    calls = F.aggregate("tools", F.lit(0).cast("bigint"), lambda n, t: n + t["calls"])
+    named = F.transform(F.slice("tools", 1, tools), lambda t: F.concat(t["name"], F.lit("×"), t["calls"].cast("string")))
+    kept = sessions.withColumns({"tool_calls": calls, "tool_list": named}).where("tool_calls > 0 and first_ms is not null")
+    runs = bursts(stamps.where("ms is not null").select("file", F.col("ms").alias("ts_ms")), ["file"], gap_ms).drop("n")
+    last = runs.groupBy("file").agg(F.max("start").alias("_last"))
+    rows = kept.join(runs.join(last, "file"), "file", "left")
+    final = F.col("_last").isNull() | (F.col("start") == F.col("_last"))
+    title = F.coalesce("title", F.concat(F.lit("Agent — "), F.coalesce(leaf(F.col("cwd")), F.lit(""))))
+    return rows.select(
+        "file", F.coalesce("start", "first_ms").alias("start"), F.coalesce("end", "last_ms").alias("end"), title.alias("title"),
+        F.when(final, F.col("tool_list")).alias("tool_list"), F.when(final, F.col("tool_calls")).alias("tool_calls"),
+    )
+
+
+def to_sessions(events: DataFrame, keys: list[str]) -> DataFrame:
+    """Stored events as sessions: ref (numbered by time within keys), tz of the session's first event, repository lifted from the metadata; metadata that is no JSON object is {}."""
+    tidy = F.when(F.coalesce(F.rlike(F.trim("metadata"), F.lit(r"(?s)^\{.*\}$")), F.lit(False)) & F.col("metadata").isNotNull() & F.from_json("metadata", "map<string,string>").isNotNull(), F.col("metadata")).otherwise("{}")
+    by = Window.partitionBy(*keys).orderBy("ts_ms", "ord")
+    out = events.withColumn("metadata", tidy).withColumn("ref", F.concat_ws("-", *[F.col(k).cast("string") for k in keys], F.lpad((F.row_number().over(by) - 1).cast("string"), 5, "0")))
+    return out.withColumns({"tz": F.first("tz").over(by), "repository": F.coalesce(F.nullif(F.get_json_object("metadata", "$.repository"), F.lit("")), F.col("repository"))})
+
+
+def write_snapshot(events: DataFrame, path: str) -> None:
+    """A snapshot of events as JSON lines."""
+    events.write.mode("overwrite").json(path)
+
+
 def thread_names(spark: SparkSession, path: str) -> DataFrame:
     """id, thread_name: the last entry of each id that has a name."""
     rows = json_lines(spark, path, "id string, thread_name string").where("ok and id is not null and trim(thread_name) <> ''")
@@ -81,8 +146,6 @@ def shell_commands(spark: SparkSession, path: str, now_ms: int | None = None) ->
 
 def reflog(spark: SparkSession, path: str, now_ms: int | None = None, days: int = 7, newest: int = 50) -> DataFrame:
     """Reflog lines: file, at, ts_ms, tz, kind, text, from, to. With now_ms only what a first sight takes in: the last `days` and, of each file, the `newest`."""
-    from pyspark.sql import Window
-
     stamp = F.regexp_extract("value", r"> (\d+) ([+-]\d{4})\t", 1).try_cast("long") * 1000
     zone = F.regexp_extract("value", r"> \d+ ([+-]\d{4})\t", 1)
     minutes = F.concat(F.substring(zone, 1, 1), F.lit("1")).try_cast("int") * (F.substring(zone, 2, 2).try_cast("int") * 60 + F.substring(zone, 4, 2).try_cast("int"))

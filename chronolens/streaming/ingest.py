@@ -5,7 +5,6 @@ State is kept by stream (one device or shell) and is a few values; late data is
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -15,6 +14,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions.events import span_importance, title_key
 from ..functions.time import work_day
+from ..operators.intervals import pause_gate
+from ..sources.staging import fresh_path
 
 IDLE_MS = 5 * 60_000
 LATE = "6 hours"
@@ -113,18 +114,19 @@ def recomputed(store: Callable[[], DataFrame], compute: Callable[[DataFrame], Da
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives for all that is there now: written to the shared folder in append mode, and read back."""
     spark: SparkSession = stream.sparkSession
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        import tempfile
-
-        shared = "file://" + tempfile.mkdtemp(prefix="chronolens-stream-")
-        spark.conf.set("spark.checkpoint.dir", shared)
-    root = f"{shared.rstrip('/')}/chronolens/stream-{name}-{uuid.uuid4().hex}"
+    root = fresh_path(spark, f"stream-{name}")
     started = stream.writeStream.format("parquet").option("checkpointLocation", f"{root}/state").outputMode("append").trigger(availableNow=True).start(f"{root}/rows")
     started.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{root}/rows")
 
 
+def outside_pauses(stream: DataFrame, pauses: DataFrame, keys: list[str]) -> DataFrame:
+    """The stream without events inside a pause (keys, from_ms, until_ms; null until_ms: still paused). They are read and dropped, so that nothing arrives late when the pause ends.
+
+    pauses is a table: each batch sees it as it is then. The anti-join is stream against table, an equi-join on keys."""
+    return pause_gate(stream, pauses, keys)
+
+
 def latest_before(samples: DataFrame, keys: list[str]) -> DataFrame:
     """The newest sample of each key, by ts_ms then ord."""
     by = Window.partitionBy(*keys).orderBy(F.desc("ts_ms"), F.desc("ord"))
