@@ -5,8 +5,8 @@ are fitted to the gradient of the logistic loss, one feature after the other; a
 table, so that a text's score is a sum of table entries. Then the pairs of features whose two-way trees gain most get tables
 of their own in the same way. Scoring is vectorised bin lookup and addition.
 
-Learning uses labelled rows only, at most `limit` of them (the smallest by a hash of doc_id; a bounded sample), of which just the
-features come to the driver. Rows without a label, or whose label is null, teach nothing. If no rows or only one class
+Learning uses labelled rows only, at most `limit` labels (the smallest by a hash of doc_id; a bounded sample) and 2 * `limit` rows that they
+label (the smallest by a hash of doc_id and text, as a repeated doc_id has many), of which just the features come to the driver. Rows without a label, or whose label is null, teach nothing. If no rows or only one class
 is there to learn from, the model is the (smoothed) share of label 1.
 
 Nulls: a null text counts as empty, and an empty text has a score as any other. Repeated rows get a row each; with repeated labels for
@@ -154,9 +154,11 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, limit: int = 20_
     rows = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & learn_from).select("doc_id", F.col("quality").cast("double").alias("y"))
     some = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "y").limit(limit)
     joined = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")  # `limit` rows of two numbers at most
-    got = with_features(joined, ["doc_id", "y"]).toPandas().sort_values(["doc_id", "y"], kind="stable")
+    order = F.xxhash64("doc_id", F.col("__row"))
+    named = joined.withColumn("__row", F.xxhash64("text"))
+    got = with_features(named, ["doc_id", "y", "__row"]).orderBy(order, "doc_id", "__row", "y").limit(2 * limit).toPandas().sort_values(["doc_id", "y", "__row"], kind="stable")
     x = np.array(got["features"].tolist(), float).reshape(len(got), len(FEATURES))
-    return PairwiseGam().fit(x[: 2 * limit], (got["y"].to_numpy() > 0.5).astype(float)[: 2 * limit])
+    return PairwiseGam().fit(x, (got["y"].to_numpy() > 0.5).astype(float))
 
 
 def scored(docs: DataFrame, model: PairwiseGam, columns: list[str], threshold: float = 0.3) -> DataFrame:
