@@ -582,5 +582,5 @@ def stream_ingest(spark, d):
     schema = table(spark, d, "events").schema
     e = spark.readStream.schema(schema).parquet(f"{d}/events.parquet*").withColumn("ts", F.col("ts").cast("timestamp"))
     twice = e.withColumn("delivery", F.explode(F.array(F.lit(1), F.lit(2)))).drop("delivery")
-    once = ingest.deduplicated(twice, ["event_id"], "10000 days")
+    once = ingest.deduplicated(twice, ["event_id"], "31 days")
     return ingest.drained(once.select(F.col("event_id").alias("ord"), F.col("user_id").alias("session_id"), F.col("event_type").alias("type")), "ingest")
