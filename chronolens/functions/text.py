@@ -13,7 +13,7 @@ ISSUE_DENYLIST = ["UTF-8", "UTF-16", "HTTP-2", "SHA-1", "SHA-256", "ISO-8601", "
 ISSUE = r"\b([A-Z][A-Z0-9]{1,9}-\d{1,6})\b"
 
 #: Application names that close a window title after a dash.
-APP_SUFFIXES = ["Slack", "Linear", "Figma", "Notes", "Mail", "Finder", "Terminal", "iTerm2", "Google Chrome", "Chrome", "Safari", "Preview", "Visual Studio Code", "Windows Terminal"]
+APP_SUFFIXES = ["Slack", "Linear", "Figma", "Notes", "Mail", "Finder", "Terminal", "iTerm2", "Google Chrome", "Chrome", "Safari", "Cockpit", "Aperçu", "Preview", "Visual Studio Code", "Windows Terminal"]
 
 #: Words that name no subject.
 TITLE_STOPWORDS = (

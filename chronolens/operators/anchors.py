@@ -15,6 +15,8 @@ KEYS = ["session_id", "work_day"]
 STRONG, MEDIUM, LOOSE = ["issue", "worktree"], ["branch", "project", "document"], ["keyword", "document", "project"]
 IDENTITY = ["issue", "worktree", "branch"]
 NO_SUBJECT_TYPE = "git.status.summary"
+#: Fixed value: what is cut from the names of files that an agent touched. Its dot stands for any character, so a name without an extension loses its last seven.
+TOUCHED_ENDING = r"(?i).[a-z0-9]{1,6}$"
 
 
 def strength(kind: Column) -> Column:
@@ -54,7 +56,7 @@ def event_anchors(events: DataFrame) -> DataFrame:
     every = F.concat(
         declared, _each("issue", issues, 0.95), one("branch", F.when(branch != "HEAD", branch), 0.85), one("worktree", F.when(F.length(short) > 0, short), 0.9),
         one("repository", F.col("repository"), 0.5), _each("repository", F.array_compact(F.array(T.leaf(_json("cwd")), T.leaf(_json("workspacePath")))), 0.45),
-        one("project", _json("project"), 0.9), _each("document", F.transform(files, lambda f: _without_extension(T.leaf(f))), 0.8), _each("document", documents, 0.8),
+        one("project", _json("project"), 0.9), _each("document", F.transform(files, lambda f: F.regexp_replace(T.leaf(f), TOUCHED_ENDING, "")), 0.8), _each("document", documents, 0.8),
         one("document", T.leaf(_json("directory")), 0.7), one("url", F.when(~host.startswith("localhost"), host), 0.4),
     )
     long = events.select(*KEYS, "ord", F.posexplode(every).alias("rank", "a")).select(*KEYS, "ord", "rank", "a.*").where(F.col("value").isNotNull() & F.col("type").isNotNull())

@@ -33,7 +33,7 @@ DETECTORS: list[tuple[str, str, str]] = [
     ("jwt", r"\beyJ[A-Za-z0-9_\-]{8,2048}\.[A-Za-z0-9_\-]{8,4096}\.[A-Za-z0-9_\-]{8,2048}", "[REDACTED:jwt]"),
     ("authorization_header", r"(?i)(authorization\s*[:=]\s*(?:bearer|basic|token)\s+)[A-Za-z0-9._~+/=\-]{8,4096}", "$1[REDACTED:authorization_header]"),
     ("url_credentials", r"([a-zA-Z][a-zA-Z0-9+.\-]{0,32}://)[^\s/:@]{1,128}:[^\s/@]{1,128}@", "$1[REDACTED:url_credentials]@"),
-    ("env_assignment", r"(?i)(\b[A-Za-z0-9_]{0,64}(?:secret|token|password|passwd|apikey|api_key|access_key|private_key|credential)[A-Za-z0-9_]{0,64}\s*[:=]\s*)[\"']?[^\s\"'\[][^\s\"']{3,512}", "$1[REDACTED:env_assignment]"),
+    ("env_assignment", r'''(?i)(\b[A-Za-z0-9_]{0,64}(?:secret|token|password|passwd|apikey|api_key|access_key|private_key|credential)[A-Za-z0-9_]{0,64}\s*[:=]\s*)["']?[^\s"'\[][^\s"']{3,512}''', "$1[REDACTED:env_assignment]"),
     ("cli_flag_secret", r"(?i)(--?(?:token|password|passwd|api[-_]?key|secret)[= ])[^\s\[][^\s]{3,512}", "$1[REDACTED:cli_flag_secret]"),
 ]
 
