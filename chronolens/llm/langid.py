@@ -29,7 +29,7 @@ UNKNOWN = "und"
 #: Documents sampled of each language at least.
 LEAST = 50
 #: Bytes of a window and those read before and behind it, and bytes whose states are held at once.
-WINDOW, WARM, GROUP = 4_096, 256, 2_000_000
+WINDOW, WARM, GROUP = 2_048, 192, 700_000
 #: Sizes of the pieces that texts are cut into for learning.
 PIECES = (16, 32, 64, 128)
 
@@ -224,7 +224,7 @@ def fit(docs: DataFrame, learn_from: Column, limit: int = 2_000) -> ByteBiGru |
     return ByteBiGru(languages).train([text for _, _, text in some], np.array([languages.index(lang) for _, lang, _ in some]))
 
 
-def identified(docs: DataFrame, model: ByteBiGru | None, columns: list[str], block_bytes: int = 16_000_000) -> DataFrame:
+def identified(docs: DataFrame, model: ByteBiGru | None, columns: list[str], block_bytes: int = 5_000_000) -> DataFrame:
     """columns of docs, lang_pred and score (the pooled probability of lang_pred)."""
     held = docs.select(*columns, F.col("text").alias("__text"))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.drop("__text").schema)

@@ -240,8 +240,8 @@ def similar(links: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            rows = zip(*(c.to_pylist() for c in batch.columns))
-            found = [(a, b) for a, b, x, y in rows if overlap(x, y) >= threshold - 1e-9]
+            rows = zip(*batch.columns)  # one by one, as a batch of multisets is large
+            found = [(a.as_py(), b.as_py()) for a, b, x, y in rows if overlap(x.as_py(), y.as_py()) >= threshold - 1e-9]
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.binary()), pa.array([b for _, b in found], pa.binary())], names=["a", "b"])
 
     one, other = bags.select(F.col("node").alias("a"), F.col("bag").alias("x")), bags.select(F.col("node").alias("b"), F.col("bag").alias("y"))
