@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, decontamination, langid, licenses, neardup, quality, rnnlm, sstable
+from . import ann, bpe, chat, decontamination, infill, langid, licenses, neardup, outliers, quality, rnnlm, sstable, variants
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,21 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.scored(docs.withColumn("held_out", F.coalesce(fold(5) == 0, F.lit(False))), model, ["doc_id", "held_out"])
 
 
+def op11_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = outliers.quality_rules(table(spark, sf_dir, "documents"), ["doc_id"])
+    return told.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.variant_groups(variants.word_counts(table(spark, sf_dir, "documents"), deletions=199))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = infill.infilled(table(spark, sf_dir, "documents"), ["doc_id"])
+    output, form = F.col("output"), F.col("form")
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(output, 256).alias("output_sha256"), F.sha2(infill.restored(output, form), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_token_shards": op2_token_shards,
@@ -83,4 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_preference_format": op9_preference_format,
     "op10_quality": op10_quality,
+    "op11_robust_outliers": op11_robust_outliers,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
