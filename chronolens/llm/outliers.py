@@ -15,7 +15,7 @@ one, it is taken with those of other languages, or held against the largest grou
 Base rule: fewer than 50 words, or more than half of them in windows of three words that occur twice or more. Texts that fail it don't take part in estimates.
 
 Nulls: a null text has no words; a null language or source is one of its own. Repeated rows get a row each. Very long texts are taken whole (windows are told apart by packed hashes, which are
-checked word by word, up to PACKED words, and by the words themselves beyond). Empty tables give empty results; columns that aren't asked for are ignored. Only functions of DataFrames; nothing comes to the driver but the number of groups.
+checked word by word, up to PACKED words, and by the words themselves beyond). Empty tables give empty results; columns that aren't asked for are ignored. Only functions of DataFrames; nothing comes to the driver but the number of groups and the name of the largest.
 """
 
 from __future__ import annotations
@@ -32,13 +32,13 @@ SYMBOLS = r"[#*$%&|<>]"
 PACKED_BITS = 20
 PACKED = 1 << PACKED_BITS
 
-#: Transformed statistics, and the scale below which a difference in one of them says nothing.
+#: Transformed statistics, and the scale below which a difference in one of them says nothing. That of length is wide: a text a hundred times the usual one is no outlier for that alone.
 FEATURES = {
     "log_word_length": ("ln((word_chars + 1) / (n_words + 1))", 0.05),
     "symbols": ("sqrt(n_symbols / (word_chars + 1))", 0.04),
     "repeated_lines": ("sqrt(n_dup_lines / (n_lines + 1))", 0.15),
     "repeated_words": ("sqrt(n_repeat_words / (n_words + 1))", 0.15),
-    "log_words": ("ln(n_words + 1)", 0.5),
+    "log_words": ("ln(n_words + 1)", 1.5),
 }
 FLOORS = [floor for _, floor in FEATURES.values()]
 P = len(FEATURES)
@@ -112,12 +112,14 @@ def groups_of(vectors: DataFrame) -> DataFrame:
     large, small = sizes.where(F.col("n") >= LEAST), sizes.where(F.col("n") < LEAST)
     pools = small.groupBy("wide").agg(F.sum("n").alias("wide_n"))
     leading = large.groupBy("wide").agg(F.max_by("own", F.struct("n", "own")).alias("leading"))
-    rest = pools.join(leading, "wide", "left_anti").agg(F.sum(F.when(F.col("wide_n") < LEAST, F.col("wide_n"))).alias("rest_n"))
-    every = large.select(F.col("own").alias("name"), "n").union(pools.where(F.col("wide_n") >= LEAST).select("wide", "wide_n")).agg(F.max_by("name", F.struct("n", "name")).alias("most"))
-    named = sizes.join(pools, "wide", "left").join(leading, "wide", "left").join(F.broadcast(rest)).join(F.broadcast(every))  # one row each
+    rest = pools.join(leading, "wide", "left_anti").agg(F.sum(F.when(F.col("wide_n") < LEAST, F.col("wide_n"))).alias("n")).first().n or 0
+    every = large.select(F.col("own").alias("name"), "n").union(pools.where(F.col("wide_n") >= LEAST).select("wide", "wide_n"))
+    most = every.agg(F.max_by("name", F.struct("n", "name")).alias("name")).first().name
+    named = sizes.join(pools, "wide", "left").join(leading, "wide", "left")
     group = F.when(F.col("n") >= LEAST, F.col("own")).when(F.col("wide_n") >= LEAST, F.col("wide")).when(F.col("leading").isNotNull(), F.col("leading"))
-    group = group.when(F.col("rest_n") >= LEAST, F.lit('{"level":2}')).otherwise(F.col("most"))
-    member = (F.col("n") >= LEAST) | (F.coalesce("wide_n", F.lit(0)) >= LEAST) | (F.col("leading").isNull() & (F.coalesce("rest_n", F.lit(0)) >= LEAST))
+    pooled = rest >= LEAST
+    group = group.otherwise(F.lit('{"level":2}' if pooled else most))
+    member = (F.col("n") >= LEAST) | (F.coalesce("wide_n", F.lit(0)) >= LEAST) | (F.col("leading").isNull() & F.lit(pooled))
     return named.select("own", group.alias("group"), member.alias("member"))
 
 
