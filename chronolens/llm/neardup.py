@@ -9,7 +9,9 @@ Jaccard similarity. Points are made in order of time only until every register h
 
 Signatures are banded. The smallest text of a band is its pivot, and what pivots join, directly or through others, is a cluster. First each text is
 compared with the one pivot it shares most bands with, so that most clusters become one part at the cost of a comparison a text. Where a
-cluster still has several parts, the texts outside its largest part are compared with all its texts: both are dealt to blocks of BLOCK texts
+cluster still has several parts, its texts are first told apart by their rarest shingles: texts at the threshold share one of the rarest |x| - ceil(0.8 |x|) + 1
+occurrences of each, so only texts that such shingles join, directly or through others, stay in one cluster. Common passages, though they share bands, join nothing there.
+Then the texts outside its largest part are compared with all its texts: both are dealt to blocks of BLOCK texts
 and WEIGHT shingles at most, every two blocks are one task, which finds all overlaps by multiplying matrices of occurrences and returns only
 links that join different parts, fewer than it has members. So no link between candidates is lost, and neither pairs nor an unbounded group
 come together. Links make components, the groups. At the threshold 0.8, 30 bands of 5 registers miss a pair with probability 7e-6.
@@ -33,7 +35,9 @@ from .common import free_name, staged
 
 SHINGLE, BANDS, ROWS, BLOCK, SMALL = 5, 30, 5, 1024, 64
 #: Shingles (occurrences) of a block's texts, unless one text has more.
-WEIGHT = 1_000_000
+WEIGHT = 400_000
+#: Counters of shingles by their hashes; which shingles are rare is told by these.
+COUNTERS = 1 << 20
 #: So many columns of an occurrence matrix are held at once.
 COLUMNS = 4096
 _U = np.uint64
@@ -248,6 +252,56 @@ def similar(links: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     return links.join(one, "a").join(other, "b").select("a", "b", "x", "y").mapInArrow(run, "a binary, b binary")
 
 
+def rarest(x: np.ndarray, counts: np.ndarray, seen: np.ndarray, threshold: float) -> np.ndarray:
+    """Names of those occurrences (shingle, nth) of a multiset of which any other one that reaches the threshold shares one, among its own; those that no other text can have left out.
+
+    The order is by the shingle's counter, then by name. Any order that all texts share gives right results, so counters that two shingles share do no harm."""
+    held = np.repeat(x, counts)
+    nth = (np.arange(len(held)) - np.repeat(np.cumsum(counts) - counts, counts)).astype(np.uint64)
+    name, often = mix(held + nth * _U(_BASE)), seen[(held % _U(COUNTERS)).astype(np.int64)]
+    first = np.lexsort((name, often))[: len(held) - int(np.ceil(threshold * len(held) - 1e-6)) + 1]
+    return name[first[often[first] > 1]]
+
+
+def occurrences_seen(bags: DataFrame) -> np.ndarray:
+    """In how many multisets there is a shingle of each counter, two at most: so that a counter says whether a shingle may be in another text, and rare ones come first."""
+
+    def run(batches):
+        total = np.zeros(COUNTERS, np.int64)
+        for b in batches:
+            for bag in b.column(0):
+                x, _ = unpack(bag.as_py())
+                np.add.at(total, (x % _U(COUNTERS)).astype(np.int64), 1)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(total[at])], names=["at", "n"])
+
+    out = np.zeros(COUNTERS, np.int64)
+    found = bags.select("bag").mapInArrow(run, "at int, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()  # COUNTERS rows of 12 bytes at most
+    out[found["at"].to_numpy()] = found["n"].to_numpy()
+    return np.minimum(out, 2**31 - 1).astype(np.int32)
+
+
+def narrowed(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
+    """members: node, label, part. Those of clusters of several parts, each with the label of a smaller cluster: that of the texts which rare shingles join. No link between different parts is lost."""
+    parts = members.groupBy("label").agg(F.min("part").alias("least"), F.max("part").alias("most")).where(F.col("least") != F.col("most")).select("label")
+    held = staged(members.join(parts, "label").join(bags, "node").select("node", "label", "part", "bag"), "several")
+    seen = occurrences_seen(held)
+
+    def run(batches):
+        for b in batches:
+            for node, label, part, bag in zip(*b.columns):
+                names = rarest(*unpack(bag.as_py()), seen, threshold).view(np.int64)
+                if len(names):
+                    arrays = [pa.array([v.as_py()] * len(names), pa.binary()) for v in (label, node, part)]
+                    yield pa.RecordBatch.from_arrays([pa.array(names), *arrays], names=["name", "label", "node", "part"])
+
+    rows = staged(held.mapInArrow(run, "name long, label binary, node binary, part binary"), "rarest")
+    # aggregates on both sides, so that a shingle of a third of all texts is no one task's
+    first = rows.groupBy("label", "name").agg(F.min("node").alias("first"), F.min("part").alias("least"), F.max("part").alias("most")).where(F.col("least") != F.col("most"))
+    links = rows.join(first.select("label", "name", "first"), ["label", "name"]).where(F.col("node") != F.col("first")).select(F.col("node").alias("a"), F.col("first").alias("b")).distinct()
+    return components(links).join(members.select("node", "part"), "node")
+
+
 def verified(members: DataFrame, bags: DataFrame, threshold: float) -> DataFrame:
     """members: node, label (of its cluster), part. Links (a, b) between nodes of a cluster, but of different parts, whose similarity reaches the
     threshold; enough of them to join what all of them join. Clusters of one part need none."""
@@ -318,7 +372,8 @@ def grouped(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     direct = staged(similar(led.where(F.col("most").isNotNull()).select(F.col("node").alias("a"), F.col("most").alias("b")), bags, threshold), "direct")
     parts = components(direct).withColumnRenamed("label", "part")
     members = clusters.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    labels = components(staged(verified(staged(members, "members"), bags, threshold).union(direct), "verified"))
+    close = staged(narrowed(staged(members, "members"), bags, threshold), "close")
+    labels = components(staged(verified(close, bags, threshold).union(direct), "verified"))
 
     named = nodes.select("node", "rep", "copies").join(labels, "node", "left").select("node", "rep", "copies", F.coalesce("label", "node").alias("label"))
     named = staged(named, "classes")
