@@ -8,7 +8,7 @@ but not counted: behind so many the states are those of the whole text but for r
 through time over all steps of a piece of text, each position being taught its document's language.
 
 Learning uses whole texts of a bounded sample: of each language of the training rows limit / languages documents, LEAST if that is fewer (those of the
-smallest hashes; all of a language with fewer). A text is cut into pieces of 16, 32, 64 or 128 bytes, so that short texts are known too, and every
+smallest hashes; all of a language with fewer), up to a number of bytes and of languages that are parameters. A text is cut into pieces of 16, 32, 64 or 128 bytes, so that short texts are known too, and every
 piece is taught once at least. Without any such row, every text is `und` with score 0.
 
 Nulls: a text that is null or holds no letter is `und` with score 0. Repeated rows get a row each. Empty tables give
@@ -28,6 +28,8 @@ LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Documents sampled of each language at least.
 LEAST = 50
+#: Languages that are learned at most, those of most texts.
+LANGUAGES = 1_000
 #: Bytes of a window and those read before and behind it, and bytes whose states are held at once.
 WINDOW, WARM, GROUP = 2_048, 192, 700_000
 #: Sizes of the pieces that texts are cut into for learning.
@@ -205,18 +207,24 @@ class ByteBiGru:
         return total.T
 
 
-def fit(docs: DataFrame, learn_from: Column, limit: int = 2_000) -> ByteBiGru | None:
-    """docs: doc_id, text, lang; learn_from: a condition on doc_id. `limit` whole texts (LEAST of each language, if those are more) come to the driver, where the network learns."""
+def fit(docs: DataFrame, learn_from: Column, limit: int = 2_000, limit_bytes: int = 64_000_000) -> ByteBiGru | None:
+    """docs: doc_id, text, lang; learn_from: a condition on doc_id. `limit` whole texts (LEAST of each language, if those are more) come to the driver, where the network learns;
+    of each language no more once they reach its share of limit_bytes. The LANGUAGES most frequent ones are learned."""
     rows = docs.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & learn_from & F.col("text").rlike(r"\p{L}")).select("doc_id", "text", "lang")
-    sizes = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # as many rows as languages
+    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
+    # repeated rows count once here too: a language of few texts that repeat is taken whole
+    counted = hashed.groupBy("lang").agg(F.approx_count_distinct("h", 0.03).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
+    sizes = {r.lang: r.n for r in counted.collect()}
     if not sizes:
         return None
     each = max(LEAST, limit // len(sizes))
     # repeated rows count once; about twice as many as wanted pass by their hashes, of which each language's smallest are taken
     below = docs.sparkSession.createDataFrame([(lang, min(1.0, 2 * each / n)) for lang, n in sizes.items()], "lang string, passing double")
-    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(below), "lang").where(F.pmod("h", F.lit(1_000_000_007)) <= F.col("passing") * 1_000_000_007)
+    hashed = hashed.join(F.broadcast(below), "lang").where(F.pmod("h", F.lit(1_000_000_007)) <= F.col("passing") * 1_000_000_007)
     nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1_000_000_007)), "doc_id"))
-    some = hashed.dropDuplicates(["h", "lang"]).withColumn("nth", nth).where(F.col("nth") <= each).select("lang", "doc_id", F.encode("text", "UTF-8").alias("text")).collect()
+    before = Window.partitionBy("lang").orderBy("nth").rowsBetween(Window.unboundedPreceding, -1)
+    first = hashed.dropDuplicates(["h", "lang"]).withColumn("nth", nth).where(F.col("nth") <= each).withColumn("before", F.coalesce(F.sum(F.octet_length("text")).over(before), F.lit(0)))
+    some = first.where(F.col("before") < limit_bytes // len(sizes)).select("lang", "doc_id", F.encode("text", "UTF-8").alias("text")).collect()
     some = sorted((r.doc_id, r.lang, bytes(r.text)) for r in some if LETTER.search(bytes(r.text).decode("utf-8", "ignore")))
     if not some:
         return None
