@@ -54,6 +54,8 @@ class PairwiseGam:
     tables: list = field(default_factory=list)
     coarse: list = field(default_factory=list)
     pair_tables: dict = field(default_factory=dict)
+    #: whether there were rows of both classes to learn from; if not, all texts have the same score
+    learned: bool = False
 
     def _tree(self, g: np.ndarray, h: np.ndarray, depth: int = 2) -> np.ndarray:
         """Leaf values by bin of a tree of `depth` levels over sums of gradients and curvatures by bin."""
@@ -88,7 +90,8 @@ class PairwiseGam:
         self.coarse = [cut(x[:, j], self.pair_bins) for j in range(width)]
         self.tables = [np.zeros(len(e) + 1) for e in self.edges]
         self.pair_tables = {}
-        if not 0 < y.sum() < n:
+        self.learned = bool(0 < y.sum() < n)
+        if not self.learned:
             return self
         at = [np.searchsorted(e, x[:, j], "right") for j, e in enumerate(self.edges)]
         total = np.full(n, self.intercept)

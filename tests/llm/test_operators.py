@@ -621,3 +621,66 @@ def test_language_id_of_held_out_documents(spark):
     held = got.merge(docs, on="doc_id").query("held_out and text.notna() and lang.notna()")
     right = held.lang == held.lang_pred
     assert right.mean() > 0.97 and right[held.text.str.len() < 200].mean() > 0.85
+
+
+def test_boilerplate_joins_nothing(spark):
+    """Texts that share half of their words and nothing else: they share bands, but no rare shingle, so no block of them is compared."""
+    shared = prose(60, 60)
+    texts = [f"{shared} {prose(70_000 + i, 60)}" for i in range(2_000)]
+    texts += [texts[i] + " more" for i in range(0, 2_000, 100)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.group_id for r in neardup.near_duplicates(df).collect()}
+    assert got == {i: i if i < 2_000 else (i - 2_000) * 100 for i in range(len(texts))}
+
+    bags = spark.createDataFrame([(str(i).encode(), neardup.pack(*neardup.shingles(t.encode()))) for i, t in enumerate(texts[:2_000])], "node binary, bag binary")
+    one = bags.select("node", F.lit(b"all").alias("label"), F.col("node").alias("part"))
+    assert neardup.narrowed(one, bags, 0.8).count() == 0
+
+
+def test_rare_shingles_of_texts_at_the_threshold():
+    """Any two multisets that reach the threshold share one of their rarest occurrences, whatever the counters say."""
+    rng = np.random.default_rng(5)
+    for k in range(300):
+        x = np.unique(rng.integers(0, 2**63, 40, np.uint64))
+        a, b = rng.integers(0, 4, len(x)), None
+        b = np.maximum(0, a + rng.integers(-1, 2, len(x)) * (rng.random(len(x)) < 0.3))
+        if not a.sum() or not b.sum() or np.minimum(a, b).sum() / np.maximum(a, b).sum() < 0.8:
+            continue
+        seen = rng.integers(2, 9, neardup.COUNTERS).astype(np.int32)
+        left, right = (neardup.rarest(x[c > 0], c[c > 0], seen, 0.8) for c in (a, b))
+        assert np.intersect1d(left, right).size
+
+
+def test_language_of_few_texts_that_repeat(spark):
+    rows = [(i, prose(i, 20), "fr") for i in range(600)] + [(10_000 + i, f"тихий лес {i} " * 5, "ru") for i in range(5)] * 4_000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = langid.fit(df, F.lit(True), limit=200)
+    assert model.languages == ["fr", "ru"]
+
+
+def test_sample_of_languages_is_bounded_in_bytes(spark, monkeypatch):
+    rows = [(i, prose(i, 2_000), "fr") for i in range(60)] + [(100 + i, prose(i, 20), "de") for i in range(60)] + [(200, "un", "es")]
+    seen = {}
+    monkeypatch.setattr(langid.ByteBiGru, "train", lambda self, texts, labels: seen.update(zip(self.languages, np.bincount(labels).tolist())) or self)
+    langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True), limit_bytes=60_000)
+    assert seen["fr"] == 2 and seen["de"] == 60 and seen["es"] == 1
+    monkeypatch.setattr(langid, "LANGUAGES", 2)
+    assert langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).languages == ["de", "fr"]
+
+
+def test_quality_equals_sums_of_table_entries(spark, docs):
+    """The score is the logistic of the intercept, one table entry a feature and one a pair, found here by counting edges."""
+    train = [(i, prose(i, 40 + i % 30)) for i in range(80)] + [(1_000 + i, "### " * (5 + i % 40)) for i in range(80)]
+    frame = spark.createDataFrame([*train, *train[:20]], "doc_id long, text string")
+    model = quality.fit(frame, spark.createDataFrame([(i, int(i < 1_000)) for i, _ in train], "doc_id long, quality int"), F.lit(True))
+    assert model.learned and model.pair_tables
+
+    def plain(text):
+        x = quality.features((text or "").encode())
+        at = lambda edges, v: sum(e <= v for e in edges)
+        total = model.intercept + sum(t[at(e, v)] for t, e, v in zip(model.tables, model.edges, x))
+        total += sum(t[at(model.coarse[i], x[i]), at(model.coarse[j], x[j])] for (i, j), t in model.pair_tables.items())
+        return 1 / (1 + math.exp(-total))
+
+    rows = quality.scored(docs.union(docs.limit(0)), model, ["doc_id", "text"]).collect()
+    assert [r.score for r in rows] == pytest.approx([plain(r.text) for r in rows]) and all(r.predicted == (r.score >= 0.3) for r in rows)

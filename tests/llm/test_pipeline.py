@@ -58,3 +58,11 @@ def test_null_columns(spark, folder):
 def test_language_stage_keeps_unlabelled_documents(spark, folder):
     docs = spark.read.parquet(f"{folder}/documents.parquet").withColumn("lang", F.lit(None).cast("string"))
     assert corpus_pipeline.language_stage(spark, docs, folder).count() == docs.count()
+
+
+def test_quality_stage_without_two_classes(spark, tmp_path):
+    """Labels of one class only teach nothing, and no document goes."""
+    docs = spark.createDataFrame([(i, f"text {i}", "en", "s", 6) for i in range(22)], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, labels in {"low": [(0, 0), (1, 0)], "high": [(0, 1), (1, 1)], "none": []}.items():
+        spark.createDataFrame([(*r, 0) for r in labels], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        assert corpus_pipeline.quality_stage(spark, docs, f"{tmp_path}/{name}").count() == 22
