@@ -25,8 +25,10 @@ def _fold(n: int) -> Column:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the additive model doesn't reject."""
+    """Documents that the additive model doesn't reject; all where labels of one class only, or none, teach it nothing."""
     model = quality.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), _fold(5) != 0)
+    if not model.learned:
+        return docs.select(*COLUMNS)
     return quality.scored(docs, model, COLUMNS).where(F.col("predicted") == 1).select(*COLUMNS)
 
 
