@@ -10,7 +10,7 @@ def append(events: DataFrame, path: str) -> None:
     """Write redacted events; fails if the stamp is missing, drops what isn't safely redacted."""
     if "redaction_ok" not in events.columns:
         raise ValueError("events have no redaction stamp")
-    events.where(F.coalesce("redaction_ok", F.lit(False))).repartition("work_day").sortWithinPartitions("ts_ms", "ord").write.mode("append").partitionBy("work_day").parquet(path)
+    events.where(F.coalesce("redaction_ok", F.lit(False))).hint("rebalance", "work_day").sortWithinPartitions("work_day", "ts_ms", "ord").write.mode("append").partitionBy("work_day").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
