@@ -86,9 +86,9 @@ def _coverage(terms: list[str], weight: dict[str, float], tokens: Column) -> Col
     return hit / total
 
 
-def rank(rows: DataFrame, terms: list[str], now_ms: int, window: tuple[int, int] | None = None, hard: bool = False, kinds: list[str] | None = None, context_tokens: DataFrame | None = None) -> DataFrame:
-    """rows with lexical, context_score, score, matched, complete; those in question only. Order by score, then last_ms, both falling."""
-    weight = idf(rows, terms)
+def rank(rows: DataFrame, terms: list[str], now_ms: int, window: tuple[int, int] | None = None, hard: bool = False, kinds: list[str] | None = None, context_tokens: DataFrame | None = None, weight: dict[str, float] | None = None) -> DataFrame:
+    """rows with lexical, context_score, score, matched, complete; those in question only. Order by score, then last_ms, both falling. weight: idf of the terms, if it is known."""
+    weight = idf(rows, terms) if weight is None else weight
     if context_tokens is not None:
         rows = rows.join(context_tokens, "context", "left")
     own = F.coalesce("context_tokens", F.array().cast("array<string>")) if context_tokens is not None else F.array().cast("array<string>")

@@ -45,6 +45,33 @@ ALLOWED_SHAPES = [
 ENTROPY_LEAST, ENTROPY_MOST, ENTROPY_BITS = 20, 200, 4.0
 
 
+#: What \\s stands for in the patterns, in both engines: Unicode's white space, which Java's own leaves to ASCII and Python's goes beyond.
+SPACES = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+
+
+BOUNDARY = r"(?:(?<![A-Za-z0-9_])(?=[A-Za-z0-9_])|(?<=[A-Za-z0-9_])(?![A-Za-z0-9_]))"
+
+
+def spaced(pattern: str) -> str:
+    """The pattern with all that SPACES holds for each \\s, inside a class or by itself, and with \\b between ASCII word characters and others. \\d, \\w and case are ASCII in both engines."""
+    out, inside, i = [], False, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            pair = pattern[i : i + 2]
+            if pair == "\\s":
+                pair = SPACES if inside else f"[{SPACES}]"
+            elif pair == "\\b" and not inside:
+                pair = BOUNDARY
+            out.append(pair)
+            i += 2
+            continue
+        inside = c == "[" or inside and c != "]"
+        out.append(c)
+        i += 1
+    return "".join(out)
+
+
 #: What every detector's match holds; texts without it aren't looked at further.
 GUARD = (
     r"PRIVATE KEY|sk-|[sr]k_(?:live|test)_|whsec_|gh[pousr]_|github_pat_|glpat-|npm_|xox[baprs]-|SG\.|A(?:KIA|SIA|IDA|ROA|GPA|NPA)|AIza|eyJ|://[^\s/:@]{1,128}:|"
@@ -59,10 +86,10 @@ def redact(df: DataFrame, column: str, extra: list[tuple[str, str, str]] | None
     start = F.struct(F.coalesce(F.col(column), F.lit("")).alias("text"), F.array().cast("array<string>").alias("applied"), F.lit(0).alias("count"))
     state = F.array(start)  # of one element, so that each step's lambda names the state once and the expression stays small
     for name, pattern, replacement in [*DETECTORS, *(extra or [])]:
-        state = F.transform(state, _step(name, pattern, replacement))
+        state = F.transform(state, _step(name, spaced(pattern), replacement))
     looked = F.element_at(state, 1)
     if not extra:
-        looked = F.when(F.rlike(F.coalesce(F.col(column), F.lit("")), F.lit(GUARD)), looked).otherwise(start)
+        looked = F.when(F.rlike(F.coalesce(F.col(column), F.lit("")), F.lit(spaced(GUARD))), looked).otherwise(start)
     out = df.withColumn("_state", looked)
     done = {column: F.col("_state.text"), "redaction_applied": F.col("_state.applied"), "redaction_count": F.col("_state.count"), "redaction_ok": F.col("_state.text").isNotNull()}
     return out.withColumns(done).drop("_state")
@@ -91,7 +118,7 @@ def redact_fields(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def _python_detectors(extra: list[tuple[str, str, str]]):
-    return [(name, re.compile(pattern), re.sub(r"\$(\d)", r"\\\1", replacement)) for name, pattern, replacement in [*DETECTORS, *extra]]
+    return [(name, re.compile(spaced(pattern), re.ASCII), re.sub(r"\$(\d)", r"\\\1", replacement)) for name, pattern, replacement in [*DETECTORS, *extra]]
 
 
 def redact_json(df: DataFrame, column: str, extra: list[tuple[str, str, str]] | None = None) -> DataFrame:
@@ -104,7 +131,7 @@ def redact_json(df: DataFrame, column: str, extra: list[tuple[str, str, str]] |
 
     @F.pandas_udf("text string, applied array<string>, count int")
     def walk(values: pd.Series) -> pd.DataFrame:
-        detectors, guard = _python_detectors(extra), re.compile(GUARD)
+        detectors, guard = _python_detectors(extra), re.compile(spaced(GUARD), re.ASCII)
 
         def clean(x, seen):
             if isinstance(x, dict):
@@ -133,6 +160,28 @@ def redact_json(df: DataFrame, column: str, extra: list[tuple[str, str, str]] |
     return out.withColumns(done).drop("_state")
 
 
+#: Collectors whose metadata is redacted too, every string of it; of the others' events the title is.
+WHOLE_EVENTS = ["git", "shell"]
+
+
+def redact_collected(events: DataFrame) -> DataFrame:
+    """events (source, title, metadata as JSON text or null) as they may be stored: the title redacted, and for the collectors of WHOLE_EVENTS every string of the metadata, under one stamp.
+
+    An event of which a part can't be redacted has redaction_ok = false."""
+    stamp = lambda i: {f"redaction_{k}": f"_{k}{i}" for k in ("applied", "count", "ok")}
+    df = redact(events, "title").withColumnsRenamed(stamp(0))
+    whole = F.col("source").isin(WHOLE_EVENTS) & F.col("metadata").isNotNull()
+    df = df.withColumn("_plain", F.col("metadata")).withColumn("metadata", F.when(whole, F.col("metadata")).otherwise("{}"))
+    df = redact_json(df, "metadata").withColumnsRenamed(stamp(1))
+    ids = F.array(*(F.lit(name) for name, _, _ in DETECTORS))
+    found = F.array_union("_applied0", "_applied1")
+    df = df.withColumns({
+        "metadata": F.when(whole, F.col("metadata")).otherwise(F.col("_plain")), "redaction_applied": F.filter(ids, lambda x: F.array_contains(found, x)),
+        "redaction_count": F.col("_count0") + F.col("_count1"), "redaction_ok": F.col("_ok0") & F.col("_ok1"),
+    })
+    return df.drop("_plain", *(f"_{k}{i}" for i in (0, 1) for k in ("applied", "count", "ok")))
+
+
 def storable(df: DataFrame) -> DataFrame:
     """Only rows with a good stamp may be written."""
     return df.where(F.coalesce("redaction_ok", F.lit(False)))

@@ -43,7 +43,7 @@ def _seen(value: Column) -> tuple[Column, Column]:
 
 
 def agent_sessions(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each file: session_id, cwd, branch and version (first seen), title (last seen), first_ms, last_ms, stamps, only_side (whether all is side work), tools (name, calls; most calls first)."""
+    """One row for each file: session_id, cwd, branch and version (first seen), title (last seen), first_ms, last_ms, stamps, only_side (whether all is side work), tools (name, calls; most calls first), files (touched ones, each once, in order)."""
     rows = json_lines(spark, path, AGENT_RECORD).where("ok")
     branch = F.when(~F.col("gitBranch").isin("", "HEAD"), F.col("gitBranch"))
     ms = F.unix_millis(F.try_to_timestamp("timestamp"))
@@ -52,12 +52,15 @@ def agent_sessions(spark: SparkSession, path: str) -> DataFrame:
     rows = rows.withColumns({"ms": ms, "names": F.coalesce(names, F.array().cast("array<string>"))})
     used = rows.select("file", F.explode("names").alias("name")).groupBy("file", "name").agg(F.count("*").alias("calls"))
     tools = used.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("calls")).alias("n"), "name"))), lambda x: F.struct(x["name"].alias("name"), (-x["n"]).alias("calls"))).alias("tools"))
+    changed = rows.where("type = 'file-history-delta' and trackingPath is not null").groupBy("file", F.col("trackingPath").alias("name")).agg(F.min("at").alias("at"))
+    files = changed.groupBy("file").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "name"))), lambda x: x["name"]).alias("files"))
     out = rows.groupBy("file").agg(
         F.min_by(*_seen(F.col("sessionId"))).alias("session_id"), F.min_by(*_seen(F.col("cwd"))).alias("cwd"), F.min_by(*_seen(branch)).alias("branch"),
         F.min_by(*_seen(F.col("version"))).alias("version"), F.max_by(*_seen(F.col("aiTitle"))).alias("title"), F.min("ms").alias("first_ms"), F.max("ms").alias("last_ms"),
         F.count("ms").alias("stamps"), F.coalesce(F.bool_and(F.coalesce("isSidechain", F.lit(True))), F.lit(True)).alias("only_side"),
     )
-    return out.join(tools, "file", "left").withColumn("tools", F.coalesce("tools", F.array().cast("array<struct<name:string,calls:bigint>>")))
+    none = {"tools": "array<struct<name:string,calls:bigint>>", "files": "array<string>"}
+    return out.join(tools, "file", "left").join(files, "file", "left").withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in none.items()})
 
 
 #: Fields of a rollout's record that may be read.
@@ -91,14 +94,17 @@ def rollouts(spark: SparkSession, path: str) -> DataFrame:
     return out.withColumns({c: F.coalesce(c, F.array().cast(kind)) for c, kind in none.items()}).withColumn("tool_calls", F.coalesce("tool_calls", F.lit(0)))
 
 
-def agent_events(sessions: DataFrame, stamps: DataFrame, gap_ms: int, tools: int = 8) -> DataFrame:
-    """Events of agent sessions, one for each burst: file, start, end, title, tool_list, tool_calls.
+def agent_events(sessions: DataFrame, stamps: DataFrame, gap_ms: int, tools: int = 8, files: int = 25) -> DataFrame:
+    """Events of agent sessions, one for each burst: file, start, end, title, tool_list, tool_calls and, where sessions have files, files_touched and files_count.
 
-    sessions: file, title, cwd, tools, first_ms, last_ms; stamps: file, ms. A burst ends where no stamp follows within gap_ms; without stamps the whole span is one.
-    The totals (the `tools` most used as name×calls) stand at the last burst only, so that sums over events count once. Sessions without calls are left out."""
+    sessions: file, title, cwd, tools, first_ms, last_ms and, if known, files; stamps: file, ms. A burst ends where no stamp follows within gap_ms; without stamps the whole span is one.
+    The totals (the `tools` most used as name×calls, the first `files` touched) stand at the last burst only, so that sums over events count once. Sessions that neither called a tool nor touched a file are left out."""
     calls = F.aggregate("tools", F.lit(0).cast("bigint"), lambda n, t: n + t["calls"])
+    known = "files" in sessions.columns
+    touched = F.coalesce("files", F.array().cast("array<string>")) if known else F.array().cast("array<string>")
+    totals = ["tool_list", "tool_calls", *(["files_touched", "files_count"] if known else [])]
     named = F.transform(F.slice("tools", 1, tools), lambda t: F.concat(t["name"], F.lit("×"), t["calls"].cast("string")))
-    kept = sessions.withColumns({"tool_calls": calls, "tool_list": named}).where("tool_calls > 0 and first_ms is not null")
+    kept = sessions.withColumns({"tool_calls": calls, "tool_list": named, "files_touched": F.slice(touched, 1, files), "files_count": F.size(touched)}).where("(tool_calls > 0 or files_count > 0) and first_ms is not null")
     runs = bursts(stamps.where("ms is not null").select("file", F.col("ms").alias("ts_ms")), ["file"], gap_ms).drop("n")
     last = runs.groupBy("file").agg(F.max("start").alias("_last"))
     rows = kept.join(runs.join(last, "file"), "file", "left")
@@ -106,7 +112,7 @@ def agent_events(sessions: DataFrame, stamps: DataFrame, gap_ms: int, tools: int
     title = F.coalesce("title", F.concat(F.lit("Agent — "), F.coalesce(leaf(F.col("cwd")), F.lit(""))))
     return rows.select(
         "file", F.coalesce("start", "first_ms").alias("start"), F.coalesce("end", "last_ms").alias("end"), title.alias("title"),
-        F.when(final, F.col("tool_list")).alias("tool_list"), F.when(final, F.col("tool_calls")).alias("tool_calls"),
+        *(F.when(final, F.col(c)).alias(c) for c in totals),
     )
 
 
