@@ -137,7 +137,11 @@ def thread_names(spark: SparkSession, path: str) -> DataFrame:
 
 def shell_commands(spark: SparkSession, path: str, now_ms: int | None = None) -> DataFrame:
     """Spool files, one command each: file, ts_ms, exit_code (-1 if unreadable), duration_ms, shell, cwd, command. `cmd=` takes the rest of the file. Other versions, files without time or command and, with now_ms, those over six hours old are dropped."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return commands_of(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), None if now_ms is None else F.lit(now_ms))
+
+
+def commands_of(files: DataFrame, now_ms: Column | None = None) -> DataFrame:
+    """shell_commands() of files (file, value: the whole text)."""
     head = F.regexp_extract("value", r"(?s)^(.*?)(?:^|\n)\s*cmd=", 1)
     get = lambda key: F.trim(F.regexp_extract(F.concat(F.lit("\n"), head), rf"\n\s*{key}\s*=([^\n]*)", 1))
     command = F.regexp_replace(F.regexp_extract("value", r"(?s)(?:^|\n)\s*cmd=(.*)$", 1), r"[\r\n]+$", "")
@@ -147,7 +151,7 @@ def shell_commands(spark: SparkSession, path: str, now_ms: int | None = None) ->
         F.coalesce(get("ms").try_cast("long"), F.lit(0)).alias("duration_ms"), get("shell").alias("shell"), get("cwd").alias("cwd"), command.alias("command"),
     )
     out = out.where((F.col("v") == "1") & (F.col("ts_ms") != 0) & (F.trim("command") != "")).withColumn("command", short).drop("v")
-    return out if now_ms is None else out.where(F.lit(now_ms) - F.col("ts_ms") <= STALE_MS)
+    return out if now_ms is None else out.where(now_ms - F.col("ts_ms") <= STALE_MS)
 
 
 def reflog(spark: SparkSession, path: str, now_ms: int | None = None, days: int = 7, newest: int = 50) -> DataFrame:
