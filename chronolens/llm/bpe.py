@@ -41,7 +41,7 @@ def byte_of_char() -> dict[str, int]:
 
 
 class ForcedBoundaryBPE:
-    def __init__(self, path: str, cache: int = 400_000):
+    def __init__(self, path: str, cache: int = 200_000):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -140,8 +140,9 @@ def encoded(docs: DataFrame, path: str, columns: list[str], keep: bool = True) -
     def run(batches):
         bpe = forced_boundary_bpe(path)
         for batch in batches:
-            ids, plain, counts, a, b = [], [], [], [], []
-            for block in text_blocks(batch.column(batch.num_columns - 1)):
+            begin = 0
+            for block in text_blocks(batch.column(batch.num_columns - 1)):  # a block goes back at once, so that a task holds the results of one only
+                ids, plain, counts, a, b = [], [], [], [], []
                 for found in bpe.encode(block):
                     listed = found.tolist()
                     text = bpe.decode(listed)
@@ -151,12 +152,13 @@ def encoded(docs: DataFrame, path: str, columns: list[str], keep: bool = True) -
                     if keep:
                         ids.append(found.astype(np.int32))
                         plain.append(text)
-            arrays = [batch.column(i) for i in range(batch.num_columns - 1)]
-            names = [*batch.schema.names[:-1]]
-            if keep:
-                arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array(plain, pa.string())]
-                names += ["token_ids", "decoded"]
-            arrays += [pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+                arrays = [batch.column(i).slice(begin, len(block)) for i in range(batch.num_columns - 1)]
+                names = [*batch.schema.names[:-1]]
+                if keep:
+                    arrays += [pa.array(ids, pa.list_(pa.int32())), pa.array(plain, pa.string())]
+                    names += ["token_ids", "decoded"]
+                arrays += [pa.array(counts, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+                yield pa.RecordBatch.from_arrays(arrays, names=[*names, "n_tokens", "ids_sha256", "decoded_sha256"])
+                begin += len(block)
 
     return held.mapInArrow(run, f"{schema}, {more}n_tokens long, ids_sha256 string, decoded_sha256 string")
