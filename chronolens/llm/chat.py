@@ -47,6 +47,22 @@ def common_prefix(a: Column, b: Column) -> Column:
     return F.when(first > 0, first - 1).otherwise(F.size(same)).cast("int")
 
 
+def with_other_answers(turns: DataFrame, donor: Column) -> DataFrame:
+    """turns (conv_id, turn, role, text) as preference data where there is none: pair, is_chosen, conv_id, turn, role, text.
+
+    A conversation as it stands is the chosen side of pair conv_id. The rejected side, under the id of the donor (an expression on conv_id), has the same turns up to the last answer of
+    the conversation, and in its place the donor's last answer. Without an answer of its own or of the donor there is no rejected side. The last answer is the one of the greatest (turn, text)."""
+    rows = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", "role", "text")
+    last = rows.where(F.col("role") == TRAINED_ROLE).groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("own"))
+    other = last.select(F.col("conv_id").alias("donor"), F.col("own.text").alias("answer"))
+    given = last.select("conv_id", "own", donor.alias("donor")).join(other, "donor")
+    before = F.struct("turn", "role", "text") < F.struct(F.col("own.turn"), F.lit(TRAINED_ROLE), F.col("own.text"))
+    shared = rows.join(given, "conv_id").where(before).select(F.col("conv_id").alias("pair"), F.lit(False), F.col("donor").alias("conv_id"), "turn", "role", "text")
+    answer = given.select(F.col("conv_id").alias("pair"), F.lit(False), F.col("donor").alias("conv_id"), F.col("own.turn").alias("turn"), F.lit(TRAINED_ROLE).alias("role"), F.col("answer").alias("text"))
+    whole = rows.select(F.col("conv_id").alias("pair"), F.lit(True).alias("is_chosen"), "conv_id", "turn", "role", "text")
+    return whole.union(shared).union(answer)
+
+
 def preference_pairs(turns: DataFrame, pair_id: Column, chosen: Column) -> DataFrame:
     """turns: conv_id, turn, role, text; pair_id and chosen (a boolean) are expressions over conv_id that say which pair and which side a conversation is of.
 

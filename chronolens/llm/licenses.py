@@ -1,8 +1,10 @@
-"""License scan: an exact set-similarity join between the lines of all documents and license templates.
+"""License scan: an exact set-similarity join between the lines and runs of words of all documents and license templates.
 
 Main path: DataFrame functions only.
 
-Method. A text block is one line. Blocks and templates are sets of words. A block matches a template if it contains at
+Method. A text block is a line, or a run of words whatever lines they stand on: for each size c of RUNS every c-th word begins a run of 2 c words, so that any c words in a
+row lie in one of them. Lines are held against all templates, runs of 2 c words against those of at most c words (and more than the next smaller size), so that a notice is found however it is wrapped, and words
+scattered over a long text are no match. Blocks and templates are sets of words. A block matches a template if it contains at
 least `threshold` of the template's words: overlap >= o = ceil(threshold * |template|). Words are ordered by their count
 over the blocks of all documents, rarest first. If a block matches, then
 - it has at least o words that occur in any template (length filter),
@@ -11,7 +13,7 @@ over the blocks of all documents, rarest first. If a block matches, then
 - for some shared prefix word at positions i and j, 1 + min(|template| - 1 - i, |block| - 1 - j) >= o (positional filter),
 so the equi-join on prefix words misses none. Words outside all templates never overlap and are dropped beforehand.
 
-Nulls: a null text counts as empty; a null doc_id is an ordinary value. Repeated rows: each row gets its own result row.
+A text of one line has no runs, its line being all of it. Nulls: a null text counts as empty; a null doc_id is an ordinary value. Repeated rows: each row gets its own result row.
 Empty tables give empty results. Other columns of the input are ignored. Texts are scanned whole.
 """
 
@@ -44,8 +46,18 @@ TEMPLATES = [
     ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
     ("all-rights-reserved", "Copyright all rights reserved no part of this publication may be reproduced"),
+    ("mit-warranty", "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT"),
+    ("bsd-warranty", "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("apache-2-notice", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    ("agpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation"),
+    ("unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software"),
+    ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
 ]
 
+#: Sizes of templates, in words, that runs of twice as many are cut for. Longer templates are found on lines only.
+RUNS = (16, 48)
 #: Templates of at most so many prefix words are broadcast; beyond, the join shuffles.
 BROADCAST_ROWS = 100_000
 
@@ -65,23 +77,41 @@ def phrase_places(line: Column, n_words: Column) -> dict[str, tuple[Column, Colu
     return found
 
 
+def run_of(n_words: Column) -> Column:
+    """The size of RUNS for a template of so many words; null beyond them."""
+    out = F.lit(None).cast("int")
+    for c in sorted(RUNS, reverse=True):
+        out = F.when(n_words <= c, F.lit(c)).otherwise(out)
+    return out
+
+
+def runs_of(words: Column, size: int) -> Column:
+    """Array of runs of 2 * size words, one from every size-th word; none where all words are on one."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size))
+    return F.transform(starts, lambda i: F.slice(words, i + 1, F.lit(2 * size)))
+
+
 def template_table(spark: SparkSession, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """One row for each template: number, label, words as a set, size and least overlap. A template without words never matches."""
     raw = spark.createDataFrame([(i, label, text) for i, (label, text) in enumerate(templates)], "tid int, label string, text string")
-    words = raw.select("tid", "label", F.array_distinct(word_array(text_of())).alias("words")).where(F.size("words") > 0)
+    words = raw.select("tid", "label", word_array(text_of()).alias("all")).withColumns({"words": F.array_distinct("all"), "run": run_of(F.size("all"))}).where(F.size("words") > 0).drop("all")
     return words.withColumns({"size": F.size("words"), "least": F.ceil(F.size("words") * threshold - 1e-9).cast("int")})
 
 
 def license_blocks(docs: DataFrame, spark: SparkSession, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
-    """All (doc_id, key, block, label, containment) with containment >= threshold; block counts lines from 0."""
+    """All (doc_id, key, block, run, label, containment) with containment >= threshold; block counts lines from 0 (run: null) or runs of twice `run` words."""
     table = template_table(spark, templates, threshold)
     vocabulary = sorted({w for r in table.select("words").collect() for w in r.words})  # bounded: templates are given as a Python list
     if not vocabulary:
-        return spark.createDataFrame([], "doc_id long, key long, block int, label string, containment double")
+        return spark.createDataFrame([], "doc_id long, key long, block int, run int, label string, containment double")
     fewest = table.agg(F.min("least")).first()[0]
     known = F.array(*map(F.lit, vocabulary))
     lines = docs.select("doc_id", row_key(text_of()).alias("key"), F.posexplode(F.split(text_of(), "\n", -1)).alias("block", "line"))
-    blocks = lines.select("doc_id", "key", "block", F.array_intersect(word_array(F.col("line")), known).alias("words"))
+    blocks = lines.select("doc_id", "key", "block", F.lit(None).cast("int").alias("run"), F.array_intersect(word_array(F.col("line")), known).alias("words"))
+    wrapped = docs.where(F.contains(text_of(), F.lit("\n"))).select("doc_id", row_key(text_of()).alias("key"), word_array(text_of()).alias("all"))
+    for c in RUNS:
+        runs = wrapped.select("doc_id", "key", F.posexplode(runs_of(F.col("all"), c)).alias("block", "words"))
+        blocks = blocks.unionByName(runs.select("doc_id", "key", "block", F.lit(c).alias("run"), F.array_intersect("words", known).alias("words")))
 
     counted = blocks.select(F.explode("words").alias("w")).groupBy("w").count()  # as many rows as words in templates
     ranks = {r.w: i for i, r in enumerate(counted.orderBy("count", "w").collect())}
@@ -90,17 +120,17 @@ def license_blocks(docs: DataFrame, spark: SparkSession, templates: list[tuple[s
     by_rank = lambda words: F.array_intersect(ordered, words)  # noqa: E731  rarest first
 
     prefixes = table.withColumn("ranked", by_rank(F.col("words"))).select(
-        "tid", "label", "size", "least", "ranked", F.posexplode(F.slice("ranked", F.lit(1), F.col("size") - F.col("least") + 1)).alias("i", "w")
+        "tid", "label", F.col("run").alias("of"), "size", "least", "ranked", F.posexplode(F.slice("ranked", F.lit(1), F.col("size") - F.col("least") + 1)).alias("i", "w")
     )
     if sum(len(t.split()) for _, t in templates) <= BROADCAST_ROWS:
         prefixes = F.broadcast(prefixes)
     long_enough = blocks.where(F.size("words") >= fewest).withColumn("ranked", by_rank(F.col("words"))).withColumn("n", F.size("ranked"))
-    rare = long_enough.select("doc_id", "key", "block", "ranked", "n", F.posexplode(F.slice("ranked", F.lit(1), F.col("n") - fewest + 1)).alias("j", "w"))
+    rare = long_enough.select("doc_id", "key", "block", "run", "ranked", "n", F.posexplode(F.slice("ranked", F.lit(1), F.col("n") - fewest + 1)).alias("j", "w"))
     fits = (F.col("n") >= F.col("least")) & (1 + F.least(F.col("size") - 1 - F.col("i"), F.col("n") - 1 - F.col("j")) >= F.col("least"))
-    candidates = rare.join(prefixes.withColumnRenamed("ranked", "template"), "w").where(fits)
+    candidates = rare.join(prefixes.withColumnRenamed("ranked", "template"), "w").where(fits & (F.col("run").isNull() | (F.col("run") == F.col("of"))))
     overlap = F.size(F.array_intersect("ranked", "template"))
     checked = candidates.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("least"))
-    return checked.groupBy("doc_id", "key", "block", "tid", "label").agg((F.max("overlap") / F.first("size")).alias("containment")).drop("tid")
+    return checked.groupBy("doc_id", "key", "block", "run", "tid", "label").agg((F.max("overlap") / F.first("size")).alias("containment")).drop("tid")
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:

@@ -5,11 +5,18 @@ from __future__ import annotations
 from . import licenses, outliers
 
 _CHAT = r"""
-WITH t AS (
-  SELECT conv_id // 2 AS pair_id, conv_id % 2 = 0 AS chosen, conv_id, role, text,
-         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
+WITH n AS (SELECT conv_id, turn, role, text FROM conversations WHERE conv_id IS NOT NULL),
+a AS (SELECT * FROM n WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC NULLS LAST, text DESC NULLS LAST) = 1),
+g AS (SELECT a.conv_id, a.turn, a.text, d.conv_id AS donor, d.text AS answer FROM a JOIN a d ON d.conv_id = xor(a.conv_id, 1)),
+s AS (
+  SELECT conv_id AS pair_id, true AS chosen, conv_id, turn, role, text FROM n
+  UNION ALL SELECT conv_id, false, donor, n.turn, role, n.text FROM n JOIN g USING (conv_id) WHERE n.turn < g.turn OR (n.turn = g.turn AND (role < 'assistant' OR (role = 'assistant' AND n.text < g.text)))
+  UNION ALL SELECT conv_id, false, donor, turn, 'assistant', answer FROM g),
+t AS (
+  SELECT pair_id, chosen, conv_id, role, text,
+         row_number() OVER (PARTITION BY pair_id, chosen ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS pos,
          '<|im_start|>' || coalesce(role, '') || chr(10) AS head, coalesce(text, '') || '<|im_end|>' || chr(10) AS body
-  FROM conversations WHERE conv_id IS NOT NULL),
+  FROM s),
 sides AS (
   SELECT pair_id, min(conv_id) FILTER (chosen) AS chosen_id, min(conv_id) FILTER (NOT chosen) AS rejected_id,
          count(*) FILTER (chosen) AS nc, count(*) FILTER (NOT chosen) AS nr
@@ -44,17 +51,23 @@ def _phrase(phrase: str) -> str:
 
 
 def _license() -> str:
-    templates = ", ".join(f"({i}, '{label}', '{text}')" for i, (label, text) in enumerate(licenses.TEMPLATES))
+    templates = ", ".join("({}, '{}', '{}')".format(i, label, text.replace("'", "''")) for i, (label, text) in enumerate(licenses.TEMPLATES))
+    of = "CASE " + " ".join(f"WHEN len(tw) <= {c} THEN {c}" for c in sorted(licenses.RUNS)) + " ELSE -1 END"
     places = ",\n".join(f"{_phrase(p)} AS p{k}" for k, (p, _) in enumerate(licenses.PHRASES))
     labels = ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, (_, label) in enumerate(licenses.PHRASES))
     every = " || ".join(f"p{k}" for k in range(len(licenses.PHRASES)))
     return f"""
 WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
-templates AS (SELECT label, list_distinct({_WORDS.format("t")}) AS tw FROM (VALUES {templates}) v(i, label, t)),
-lines AS (SELECT r, list_distinct({_WORDS.format("line")}) AS lw FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)),
+templates AS (SELECT label, list_distinct(tw) AS tw, {of} AS kind FROM (SELECT label, {_WORDS.format("t")} AS tw FROM (VALUES {templates}) v(i, label, t))),
+known AS (SELECT list(DISTINCT w) AS known FROM (SELECT unnest(tw) AS w FROM templates)),
+lines AS (
+  SELECT r, 0 AS kind, list_distinct({_WORDS.format("line")}) AS lw FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM docs)
+  UNION ALL SELECT r, c, list_distinct(w[i + 1:i + 2 * c]) FROM (
+    SELECT r, c, w, unnest(range(0, greatest(len(w), 1), c)) AS i FROM (SELECT r, {_WORDS.format("text")} AS w FROM docs WHERE contains(text, chr(10))), (VALUES {", ".join(f"({c})" for c in licenses.RUNS)}) v(c))),
+held AS (SELECT r, kind, list_intersect(lw, known) AS lw FROM lines, known),
 hits AS (
-  SELECT r, label, len(list_intersect(lw, tw)) / len(tw) AS c FROM lines, templates
-  WHERE len(list_intersect(lw, tw)) >= ceil(len(tw) * 0.8 - 1e-9)),
+  SELECT r, label, len(list_intersect(lw, tw)) / len(tw) AS c FROM held l, templates t
+  WHERE (l.kind = 0 OR l.kind = t.kind) AND len(list_intersect(lw, tw)) >= ceil(len(tw) * 0.8 - 1e-9)),
 best AS (SELECT r, list(DISTINCT label) AS found, max(c) AS score FROM hits GROUP BY r),
 words AS (SELECT r, doc_id, {_WORDS.format("text")} AS w FROM docs),
 places AS (SELECT r, doc_id, len(w) AS n_words, {places} FROM words),

@@ -61,9 +61,9 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations 2k and 2k + 1 stand as chosen and rejected answers of pair k, the tables having no preferences of their own."""
-    pair = F.floor(F.col("conv_id") / 2).cast("long")
-    return chat.preference_pairs(table(spark, sf_dir, "conversations"), pair, F.pmod("conv_id", F.lit(2)) == 0)
+    """Each conversation as it stands against the same turns with the last answer of conversation conv_id XOR 1, the tables having no preferences of their own."""
+    turns = chat.with_other_answers(table(spark, sf_dir, "conversations"), F.col("conv_id").bitwiseXOR(1))
+    return chat.preference_pairs(turns, F.col("pair"), F.col("is_chosen"))
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

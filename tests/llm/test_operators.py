@@ -684,3 +684,64 @@ def test_quality_equals_sums_of_table_entries(spark, docs):
 
     rows = quality.scored(docs.union(docs.limit(0)), model, ["doc_id", "text"]).collect()
     assert [r.score for r in rows] == pytest.approx([plain(r.text) for r in rows]) and all(r.predicted == (r.score >= 0.3) for r in rows)
+
+
+WRAPPED = """Copyright (c) 2020 Somebody
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+Licensed under the Apache License,
+Version 2.0
+"""
+
+
+def test_wrapped_notices(spark):
+    """As published, with lines that end in the middle of a notice; and behind much other text."""
+    texts = {1: WRAPPED, 2: WRAPPED.replace("\n", " "), 3: prose(1, 700) + "\n" + WRAPPED + prose(2, 300), 4: prose(3, 50) + "\nlicensed " + prose(4, 90) + "\nunder the " + prose(5, 90) + "\napache license version 2.0"}
+    got = {r.doc_id: r for r in licenses.license_scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all({"mit", "bsd", "apache-2"} <= set(got[i].labels.split(",")) and got[i].score >= 0.9 for i in (1, 2, 3))
+    assert "apache-2" not in got[4].labels.split(",") and "apache" in got[4].labels.split(",")
+
+
+def test_runs_of_words_equal_brute_force(spark):
+    """Every window of as many words as a template has is held against it, wherever lines end."""
+    import re
+
+    rng, notices = random.Random(4), [(label, t) for label, t in licenses.TEMPLATES if len(t.split()) < 40]
+    texts = []
+    for i in range(60):
+        label, notice = rng.choice(notices)
+        words = [w for w in notice.split() if rng.random() > 0.12]
+        at = rng.randrange(0, 120)
+        words = prose(i, at).split() + words + prose(900 + i, 60).split()
+        texts.append("".join(w + rng.choice([" ", " ", " ", "\n"]) for w in words) + "\n")
+    find = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    got = {(r.doc_id, r.label) for r in licenses.license_blocks(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), spark).collect()}
+    for i, t in enumerate(texts):
+        w = find(t)
+        for label, notice in licenses.TEMPLATES:
+            own = find(notice)
+            least = math.ceil(0.8 * len(set(own)) - 1e-9)
+            if any(len(set(w[k : k + len(own)]) & set(own)) >= least for k in range(max(1, len(w) - len(own) + 1))):
+                assert (i, label) in got, (i, label)
+    assert len(got) > 40
+
+
+def test_other_answers(spark):
+    rows = [
+        (0, 0, "user", "q"), (0, 1, "assistant", "a"), (0, 2, "user", "r"), (0, 3, "assistant", "b"), (0, 4, "user", "bye"), (1, 0, "user", "s"), (1, 1, "assistant", "c"),
+        (2, 0, "user", "alone"), (3, 0, "assistant", "d"), (4, None, None, None), (5, 1, "assistant", None), (None, 0, "assistant", "x"), (6, 0, "assistant", "e"), (6, 0, "assistant", "e"), (7, 0, "assistant", "e"),
+    ]
+    df = spark.createDataFrame([(*r, "k", "p") for r in rows], "conv_id long, turn long, role string, text string, pair string, answer string")
+    made = chat.with_other_answers(df, F.col("conv_id").bitwiseXOR(1))
+    got = {r.pair_id: r for r in chat.preference_pairs(made, F.col("pair"), F.col("is_chosen")).collect()}
+    assert set(got) == {0, 1, 2, 3, 4, 5, 6, 7}
+    assert got[0].shared == 3 and got[0].prompt.count("<|im_start|>") == 3 and "b" in got[0].chosen and "bye" in got[0].chosen and got[0].rejected == "<|im_start|>assistant\nc<|im_end|>\n" and got[0].rejected_id == 1
+    assert got[1].shared == 1 and got[1].rejected == "<|im_start|>assistant\nb<|im_end|>\n"
+    assert [got[i].rejected_id for i in (2, 3, 4, 5)] == [None] * 4 and got[2].prompt == "" and got[3].rejected_turns == 0
+    assert got[6].shared == 1 and got[7].chosen == "" and chat.with_other_answers(df.limit(0), F.col("conv_id")).count() == 0
