@@ -38,15 +38,15 @@ from .common import fresh_path, staged
 
 #: The end token is held as a string that no word can be.
 END = "\n"
-HOT, VOCABULARY, CLASS, UNKNOWN = 300_000, 2_048, 32, 64
+HOT, VOCABULARY, CLASS, UNKNOWN = 300_000, 6_144, 64, 64
 #: Tokens of texts that are scored in step, and states that are held until their probabilities are taken.
 BLOCK_TOKENS, HELD_STATES = 500_000, 65_536
 #: The share of the training documents that the network learns from, and documents and tokens of a shard.
 SHARE, SHARD, SHARD_TOKENS = 1.0, 800, 320_000
 #: So many shards are learned from and averaged in one task.
 TASK_SHARDS = 4
-#: Lanes that a shard is read in, and updates that the first shard makes at least (every shard makes those that one pass takes).
-LANES, FIRST_UPDATES = 1_024, 120
+#: Lanes that a shard is read in at most and tokens of a lane at least, and updates that the first shard makes at least (every shard makes those that one pass takes).
+LANES, LANE_TOKENS, FIRST_UPDATES = 1_024, 256, 120
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -423,7 +423,7 @@ def trained(train: DataFrame, model: GatedLm, names: dict[bytes, int], share: fl
             total, read = 0.0, 0
             for _, own in rows.sort_values(["place", "ids"]).groupby("shard"):
                 ids = np.frombuffer(b"".join(own["ids"]), np.uint16).astype(np.int64)
-                weights = GatedLm(np.ones(model.n), model.h).unpacked(start).train(ids, UNKNOWN, lanes=LANES, updates=updates, rate=rate).packed()
+                weights = GatedLm(np.ones(model.n), model.h).unpacked(start).train(ids, UNKNOWN, lanes=min(LANES, max(16, len(ids) // LANE_TOKENS)), updates=updates, rate=rate).packed()
                 total, read = total + len(ids) * np.frombuffer(weights, np.float32).astype(float), read + len(ids)
             return pd.DataFrame({"shard": [rows["task"].iloc[0]], "tokens": [read], "weights": [(total / read).astype(np.float32).tobytes()]})
 
@@ -459,6 +459,13 @@ def hot_table(path: str) -> tuple[dict, np.ndarray]:
     return {w: i for i, (w, _) in enumerate(rows)}, np.array([c for _, c in rows], np.int64)
 
 
+@functools.lru_cache(maxsize=2)
+def hot_spellings(path: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """Of a Python worker: the frequent words by place, their stand-ins, and the natural logs of their spellings, which whoever needs one fills in."""
+    words = list(hot_table(path)[0])
+    return words, np.array([STAND_IN[w[-2] if len(w) > 1 else 32, w[-1]] for w in words], np.int64), np.full(len(words), np.nan)
+
+
 def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float = SHARE) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of docs (doc_id, text); learn_from and held_out are conditions on doc_id."""
     spark = docs.sparkSession
@@ -487,9 +494,10 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
 
     def run(batches):
         place, c = hot_table(hot_path)
+        by_place, hot_kind, hot_spelt = hot_spellings(hot_path)
         end = END.encode()
         in_base = np.log10(np.append(c, 0) + 0.1) - log_all
-        to_id = np.array([*(names.get(w, -1) for w in sorted(place, key=place.get)), -1], np.int64)
+        to_id = np.array([*(names.get(w, -1) for w in by_place), -1], np.int64)
         counted = np.append(c, 0)
         base_end, known_end = (float(in_base[place[end]]), 1) if end in place else (float(-1 - log_all), 0)
         per_count = spelled.seen / np.maximum(1, spelled.counts)
@@ -508,12 +516,20 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
             ids = to_id[at] if len(at) else np.zeros(0, np.int64)
             edges = np.concatenate([[0], np.cumsum(sizes)])
             outside = np.flatnonzero(ids < 0)
-            others = [joined[i] for i in outside.tolist()]
-            kind = np.array([STAND_IN[w[-2] if len(w) > 1 else 32, w[-1]] for w in others], np.int64)
+            unseen = at[outside] < 0
+            others = [joined[i] for i in rare]
+            kind, log_spelt = np.empty(len(outside), np.int64), np.empty(len(outside))
+            kind[unseen] = [STAND_IN[w[-2] if len(w) > 1 else 32, w[-1]] for w in others]
+            log_spelt[unseen] = spelled.log(others)
+            frequent_ones = at[outside[~unseen]]
+            new = np.unique(frequent_ones[np.isnan(hot_spelt[frequent_ones])])  # a frequent word is spelt once a worker
+            if len(new):
+                hot_spelt[new] = spelled.log([by_place[i] for i in new.tolist()])
+            kind[~unseen], log_spelt[~unseen] = hot_kind[frequent_ones], hot_spelt[frequent_ones]
             ids[outside] = kind
             found = model.score([np.append(ids[i:j], UNKNOWN) for i, j in zip(edges, edges[1:])], UNKNOWN)
             # of a word outside the vocabulary: log10(count * share + 10 ** spelled), the count of a rare one being joined later
-            share, spelt = per_count[kind], spelled.log(others) / np.log(10) + log_mass[kind]
+            share, spelt = per_count[kind], log_spelt / np.log(10) + log_mass[kind]
             own = np.zeros(len(ids))
             own[outside] = np.where(at[outside] >= 0, np.log10(counted[at[outside]] * share + 10.0**spelt + 1e-300), 0.0)
             shares, spells = np.zeros(len(ids)), np.zeros(len(ids))

@@ -745,3 +745,31 @@ def test_other_answers(spark):
     assert got[1].shared == 1 and got[1].rejected == "<|im_start|>assistant\nb<|im_end|>\n"
     assert [got[i].rejected_id for i in (2, 3, 4, 5)] == [None] * 4 and got[2].prompt == "" and got[3].rejected_turns == 0
     assert got[6].shared == 1 and got[7].chosen == "" and chat.with_other_answers(df.limit(0), F.col("conv_id")).count() == 0
+
+
+def test_language_model_scores_by_a_plain_forward_pass():
+    """Step by step in double precision, with the softmaxes written out, against score()'s batches of texts read in step."""
+    rng = np.random.default_rng(2)
+    model = rnnlm.GatedLm(np.arange(1.0, 200.0))
+    for k in model.w:
+        model.w[k] = (model.w[k] + rng.normal(0, 0.1, model.w[k].shape) * (model.w[k] > -60)).astype(np.float32)
+    w, h = {k: v.astype(float) for k, v in model.w.items()}, model.h
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+
+    def plain(ids):
+        state, before, out = np.zeros(h), 64, []
+        for i in ids:
+            x = w["x"][before]
+            gates = sigmoid(x[: 2 * h] + state @ w["zr"])
+            z, r = gates[:h], gates[h:]
+            cand = np.tanh(x[2 * h :] + (r * state) @ w["c"])
+            state = (1 - z) * cand + z * state
+            kind, place = divmod(int(i), rnnlm.CLASS)
+            a, b = state @ w["oc"] + w["bc"], state @ w["ow"][kind] + w["bw"][kind]
+            out.append(a[kind] - np.log(np.exp(a).sum()) + b[place] - np.log(np.exp(b).sum()))
+            before = i
+        return out
+
+    texts = [np.append(rng.integers(0, 199, n), 64) for n in (0, 1, 7, 40, 40, 300)]
+    for ids, got in zip(texts, model.score(texts, 64)):
+        assert got == pytest.approx(plain(ids), abs=2e-4)
