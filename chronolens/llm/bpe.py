@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
 from .wordcache import FragmentCache
 
 #: White space beyond ASCII, in UTF-8 (fixed values).
@@ -41,7 +42,7 @@ def byte_of_char() -> dict[str, int]:
 
 
 class ForcedBoundaryBPE:
-    def __init__(self, path: str, cache: int = 200_000):
+    def __init__(self, path: str, cache: int = 400_000):
         from tokenizers import Tokenizer
 
         spec = json.load(open(path, encoding="utf-8"))
@@ -133,7 +134,7 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[list[byt
 
 def encoded(docs: DataFrame, path: str, columns: list[str], keep: bool = True) -> DataFrame:
     """columns of docs, then token_ids (array), decoded (string; both only if keep), n_tokens, ids_sha256, decoded_sha256. docs: text and `columns`."""
-    held = docs.select(*columns, F.col("text").alias("__text"))
+    held = in_small_batches(docs.select(*columns, F.col("text").alias("__text")))
     more = "token_ids array<int>, decoded string, " if keep else ""
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.drop("__text").schema)
 

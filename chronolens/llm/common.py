@@ -37,3 +37,15 @@ def word_array(text: Column) -> Column:
 def row_key(text: Column) -> Column:
     """Beside doc_id, tells rows of the same doc_id apart; rows equal in both have equal results."""
     return F.xxhash64(text)
+
+
+#: Rows of a batch of texts on its way to Python, at most.
+BATCH_ROWS = 2_000
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, whose session from now on sends BATCH_ROWS rows to Python at once, if it sent more: batches of whole texts are large, and both sides hold them beside what they make of them."""
+    name, conf = "spark.sql.execution.arrow.maxRecordsPerBatch", df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 #: What marks prefix, suffix and middle.
 SENTINELS = ("<P>", "<S>", "<M>")
 FORMS = ("plain", "psm", "spm")
@@ -94,7 +96,7 @@ def infill(data: bytes, digest: str, sentinels: tuple[bytes, bytes, bytes], fim_
 def infilled(docs: DataFrame, columns: list[str], key: Column | None = None, seed: int = 7, sentinels: tuple[str, str, str] = SENTINELS, fim_percent: int = 100, spm_percent: int = 50) -> DataFrame:
     """columns of docs, n (lines), form, prefix_chars, middle_chars and output (the text made anew)."""
     name = F.coalesce((F.col("doc_id") if key is None else key).cast("string"), F.lit(""))
-    held = docs.select(*columns, F.sha2(F.concat(F.lit(f"{seed}:"), name), 256).alias("__digest"), F.col("text").alias("__text"))
+    held = in_small_batches(docs.select(*columns, F.sha2(F.concat(F.lit(f"{seed}:"), name), 256).alias("__digest"), F.col("text").alias("__text")))
     schema = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in held.drop("__digest", "__text").schema)
     marks = tuple(s.encode() for s in sentinels)
 

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 LETTER = re.compile(r"[^\W\d_]")
 UNKNOWN = "und"
 #: Documents sampled of each language at least.
@@ -234,7 +236,7 @@ def fit(docs: DataFrame, learn_from: Column, limit: int = 2_000, limit_bytes: in
 
 def identified(docs: DataFrame, model: ByteBiGru | None, columns: list[str], block_bytes: int = 5_000_000) -> DataFrame:
     """columns of docs, lang_pred and score (the pooled probability of lang_pred)."""
-    held = docs.select(*columns, F.col("text").alias("__text"))
+    held = in_small_batches(docs.select(*columns, F.col("text").alias("__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.drop("__text").schema)
 
     def label(block):

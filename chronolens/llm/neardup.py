@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name, staged
+from .common import free_name, in_small_batches, staged
 
 SHINGLE, BANDS, ROWS, BLOCK, SMALL = 5, 30, 5, 1024, 64
 #: Shingles (occurrences) of a block's texts, unless one text has more.
@@ -174,7 +174,7 @@ def signatures(docs: DataFrame) -> DataFrame:
                 found.append(known[node])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.binary()), pa.array(found, pa.list_(pa.int64()))], names=["doc_id", "node", "bands"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>")
+    return in_small_batches(docs.select("doc_id", "text")).mapInArrow(run, f"doc_id {kind}, node binary, bands array<long>")
 
 
 def node_of(text: Column) -> Column:

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_small_batches
+
 FEATURES = ["log_bytes", "word_bytes", "upper_share", "mark_share", "symbol_share", "digit_share", "distinct_words", "repeated_next", "distinct_lines", "words_per_line"]
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
 _DIGITS = b"0123456789"
@@ -136,7 +138,7 @@ class PairwiseGam:
 
 def with_features(docs: DataFrame, columns: list[str]) -> DataFrame:
     """columns of docs and an array of the text's features."""
-    held = docs.select(*columns, F.col("text").alias("__text"))
+    held = in_small_batches(docs.select(*columns, F.col("text").alias("__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.drop("__text").schema)
 
     def run(batches):
@@ -166,7 +168,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn_from: Column, limit: int = 20_
 
 def scored(docs: DataFrame, model: PairwiseGam, columns: list[str], threshold: float = 0.3) -> DataFrame:
     """columns of docs, score (how likely label 1 is) and predicted (1 if score >= threshold)."""
-    held = docs.select(*columns, F.col("text").alias("__text"))
+    held = in_small_batches(docs.select(*columns, F.col("text").alias("__text")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in held.drop("__text").schema)
 
     def run(batches):
