@@ -1,11 +1,12 @@
 """Grouping a day's events into activities and contexts.
 
-The fold is sequential by nature (each decision depends on the ones before), so it runs as a grouped map over (session_id, work_day), a
-group bounded by what one person does in a day. Everything around it (anchors, keywords, spans, names) is relational.
+The fold is sequential by nature (each decision depends on the ones before), so it runs in Arrow batches of rows sorted by (session_id, work_day), a day
+being bounded by what one person does in it; an index of anchors keeps its time near the number of events. Everything around it (anchors, keywords, spans, names) is relational.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
 from itertools import groupby
@@ -150,21 +151,116 @@ def _absorb(host: Group, other: Group) -> None:
     host.members += other.members
 
 
+class Index:
+    """Which contexts have what anchors: by anchor, by norm, by norm and by part of the loose ones. Contexts go by number; of joined ones the number that goes on stands for the other."""
+
+    def __init__(self) -> None:
+        self.exact: dict[tuple[str, str], set[int]] = {}
+        self.norms: dict[str, set[int]] = {}
+        self.loose: dict[str, set[int]] = {}
+        self.parts: dict[str, set[int]] = {}
+        self.into: dict[int, int] = {}
+
+    def add(self, number: int, anchors: list[Anchor]) -> None:
+        for kind, norm, _ in anchors:
+            self.exact.setdefault((kind, norm), set()).add(number)
+            self.norms.setdefault(norm, set()).add(number)
+            if kind in A.LOOSE:
+                self.loose.setdefault(norm, set()).add(number)
+                for part in _parts(norm):
+                    self.parts.setdefault(part, set()).add(number)
+
+    def join(self, host: int, other: int) -> None:
+        self.into[other] = host
+
+    def _now(self, *found: set[int]) -> set[int]:
+        out = set()
+        for number in set().union(*found):
+            end = number
+            while end in self.into:
+                end = self.into[end]
+            while self.into.get(number, end) != end:
+                number, self.into[number] = self.into[number], end
+            out.add(end)
+        return out
+
+    def holding(self, anchors: list[Anchor]) -> set[int]:
+        """Contexts whose view holds one of the anchors."""
+        none: set[int] = set()
+        found = []
+        for kind, norm, _ in anchors:
+            found.append(self.exact.get((kind, norm), none))
+            if kind in A.LOOSE:
+                found += [self.norms.get(norm, none), *(self.parts.get(p, none) for p in _parts(norm))]
+        return self._now(*found)
+
+    def held_by(self, anchors: list[Anchor]) -> set[int]:
+        """Contexts that have an anchor which a view of these would hold."""
+        none: set[int] = set()
+        found = []
+        for kind, norm, _ in anchors:
+            found += [self.exact.get((kind, norm), none), self.loose.get(norm, none)]
+            if kind in A.LOOSE:
+                found += [self.parts.get(p, none) for p in _parts(norm)]
+        return self._now(*found)
+
+
+class Reach:
+    """Greatest values over ranges of places (a tree of maxima)."""
+
+    def __init__(self, values: list[float]):
+        self.size = 1 << max(0, len(values) - 1).bit_length()
+        self.tree = [-1.0] * self.size + values + [-1.0] * (self.size - len(values))
+        for k in range(self.size - 1, 0, -1):
+            self.tree[k] = max(self.tree[2 * k], self.tree[2 * k + 1])
+
+    def put(self, at: int, value: float) -> None:
+        at += self.size
+        self.tree[at] = value
+        while at > 1:
+            at //= 2
+            self.tree[at] = max(self.tree[2 * at], self.tree[2 * at + 1])
+
+    def first_above(self, value: float, until: int) -> int | None:
+        """The first place before `until` whose value is greater."""
+        stack = [(1, 0, self.size)]
+        while stack:
+            k, lo, width = stack.pop()
+            if lo >= until or self.tree[k] <= value:
+                continue
+            if width == 1:
+                return lo
+            stack += [(2 * k + 1, lo + width // 2, width // 2), (2 * k, lo, width // 2)]
+        return None
+
+
 def contexts(acts: list[Group], config: EngineConfig) -> list[Group]:
-    """Greedy assignment, then merging by shared anchors, then what lies inside an anchored context without an identity of its own."""
+    """Greedy assignment, then merging by shared anchors, then what lies inside an anchored context without an identity of its own.
+
+    Only contexts that can be chosen are looked at, in the order of their numbers: those that share an anchor and the one before, or, for an activity without anchors, those that reach up to it."""
     found: list[Group] = []
+    index, near = Index(), set()
     before: tuple[Group, str] | None = None
     for act in acts:
-        first = next(iter(act.apps))
+        first, mine = next(iter(act.apps)), act.listed()
+        if mine:
+            known = index.holding(mine) | ({before[0].number} if before else set())
+        else:  # what an activity can do without anchors is go on where a context reaches up to it; starts never fall, so others are out for good
+            near = {n for n in near if (c := found[n - 1]) and (c.anchored if c.anchors else c.end) >= act.start}
+            known = near
         best, most = None, 0.0
-        for ctx in found:
+        for number in sorted(known):
+            ctx = found[number - 1]
             fit = affinity(act, ctx, config, before is not None and before[0] is ctx and before[1] == first)
             if fit > most:
                 best, most = ctx, fit
         if best is None or most < config.threshold:
             best = Group(len(found) + 1, act.start, act.end, anchored=act.start)
             found.append(best)
-        best.take(act.start, act.end, act.apps, act.listed())
+        new = [a for a in mine if a[:2] not in best.anchors]
+        best.take(act.start, act.end, act.apps, mine)
+        index.add(best.number, new)
+        near.add(best.number)
         if act.anchors:
             best.anchored = max(best.anchored, act.end)
         best.events += act.events
@@ -174,29 +270,34 @@ def contexts(acts: list[Group], config: EngineConfig) -> list[Group]:
     def fits(a: Group, b: Group) -> bool:
         return any(map(b.view().holds, a.listed())) and not a.view().conflicts(b.view())
 
-    i = 0
-    while i < len(found):  # the first pair that fits is joined, until none does; only pairs with what has changed are looked at again
-        j = next((j for j in range(i + 1, len(found)) if fits(found[i], found[j])), None)
+    live = {c.number for c in found}
+    i = 1
+    while i <= len(found):  # the first pair that fits is joined, until none does; only pairs with what has changed are looked at again
+        if i not in live:
+            i += 1
+            continue
+        one = found[i - 1]
+        j = next((k for k in sorted(index.holding(one.listed())) if k > i and fits(one, found[k - 1])), None)
         if j is None:
             i += 1
             continue
-        _absorb(found[i], found[j])
-        del found[j]
-        i = next((k for k in range(i) if fits(found[k], found[i])), i)
-
-    def bracket() -> bool:
-        for i, inner in enumerate(found):
-            if all(_strength(a) == "weak" for a in inner.listed()):
-                host = next((c for c in found if c is not inner and c.anchors and c.start < inner.start and c.end > inner.end), None)
-                if host:
-                    _absorb(host, inner)
-                    del found[i]
-                    return True
-        return False
-
-    while bracket():
-        pass
-    return found
+        _absorb(one, found[j - 1])
+        index.join(i, j)
+        live.discard(j)
+        i = next((k for k in sorted(index.held_by(one.listed())) if k < i and fits(found[k - 1], one)), i)
+
+    # hosts only become fewer and none reaches farther, so that one pass in order finds what passes that begin anew do
+    starts = [c.start for c in found]  # they never fall
+    reach = Reach([float(c.end) if c.number in live and c.anchors else -1.0 for c in found])
+    for number in sorted(live):
+        inner = found[number - 1]
+        if all(_strength(a) == "weak" for a in inner.listed()):
+            at = reach.first_above(float(inner.end), bisect_left(starts, inner.start))
+            if at is not None:
+                _absorb(found[at], inner)
+                live.discard(number)
+                reach.put(number - 1, -1.0)
+    return [c for c in found if c.number in live]
 
 
 def group_day(events: list[dict], config: EngineConfig) -> list[tuple[int | None, int | None]]:
