@@ -5,9 +5,10 @@ Truth: session_id, ref, tag (null: noise), important. Prediction: session_id, re
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.staging import staged
 from .intervals import gap_buckets, repo_gap_buckets
 
 
@@ -46,6 +47,22 @@ def split_merge(counts: DataFrame) -> DataFrame:
     return t.join(c, "session_id").select("session_id", "merged", "split", (F.col("n_clusters") - F.col("n_tags")).alias("delta"), "coverage", "purity")
 
 
+def matches(counts: DataFrame) -> DataFrame:
+    """session_id, tag, cluster, n: each tag and cluster in one pair at most, by falling n (ties: smaller tag, then cluster), as one takes the greatest pair that is left again and again.
+
+    In rounds: every pair that is the first of its tag and of its cluster at once is taken, as nothing can come before it; a round takes one pair a session at least, mostly far more."""
+    best = [F.desc("n"), F.asc("tag"), F.asc("cluster")]
+    first = lambda side: F.row_number().over(Window.partitionBy("session_id", side).orderBy(*best)) == 1
+    left, out = staged(counts.select("session_id", "tag", "cluster", "n"), "counts"), None
+    while True:
+        taken = staged(left.withColumns({"_t": first("tag"), "_c": first("cluster")}).where("_t and _c").drop("_t", "_c"), "taken")
+        out = taken if out is None else out.union(taken)
+        rest = left.join(taken.select("session_id", "tag"), ["session_id", "tag"], "left_anti").join(taken.select("session_id", "cluster"), ["session_id", "cluster"], "left_anti")
+        left = staged(rest.select("session_id", "tag", "cluster", "n"), "rest")
+        if left.isEmpty():
+            return out
+
+
 def important_recall(truth: DataFrame, predicted: DataFrame, counts: DataFrame) -> DataFrame:
     """session_id, important_recall: of a tag's important events, those in its best cluster; mean over tags."""
     best = counts.groupBy("session_id", "tag").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("best"))
@@ -84,6 +101,22 @@ def from_assignments(events: DataFrame, assigned: DataFrame) -> DataFrame:
     return held.select("session_id", "ref", F.concat_ws(".", F.col("work_day").cast("string"), F.when(F.col("context").isNotNull(), F.col("context").cast("string"))).alias("c"), "context").select("session_id", "ref", F.when(F.col("context").isNotNull(), F.col("c")).alias("cluster"))
 
 
+def registry(events: DataFrame, truth: DataFrame, assigned: DataFrame) -> dict[str, DataFrame]:
+    """All eight predictions by name: the baselines, the labels themselves and the engine's contexts."""
+    return {name: f(events) for name, f in PREDICTORS.items()} | {"labels": oracle(truth), "engine": from_assignments(events, assigned)}
+
+
+def detail(truth: DataFrame, predicted: DataFrame) -> DataFrame:
+    """All measures of each session in one row; matches as an array of (tag, cluster, n), the largest first."""
+    counts = staged(contingency(truth, predicted), "contingency")
+    listed = matches(counts).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "tag", "cluster"))).alias("all"))
+    listed = listed.select("session_id", F.transform("all", lambda x: F.struct(x["tag"].alias("tag"), x["cluster"].alias("cluster"), (-x["less"]).alias("n"))).alias("matches"))
+    out = pairwise(counts)
+    for part in (split_merge(counts), important_recall(truth, predicted, counts), noise_absorbed(truth, predicted), listed):
+        out = out.join(part, "session_id", "left")
+    return out.withColumn("noise_absorbed", F.coalesce("noise_absorbed", F.lit(0).cast("long")))
+
+
 def summary(truth: DataFrame, predictions: dict[str, DataFrame], sessions: str | None = None) -> DataFrame:
     """predictor, sessions, f1, false_merge, false_split, ari: means over the sessions, of those whose name holds the text given."""
     if sessions is not None:

@@ -171,3 +171,62 @@ def test_a_day_of_very_many_events_takes_time_near_their_number():
         took.append(time.process_time() - began)
         assert len({c for _, c in got if c}) > n / 80
     assert took[1] < 30 * max(took[0], 0.05)
+
+
+def test_matches_and_detail(spark):
+    from chronolens.operators import evaluate
+
+    rng, rows = random.Random(2), []
+    for s in "abc":
+        rows += [(s, f"{s}{i}", rng.choice(["t1", "t2", "t3", "t4", None]), rng.choice(["c1", "c2", "c3", None]), rng.random() < 0.4) for i in range(60)]
+    df = spark.createDataFrame(rows, "session_id string, ref string, tag string, cluster string, important boolean")
+    truth, predicted = df.select("session_id", "ref", "tag", "important"), df.select("session_id", "ref", "cluster")
+    counts = {(r.session_id, r.tag, r.cluster): r.n for r in evaluate.contingency(truth, predicted).collect()}
+    want = set()
+    for s in "abc":
+        left = sorted(((-n, t, c) for (x, t, c), n in counts.items() if x == s))
+        while left:
+            n, t, c = left[0]
+            want.add((s, t, c, -n))
+            left = [x for x in left if x[1] != t and x[2] != c]
+    assert {tuple(r) for r in evaluate.matches(evaluate.contingency(truth, predicted)).collect()} == want
+    got = {r.session_id: r for r in evaluate.detail(truth, predicted).collect()}
+    assert {(s, m.tag, m.cluster, m.n) for s, r in got.items() for m in r.matches} == want
+    noise = {s: sum(1 for x in rows if x[0] == s and x[2] is None and x[3] is not None) for s in "abc"}
+    assert {s: r.noise_absorbed for s, r in got.items()} == noise
+    assert evaluate.matches(evaluate.contingency(truth.limit(0), predicted)).count() == 0
+
+
+def test_registry_and_predictions_file(spark, tmp_path):
+    from chronolens.operators import evaluate
+    from chronolens.sources import readers
+
+    e = spark.createDataFrame([("s", "2024-01-15", i, str(i), i * 60_000, i * 60_000, "app", "r", "t") for i in range(4)], "session_id string, work_day string, ord long, ref string, ts_ms long, end_ms long, app string, repository string, tag string")
+    assigned = spark.createDataFrame([("s", "2024-01-15", i, 1, 1 if i else None) for i in range(4)], "session_id string, work_day string, ord long, activity long, context long")
+    named = evaluate.registry(e, e.select("session_id", "ref", "tag"), assigned)
+    assert len(named) == 8 and all(p.columns == ["session_id", "ref", "cluster"] and p.count() == 4 for p in named.values())
+    (tmp_path / "p").write_text('{"s": {"0": "c", "1": "c", "2": "d", "3": null}}')
+    truth = e.select("session_id", "ref", "tag", (e.ord == 0).alias("important"))
+    given = evaluate.summary(truth, {"labels": named["labels"], "file": readers.predictions(spark, str(tmp_path / "p"))}, "s").collect()
+    assert {r.predictor: (r.sessions, round(r.f1, 6)) for r in given} == {"labels": (1, 1.0), "file": (1, round(2 * 1 / 6 / (1 + 1 / 6), 6))}
+
+
+def test_labelled_sessions_of_a_file(spark, tmp_path):
+    import json
+
+    from chronolens.sources import readers
+
+    session = {"id": "g1", "name": "n", "day": "2024-01-15", "tzOffsetMinutes": 60, "events": [{"ref": "e1", "type": "x"}, {"ref": "e2", "type": "y"}]}
+    (tmp_path / "g1.json").write_text(json.dumps(session, indent=1))
+    (tmp_path / "g2.json").write_text(json.dumps({**session, "id": "g2"}))
+    rows = readers.labelled_sessions(spark, str(tmp_path), "ref:string,type:string", ["g1"]).orderBy("ord").collect()
+    assert [(r.id, r.tz, r.ord, r.event.ref) for r in rows] == [("g1", 60, 0, "e1"), ("g1", 60, 1, "e2")]
+
+
+def test_brief_of_a_context(spark):
+    from chronolens.plans import export
+
+    keys = "session_id string, work_day string, context long"
+    card = spark.createDataFrame([("s", "d", 1, "working", 2, 2, "b.py"), ("s", "d", 1, "working", 1, 1, "a.py"), ("s", "d", 1, "ran", 1, 1, "make")], f"{keys}, bucket string, ts_ms long, ord long, label string")
+    step = spark.createDataFrame([("s", "d", 1, "failing", "make")], f"{keys}, rule string, text string")
+    assert [r.text for r in export.brief(card, step).collect()] == ["ran: make\nworking: a.py; b.py\nnext (failing): make"]
