@@ -65,6 +65,15 @@ def corpus(facts: DataFrame, keys: list[str]) -> DataFrame:
     return rows.withColumn("tokens", T.tokens(words, T.fold(words)))
 
 
+def context_tokens(contexts: DataFrame, anchors: DataFrame) -> DataFrame:
+    """context, context_tokens: words of each context's label, repository, branch and project, and of the values of its anchors (context, value). contexts: context, label, repository, branch, project."""
+    named = contexts.select("context", F.explode(F.array_compact(F.array("label", "repository", "branch", "project"))).alias("value"))
+    each = named.unionByName(anchors.where("value is not null").select("context", "value")).select("context", F.explode(T.tokens(F.col("value"), T.fold(F.col("value")))).alias("token"))
+    found = each.distinct().groupBy("context").agg(F.sort_array(F.collect_list("token")).alias("context_tokens"))
+    every = contexts.select("context").unionByName(anchors.select("context")).distinct()
+    return every.join(found, "context", "left").withColumn("context_tokens", F.coalesce("context_tokens", F.array().cast("array<string>")))
+
+
 def matches(term: str, tokens: Column) -> Column:
     """Whether a term is one of the tokens, or the beginning of one if it has three characters."""
     return F.exists(tokens, lambda t: (t == term) | (t.startswith(term) if len(term) >= 3 else F.lit(False)))

@@ -22,7 +22,15 @@ from .intervals import covered_ms
 KEYS = ["session_id", "work_day"]
 #: These events end an activity and belong to none.
 HARD_BOUNDARY = ["system.idle.start", "system.session.lock", "system.power.sleep", "system.capture.paused"]
-NAMES_BY_SOURCE = {"external": "External", "terminal": "Terminal", "git": "Git"}
+NAMES_BY_SOURCE = {"external": "Cockpit", "terminal": "Terminal", "git": "Git"}
+AGENT_NAME = "Claude Code"
+#: Names of applications by their ids.
+APP_NAMES = {
+    "com.tinyspeck.slackmacgap": "Slack", "com.linear": "Linear", "com.figma.Desktop": "Figma", "com.apple.Notes": "Notes", "com.apple.mail": "Mail", "com.apple.finder": "Finder",
+    "com.apple.Terminal": "Terminal", "com.googlecode.iterm2": "iTerm2", "com.google.Chrome": "Chrome", "com.apple.Safari": "Safari", "com.acme.cockpit": "Cockpit", "com.apple.Preview": "Preview",
+    "com.microsoft.VSCode": "VS Code", "Code.exe": "VS Code", "chrome.exe": "Chrome", "WindowsTerminal.exe": "Terminal", "slack.exe": "Slack", "Teams.exe": "Teams", "olk.exe": "Outlook",
+    "explorer.exe": "Finder", "Spotify.exe": "Spotify",
+}
 
 
 @dataclass(frozen=True)
@@ -310,8 +318,13 @@ def group_day(events: list[dict], config: EngineConfig) -> list[tuple[int | None
 
 
 def app_name(events: DataFrame) -> F.Column:
-    """The name under which an event's application counts; by source where that says more."""
-    name = F.coalesce(*[F.col(c) for c in ("app_display", "app") if c in events.columns], F.lit("System"))
+    """The name under which an event's application counts: by source where that says more, else by the application's id, else as it is displayed."""
+    none = F.lit(None).cast("string")
+    display = F.col("app_display") if "app_display" in events.columns else none
+    app = F.nullif(F.col("app"), F.lit("")) if "app" in events.columns else none
+    known = F.try_element_at(F.create_map(*(F.lit(x) for pair in APP_NAMES.items() for x in pair)), app)
+    name = F.coalesce(F.when(app.isNotNull(), known), display, app, F.lit("System"))
+    name = F.when(F.col("source") == "agent", F.coalesce(display, F.lit(AGENT_NAME))).otherwise(name)
     for source, fixed in NAMES_BY_SOURCE.items():
         name = F.when(F.col("source") == source, F.lit(fixed)).otherwise(name)
     return name

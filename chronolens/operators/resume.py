@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.display import absolute
+from ..functions.meta import number, text, typed
+from ..functions.meta import shown as shown_number
 from ..functions.text import leaf
 
 KEYS = ["session_id", "work_day", "context"]
@@ -20,8 +22,8 @@ RESOURCES, AGENT_FILES = 10, 8
 THROWAWAY = r"(?i)[/\\](?:temp|tmp)[/\\]|^/var/folders/"
 
 
-def _meta(name: str) -> Column:
-    return F.get_json_object("metadata", f"$.{name}")
+def _list(name: str) -> Column:
+    return F.from_json(F.get_json_object("metadata", f"$.{name}"), "array<string>")
 
 
 AGENT_TYPES = ["external.run.finished", "external.mission.started", "agent.session.started", "agent.session", "agent.activity"]
@@ -33,8 +35,9 @@ def _app_display(events: DataFrame) -> Column:
 
 def lines(events: DataFrame) -> DataFrame:
     """KEYS, ord, ts_ms, bucket, label, detail, tone: events as lines. A file name or address worked on or read stands once, at its first event; all others each time."""
-    kind, exit_code = F.col("type"), _meta("exitCode")
-    path, tail = F.coalesce(_meta("path"), _meta("toPath")), F.from_json(_meta("lines"), "array<string>")
+    events = typed(events)
+    kind, exit_code = F.col("type"), number("exitCode")
+    path, tail = F.coalesce(text("path"), text("toPath")), _list("lines")
     own, none = F.col("ord").cast("string"), F.lit(None).cast("string")
     shown = F.coalesce(_app_display(events), F.lit("Agent"))
 
@@ -42,21 +45,21 @@ def lines(events: DataFrame) -> DataFrame:
         return F.struct(F.lit(bucket).alias("bucket"), label.alias("label"), detail.cast("string").alias("detail"), key.alias("key"), tone.alias("tone"))
 
     agent = (
-        F.when(kind == "external.mission.started", F.concat(F.lit("Mission: "), F.coalesce(_meta("mission"), F.lit(""))))
-        .when(kind == "external.run.finished", F.concat(F.lit("Run "), F.coalesce(_meta("runId"), F.lit("")), F.lit(" — "), F.coalesce(_meta("status"), F.lit(""))))
+        F.when(kind == "external.mission.started", F.concat(F.lit("Mission: "), F.coalesce(text("mission"), F.lit(""))))
+        .when(kind == "external.run.finished", F.concat(F.lit("Run "), F.coalesce(text("runId"), F.lit("")), F.lit(" — "), F.coalesce(text("status"), F.lit(""))))
         .when(kind == "agent.session.started", F.lit("Session started"))
-        .when(kind == "agent.session", F.coalesce(_meta("title"), F.col("title"), shown))
-        .otherwise(F.concat(shown, F.lit(" — "), F.coalesce(_meta("toolCallCount"), F.lit("0")), F.lit(" tool calls")))
+        .when(kind == "agent.session", F.coalesce(text("title"), F.col("title"), shown))
+        .otherwise(F.concat(shown, F.lit(" — "), F.coalesce(shown_number(number("toolCallCount")), F.lit("0")), F.lit(" tool calls")))
     )
-    passed = F.coalesce(exit_code == "0", F.lit(False))
+    passed = F.coalesce(exit_code == 0, F.lit(False))
     made = (
         F.when(kind.isin("ide.file.opened", "ide.file.saved", "fs.file.created", "fs.file.renamed") & path.isNotNull(), line("working", leaf(path), path, leaf(path)))
-        .when((kind == "browser.navigation") & _meta("url").isNotNull(), line("reading", F.coalesce(F.col("title"), _meta("host"), _meta("url")), _meta("url"), _meta("url")))
-        .when((kind == "terminal.command") & _meta("commandRedacted").isNotNull(), line("ran", _meta("commandRedacted"), F.concat(F.lit("exit "), F.coalesce(exit_code, F.lit("?"))), tone=F.when(passed, "success").otherwise("failure")))
+        .when((kind == "browser.navigation") & text("url").isNotNull(), line("reading", F.coalesce(F.col("title"), text("host"), text("url")), text("url"), text("url")))
+        .when((kind == "terminal.command") & text("commandRedacted").isNotNull(), line("ran", text("commandRedacted"), F.concat(F.lit("exit "), F.coalesce(shown_number(exit_code), F.lit("?"))), tone=F.when(passed, "success").otherwise("failure")))
         .when((kind == "terminal.error_tail") & (F.size(tail) > 0), line("failure", F.get(tail, 0), F.array_join(F.slice(tail, 2, 1 << 20), "\n"), tone=F.lit("failure")))
-        .when(kind == "git.commit", line("produced", F.coalesce(_meta("messageRedacted"), F.lit("commit")), F.left(_meta("sha"), F.lit(7)), tone=F.lit("success")))
-        .when(kind == "manual.note", line("note", F.coalesce(_meta("text"), F.lit("")), none))
-        .when(kind.isin(AGENT_TYPES), line("produced", agent, F.array_join(F.from_json(_meta("filesTouched"), "array<string>"), ", ")))
+        .when(kind == "git.commit", line("produced", F.coalesce(text("messageRedacted"), F.lit("commit")), F.left(text("sha"), F.lit(7)), tone=F.lit("success")))
+        .when(kind == "manual.note", line("note", F.coalesce(text("text"), F.lit("")), none))
+        .when(kind.isin(AGENT_TYPES), line("produced", agent, F.array_join(_list("filesTouched"), ", ")))
     )
     long = events.withColumn("l", made).where(F.col("l").isNotNull()).select(*KEYS, "ord", "ts_ms", "l.*")
     first = F.row_number().over(Window.partitionBy(*KEYS, "bucket", "key").orderBy("ts_ms", "ord")) == 1
@@ -74,37 +77,39 @@ def capped(card: DataFrame) -> DataFrame:
 
 def next_step(events: DataFrame) -> DataFrame:
     """KEYS, rule, text: last note, else last failing command, else latest status with uncommitted files, else last agent event."""
+    events = typed(events)
     at = F.struct("ts_ms", "ord")
     kind = F.col("type")
-    last = lambda when, text, name: F.max_by(F.when(when, text), F.when(when, at)).alias(name)
+    last = lambda when, what, name: F.max_by(F.when(when, what), F.when(when, at)).alias(name)
     found = events.groupBy(*KEYS).agg(
-        last((kind == "manual.note") & _meta("text").isNotNull(), _meta("text"), "note"),
-        last((kind == "terminal.command") & ~F.coalesce(_meta("exitCode") == "0", F.lit(False)), _meta("commandRedacted"), "failing"),
-        last((kind == "git.status.summary") & (_meta("dirtyFiles").try_cast("int") > 0), _meta("dirtyFiles"), "dirty"),
-        last(kind.startswith("agent."), F.coalesce(_meta("outcome"), _meta("agent")), "agent"),
+        last((kind == "manual.note") & text("text").isNotNull(), text("text"), "note"),
+        last((kind == "terminal.command") & ~F.coalesce(number("exitCode") == 0, F.lit(False)), text("commandRedacted"), "failing"),
+        last((kind == "git.status.summary") & (number("dirtyFiles") > 0), shown_number(number("dirtyFiles")), "dirty"),
+        last(kind.startswith("agent."), F.coalesce(text("outcome"), text("agent")), "agent"),
     )
     rules = [("note", "note"), ("failing", "failing"), ("dirty", "dirty"), ("agent", "agent")]
-    rule, text = F.lit(None).cast("string"), F.coalesce(*[F.col(c) for _, c in rules])
+    rule, value = F.lit(None).cast("string"), F.coalesce(*[F.col(c) for _, c in rules])
     for name, c in reversed(rules):
         rule = F.when(F.col(c).isNotNull(), name).otherwise(rule)
-    return found.select(*KEYS, rule.alias("rule"), text.alias("text")).where(F.col("rule").isNotNull())
+    return found.select(*KEYS, rule.alias("rule"), value.alias("text")).where(F.col("rule").isNotNull())
 
 
 def resources(events: DataFrame) -> DataFrame:
     """KEYS, nth, kind, target: what to open, workspaces first, RESOURCES at most; no temporary paths, each target once, where it came up first."""
-    kind, path = F.col("type"), F.coalesce(_meta("path"), _meta("toPath"))
-    project = F.coalesce(_meta("projectPath"), _meta("worktree"), _meta("cwd"))
+    events = typed(events)
+    kind, path = F.col("type"), F.coalesce(text("path"), text("toPath"))
+    project = F.coalesce(text("projectPath"), text("worktree"), text("cwd"))
     one = lambda when, name, target: F.when(when, F.struct(F.lit(name).alias("kind"), target.alias("target")))
-    touched = F.slice(F.from_json(_meta("filesTouched"), "array<string>"), 1, AGENT_FILES)
+    touched = F.slice(_list("filesTouched"), 1, AGENT_FILES)
     touched = F.transform(touched, lambda f: F.when(F.trim(f) != "", F.struct(F.lit("file").alias("kind"), absolute(f, project).alias("target"))))
     some = F.array(
-        one(kind.isin("ide.file.opened", "ide.file.saved", "fs.file.created", "fs.file.renamed"), "file", path), one(kind == "browser.navigation", "url", _meta("url")),
-        one(kind.isin("git.commit", "git.status.summary"), "folder", _meta("worktree")), one(kind.isin("git.branch.checkout", "git.repo.detected"), "folder", F.coalesce(_meta("worktree"), _meta("path"))),
-        one(kind == "ide.workspace.opened", "workspace", _meta("workspacePath")), one(kind.isin(AGENT_TYPES), "workspace", project),
+        one(kind.isin("ide.file.opened", "ide.file.saved", "fs.file.created", "fs.file.renamed"), "file", path), one(kind == "browser.navigation", "url", text("url")),
+        one(kind.isin("git.commit", "git.status.summary"), "folder", text("worktree")), one(kind.isin("git.branch.checkout", "git.repo.detected"), "folder", F.coalesce(text("worktree"), text("path"))),
+        one(kind == "ide.workspace.opened", "workspace", text("workspacePath")), one(kind.isin(AGENT_TYPES), "workspace", project),
     )
     every = F.array_compact(F.concat(some, F.when(kind.isin(AGENT_TYPES) & touched.isNotNull(), touched).otherwise(F.array().cast("array<struct<kind:string,target:string>>"))))
     long = events.select(*KEYS, "ord", "ts_ms", F.posexplode(every).alias("rank", "r")).select(*KEYS, F.lit(0).alias("last"), "ts_ms", "ord", "rank", "r.*")
-    cwd = events.where(_meta("cwd").isNotNull()).groupBy(*KEYS).agg(F.max_by(_meta("cwd"), F.struct("ts_ms", "ord")).alias("target"))
+    cwd = events.where(text("cwd").isNotNull()).groupBy(*KEYS).agg(F.max_by(text("cwd"), F.struct("ts_ms", "ord")).alias("target"))
     long = long.unionByName(cwd.select(*KEYS, F.lit(1).alias("last"), F.lit(0).cast("bigint").alias("ts_ms"), F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("rank"), F.lit("terminal").alias("kind"), "target"))
     long = long.withColumn("target", F.trim("target")).where((F.col("target") != "") & ~F.rlike("target", F.lit(THROWAWAY)))
     at = ["last", "ts_ms", "ord", "rank"]

@@ -17,6 +17,24 @@ def standup(contexts: DataFrame) -> DataFrame:
     return rows.select(*DAY, F.array_join(F.transform("all", lambda x: x["text"]), "; ").alias("line"))
 
 
+def standup_detailed(contexts: DataFrame, card: DataFrame) -> DataFrame:
+    """session_id, work_day, text: contexts with activity, one line each: name, place (project, repository, branch), duration, the first two things produced, and whether something failed.
+
+    card: lines of resume.capped(resume.lines()) of the same contexts."""
+    keys = [*DAY, "context"]
+    produced = F.transform(F.slice(F.array_sort(F.collect_list(F.when(F.col("bucket") == "produced", F.struct("ts_ms", "ord", "label")))), 1, 2), lambda x: x["label"])
+    done = card.groupBy(*keys).agg(produced.alias("produced"), F.coalesce(F.bool_or(F.col("bucket") == "failure"), F.lit(False)).alias("failed"))
+    rows = contexts.where("active_ms > 0").join(done, keys, "left")
+    some = lambda *parts: F.concat_ws(" · ", *(F.nullif(p, F.lit("")) for p in parts))
+    where = some(F.col("project"), F.col("repository"), F.col("branch"))
+    tail = F.array_join(F.filter(F.concat(F.coalesce("produced", F.array().cast("array<string>")), F.when(F.col("failed"), F.array(F.lit("blocked"))).otherwise(F.array().cast("array<string>"))), lambda x: x != ""), " · ")
+    line = F.concat(
+        F.lit("- "), F.col("label"), F.when(where != "", F.concat(F.lit(" ("), where, F.lit(")"))).otherwise(""), F.lit(" — "), format_duration(F.col("active_ms")), F.when(tail != "", F.concat(F.lit(" — "), tail)).otherwise("")
+    )
+    listed = rows.groupBy(*DAY).agg(F.array_sort(F.collect_list(F.struct("start", "ord", line.alias("text")))).alias("all"))
+    return listed.select(*DAY, F.array_join(F.transform("all", lambda x: x["text"]), "\n").alias("text"))
+
+
 def worklog(contexts: DataFrame) -> DataFrame:
     """session_id, work_day, text: one line a context with clock times."""
     text = F.concat(clock(F.col("start"), F.col("tz")), F.lit("-"), clock(F.col("end"), F.col("tz")), F.lit("  "), F.col("key"), F.lit("  "), format_duration(F.col("active_ms")))
