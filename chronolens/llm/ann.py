@@ -55,6 +55,37 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
+def least_squares(codes: np.ndarray, parts: np.ndarray, way: np.ndarray, inner: np.ndarray, eta: float, start: np.ndarray, tolerance: float = 1e-9, most: int = 300) -> np.ndarray:
+    """Codewords (codes, 16, width) of the least anisotropic loss for given codes, by conjugate gradients from `start`.
+
+    The normal equations are (counts + (eta - 1) Z' Z) b = sums + (eta - 1) Z' inner, Z having a vector's components at its codewords. Z is never made: its products are
+    gathered and scattered by the codes, so memory and each step grow with rows times dimension."""
+    m, _, width = start.shape
+    at = np.arange(m)[None] * 16 + codes
+    size = m * 16
+    spread = lambda v: np.stack([np.bincount(at.ravel(), v[:, :, j].ravel(), size) for j in range(width)], 1)
+    count = np.bincount(at.ravel(), minlength=size)[:, None] + 1e-6
+    apply = lambda b: count * b + (eta - 1) * spread(np.einsum("nmw,nmw->n", way, b[at])[:, None, None] * way)
+    goal = spread(parts) + (eta - 1) * spread(inner[:, None, None] * way)
+    scale = count + (eta - 1) * spread(way * way)  # the diagonal
+    b = start.reshape(size, width).copy()
+    rest = goal - apply(b)
+    step = rest / scale
+    along, now = step, float((rest * step).sum())
+    least = tolerance**2 * float((goal * goal / scale).sum())
+    for _ in range(most):
+        if now <= least:
+            break
+        moved = apply(along)
+        a = now / float((along * moved).sum())
+        b += a * along
+        rest -= a * moved
+        step = rest / scale
+        before, now = now, float((rest * step).sum())
+        along = step + now / before * along
+    return b.reshape(start.shape)
+
+
 @dataclass
 class AnisotropicQuantiser:
     books: np.ndarray  # (codes, 16, width): codewords
@@ -107,15 +138,7 @@ class AnisotropicQuantiser:
         codes, inner = q.encode(x, target), (x * target).sum(1)
         for _ in range(rounds):
             # least squares over all codewords at once: sum over x of (t - Bc)' (1 + (eta - 1) x x') (t - Bc)
-            z, sums = np.zeros((n, m, 16, width)), np.zeros((m, 16, width))
-            used = np.zeros((n, m, 16))
-            at = (np.arange(n)[:, None], np.arange(m)[None], codes)
-            z[at], used[at] = way, 1
-            np.add.at(sums, (np.broadcast_to(np.arange(m), codes.shape), codes), parts)
-            z = z.reshape(n, -1)
-            normal = (eta - 1) * z.T @ z
-            normal[np.diag_indices_from(normal)] += np.repeat(used.sum(0).ravel(), width) + 1e-6
-            q.books = np.linalg.solve(normal, sums.ravel() + (eta - 1) * inner @ z).reshape(m, 16, width)
+            q.books = least_squares(codes, parts, way, inner, eta, q.books)
             codes = q.encode(x, target, start=codes)
         return q
 

@@ -773,3 +773,28 @@ def test_language_model_scores_by_a_plain_forward_pass():
     texts = [np.append(rng.integers(0, 199, n), 64) for n in (0, 1, 7, 40, 40, 300)]
     for ids, got in zip(texts, model.score(texts, 64)):
         assert got == pytest.approx(plain(ids), abs=2e-4)
+
+
+def test_codebooks_by_conjugate_gradients():
+    """Against the dense normal equations; and at 768 components, where these would take gigabytes."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    n, m, width, eta = 400, 9, 2, 3.0
+    codes, parts, way, inner = rng.integers(0, 16, (n, m)), rng.normal(size=(n, m, width)), rng.normal(size=(n, m, width)), rng.normal(size=n)
+    z, sums = np.zeros((n, m, 16, width)), np.zeros((m, 16, width))
+    for i in range(n):
+        for k in range(m):
+            z[i, k, codes[i, k]] = way[i, k]
+            sums[k, codes[i, k]] += parts[i, k]
+    z, used = z.reshape(n, -1), np.stack([np.bincount(codes[:, k], minlength=16) for k in range(m)])
+    normal = (eta - 1) * z.T @ z + np.diag(np.repeat(used.ravel(), width) + 1e-6)
+    want = np.linalg.solve(normal, sums.ravel() + (eta - 1) * inner @ z).reshape(m, 16, width)
+    assert ann.least_squares(codes, parts, way, inner, eta, np.zeros((m, 16, width))) == pytest.approx(want, abs=1e-6)
+
+    x = ann.unit(rng.normal(size=(1_000, 768)))
+    tracemalloc.start()
+    q = ann.AnisotropicQuantiser.fit(x, x, rounds=1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * x.nbytes and q.books.shape == (384, 16, 2)
