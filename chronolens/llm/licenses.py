@@ -6,12 +6,12 @@ Method. A text block is a line, or a run of words whatever lines they stand on:
 row lie in one of them. Lines are held against all templates, runs of 2 c words against those of at most c words (and more than the next smaller size), so that a notice is found however it is wrapped, and words
 scattered over a long text are no match. Blocks and templates are sets of words. A block matches a template if it contains at
 least `threshold` of the template's words: overlap >= o = ceil(threshold * |template|). Words are ordered by their count
-over the blocks of all documents, rarest first. If a block matches, then
+over the blocks of all documents that are long enough to match at all, rarest first. If a block matches, then
 - it has at least o words that occur in any template (length filter),
 - among the |template| - o + 1 rarest words of the template (its prefix) and the |block| - o + 1 rarest of the block,
   at least one is shared (prefix filter),
 - for some shared prefix word at positions i and j, 1 + min(|template| - 1 - i, |block| - 1 - j) >= o (positional filter),
-so the equi-join on prefix words misses none. Words outside all templates never overlap and are dropped beforehand.
+so the equi-join on prefix words misses none. Whole texts go through the same filters first, and only those that hold a template's words somewhere are cut into runs. Words outside all templates never overlap and are dropped beforehand.
 
 A text of one line has no runs, its line being all of it. Nulls: a null text counts as empty; a null doc_id is an ordinary value. Repeated rows: each row gets its own result row.
 Empty tables give empty results. Other columns of the input are ignored. Texts are scanned whole.
@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import row_key, text_of, word_array, word_line
+from .common import row_key, staged, text_of, word_array, word_line
 
 #: Phrases and their labels.
 PHRASES = [
@@ -85,10 +85,10 @@ def run_of(n_words: Column) -> Column:
     return out
 
 
-def runs_of(words: Column, size: int) -> Column:
-    """Array of runs of 2 * size words, one from every size-th word; none where all words are on one."""
-    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), F.lit(size))
-    return F.transform(starts, lambda i: F.slice(words, i + 1, F.lit(2 * size)))
+def runs_of(words: Column, size: Column) -> Column:
+    """Array of runs of 2 * size words, one from every size-th word."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(words) - 1, F.lit(0)), size)
+    return F.transform(starts, lambda i: F.slice(words, i + 1, 2 * size))
 
 
 def template_table(spark: SparkSession, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
@@ -107,11 +107,10 @@ def license_blocks(docs: DataFrame, spark: SparkSession, templates: list[tuple[s
     fewest = table.agg(F.min("least")).first()[0]
     known = F.array(*map(F.lit, vocabulary))
     lines = docs.select("doc_id", row_key(text_of()).alias("key"), F.posexplode(F.split(text_of(), "\n", -1)).alias("block", "line"))
-    blocks = lines.select("doc_id", "key", "block", F.lit(None).cast("int").alias("run"), F.array_intersect(word_array(F.col("line")), known).alias("words"))
-    wrapped = docs.where(F.contains(text_of(), F.lit("\n"))).select("doc_id", row_key(text_of()).alias("key"), word_array(text_of()).alias("all"))
-    for c in RUNS:
-        runs = wrapped.select("doc_id", "key", F.posexplode(runs_of(F.col("all"), c)).alias("block", "words"))
-        blocks = blocks.unionByName(runs.select("doc_id", "key", "block", F.lit(c).alias("run"), F.array_intersect("words", known).alias("words")))
+    lines = lines.select("doc_id", "key", "block", F.lit(False).alias("whole"), F.array_intersect(word_array(F.col("line")), known).alias("words"))
+    several = docs.where(F.contains(text_of(), F.lit("\n")))
+    texts = several.select("doc_id", row_key(text_of()).alias("key"), F.lit(0).alias("block"), F.lit(True).alias("whole"), F.array_intersect(word_array(text_of()), known).alias("words"))
+    blocks = staged(lines.unionByName(texts).where(F.size("words") >= fewest), "license-blocks")
 
     counted = blocks.select(F.explode("words").alias("w")).groupBy("w").count()  # as many rows as words in templates
     ranks = {r.w: i for i, r in enumerate(counted.orderBy("count", "w").collect())}
@@ -124,13 +123,22 @@ def license_blocks(docs: DataFrame, spark: SparkSession, templates: list[tuple[s
     )
     if sum(len(t.split()) for _, t in templates) <= BROADCAST_ROWS:
         prefixes = F.broadcast(prefixes)
-    long_enough = blocks.where(F.size("words") >= fewest).withColumn("ranked", by_rank(F.col("words"))).withColumn("n", F.size("ranked"))
-    rare = long_enough.select("doc_id", "key", "block", "run", "ranked", "n", F.posexplode(F.slice("ranked", F.lit(1), F.col("n") - fewest + 1)).alias("j", "w"))
+    ranked = blocks.withColumn("ranked", by_rank(F.col("words"))).withColumn("n", F.size("ranked"))
+    rare = ranked.select("doc_id", "key", "block", "whole", "ranked", "n", F.posexplode(F.slice("ranked", F.lit(1), F.col("n") - fewest + 1)).alias("j", "w"))
     fits = (F.col("n") >= F.col("least")) & (1 + F.least(F.col("size") - 1 - F.col("i"), F.col("n") - 1 - F.col("j")) >= F.col("least"))
-    candidates = rare.join(prefixes.withColumnRenamed("ranked", "template"), "w").where(fits & (F.col("run").isNull() | (F.col("run") == F.col("of"))))
+    candidates = rare.join(prefixes.withColumnRenamed("ranked", "template"), "w").where(fits & (~F.col("whole") | F.col("of").isNotNull()))
     overlap = F.size(F.array_intersect("ranked", "template"))
     checked = candidates.withColumn("overlap", overlap).where(F.col("overlap") >= F.col("least"))
-    return checked.groupBy("doc_id", "key", "block", "run", "tid", "label").agg((F.max("overlap") / F.first("size")).alias("containment")).drop("tid")
+    found = staged(checked.groupBy("doc_id", "key", "block", "whole", "tid").agg(*(F.first(c).alias(c) for c in ("label", "of", "size", "least", "template")), F.max("overlap").alias("overlap")), "license-found")
+    on_lines = found.where("not whole").select("doc_id", "key", "block", F.lit(None).cast("int").alias("run"), "label", (F.col("overlap") / F.col("size")).alias("containment"))
+
+    # a run that holds a template lies in a text that does, so only such texts are cut into runs
+    wanted = found.where("whole").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "label", "of", "size", "least", "template")
+    few = wanted.count() <= BROADCAST_ROWS
+    held = several.select("doc_id", row_key(text_of()).alias("key"), word_array(text_of()).alias("all")).join(F.broadcast(wanted) if few else wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")))
+    runs = held.select("doc_id", "key", "of", "label", "size", "least", "template", F.posexplode(runs_of(F.col("all"), F.col("of"))).alias("block", "run"))
+    runs = runs.withColumn("overlap", F.size(F.array_intersect("template", "run"))).where(F.col("overlap") >= F.col("least"))
+    return on_lines.unionByName(runs.select("doc_id", "key", "block", F.col("of").alias("run"), "label", (F.col("overlap") / F.col("size")).alias("containment")))
 
 
 def license_scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, threshold: float = 0.8) -> DataFrame:
