@@ -78,10 +78,15 @@ def strip_app_suffix(title: Column) -> Column:
     return title
 
 
+#: What a commit's message may begin with, and what separates the words of a title.
+COMMIT_TYPE = r"(?i)^(feat|fix|chore|docs|refactor|test|style|perf|build|ci)(\([^)]*\))?!?:\s*"
+TITLE_SEPARATORS = r"[\[\](){}|·•:;,.!?/\\\"'`—–-]+"
+
+
 def title_words(title: Column) -> Column:
     """Words of a title that may name a subject, in order."""
-    text = F.regexp_replace(strip_app_suffix(title), r"(?i)^(feat|fix|chore|docs|refactor|test|style|perf|build|ci)(\([^)]*\))?!?:\s*", "")
-    text = F.regexp_replace(F.regexp_replace(text, ISSUE, " "), r"[\[\](){}|·•:;,.!?/\\\"'`—–-]+", " ")
+    text = F.regexp_replace(strip_app_suffix(title), COMMIT_TYPE, "")
+    text = F.regexp_replace(F.regexp_replace(text, ISSUE, " "), TITLE_SEPARATORS, " ")
     return F.filter(F.split(F.trim(text), r"\s+"), lambda w: (F.length(w) >= 3) & ~F.lower(w).isin(TITLE_STOPWORDS) & ~F.rlike(w, F.lit(r"^\d+$")))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import anchors as A
 from ..operators import corpus as Q
 from ..operators import engine
 from ..operators import resume as R
@@ -80,3 +81,27 @@ def context_search(spark, d):
     ranked = Q.rank(rows, TERMS, _NOW, context_tokens=Q.context_tokens(contexts, anchors))
     out = ranked.withColumns({"score": F.round("score", 9), "context_score": F.round("context_score", 9)})
     return out.orderBy(F.desc("score"), F.desc("last_ms")).limit(24).select("doc_id", "context_score", "score")
+
+
+@query(
+    f"""WITH {EV}, h AS (SELECT ev.ord, repository, coalesce(TRY_CAST(json_extract_string(props, '$.k') AS INTEGER), 0) AS k FROM ev JOIN events ON event_id = ev.ord),
+a AS (
+  SELECT ord, 0 AS rank, 'custom' AS type, 'alpha-' || k AS norm, 0.98 AS confidence FROM h UNION ALL SELECT ord, 1, 'issue', 'ef-' || k, 0.98 FROM h WHERE ord % 2 = 0
+  UNION ALL SELECT ord, 2, 'issue', 'ef-' || k, 0.95 FROM h UNION ALL SELECT ord, 3, 'issue', 'ab-' || k, 0.95 FROM h UNION ALL SELECT ord, 4, 'issue', 'cd-' || k, 0.95 FROM h
+  UNION ALL SELECT ord, 5, 'branch', 'fix-ab-' || k, 0.85 FROM h UNION ALL SELECT ord, 6, 'repository', repository, 0.5 FROM h WHERE repository IS NOT NULL UNION ALL SELECT ord, 7, 'project', 'proj-' || k, 0.9 FROM h
+  UNION ALL SELECT ord, 8, 'document', 'b-test', 0.8 FROM h UNION ALL SELECT ord, 9, 'document', 'dir' || k, 0.7 FROM h)
+SELECT ord, type, norm, CAST(confidence AS DOUBLE) AS confidence, CASE WHEN type IN ('issue', 'worktree') THEN 'strong' WHEN type IN ('branch', 'project', 'document') THEN 'medium' ELSE 'weak' END AS strength
+FROM a QUALIFY row_number() OVER (PARTITION BY ord, type, norm ORDER BY rank) = 1"""
+)
+def declared_anchors(spark, d):
+    """Anchors that an event declares, issues in its title and texts, its project, branch, and documents by paths and folders; with their strength."""
+    e = silver_events(spark, d)
+    k = F.coalesce(F.get_json_object("metadata", "$.k").try_cast("int"), F.lit(0)).cast("string")
+    said = lambda kind, value: F.struct(F.lit(kind).alias("type"), value.alias("value"))
+    declared = F.array(said("custom", F.concat(F.lit("Alpha "), k)), said("issue", F.when(F.col("ord") % 2 == 0, F.concat(F.lit("EF-"), k))))
+    made = F.struct(
+        declared.alias("anchors"), F.concat(F.lit("fix/AB-"), k).alias("to"), F.concat(F.lit("see CD-"), k, F.lit(" in UTF-8")).alias("messageRedacted"), F.concat(F.lit("Proj "), k).alias("project"),
+        F.lit("/a/b.test.md").alias("toPath"), F.lit("/a/c.rs").alias("fromPath"), F.concat(F.lit("/w/dir"), k).alias("directory"),
+    )
+    rows = A.event_anchors(e.withColumns({"title": F.concat(F.lit("EF-"), k), "metadata": F.to_json(made)}))
+    return rows.select("ord", "type", "norm", "confidence", A.strength(F.col("type")).alias("strength"))

@@ -1,4 +1,4 @@
-"""Structured Streaming: focus samples to spans, repeated deliveries, work-day and session windows, versions of sessions, recomputed days.
+"""Structured Streaming: focus samples to spans, repeated deliveries, work-day and session windows, versions of sessions. Days computed anew are in sources/days.py.
 
 State is kept by stream (one device or shell) and is a few values; late data is what the watermark says.
 """
@@ -101,16 +101,6 @@ def current(versions: DataFrame, keys: list[str]) -> DataFrame:
     return versions.join(last, [*keys, "version"], "left_semi")
 
 
-def recomputed(store: Callable[[], DataFrame], compute: Callable[[DataFrame], DataFrame], keys: list[str], path: str) -> Callable[[DataFrame, int], None]:
-    """For foreachBatch: computes anew, from the whole store, just the keys (a session's work day) that the batch touches."""
-    write = versions_to(path)
-
-    def run(batch: DataFrame, number: int) -> None:
-        write(compute(store().join(batch.select(*keys).distinct(), keys, "left_semi")), number)
-
-    return run
-
-
 def drained(stream: DataFrame, name: str) -> DataFrame:
     """What a stream gives for all that is there now: written to the shared folder in append mode, and read back."""
     spark: SparkSession = stream.sparkSession
