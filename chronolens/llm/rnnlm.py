@@ -23,6 +23,7 @@ own result row, repeated ones too. Empty tables give empty results; without trai
 from __future__ import annotations
 
 import functools
+import itertools
 import os
 from collections import Counter
 
@@ -385,12 +386,20 @@ class GatedLm:
 def _encoder(names: dict[bytes, int]):
     """Of batches (place, text): place, the text's ids with the end as two bytes each, and how many they are."""
 
+    class Ids(dict):
+        def __missing__(self, w: bytes) -> int:
+            found = int(STAND_IN[w[-2] if len(w) > 1 else 32, w[-1]])
+            if len(self) < HOT:
+                self[w] = found
+            return found
+
     def run(batches):
+        known = Ids(names)
         for b in batches:
             ids = []
             for text in _texts(b.column(1)):
                 words = tokens(text)
-                ids.append(np.array([*(names[w] if w in names else int(STAND_IN[w[-2] if len(w) > 1 else 32, w[-1]]) for w in words), UNKNOWN], np.uint16))
+                ids.append(np.append(np.fromiter(map(known.__getitem__, words), np.uint16, len(words)), np.uint16(UNKNOWN)))
             arrays = [b.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array([len(x) for x in ids], pa.int64())]
             yield pa.RecordBatch.from_arrays(arrays, names=["place", "ids", "n"])
 
@@ -504,20 +513,17 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
         log_mass = np.log10(1 - spelled.seen) - np.log10(np.maximum(spelled.mass, 1e-300))
 
         def block(texts):
-            """n_tokens, n_known, base and score of each, and its words that aren't among the frequent ones."""
+            """n_tokens, n_known, base, score and number of words that aren't among the frequent ones of each, and these words."""
             words = [tokens(t) for t in texts]
             sizes = np.array([len(w) for w in words])
             joined = [w for ws in words for w in ws]
-            at = list(map(place.get, joined))
-            rare = [i for i, x in enumerate(at) if x is None]
-            for i in rare:
-                at[i] = -1
-            at = np.array(at, np.int64)
-            ids = to_id[at] if len(at) else np.zeros(0, np.int64)
+            at = np.fromiter(map(place.get, joined, itertools.repeat(-1)), np.int64, len(joined))
+            rare = np.flatnonzero(at < 0)
+            ids = to_id[at]
             edges = np.concatenate([[0], np.cumsum(sizes)])
             outside = np.flatnonzero(ids < 0)
             unseen = at[outside] < 0
-            others = [joined[i] for i in rare]
+            others = [joined[i] for i in rare.tolist()]
             kind, log_spelt = np.empty(len(outside), np.int64), np.empty(len(outside))
             kind[unseen] = [STAND_IN[w[-2] if len(w) > 1 else 32, w[-1]] for w in others]
             log_spelt[unseen] = spelled.log(others)
@@ -532,16 +538,12 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
             share, spelt = per_count[kind], log_spelt / np.log(10) + log_mass[kind]
             own = np.zeros(len(ids))
             own[outside] = np.where(at[outside] >= 0, np.log10(counted[at[outside]] * share + 10.0**spelt + 1e-300), 0.0)
-            shares, spells = np.zeros(len(ids)), np.zeros(len(ids))
-            shares[outside], spells[outside] = share, spelt
             sums = lambda v: np.concatenate([[0.0], np.cumsum(v)])[edges[1:]] - np.concatenate([[0.0], np.cumsum(v)])[edges[:-1]]
             base = sums(np.where(at >= 0, in_base[at], 0.0)) + base_end
             known = sums(at >= 0).astype(np.int64) + known_end
             score = np.array([f.sum() for f in found]) / np.log(10) + sums(own)
-            cold = [[] for _ in texts]
-            for i, t in zip(rare, (np.searchsorted(edges, rare, "right") - 1).tolist()):
-                cold[t].append({"word": joined[i], "share": shares[i], "spelt": spells[i]})
-            return sizes + 1, known, base, score, cold
+            each = np.bincount(np.searchsorted(edges, rare, "right") - 1, minlength=len(texts))
+            return sizes + 1, known, base, score, each, pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(share[unseen]), pa.array(spelt[unseen])], fields=list(cold_type.value_type))
 
         for b in batches:
             texts = list(_texts(b.column(2)))
@@ -558,9 +560,11 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
             mark = os.urandom(12)  # with its place, a name of the row; this frame is written once and read from there
             names_ = [mark + i.to_bytes(4, "big") for i in range(b.num_rows)]
             join = lambda k: np.concatenate([o[k] for o in out])[place] if out else np.zeros(0)
-            cold = [c for o in out for c in o[4]]
+            begins = np.concatenate([[0], np.cumsum(np.concatenate([o[4] for o in out]))]) if out else np.zeros(1)
+            words = pa.concat_arrays([o[5] for o in out]) if out else pa.array([], cold_type.value_type)
+            cold = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), words).take(pa.array(place))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names_, pa.binary()), b.column(0), b.column(1), pa.array(join(0), pa.int64()), pa.array(join(1), pa.int64()), pa.array(join(2), pa.float64()), pa.array(join(3), pa.float64()), pa.array([cold[i] for i in place.tolist()], cold_type)],
+                [pa.array(names_, pa.binary()), b.column(0), b.column(1), pa.array(join(0), pa.int64()), pa.array(join(1), pa.int64()), pa.array(join(2), pa.float64()), pa.array(join(3), pa.float64()), cold.cast(cold_type)],
                 names=["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "score", "cold"],
             )
 
