@@ -798,3 +798,22 @@ def test_codebooks_by_conjugate_gradients():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40 * x.nbytes and q.books.shape == (384, 16, 2)
+
+
+def test_vectors_of_many_lengths(spark):
+    """Lengths beyond those that have an index are scanned whole, and every length keeps to itself."""
+    rng = np.random.default_rng(8)
+    rows = [(100 * n + i, rng.normal(size=n).tolist()) for n in range(2, 14) for i in range(12)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 50 == 0, k=3).collect()
+    for n in range(2, 14):
+        own = {i: ann.unit(np.array([v]))[0] for i, v in rows if i // 100 == n}
+        q = 100 * n
+        order = sorted((i for i in own if i != q), key=lambda i: (-round(float(own[i] @ own[q]), 12), i))[:3]
+        assert [r.vec_id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] == order
+
+
+def test_equal_language_probabilities():
+    """Ties go to the first language by name."""
+    model = langid.ByteBiGru(["aa", "bb", "cc"])
+    model.w = {k: np.zeros_like(v) for k, v in model.w.items()}
+    assert model.pool([b"some text"]).argmax(1).tolist() == [0] and model.pool([b"some text"])[0] == pytest.approx([1 / 3] * 3)
