@@ -10,6 +10,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .meta import number
 from .text import leaf
 
 TARGET_FILES = 12
@@ -66,7 +67,7 @@ def headline(app_display: Column) -> Column:
 def is_win() -> Column:
     """A commit, a command that passed, a run that succeeded."""
     kind = F.col("type")
-    passed = (kind == "terminal.command") & (meta("exitCode") == "0") | (kind == "external.run.finished") & (meta("status") == "succeeded")
+    passed = (kind == "terminal.command") & (number("exitCode", F.col("metadata")) == 0) | (kind == "external.run.finished") & (meta("status") == "succeeded")
     return (kind == "git.commit") | F.coalesce(passed, F.lit(False))
 
 

@@ -16,17 +16,21 @@ def typed(events: DataFrame) -> DataFrame:
     return events.withColumn(PARSED, F.try_parse_json("metadata"))
 
 
-def _kind(name: str) -> Column:
-    return F.schema_of_variant(F.try_variant_get(PARSED, f"$.{name}", "variant"))
+def _get(name: str, kind: str, source: Column | None) -> Column:
+    return F.try_variant_get(F.col(PARSED) if source is None else F.try_parse_json(source), f"$.{name}", kind)
+
+
+def _kind(name: str, source: Column | None = None) -> Column:
+    return F.schema_of_variant(_get(name, "variant", source))
 
 
 def text(name: str) -> Column:
-    return F.when(_kind(name) == "STRING", F.try_variant_get(PARSED, f"$.{name}", "string"))
+    return F.when(_kind(name) == "STRING", _get(name, "string", None))
 
 
-def number(name: str) -> Column:
-    """As a double."""
-    return F.when(F.rlike(_kind(name), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")), F.try_variant_get(PARSED, f"$.{name}", "double"))
+def number(name: str, source: Column | None = None) -> Column:
+    """As a double. source: JSON text to read it from, where it is the only thing wanted of an event."""
+    return F.when(F.rlike(_kind(name, source), F.lit("^(BIGINT|DOUBLE|FLOAT|DECIMAL)")), _get(name, "double", source))
 
 
 def shown(value: Column) -> Column:

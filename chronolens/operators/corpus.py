@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.meta import number
 
 #: Fixed values.
 WEIGHTS = {"lexical": 0.55, "context": 0.20, "recency": 0.15, "importance": 0.10}
@@ -29,13 +30,13 @@ def facets(events: DataFrame) -> DataFrame:
     )
     kind, always = F.col("type"), F.lit(True)
     path = F.coalesce(_meta("path"), _meta("toPath"))
-    exit_code = F.get_json_object("metadata", "$.exitCode")
+    exit_code = number("exitCode", F.col("metadata"))
     every = F.array_compact(
         F.array(
             one(_meta("url").isNotNull(), "url", F.coalesce(F.when(F.col("title") != "", F.col("title")), _meta("url")), _meta("url")),
             one(path.isNotNull(), "file", T.leaf(path), path),
             one(always, "file", T.leaf(_meta("workspacePath")), _meta("workspacePath")),
-            one(kind == "terminal.command", F.when(exit_code == "0", "command").otherwise("error"), _meta("commandRedacted"), _meta("commandRedacted"), _meta("cwd")),
+            one(kind == "terminal.command", F.when(exit_code == 0, "command").otherwise("error"), _meta("commandRedacted"), _meta("commandRedacted"), _meta("cwd")),
             one(kind == "git.commit", "commit", _meta("messageRedacted")),
             one(kind == "git.branch.checkout", "commit", _meta("to")),
             one(kind == "manual.note", "note", _meta("text")),

@@ -8,8 +8,10 @@ from ..operators import anchors as A
 from ..operators import corpus as Q
 from ..operators import engine
 from ..operators import resume as R
+from ..sources import readers
 from ..sources.adapters import silver_events, table, work_history
 from . import export
+from .cards import HIST
 from .catalogue import _CORPUS, _IDF, _LEX, _NOW, _SCORE, DAY, EV, SQL, TERMS, _search_rows, query
 
 _APPS = ["com.apple.Safari", "Code.exe", "olk.exe", "unknown.app", ""]
@@ -105,3 +107,40 @@ def declared_anchors(spark, d):
     )
     rows = A.event_anchors(e.withColumns({"title": F.concat(F.lit("EF-"), k), "metadata": F.to_json(made)}))
     return rows.select("ord", "type", "norm", "confidence", A.strength(F.col("type")).alias("strength"))
+
+
+_STEP = """st AS (SELECT session_id, work_day, arg_max('note ' || k % 17, (ts_ms, ord)) FILTER (kind = 'manual.note') AS note, arg_max(cmd, (ts_ms, ord)) FILTER (kind = 'terminal.command' AND coalesce(exit_code, 1) <> 0) AS failing,
+  arg_max(CAST(k % 4 AS VARCHAR), (ts_ms, ord)) FILTER (kind = 'git.status.summary' AND k % 4 > 0) AS dirty FROM hist GROUP BY 1, 2)"""
+_SECTION = "string_agg('- ' || label || CASE WHEN bucket = 'ran' THEN ' (' || detail || ')' ELSE '' END, chr(10) ORDER BY ord) FILTER (bucket = '{0}')"
+
+
+@query(
+    f"""WITH lines AS ({SQL['resume_lines']}), res AS ({SQL['resume_resources']}), {HIST}, {_STEP},
+c AS (SELECT session_id, work_day, max(end_ms) AS e, count(*) * 90000 AS active_ms FROM ev GROUP BY 1, 2),
+l AS (SELECT session_id, work_day, {", ".join(f"'{title} :' || chr(10) || " + _SECTION.format(b) + f" AS {b}" for b, title in export.SECTIONS.items())} FROM lines GROUP BY 1, 2),
+o AS (SELECT session_id, work_day, 'Open again :' || chr(10) || string_agg('- ' || kind || ' ' || target, chr(10) ORDER BY nth) AS again FROM res GROUP BY 1, 2),
+t AS (SELECT *, CAST(floor(active_ms / 60000.0 + 0.5) AS BIGINT) AS m FROM c)
+SELECT session_id, work_day, concat_ws(chr(10) || chr(10), 'Context : day' || chr(10) || 'Place : main' || chr(10) || 'Last activity : ' || strftime(make_timestamp((e + 3600000) * 1000), '%H:%M') || ' · '
+  || CASE WHEN m < 60 THEN m || 'm' ELSE (m // 60) || 'h' || lpad(CAST(m % 60 AS VARCHAR), 2, '0') END || ' active' || chr(10) || 'Apps : A → B', working, reading, ran, failure, produced,
+  'Next : ' || coalesce(note, 'Fix the failing command: ' || failing, 'Commit or stash ' || dirty || CASE WHEN dirty = '1' THEN ' file' ELSE ' files' END), again) AS text
+FROM t LEFT JOIN l USING (session_id, work_day) LEFT JOIN o USING (session_id, work_day) LEFT JOIN st USING (session_id, work_day)"""
+)
+def agent_briefs(spark, d):
+    """The hand-over of every day, taken as one context."""
+    h = work_history(spark, d).withColumn("context", F.lit(1))
+    c = silver_events(spark, d).groupBy(*DAY).agg(F.max("end_ms").alias("end"), (F.count("*") * 90_000).alias("active_ms"), F.first("tz").alias("tz"))
+    none = F.lit(None).cast("string")
+    c = c.withColumns({"context": F.lit(1), "label": F.lit("day"), "project": none, "repository": none, "branch": F.lit("main"), "apps": F.array(F.lit("A"), F.lit("B"))})
+    return export.agent_brief(c, R.capped(R.lines(h)), R.next_step(h), R.resources(h)).select(*DAY, "text")
+
+
+@query(
+    f"""WITH {EV} SELECT ord, CASE WHEN ord % 4 = 0 THEN 'own' ELSE type END AS bundle, CASE WHEN ord % 3 > 0 THEN CAST(ord AS VARCHAR) END AS pid, CASE WHEN ord % 4 < 3 THEN CAST(ord % 7 AS VARCHAR) END AS k FROM ev"""
+)
+def session_metadata(spark, d):
+    """Application and process of every event inside its metadata, which keeps its own where it has them; torn metadata has nothing else."""
+    n = F.col("ord")
+    own = F.when(n % 4 == 0, F.concat(F.lit('{"bundleId": "own", "k": '), (n % 7).cast("string"), F.lit("}"))).when(n % 4 < 3, F.concat(F.lit('{"k": '), (n % 7).cast("string"), F.lit("}"))).otherwise("torn {")
+    e = silver_events(spark, d).withColumns({"metadata": own, "pid": F.when(n % 3 > 0, n)})
+    get = lambda k: F.get_json_object("metadata", f"$.{k}")
+    return readers.to_sessions(e, ["session_id"]).select("ord", get("bundleId").alias("bundle"), get("pid").alias("pid"), get("k").alias("k"))

@@ -117,9 +117,16 @@ def agent_events(sessions: DataFrame, stamps: DataFrame, gap_ms: int, tools: int
 
 
 def to_sessions(events: DataFrame, keys: list[str]) -> DataFrame:
-    """Stored events as sessions: ref (numbered by time within keys), tz of the session's first event, repository lifted from the metadata; metadata that is no JSON object is {}."""
+    """Stored events as sessions: ref (numbered by time within keys), tz of the session's first event, repository lifted from the metadata; metadata that is no JSON object is {}.
+
+    Where events have an app or a pid, they stand in the metadata as bundleId and pid, unless it has these itself."""
     tidy = F.when(F.coalesce(F.rlike(F.trim("metadata"), F.lit(r"(?s)^\{.*\}$")), F.lit(False)) & F.col("metadata").isNotNull() & F.from_json("metadata", "map<string,string>").isNotNull(), F.col("metadata")).otherwise("{}")
     by = Window.partitionBy(*keys).orderBy("ts_ms", "ord")
+    own = {"bundleId": "app", "pid": "pid"}
+    added = [F.when(F.col(c).isNotNull() & ~F.array_contains(F.json_object_keys(tidy), name), F.regexp_replace(F.to_json(F.struct(F.col(c).alias(name))), r"^\{|\}$", "")) for name, c in own.items() if c in events.columns]
+    if added:
+        inner = F.nullif(F.trim(F.regexp_replace(F.trim(tidy), r"(?s)^\{(.*)\}$", "$1")), F.lit(""))
+        tidy = F.concat(F.lit("{"), F.concat_ws(",", *added, inner), F.lit("}"))
     out = events.withColumn("metadata", tidy).withColumn("ref", F.concat_ws("-", *[F.col(k).cast("string") for k in keys], F.lpad((F.row_number().over(by) - 1).cast("string"), 5, "0")))
     return out.withColumns({"tz": F.first("tz").over(by), "repository": F.coalesce(F.nullif(F.get_json_object("metadata", "$.repository"), F.lit("")), F.col("repository"))})
 
