@@ -14,7 +14,7 @@ In Spark the trie is a table of nodes (prefix, words below it), the merged termi
 string, which has one member for each character at most. Nothing else is grouped, and nothing is brought together by length or first letters, so no group
 grows with the number of words. Words below a frequent prefix are a skewed key of the join with the nodes, a staged table, which Spark splits.
 
-Nulls: a null text has no words, a null doc_id counts as an empty string where deletions are drawn. Repeated rows count again. Very long texts and words are handled whole. Ties are settled by code-point order. Empty tables give
+Nulls: a null text has no words, a null doc_id counts as an empty string where deletions are drawn. Repeated rows count again. Very long texts and words are handled whole; long words that others share far into them cost the square of the shared length. Ties are settled by code-point order. Empty tables give
 empty results; other columns are ignored. Nothing comes to the driver but whether roots still change.
 """
 
@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import staged
 
+#: Words of so many code points, a power of two, are taken to their end; the nodes of longer ones only as far as other words share them.
+SHORT = 32
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -48,9 +50,21 @@ def word_counts(docs: DataFrame, least_chars: int = 6, least_count: int = 5, del
     return found.groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") >= least_count)
 
 
+def with_depth(words: DataFrame) -> DataFrame:
+    """words and depth: how far down the path of a word its nodes may have other words below them. Of long words only, told by prefixes of 32, 64, 128, ... characters: behind the first that no other word shares, a path is the word's own."""
+    size = F.length("word")
+    short = words.where(size <= SHORT).withColumn("depth", size)
+    long = words.where(size > SHORT)
+    lengths = F.transform(F.sequence(F.lit(SHORT.bit_length() - 1), F.floor(F.log2(size)).cast("int")), lambda k: F.call_function("shiftleft", F.lit(1), k))
+    each = long.select("word", F.explode(lengths).alias("k")).select("word", "k", F.xxhash64("k", F.substring("word", F.lit(1), F.col("k"))).alias("key"))
+    own = each.groupBy("key").agg(F.count("*").alias("n"), F.first("word").alias("word"), F.first("k").alias("k")).where("n = 1")
+    limits = own.groupBy("word").agg(F.min("k").alias("limit"))
+    return short.unionByName(long.join(limits, "word", "left").withColumn("depth", F.coalesce("limit", size)).drop("limit"))
+
+
 def heavy_paths(words: DataFrame) -> DataFrame:
-    """prefix, heavy (the character of its heavy child) of the trie's nodes that have several children, an end among them."""
-    lengths = F.sequence(F.lit(1), F.length("word"))
+    """prefix, heavy (the character of its heavy child) of the trie's nodes that have several children, an end among them. words: word, depth."""
+    lengths = F.sequence(F.lit(1), F.col("depth"))
     nodes = words.select(F.explode(F.transform(lengths, lambda k: F.substring("word", F.lit(1), k))).alias("path")).groupBy("path").agg(F.count("*").alias("size"))
     last = F.length("path")
     children = nodes.select(F.substring("path", F.lit(1), last - 1).alias("prefix"), F.substring("path", last, F.lit(1)).alias("edge"), "size")
@@ -61,10 +75,11 @@ def heavy_paths(words: DataFrame) -> DataFrame:
 
 def light_edges(words: DataFrame) -> DataFrame:
     """word, n, prefix, edge (empty where the word ends), rest, heavy: for each light edge on the path of a word."""
-    at = F.explode(F.sequence(F.lit(0), F.length("word"))).alias("at")
-    edges = words.select("word", "n", at)
-    edges = edges.select("word", "n", F.substring("word", F.lit(1), F.col("at")).alias("prefix"), F.substring("word", F.col("at") + 1, F.lit(1)).alias("edge"), F.substring("word", F.col("at") + 2, F.length("word")).alias("rest"))
-    return edges.join(staged(heavy_paths(words), "nodes"), "prefix").where(F.col("edge") != F.col("heavy"))
+    words = staged(with_depth(words), "depths")
+    paths = words.select("word", "n", F.explode(F.sequence(F.lit(0), "depth")).alias("at"))
+    paths = paths.select("word", "n", "at", F.substring("word", F.lit(1), F.col("at")).alias("prefix")).join(staged(heavy_paths(words), "nodes"), "prefix")
+    edges = paths.select("word", "n", "prefix", "heavy", F.substring("word", F.col("at") + 1, F.lit(1)).alias("edge"), F.substring("word", F.col("at") + 2, F.length("word")).alias("rest"))
+    return edges.where(F.col("edge") != F.col("heavy"))
 
 
 def near_words(words: DataFrame) -> DataFrame:

@@ -116,6 +116,18 @@ def test_variants_under_one_prefix(spark):
     assert got == plain_groups(n)
 
 
+def test_very_long_words(spark):
+    """A run of letters as long as a book, beside long words that differ at their begin, middle and end, or are one another's beginnings."""
+    rng = random.Random(4)
+    base = "".join(rng.choices("abcdefgh", k=700))
+    words = [base, "z" + base[1:], base[:350] + "q" + base[351:], base[:-1] + "q", base[:-1], base + "x", base[:32], base[:33], base[:31], base[:64], base[:63] + "q", base[:100] + base[101:], "y" * 150_000, "v" * 150_000]
+    n = {w: 5 * 6**i for i, w in enumerate(words[:12])} | {words[12]: 7, words[13]: 9}
+    got = {r.word: (r.form, r.root, r.n, r.n_near, r.form_n) for r in variants.variant_groups(spark.createDataFrame(list(n.items()), "word string, n long")).collect()}
+    short = {w: k for w, k in n.items() if len(w) < 1_000}
+    assert {w: v for w, v in got.items() if w in short} == plain_groups(short) and sum(v[3] for v in got.values()) > 12
+    assert got[words[12]] == (None, words[12], 7, 0, None) and len(got) == 14
+
+
 def test_word_counts(spark, docs):
     rows = [(i, "Winter WINTER wintér ÉCLAIRS éclairs short wint3rly thunder-thunder harbour" + "x" * (i % 2) * 5_000, None, None) for i in range(400)]
     some = frame(spark, [*rows, (3, None, None, None), (4, "", None, None), (None, "harbour thunder", None, None)])
