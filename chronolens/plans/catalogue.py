@@ -451,7 +451,22 @@ def redact_documents(spark, d):
     return r.select("doc_id", F.md5("text").alias("digest"), (F.col("text") != F.coalesce("o", F.lit(""))).alias("changed"))
 
 
-@query(None)
+#: id and pattern of the detectors that find something in these tables, and what they put, in the order in which they apply.
+_FOUND = [
+    ("private_key_fragment", r"-----BEGIN [A-Z ]{0,20}PRIVATE KEY-----[A-Za-z0-9+/=\s]{0,1000}", "[REDACTED:private_key_fragment]"), ("openai_api_key", r"\bsk-(?:proj-)?[A-Za-z0-9_\-]{20,200}", "[REDACTED:openai_api_key]"),
+    ("github_token", r"\bgh[pousr]_[A-Za-z0-9]{36,255}", "[REDACTED:github_token]"), ("aws_access_key_id", r"\b(?:AKIA|ASIA|AIDA|AROA|AGPA|ANPA)[A-Z0-9]{16}\b", "[REDACTED:aws_access_key_id]"),
+    ("url_credentials", r"([a-zA-Z][a-zA-Z0-9+.\-]{0,32}://)[^\s/:@]{1,128}:[^\s/@]{1,128}@", r"\1[REDACTED:url_credentials]@"), ("env_assignment", _SECRET, r"\1[REDACTED:env_assignment]"),
+]
+_STEPS = ", ".join(
+    f"s{i + 1} AS (SELECT *, len(regexp_extract_all(t{i}, '{pattern}')) AS n{i}, regexp_replace(t{i}, '{pattern}', '{put}', 'g') AS t{i + 1} FROM s{i})" for i, (_, pattern, put) in enumerate(_FOUND)
+)
+
+
+@query(
+    f"""WITH s0 AS (SELECT doc_id, coalesce(text, '') AS t0 FROM documents), {_STEPS},
+e AS (SELECT unnest([{", ".join(f"CASE WHEN n{i} > 0 THEN '{name}' END" for i, (name, _, _) in enumerate(_FOUND))}]) AS detector, {" + ".join(f"n{i}" for i in range(len(_FOUND)))} AS hits FROM s{len(_FOUND)})
+SELECT detector, count(*) AS documents, CAST(sum(hits) AS BIGINT) AS hits FROM e WHERE detector IS NOT NULL GROUP BY 1"""
+)
 def redact_stats(spark, d):
     r = D.redact(table(spark, d, "documents").select("doc_id", "text"), "text")
     return r.select(F.explode("redaction_applied").alias("detector"), "redaction_count").groupBy("detector").agg(F.count("*").alias("documents"), F.sum("redaction_count").alias("hits"))
