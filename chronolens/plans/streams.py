@@ -204,3 +204,81 @@ def detected_secrets(spark, d):
     e = e.withColumn("body", F.to_json(F.struct(F.array("text").alias("a"))))
     plain = D.redact(e, "text").select("ord", "text", "body", F.col("redaction_count").alias("found"))
     return D.redact_json(plain, "body").select("ord", "text", F.get_json_object("body", "$.a[0]").alias("inside"), "found")
+
+
+def _files(rows: DataFrame, name: str) -> str:
+    """Writes value, in the order of (ts_ms, ord), to a file for each session; a glob of their folders."""
+    root = fresh_path(rows.sparkSession, name)
+    rows.repartition("session_id").sortWithinPartitions("session_id", "ts_ms", "ord").select("session_id", "value").write.partitionBy("session_id").text(root)
+    return f"{root}/*"
+
+
+_SECONDS = "yyyy-MM-dd'T'HH:mm:ss'Z'"
+
+
+@query(
+    f"""WITH {EV}, e AS (SELECT session_id, ord, ts_ms // 1000 * 1000 AS ms, type, repository FROM ev),
+t AS (SELECT session_id, string_agg(tool || '×' || n, ',' ORDER BY n DESC, tool) AS tools, CAST(sum(n) AS BIGINT) AS calls FROM (SELECT session_id, CASE type WHEN 'click' THEN 'shell' ELSE 'mcp:db' END AS tool, count(*) AS n FROM e WHERE type IN ('click', 'signup') GROUP BY 1, 2) GROUP BY 1),
+f AS (SELECT session_id, string_agg(name, ',' ORDER BY met) AS files FROM (SELECT session_id, repository || '.py' AS name, min((ms, ord)) AS met FROM e WHERE type = 'error' AND repository IS NOT NULL GROUP BY 1, 2) GROUP BY 1)
+SELECT 't' || e.session_id AS session_id, '/w/atlas' AS cwd, min(ms) AS first_ms, max(ms) AS last_ms, count(*) + 1 AS stamps, coalesce(any_value(tools), '') AS tools, coalesce(any_value(calls), 0) AS tool_calls, coalesce(any_value(files), '') AS files, false AS subagent
+FROM e LEFT JOIN t USING (session_id) LEFT JOIN f USING (session_id) GROUP BY e.session_id"""
+)
+def rollout_files(spark, d):
+    """Every session as a rollout file: its thread, tool calls of two kinds, changed files in order."""
+    kind, e = F.col("type"), silver_events(spark, d)
+    at = F.date_format(F.timestamp_seconds(F.floor(F.col("ts_ms") / 1000)), _SECONDS).alias("timestamp")
+    item = F.when(kind == "signup", F.struct(F.lit("McpToolCall").alias("type"), F.lit(None).cast("map<string,string>").alias("changes"), F.lit("db").alias("server"))).when(
+        kind == "error", F.struct(F.lit("FileChange").alias("type"), F.create_map(F.concat("repository", F.lit(".py")), F.lit("x")).alias("changes"), F.lit(None).cast("string").alias("server"))
+    )
+    payload = F.struct(F.when(kind == "click", "function_call").when(kind.isin("signup", "error"), "item_completed").otherwise("note").alias("type"), F.when(kind == "click", "shell").alias("name"), item.alias("item"))
+    line = F.to_json(F.struct(at, F.when(kind == "click", "response_item").otherwise("event_msg").alias("type"), payload.alias("payload")))
+    first = F.to_json(F.struct(at, F.lit("session_meta").alias("type"), F.struct(F.concat(F.lit("t"), F.col("session_id").cast("string")).alias("id"), F.lit("/w/atlas").alias("cwd"), F.lit("cli").alias("source")).alias("payload")))
+    begin = e.groupBy("session_id").agg(F.min("ts_ms").alias("ts_ms")).select("session_id", "ts_ms", F.lit(-1).cast("long").alias("ord"), first.alias("value"))
+    r = readers.rollouts(spark, _files(begin.unionByName(e.select("session_id", "ts_ms", "ord", line.alias("value"))), "rollouts"))
+    named = F.array_join(F.transform("tools", lambda t: F.concat(t["name"], F.lit("×"), t["calls"].cast("string"))), ",")
+    return r.select("session_id", "cwd", "first_ms", "last_ms", "stamps", named.alias("tools"), "tool_calls", F.array_join("files", ",").alias("files"), "subagent")
+
+
+@query(f"WITH {EV} SELECT 'id' || session_id AS id, arg_max(type || ' ' || ord, (ts_ms, ord)) FILTER (type <> 'view') AS thread_name FROM ev GROUP BY 1 HAVING count(*) FILTER (type <> 'view') > 0")
+def thread_index(spark, d):
+    """The last name that each thread got in an index of JSON lines; blank ones don't count."""
+    name = F.when(F.col("type") == "view", " ").otherwise(F.concat("type", F.lit(" "), F.col("ord").cast("string")))
+    line = F.to_json(F.struct(F.concat(F.lit("id"), F.col("session_id").cast("string")).alias("id"), name.alias("thread_name")))
+    return readers.thread_names(spark, _files(silver_events(spark, d).select("session_id", "ts_ms", "ord", line.alias("value")), "threads"))
+
+
+@query(
+    f"""WITH {EV}, l AS (SELECT session_id, arg_max(ord, (ts_ms, ord)) AS ord, max(ts_ms) AS ts_ms FROM ev GROUP BY 1)
+SELECT ts_ms, 'make ' || ord || chr(10) || '# second line' AS command, CAST(ord % 3 AS INTEGER) AS exit_code, '/w/s' || session_id AS cwd FROM l, (SELECT max(ts_ms) AS now FROM ev) WHERE now - ts_ms <= 21600000 AND ord % 5 > 0"""
+)
+def spooled_commands(spark, d):
+    """Each session's last event as a file of a shell's spool: those of another version and those over six hours old are dropped."""
+    e = silver_events(spark, d)
+    last = e.groupBy("session_id").agg(F.max(F.struct("ts_ms", "ord")).alias("l")).select("session_id", "l.*")
+    text = lambda c: F.col(c).cast("string")
+    body = F.concat(
+        F.lit("v="), F.when(F.col("ord") % 5 > 0, "1").otherwise("2"), F.lit("\nts="), text("ts_ms"), F.lit("\nexit="), (F.col("ord") % 3).cast("string"), F.lit("\nms=5\nshell=zsh\ncwd=/w/s"), text("session_id"), F.lit("\ncmd=make "), text("ord"), F.lit("\n# second line")
+    )
+    now = e.agg(F.max("ts_ms")).first()[0]
+    found = readers.shell_commands(spark, _files(last.select("session_id", "ts_ms", "ord", body.alias("value")), "spool"), now or 0)
+    return found.select("ts_ms", "command", "exit_code", "cwd")
+
+
+@query(f"WITH {EV} SELECT 'g' || session_id AS id, 60 AS tz, CAST(row_number() OVER (PARTITION BY session_id ORDER BY ts_ms, ord) - 1 AS INTEGER) AS ord, CAST(ord AS VARCHAR) AS ref, type AS kind FROM ev WHERE session_id % 2 = 0")
+def labelled_files(spark, d):
+    """Sessions as labelled JSON objects, one a file, of which every second is asked for; their events in order."""
+    e = silver_events(spark, d)
+    events = F.transform(F.array_sort(F.collect_list(F.struct("ts_ms", "ord", "type"))), lambda x: F.struct(x["ord"].cast("string").alias("ref"), x["type"].alias("type")))
+    name = F.concat(F.lit("g"), F.col("session_id").cast("string"))
+    whole = e.groupBy("session_id").agg(events.alias("events")).select("session_id", F.lit(0).alias("ts_ms"), F.lit(0).alias("ord"), F.to_json(F.struct(name.alias("id"), F.lit("n").alias("name"), F.lit(60).alias("tzOffsetMinutes"), "events")).alias("value"))
+    rows = readers.labelled_sessions(spark, _files(whole, "labelled"), "ref:string,type:string").where(F.substring("id", 2, 18).cast("long") % 2 == 0)
+    return rows.select("id", "tz", "ord", F.col("event.ref").alias("ref"), F.col("event.type").alias("kind"))
+
+
+@query(f"WITH {EV} SELECT 's' || session_id AS session_id, CAST(ord AS VARCHAR) AS ref, CASE WHEN type <> 'view' THEN type END AS cluster FROM ev")
+def predicted_files(spark, d):
+    """Predictions by session as JSON files, read back as rows; an event in no cluster has none."""
+    e = silver_events(spark, d)
+    pairs = F.map_from_entries(F.collect_list(F.struct(F.col("ord").cast("string"), F.when(F.col("type") != "view", F.col("type")))))
+    whole = e.groupBy("session_id").agg(pairs.alias("of")).select("session_id", F.lit(0).alias("ts_ms"), F.lit(0).alias("ord"), F.to_json(F.create_map(F.concat(F.lit("s"), F.col("session_id").cast("string")), "of"), {"ignoreNullFields": "false"}).alias("value"))
+    return readers.predictions(spark, _files(whole, "predicted"))
