@@ -5,11 +5,13 @@ components a code of four bits. Its loss weighs the part of the residual paralle
 `eta` times as much as the part across: |r|^2 + (eta - 1) <r, x>^2. Codebooks start from k-means and alternate coordinate descent over
 codes with the closed-form least-squares update; they are fitted to `sample` vectors (a bounded sample, the smallest by a
 hash of vec_id), and then every vector is encoded. A query makes a table of 16 partial products for each code, two of which are joined
-to one of 256 entries for a byte; a scan adds table entries; the best `shortlist` of each block, one in SHORT of a large one, are reranked by
-exact cosines in double precision.
+to one of 256 entries for a byte; a scan adds table entries; the best `shortlist` of each block are reranked by exact cosines in double precision, and so
+are SPOT rows from all over it. What these show of the scan's error says which others may still be among the best, and they are reranked too, until none is left: a
+cluster that is denser than the codes can tell apart is reranked whole.
 
 In front of the scan, vectors are dealt to cells by their nearest centre (k-means on the same sample; sqrt(n) / 4 cells, CELLS at most). A query
-probes the cells of the nearest centres, so many that of the sample's own five nearest neighbours RECALL lie in them. Clustered vectors need few cells,
+probes the cells of the nearest centres, so many that RECALL of the five nearest neighbours in the sample lie in them, by queries of the same table that are as far from
+their nearest centre (BINS such classes), so that queries unlike the rows get what they need. Clustered vectors need few cells,
 so the work of a query grows like the square root of the rows; vectors without any structure need most cells, whatever their number. What is
 encoded is a vector's difference from its cell's centre; the centre's own product is the same for all rows of a cell and changes no shortlist.
 
@@ -34,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import staged
 
 BLOCK, BYTES, QUERY_BLOCK = 32_768, 32_000_000, 2_048
-CELLS, RECALL, LENGTHS, SHORT = 1_024, 0.98, 8, 16
+CELLS, RECALL, LENGTHS, SPOT, BINS, ASKED = 1_024, 0.98, 8, 64, 8, 512
 
 
 def usable(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
@@ -159,15 +161,21 @@ class AnisotropicQuantiser:
 
 @dataclass
 class Index:
-    """What is fitted for one length of vectors: the quantiser, centres of cells and how many cells a query probes."""
+    """What is fitted for one length of vectors: the quantiser, centres of cells and how many cells a query probes, by its cosine with the nearest centre."""
 
     quantiser: AnisotropicQuantiser
     centres: np.ndarray
-    probes: int
+    edges: np.ndarray  # between classes of queries
+    needed: np.ndarray  # cells that each class probes
+
+    @property
+    def probes(self) -> int:
+        """The most cells that a query probes."""
+        return int(self.needed.max())
 
     @classmethod
-    def fit(cls, x: np.ndarray, rows: int, k: int = 5, seed: int = 4) -> Index:
-        """x: unit vectors of the sample; rows: how many vectors there are."""
+    def fit(cls, x: np.ndarray, rows: int, k: int = 5, seed: int = 4, asked: np.ndarray | None = None) -> Index:
+        """x: unit vectors of the sample; rows: how many vectors there are; asked: some of the queries (none: of x)."""
         rng = np.random.default_rng(seed)
         n = max(1, min(CELLS, len(x) // 8, int(rows**0.5 / 4)))
         centres = x[rng.choice(len(x), n, replace=False)]
@@ -178,23 +186,46 @@ class Index:
             full = np.sqrt((sums * sums).sum(1)) > 0
             centres[full] = unit(sums[full])
         own = (x @ centres.T).argmax(1)
-        some = rng.choice(len(x), min(len(x), 512), replace=False)
-        near = x[some] @ x.T
-        near[np.arange(len(some)), some] = -2
-        near = np.argsort(-near, 1)[:, : min(k, len(x) - 1)]
-        order = np.argsort(np.argsort(-(x[some] @ centres.T), 1), 1)  # places of the cells, nearest first
-        needed = np.sort(np.take_along_axis(order, own[near], 1).ravel()) + 1 if near.size else np.array([n])
-        return cls(AnisotropicQuantiser.fit(x, x - centres[own]), centres, int(needed[min(len(needed) - 1, int(np.ceil(RECALL * len(needed))) - 1)]))
-
-    def cells(self, x: np.ndarray, n: int = 1) -> np.ndarray:
-        """(rows, n): the nearest cells of unit vectors, nearest first."""
-        return np.argsort(-(x @ self.centres.T), 1, kind="stable")[:, :n] if n > 1 else (x @ self.centres.T).argmax(1)[:, None]
-
-
-def search_block(q: AnisotropicQuantiser | None, packed: np.ndarray, x: np.ndarray, queries: np.ndarray, shortlist: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query the rows of its shortlist (all rows without a quantiser) and their exact cosines. x, queries: original vectors."""
-    x, queries = scaled(x), scaled(queries)
-    norm, out, shortlist = np.sqrt((x * x).sum(1)), [], max(shortlist, len(x) // SHORT)
+        asked = x[rng.choice(len(x), min(len(x), ASKED), replace=False)] if asked is None or not len(asked) else asked
+        with_centres = asked @ centres.T
+        order = np.argsort(np.argsort(-with_centres, 1), 1)  # places of the cells, nearest first
+        near = asked @ x.T
+        near[near >= 1 - 1e-12] = -2  # the query itself
+        near = np.argsort(-near, 1)[:, : max(1, min(k, len(x) - 1))]
+        places, close = np.take_along_axis(order, own[near], 1) + 1, with_centres.max(1)
+        classes = np.array_split(np.argsort(close), max(1, min(BINS, len(asked) // 32)))
+        needed = [np.sort(places[c].ravel())[int(np.ceil(RECALL * places[c].size)) - 1] for c in classes]
+        edges = [close[c[-1]] for c in classes[:-1]]
+        return cls(AnisotropicQuantiser.fit(x, x - centres[own]), centres, np.array(edges), np.array(needed))
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The nearest cell of each unit vector."""
+        return (x @ self.centres.T).argmax(1)
+
+    def probed(self, x: np.ndarray) -> list[np.ndarray]:
+        """The cells that each query (a unit vector) probes, nearest first."""
+        close = x @ self.centres.T
+        count = self.needed[np.searchsorted(self.edges, close.max(1))]
+        return [cells[:n] for cells, n in zip(np.argsort(-close, 1, kind="stable"), count)]
+
+
+def shortlisted(score: np.ndarray, exact, shortlist: int, k: int) -> np.ndarray:
+    """Rows that may be among the k best. score: the scan's; exact(rows): their cosines. Reranks the best by score and some of all, then what the error seen there leaves open."""
+    seen, cosines, wide = np.zeros(len(score), bool), np.full(len(score), -np.inf), -np.inf
+    new = np.union1d(np.argpartition(-score, shortlist - 1)[:shortlist], np.arange(0, len(score), -(-len(score) // SPOT)))
+    while new.size:
+        seen[new], cosines[new] = True, exact(new)
+        wide = max(wide, float((cosines[new] - score[new]).max()))
+        least = -np.partition(-cosines, k - 1)[k - 1]
+        new = np.flatnonzero(~seen & (score >= least - wide))
+    return np.flatnonzero(cosines >= least - 1e-9)
+
+
+def search_block(q: AnisotropicQuantiser | None, packed: np.ndarray, x: np.ndarray, queries: np.ndarray, shortlist: int, k: int = 6) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query the rows that may be its k best (all rows without a quantiser) and their exact cosines. x, queries: original vectors."""
+    x, queries, out, shortlist = scaled(x), scaled(queries), [], max(shortlist, k)
+    norm = np.sqrt((x * x).sum(1))
+    directions = x / norm[:, None]
     for lo in range(0, len(queries), 64):
         part = queries[lo : lo + 64]
         scan = q is not None and len(x) > shortlist
@@ -203,7 +234,8 @@ def search_block(q: AnisotropicQuantiser | None, packed: np.ndarray, x: np.ndarr
                 score = tables[0][packed[0]]
                 for table, byte in zip(tables[1:], packed[1:]):
                     score += table[byte]
-                near = np.argpartition(-score, shortlist - 1)[:shortlist]
+                way = query / np.sqrt((query * query).sum())
+                near = shortlisted(score, lambda rows, way=way: directions[rows] @ way, shortlist, k)
             else:
                 near = np.arange(len(x))
             out.append((near, (x[near] * query).sum(1) / (norm[near] * np.sqrt((query * query).sum()))))
@@ -220,14 +252,18 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, shortlist: int = 1
     """query_id, rank, vec_id, score: the k nearest others found, by cosine, ties to the smaller vec_id. is_query: a condition on vec_id."""
     spark = vectors.sparkSession
     rows = usable(vectors)
-    models: dict[int, Index] = {}
-    for size in rows.groupBy("n").count().orderBy(F.desc("count"), F.desc("n")).limit(LENGTHS).collect():
-        some = rows.where(F.col("n") == size.n).orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").collect()
-        if len(some) > shortlist:
-            models[size.n] = Index.fit(unit(np.array([r.v for r in some])), size["count"], k)
     same = Window.partitionBy("v").orderBy("vec_id")
     distinct = rows.dropDuplicates(["vec_id", "v"]).withColumn("nth", F.row_number().over(same)).where(F.col("nth") <= k + 1)
-    distinct = distinct.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("n").alias("n"))
+    distinct = staged(distinct.groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("n").alias("n")), "ann-vectors")
+    asked = rows.where(is_query)
+    names = staged(asked.groupBy("v").agg(F.min("vec_id").alias("q"), F.first("n").alias("n")), "ann-asked")
+    models: dict[int, Index] = {}
+    matrix_of = lambda some: unit(np.array([r.v for r in some]))
+    for size in distinct.groupBy("n").count().orderBy(F.desc("count"), F.desc("n")).limit(LENGTHS).collect():
+        some = distinct.where(F.col("n") == size.n).orderBy(F.xxhash64(F.col("ids")[0]), F.col("ids")[0]).limit(sample).select("v").collect()
+        if len(some) > shortlist:
+            queried = names.where(F.col("n") == size.n).orderBy(F.xxhash64("q", F.lit(1)), "q").limit(ASKED).select("v").collect()
+            models[size.n] = Index.fit(matrix_of(some), size["count"], k, asked=matrix_of(queried) if queried else None)
 
     def encode(frames):
         for f in frames:
@@ -235,7 +271,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, shortlist: int = 1
                 model = models.get(n)
                 if model:
                     u = unit(x)
-                    cell = model.cells(u)[:, 0]
+                    cell = model.cells(u)
                     code = [p.tobytes() for p in model.quantiser.pack(model.quantiser.encode(u, u - model.centres[cell])).T]
                 else:
                     cell, code = 0, b""
@@ -245,12 +281,10 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, shortlist: int = 1
         for f in frames:
             for n, part, x in by_length(f):
                 model = models.get(n)
-                cells = model.cells(unit(x), model.probes) if model else np.zeros((len(x), 1), int)
-                yield pd.DataFrame({"n": n, "cells": list(cells), "q": part["q"], "v": [v.tobytes() for v in x]})
+                cells = model.probed(unit(x)) if model else [np.zeros(1, int)] * len(x)
+                yield pd.DataFrame({"n": n, "cells": cells, "q": part["q"], "v": [v.tobytes() for v in x]})
 
     index = staged(distinct.mapInPandas(encode, "n int, cell int, ids array<long>, v binary, code binary"), "ann-index")
-    asked = rows.where(is_query)
-    names = asked.groupBy("v").agg(F.min("vec_id").alias("q"), F.first("n").alias("n"))
     queries = names.mapInPandas(probe, "n int, cells array<int>, q long, v binary").select("n", F.explode("cells").alias("cell"), "q", "v")
     queries = staged(queries, "ann-queries")
     at_most = F.least(F.lit(BLOCK), F.greatest(F.lit(1), F.floor(F.lit(BYTES) / (8 * F.col("n")))))
@@ -267,7 +301,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 5, shortlist: int = 1
             model, ids = models.get(int(key[0])), block["ids"].to_numpy()
             packed = np.ascontiguousarray(np.frombuffer(b"".join(block["code"]), np.uint8).reshape(len(block), -1).T)
             first = np.array([i[0] for i in ids])
-            for number, (near, score) in zip(some["q"], search_block(model and model.quantiser, packed, matrix(block["v"]), matrix(some["v"]), shortlist)):
+            for number, (near, score) in zip(some["q"], search_block(model and model.quantiser, packed, matrix(block["v"]), matrix(some["v"]), shortlist, k + 1)):
                 best = np.lexsort((first[near], -score))[: k + 1]
                 every = sorted((-s, int(v)) for i, s in zip(near[best].tolist(), score[best].tolist()) for v in ids[i])
                 found += [(int(number), v, -s) for s, v in every[: k + 1]]

@@ -559,6 +559,16 @@ def test_nearest_neighbours_recall_on_thousands(spark):
     assert neighbours_found(spark, clustered)[0] >= 0.9
 
 
+def test_nearest_neighbours_recall_on_uneven_vectors(spark):
+    """In clusters that the codes cannot tell apart and for queries that lie elsewhere than the rows."""
+    rng = np.random.default_rng(12)
+    dense = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(2, 32))[rng.integers(0, 2, 4_000)] + rng.normal(0, 0.01, (4_000, 32)))]
+    assert neighbours_found(spark, dense)[0] >= 0.9
+    centres = rng.normal(size=(10, 32))
+    apart = [(i, (rng.normal(size=32) if i % 50 == 0 else centres[i % 10] + rng.normal(0, 0.1, 32)).tolist()) for i in range(4_000)]
+    assert neighbours_found(spark, apart)[0] >= 0.9
+
+
 def test_nearest_neighbours_of_odd_vectors(spark, monkeypatch):
     """Very small and very large components, several lengths, hot cells in many blocks."""
     monkeypatch.setattr(ann, "BLOCK", 64)
