@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,14 +69,18 @@ def issue_ids(text: Column) -> Column:
 
 def leaf(path: Column) -> Column:
     """Last non-empty part of a path with either separator."""
-    parts = F.filter(F.split(path, r"[/\\]+"), lambda p: p != "")
-    return F.get(parts, F.size(parts) - 1)
+    return bound(F.filter(F.split(path, r"[/\\]+"), lambda p: p != ""), lambda parts: F.get(parts, F.size(parts) - 1))
+
+
+def bound(value: Column, of: Callable[[Column], Column]) -> Column:
+    """of(value), value being worked out once however often `of` names it, in lambdas too."""
+    return F.get(F.transform(F.array(value), of), 0)
 
 
 def strip_app_suffix(title: Column) -> Column:
-    for app in APP_SUFFIXES:
-        title = F.regexp_replace(title, rf"(?i)\s*[—–-]\s*{re.escape(app)}\s*$", "")
-    return title
+    """As if each name were cut from the end in turn: the names in reverse order, each at most once, in one pattern that is tried at blanks and dashes only."""
+    names = "".join(rf"(?:\s*[—–-]\s*{re.escape(app)}\s*)?" for app in reversed(APP_SUFFIXES))
+    return F.regexp_replace(title, rf"(?i)(?=[\s—–-]){names}$", "")
 
 
 #: What a commit's message may begin with, and what separates the words of a title.
@@ -92,9 +97,12 @@ def title_words(title: Column) -> Column:
 
 def title_phrases(title: Column) -> Column:
     """Words of four characters at least, then pairs of neighbours."""
-    words = title_words(title)
-    pairs = F.transform(F.when(F.size(words) > 1, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
-    return F.concat(F.filter(words, lambda w: F.length(w) >= 4), pairs)
+
+    def of(words: Column) -> Column:
+        pairs = F.transform(F.when(F.size(words) > 1, F.sequence(F.lit(0), F.size(words) - 2)).otherwise(F.array().cast("array<int>")), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))
+        return F.concat(F.filter(words, lambda w: F.length(w) >= 4), pairs)
+
+    return bound(title_words(title), of)
 
 
 def pretty(name: Column) -> Column:

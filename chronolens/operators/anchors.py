@@ -59,22 +59,30 @@ def event_anchors(events: DataFrame) -> DataFrame:
         one("project", _json("project"), 0.9), _each("document", F.transform(files, lambda f: F.regexp_replace(T.leaf(f), TOUCHED_ENDING, "")), 0.8), _each("document", documents, 0.8),
         one("document", T.leaf(_json("directory")), 0.7), one("url", F.when(~host.startswith("localhost"), host), 0.4),
     )
-    long = events.select(*KEYS, "ord", F.posexplode(every).alias("rank", "a")).select(*KEYS, "ord", "rank", "a.*").where(F.col("value").isNotNull() & F.col("type").isNotNull())
-    long = long.withColumn("norm", T.normalize(F.col("value"))).where(F.length("norm") >= 2)
-    first = F.row_number().over(Window.partitionBy(*KEYS, "ord", "type", "norm").orderBy("rank"))
-    return long.withColumn("_n", first).where("_n = 1").drop("_n")
+    ranked = F.transform(every, lambda a, i: F.struct(i.alias("rank"), a["type"].alias("type"), a["value"].alias("value"), a["confidence"].alias("confidence"), T.normalize(a["value"]).alias("norm")))
+    name = lambda a: F.concat(a["type"], F.lit("\n"), a["norm"])
+    first = lambda rows, names: F.filter(rows, lambda a: (F.length(a["norm"]) >= 2) & (F.array_position(names, name(a)) == a["rank"] + 1))
+    kept = T.bound(ranked, lambda rows: T.bound(F.transform(rows, name), lambda names: first(rows, names)))
+    return events.select(*KEYS, "ord", F.explode(kept).alias("a")).select(*KEYS, "ord", "a.*")
 
 
 def phrases(events: DataFrame, text: str = "title") -> DataFrame:
     """KEYS, ord, app, pos, phrase, norm of every phrase of a title that may offer a subject."""
     titled = events.where(F.col(text).isNotNull() & (F.col(text) != "") & (F.col("type") != NO_SUBJECT_TYPE))
-    long = titled.select(*KEYS, "ord", "app", F.posexplode(T.title_phrases(F.col(text))).alias("pos", "phrase"))
-    return long.withColumn("norm", T.normalize(F.col("phrase"))).where(F.length("norm") >= 4)
+    each = F.transform(T.title_phrases(F.col("_text")), lambda p, i: F.struct(i.alias("pos"), p.alias("phrase"), T.normalize(p).alias("norm")))
+    # a day's events move to one place before they are exploded, and not each of their phrases behind it
+    moved = titled.select(*KEYS, "ord", "app", F.col(text).alias("_text")).repartition(*KEYS).withColumn("p", F.explode(F.filter(each, lambda p: F.length(p["norm"]) >= 4)))
+    return moved.select(*KEYS, "ord", "app", "p.*")
+
+
+def _distinct(value: Column) -> Column:
+    """How many values a group has, kept as a set: groups are parts of one day, and rows aren't doubled for it."""
+    return F.size(F.collect_set(value)).cast("bigint")
 
 
 def keyword_anchors(events: DataFrame) -> DataFrame:
     """KEYS, norm, value, confidence, apps: phrases seen in two applications at least; the first spelling stands."""
-    grouped = phrases(events).groupBy(*KEYS, "norm").agg(F.countDistinct(F.coalesce("app", F.lit("unknown"))).alias("apps"), F.min_by("phrase", F.struct("ord", "pos")).alias("value"))
+    grouped = phrases(events).groupBy(*KEYS, "norm").agg(_distinct(F.coalesce("app", F.lit("unknown"))).alias("apps"), F.min_by("phrase", F.struct("ord", "pos")).alias("value"))
     return grouped.where(F.col("apps") >= 2).withColumn("confidence", F.least(F.lit(0.8), 0.4 + 0.12 * F.col("apps")))
 
 
@@ -89,17 +97,15 @@ def places(events: DataFrame, anchors: DataFrame) -> DataFrame:
     """KEYS, norm: names of applications, repositories, projects and worktrees, and their parts of four characters at least; none names a subject."""
     apps = events.select(*KEYS, F.explode(F.array_compact(F.array("app", "app_display") if "app_display" in events.columns else F.array("app"))).alias("v")).select(*KEYS, T.normalize(F.col("v")).alias("norm"))
     named = anchors.where(F.col("type").isin("repository", "project", "worktree"))
-    whole = named.select(*KEYS, "norm")
-    parts = named.select(*KEYS, F.explode(F.filter(F.split("norm", "-"), lambda p: F.length(p) >= 4)).alias("norm"))
-    return apps.union(whole).union(parts).distinct()
+    parts = F.filter(F.split("norm", "-"), lambda p: F.length(p) >= 4)
+    return apps.union(named.select(*KEYS, F.explode(F.concat(F.array("norm"), parts)).alias("norm"))).distinct()
 
 
 def subject_anchors(events: DataFrame, anchors: DataFrame) -> DataFrame:
     """KEYS, norm, value, confidence, titles: phrases that set some titles apart from the rest."""
-    own = phrases(events).join(places(events, anchors), [*KEYS, "norm"], "left_anti")
     titled = events.where(F.col("title").isNotNull() & (F.col("title") != "") & (F.col("type") != NO_SUBJECT_TYPE)).groupBy(*KEYS).agg(F.count("*").alias("titled"))
-    each = own.groupBy(*KEYS, "norm").agg(F.countDistinct("ord").alias("titles"), F.countDistinct(F.coalesce("app", F.lit("unknown"))).alias("apps"), F.min_by("phrase", F.struct("ord", "pos")).alias("value"))
-    each = each.join(titled, KEYS).where((F.col("titles") >= 2) & (F.col("titles") / F.col("titled") <= 0.5))
+    each = phrases(events).groupBy(*KEYS, "norm").agg(_distinct(F.col("ord")).alias("titles"), _distinct(F.coalesce("app", F.lit("unknown"))).alias("apps"), F.min_by("phrase", F.struct("ord", "pos")).alias("value"))
+    each = each.where(F.col("titles") >= 2).join(titled, KEYS).where(F.col("titles") / F.col("titled") <= 0.5).join(places(events, anchors), [*KEYS, "norm"], "left_anti")
     at_most = lambda x: F.least(F.lit(1.0), x)
     confidence = 0.35 + 0.25 * at_most(F.ln(F.col("titled") / F.col("titles")) / F.ln("titled")) + 0.2 * at_most((F.col("titles") - 1) / 3) + 0.2 * at_most((F.col("apps") - 1) / 2)
     return each.withColumn("confidence", confidence).where(F.col("confidence") >= 0.5).withColumn("confidence", F.least("confidence", F.lit(0.9))).drop("apps", "titled")

@@ -159,3 +159,20 @@ def test_redaction_is_quick_on_long_inputs():
         for _, pattern, replacement in detectors:
             hostile = pattern.sub(replacement, hostile)
         assert time.time() - began < 5
+
+
+def test_phrases_work_out_a_title_once_and_cut_suffixes_in_turn(spark):
+    """One pattern cuts what the names in turn would; the words of a title aren't worked out again for every pair."""
+    import re
+
+    titles = [f"plan{a}{b}{c}" for a in ("", " - Mail", " — Google Chrome ", "-notes") for b in ("", " – Slack", " - Chrome", " - Windows Terminal") for c in ("", " - slack", " - Notes\n", " — Mail - ")] + ["", " - Slack", "Slack", "a - b", None]
+
+    def in_turn(title):
+        for app in text.APP_SUFFIXES:
+            title = title and re.sub(rf"(?i)\s*[—–-]\s*{re.escape(app)}\s*$", "", title)
+        return title
+
+    df = spark.createDataFrame([(t,) for t in titles], "t string")
+    assert [r.s for r in df.select(text.strip_app_suffix(F.col("t")).alias("s")).collect()] == [in_turn(t) for t in titles]
+    plan = df.select(text.title_phrases(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("feat|fix|chore") == 1
