@@ -90,6 +90,11 @@ def place_of() -> Column:
     return F.coalesce(*map(_meta, ("projectPath", "worktree", "workspacePath", "cwd")))
 
 
+def _shuffled(side: DataFrame) -> DataFrame:
+    """A side of a join that has rows for every key: a plan's estimate would have the driver collect it to send it out."""
+    return side.hint("merge")
+
+
 def owned_events(events: DataFrame, keys: list[str]) -> DataFrame:
     """Events that belong to a project of their key, with columns root (its path_key) and end (not before ts_ms).
 
@@ -98,14 +103,14 @@ def owned_events(events: DataFrame, keys: list[str]) -> DataFrame:
     placed = placed.where(F.col("_key").isNotNull() & (F.col("_key") != ""))
     named = placed.where(F.col("type").isin(NAMES_A_PROJECT)).select(*keys, F.col("_key").alias("root")).distinct()
     above = named.select(*keys, F.explode(ancestors(F.col("root"))).alias("parent"), "root").where("parent <> root").select(*keys, F.col("parent").alias("root")).distinct()
-    roots = named.join(above, [*keys, "root"], "left_anti")
+    roots = named.join(_shuffled(above), [*keys, "root"], "left_anti")
     folders = placed.select(*keys, "_key").distinct()
-    owner = folders.withColumn("root", F.explode(ancestors(F.col("_key")))).join(roots, [*keys, "root"]).groupBy(*keys, "_key").agg(F.max_by("root", F.length("root")).alias("root"))
-    return placed.join(owner, [*keys, "_key"]).drop("_key")
+    owner = folders.withColumn("root", F.explode(ancestors(F.col("_key")))).join(_shuffled(roots), [*keys, "root"]).groupBy(*keys, "_key").agg(F.max_by("root", F.length("root")).alias("root"))
+    return placed.join(_shuffled(owner), [*keys, "_key"]).drop("_key")
 
 
-def project_cards(owned: DataFrame, now_day: Column, keys: list[str]) -> DataFrame:
-    """Of owned_events(): keys, root, name, last_at, branch, dirty, last_commit, last_session, sessions, days_7, files (newest first, FILES at most)."""
+def project_cards(owned: DataFrame, now_day: Column, keys: list[str], files: bool = True) -> DataFrame:
+    """Of owned_events(): keys, root, name, last_at, branch, dirty, last_commit, last_session, sessions, days_7 and, if asked for, files (newest first, FILES at most)."""
     at, kind = F.struct("ts_ms", "ord"), F.col("type")
     latest = lambda value: F.max_by(value, F.when(value.isNotNull(), at))
     title = F.coalesce(F.nullif(F.trim("title"), F.lit("")), _meta("title"))
@@ -118,13 +123,14 @@ def project_cards(owned: DataFrame, now_day: Column, keys: list[str]) -> DataFra
         latest(F.nullif(F.when(kind == "git.commit", F.coalesce(_meta("messageRedacted"), F.col("title"))), F.lit(""))).alias("last_commit"),
         latest(F.when(session & ~F.rlike(F.trim(title), F.lit(GENERIC_TITLE)), title)).alias("last_session"),
         F.count_if(session).alias("sessions"), F.countDistinct(F.when(week, F.col("work_day"))).alias("days_7"),
-    )
+    ).withColumn("name", leaf(F.col("root")))
+    if not files:
+        return cards
     touched = owned.where(session).select(*by, "ts_ms", "ord", F.posexplode(F.from_json(_meta("filesTouched"), "array<string>")).alias("i", "file")).where(F.col("file").isNotNull() & ~is_scratch(F.col("file")))
     newest = touched.groupBy(*by, absolute(F.col("file"), F.col("root")).alias("file")).agg(F.max(F.struct("ts_ms", "ord", "i")).alias("at"))
     newest = newest.withColumn("n", F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("at")))).where(F.col("n") <= FILES)
-    files = newest.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "file"))), lambda x: x["file"]).alias("files"))
-    out = cards.join(files, by, "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
-    return out.withColumn("name", leaf(F.col("root")))
+    lists = newest.groupBy(*by).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "file"))), lambda x: x["file"]).alias("files"))
+    return cards.join(_shuffled(lists), by, "left").withColumn("files", F.coalesce("files", F.array().cast("array<string>")))
 
 
 def typed_spans(owned: DataFrame, keys: list[str], day: Column, tolerance_ms: int = 10 * 60_000) -> DataFrame:
@@ -148,19 +154,20 @@ def axis(spans: DataFrame, keys: list[str], now_ms: int, tz_minutes: int, hours:
 def placed(spans: DataFrame, axes: DataFrame, keys: list[str], least: float = 1.5) -> DataFrame:
     """spans with left and width in percent of their axis, widths of `least` at least."""
     percent = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(100.0), (F.col(c) - F.col("axis_start")) / (F.col("axis_end") - F.col("axis_start")) * 100))
-    return spans.join(axes, keys).withColumns({"left": percent("start"), "width": F.greatest(F.lit(least), percent("end") - percent("start"))}).drop("axis_start", "axis_end")
+    return spans.join(_shuffled(axes), keys).withColumns({"left": percent("start"), "width": F.greatest(F.lit(least), percent("end") - percent("start"))}).drop("axis_start", "axis_end")
 
 
 def card_notes(cards: DataFrame, events: DataFrame, now_ms: int, now_day: Column, keys: list[str]) -> DataFrame:
     """keys, note, name, n: the project of the most days this week (three at least), the one of most sessions that has been quiet for PAUSED_DAYS, and how many sessions recovered from a crash (RECOVERIES at least)."""
-    note = lambda rows, kind, n: rows.select(*keys, F.lit(kind).alias("note"), F.col("b.name").alias("name"), n.cast("bigint").alias("n"))
-    best = lambda rows, c: rows.groupBy(*keys).agg(F.max_by(F.struct("name", F.col(c).alias("n"), "idle", "sessions"), F.struct(F.col(c), F.col("last_at"), F.col("root"))).alias("b"))
+    best = lambda c, kept: F.max_by(F.struct("name", F.col(c).cast("bigint").alias("n"), F.col("idle").cast("bigint").alias("idle")), F.when(kept, F.struct(c, "last_at", "root")))
     cards = cards.withColumn("idle", F.floor((F.lit(now_ms) - F.col("last_at")) / 86_400_000))
-    main = best(cards, "days_7").where("b.n >= 3")
-    paused = best(cards.where(F.col("idle").between(*PAUSED_DAYS)), "sessions").where(F.col("b.n") >= PAUSED_SESSIONS)
+    # both notes from one pass: a union would work the cards out twice
+    both = cards.groupBy(*keys).agg(best("days_7", F.lit(True)).alias("main"), best("sessions", F.col("idle").between(*PAUSED_DAYS)).alias("paused"))
+    note = lambda kind, n, kept: F.when(kept, F.struct(F.lit(kind).alias("note"), F.col(f"{kind}.name").alias("name"), F.col(f"{kind}.{n}").alias("n")))
+    notes = F.array_compact(F.array(note("main", "n", F.col("main.n") >= 3), note("paused", "idle", F.col("paused.n") >= PAUSED_SESSIONS)))
     week = (F.col("work_day") > F.date_sub(now_day, 7)) & (F.col("work_day") <= now_day)
     again = events.where((F.col("type") == "agent.session") & week & F.rlike("title", F.lit(RECOVERY))).groupBy(*keys).agg(F.count("*").alias("n")).where(F.col("n") >= RECOVERIES)
-    return note(main, "main", F.col("b.n")).union(note(paused, "paused", F.col("b.idle"))).union(again.select(*keys, F.lit("recoveries").alias("note"), F.lit(None).cast("string").alias("name"), "n"))
+    return both.select(*keys, F.explode(notes).alias("x")).select(*keys, "x.*").union(again.select(*keys, F.lit("recoveries").alias("note"), F.lit(None).cast("string").alias("name"), "n"))
 
 
 def project_brief(cards: DataFrame) -> DataFrame:

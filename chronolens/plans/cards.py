@@ -100,8 +100,8 @@ def _owned(spark, d):
     return H.owned_events(work_history(spark, d), ["session_id"])
 
 
-def _cards(spark, d):
-    return H.project_cards(_owned(spark, d), F.lit(TODAY).cast("date"), ["session_id"])
+def _cards(spark, d, files=True):
+    return H.project_cards(_owned(spark, d), F.lit(TODAY).cast("date"), ["session_id"], files)
 
 
 @query(
@@ -138,7 +138,7 @@ rec AS (SELECT session_id, 'recoveries' AS note, CAST(NULL AS VARCHAR) AS name,
 SELECT * FROM main WHERE n >= 3 UNION ALL SELECT session_id, note, name, n FROM paused WHERE most >= 5 UNION ALL SELECT * FROM rec WHERE n >= 3"""
 )
 def home_week_notes(spark, d):
-    return H.card_notes(_cards(spark, d), work_history(spark, d), NOW_MS, F.lit(TODAY).cast("date"), ["session_id"])
+    return H.card_notes(_cards(spark, d, files=False), work_history(spark, d), NOW_MS, F.lit(TODAY).cast("date"), ["session_id"])
 
 
 NAMES = ["harbour", "meadow", "lantern", "granite", "orchard", "saddle", "timber"]

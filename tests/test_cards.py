@@ -176,3 +176,12 @@ def test_phrases_work_out_a_title_once_and_cut_suffixes_in_turn(spark):
     assert [r.s for r in df.select(text.strip_app_suffix(F.col("t")).alias("s")).collect()] == [in_turn(t) for t in titles]
     plan = df.select(text.title_phrases(F.col("t")).alias("p"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("feat|fix|chore") == 1
+
+
+def test_project_cards_leave_no_table_of_sessions_to_the_driver(spark):
+    """Sides of joins that grow with the sessions are shuffled; the notes of a week work the cards out once."""
+    from chronolens.plans import cards
+
+    plans = [q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for q in (cards.home_cards, cards.home_week_notes, cards.home_day_band)]
+    assert not any("Broadcast" in p for p in plans)
+    assert plans[1].count("Window") == 0
