@@ -19,13 +19,15 @@ COMMAND_CHARS = 400
 STALE_MS = 6 * 3_600_000
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """file, at (place in the file), value."""
+def numbered_lines(spark: SparkSession, path: str | DataFrame) -> DataFrame:
+    """file, at (place in the file), value. path: also such rows themselves, where the lines of many small files are kept as a table."""
+    if isinstance(path, DataFrame):
+        return path.select("file", "at", "value")
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value")
 
 
-def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def json_lines(spark: SparkSession, path: str | DataFrame, schema: str) -> DataFrame:
     """file, at, ok and the fields of each line that isn't blank; ok: the line is a record. Lines that aren't have null fields."""
     raw = numbered_lines(spark, path).where(F.trim("value") != "")
     r = raw.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"}))
@@ -42,7 +44,7 @@ def _seen(value: Column) -> tuple[Column, Column]:
     return value, F.when(value.isNotNull(), F.col("at"))
 
 
-def agent_sessions(spark: SparkSession, path: str) -> DataFrame:
+def agent_sessions(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """One row for each file: session_id, cwd, branch and version (first seen), title (last seen), first_ms, last_ms, stamps, only_side (whether all is side work), tools (name, calls; most calls first), files (touched ones, each once, in order)."""
     rows = json_lines(spark, path, AGENT_RECORD).where("ok")
     branch = F.when(~F.col("gitBranch").isin("", "HEAD"), F.col("gitBranch"))
@@ -70,7 +72,7 @@ ROLLOUT_RECORD = (
 )
 
 
-def rollouts(spark: SparkSession, path: str) -> DataFrame:
+def rollouts(spark: SparkSession, path: str | DataFrame) -> DataFrame:
     """One row for each rollout file (plain or compressed, as Hadoop's codecs read it): session_id, cwd, version and subagent of its first session_meta, models, tools (name, calls), files, tool_calls, first_ms, last_ms, stamps.
 
     Only the first session_meta describes the thread: a sub-agent's file repeats its parent's. Its cwd, if absent, is a later turn's."""

@@ -183,3 +183,22 @@ def test_append_splits_large_days(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", was)
     assert len(list((tmp_path / "e" / "work_day=2024-01-15").glob("part-*"))) > 1 and store.read(spark, str(tmp_path / "e")).count() == 200_000
+
+
+def test_sessions_as_files_are_few_files(spark, monkeypatch):
+    """However many sessions: lines of small files are kept in a table, files that may hold several sessions do."""
+    from pathlib import Path
+
+    from chronolens.plans import streams
+
+    for name in ("agent_files", "rollout_files", "thread_index", "spooled_commands", "labelled_files", "predicted_files"):
+        made = []
+
+        def fresh(*args):
+            made.append(f"/tmp/{name}-{__import__('uuid').uuid4().hex}")
+            return made[-1]
+
+        monkeypatch.setattr(streams, "fresh_path", fresh)
+        monkeypatch.setattr("chronolens.sources.staging.fresh_path", fresh)
+        assert getattr(streams, name)(spark, "/root/testdata/sf0.01").count() > 0
+        assert made and sum(1 for folder in made for _ in Path(folder).rglob("part-*")) <= 16
