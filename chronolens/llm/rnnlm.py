@@ -556,13 +556,13 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
                     group, size = [], 0
             if group:
                 out.append(block(group))
-            place = np.argsort(np.array(order, np.int64), kind="stable")
+            turn = np.argsort(np.array(order, np.int64), kind="stable")
             mark = os.urandom(12)  # with its place, a name of the row; this frame is written once and read from there
             names_ = [mark + i.to_bytes(4, "big") for i in range(b.num_rows)]
-            join = lambda k: np.concatenate([o[k] for o in out])[place] if out else np.zeros(0)
+            join = lambda k: np.concatenate([o[k] for o in out])[turn] if out else np.zeros(0)
             begins = np.concatenate([[0], np.cumsum(np.concatenate([o[4] for o in out]))]) if out else np.zeros(1)
             words = pa.concat_arrays([o[5] for o in out]) if out else pa.array([], cold_type.value_type)
-            cold = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), words).take(pa.array(place))
+            cold = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), words).take(pa.array(turn))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(names_, pa.binary()), b.column(0), b.column(1), pa.array(join(0), pa.int64()), pa.array(join(1), pa.int64()), pa.array(join(2), pa.float64()), pa.array(join(3), pa.float64()), cold.cast(cold_type)],
                 names=["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "score", "cold"],
