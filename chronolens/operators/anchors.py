@@ -23,8 +23,10 @@ def strength(kind: Column) -> Column:
     return F.when(kind.isin(STRONG), "strong").when(kind.isin(MEDIUM), "medium").otherwise("weak")
 
 
-def _json(path: str) -> Column:
-    return F.get_json_object("metadata", f"$.{path}")
+def _json(name: str) -> Column:
+    """A field of the metadata; parsed only where the text holds the field's name, or a backslash, by which names may be spelt otherwise."""
+    held = F.contains("metadata", F.lit(name)) | F.contains("metadata", F.lit("\\"))
+    return F.when(held, F.get_json_object("metadata", f"$.{name}"))
 
 
 def _anchor(kind: str, value: Column, confidence: float) -> Column:
@@ -51,7 +53,7 @@ def event_anchors(events: DataFrame) -> DataFrame:
     short = F.array_join(F.slice(parts, F.greatest(F.size(parts) - 1, F.lit(1)), F.lit(2)), "-")
     files = F.slice(F.from_json(_json("filesTouched"), "array<string>"), 1, 25)
     documents = F.array_compact(F.array(*[_without_extension(T.leaf(_json(k))) for k in ("path", "toPath", "fromPath")]))
-    host = F.coalesce(_json("host"), F.expr("try_parse_url(get_json_object(metadata, '$.url'), 'HOST')"))
+    host = F.coalesce(_json("host"), F.try_parse_url(_json("url"), F.lit("HOST")))
     one = lambda kind, value, c: F.when(value.isNotNull(), F.array(_anchor(kind, value, c))).otherwise(F.array().cast("array<struct<type:string,value:string,confidence:double>>"))
     every = F.concat(
         declared, _each("issue", issues, 0.95), one("branch", F.when(branch != "HEAD", branch), 0.85), one("worktree", F.when(F.length(short) > 0, short), 0.9),
@@ -63,7 +65,9 @@ def event_anchors(events: DataFrame) -> DataFrame:
     name = lambda a: F.concat(a["type"], F.lit("\n"), a["norm"])
     first = lambda rows, names: F.filter(rows, lambda a: (F.length(a["norm"]) >= 2) & (F.array_position(names, name(a)) == a["rank"] + 1))
     kept = T.bound(ranked, lambda rows: T.bound(F.transform(rows, name), lambda names: first(rows, names)))
-    return events.select(*KEYS, "ord", F.explode(kept).alias("a")).select(*KEYS, "ord", "a.*")
+    # a day's events move to one place first: files of few parts don't bound the tasks, and what follows by days finds its rows there
+    moved = events.select(*KEYS, "ord", "title", "repository", "metadata").repartition(*KEYS)
+    return moved.select(*KEYS, "ord", F.explode(kept).alias("a")).select(*KEYS, "ord", "a.*")
 
 
 def phrases(events: DataFrame, text: str = "title") -> DataFrame:
@@ -80,15 +84,20 @@ def _distinct(value: Column) -> Column:
     return F.size(F.collect_set(value)).cast("bigint")
 
 
+def _by_norm(events: DataFrame) -> DataFrame:
+    """KEYS, norm, apps, value (the first spelling) and where a phrase was seen: (ord, pos), each place of it."""
+    apps, value = _distinct(F.coalesce("app", F.lit("unknown"))).alias("apps"), F.min_by("phrase", F.struct("ord", "pos")).alias("value")
+    return phrases(events).groupBy(*KEYS, "norm").agg(apps, value, F.collect_list(F.struct("ord", "pos")).alias("seen"))
+
+
 def keyword_anchors(events: DataFrame) -> DataFrame:
-    """KEYS, norm, value, confidence, apps: phrases seen in two applications at least; the first spelling stands."""
-    grouped = phrases(events).groupBy(*KEYS, "norm").agg(_distinct(F.coalesce("app", F.lit("unknown"))).alias("apps"), F.min_by("phrase", F.struct("ord", "pos")).alias("value"))
-    return grouped.where(F.col("apps") >= 2).withColumn("confidence", F.least(F.lit(0.8), 0.4 + 0.12 * F.col("apps")))
+    """KEYS, norm, value, confidence, apps, seen: phrases seen in two applications at least; the first spelling stands."""
+    return _by_norm(events).where(F.col("apps") >= 2).withColumn("confidence", F.least(F.lit(0.8), 0.4 + 0.12 * F.col("apps")))
 
 
 def with_keywords(anchors: DataFrame, events: DataFrame) -> DataFrame:
-    """Event anchors and, after them, the keywords each event's title holds."""
-    hits = phrases(events).select(*KEYS, "ord", "norm").distinct().join(keyword_anchors(events), [*KEYS, "norm"])
+    """Event anchors and, after them, the keywords each event's title holds. Titles are cut into phrases once, and a keyword knows the events it was seen in."""
+    hits = keyword_anchors(events).select(*KEYS, "norm", "value", "confidence", F.explode(F.array_distinct("seen.ord")).alias("ord"))
     keywords = hits.select(*KEYS, "ord", (F.lit(1000) + F.row_number().over(Window.partitionBy(*KEYS, "ord").orderBy("norm"))).alias("rank"), F.lit("keyword").alias("type"), "value", "confidence", "norm")
     return anchors.select(*KEYS, "ord", "rank", "type", "value", "confidence", "norm").unionByName(keywords)
 
@@ -102,9 +111,9 @@ def places(events: DataFrame, anchors: DataFrame) -> DataFrame:
 
 
 def subject_anchors(events: DataFrame, anchors: DataFrame) -> DataFrame:
-    """KEYS, norm, value, confidence, titles: phrases that set some titles apart from the rest."""
+    """KEYS, norm, value, confidence, titles, seen: phrases that set some titles apart from the rest."""
     titled = events.where(F.col("title").isNotNull() & (F.col("title") != "") & (F.col("type") != NO_SUBJECT_TYPE)).groupBy(*KEYS).agg(F.count("*").alias("titled"))
-    each = phrases(events).groupBy(*KEYS, "norm").agg(_distinct(F.col("ord")).alias("titles"), _distinct(F.coalesce("app", F.lit("unknown"))).alias("apps"), F.min_by("phrase", F.struct("ord", "pos")).alias("value"))
+    each = _by_norm(events).withColumn("titles", F.size(F.array_distinct("seen.ord")).cast("bigint"))
     each = each.where(F.col("titles") >= 2).join(titled, KEYS).where(F.col("titles") / F.col("titled") <= 0.5).join(places(events, anchors), [*KEYS, "norm"], "left_anti")
     at_most = lambda x: F.least(F.lit(1.0), x)
     confidence = 0.35 + 0.25 * at_most(F.ln(F.col("titled") / F.col("titles")) / F.ln("titled")) + 0.2 * at_most((F.col("titles") - 1) / 3) + 0.2 * at_most((F.col("apps") - 1) / 2)

@@ -7,11 +7,13 @@ being bounded by what one person does in it; an index of anchors keeps its time
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
-from itertools import groupby
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -118,12 +120,14 @@ def activities(events: list[dict], config: EngineConfig) -> list[Group]:
         if e["type"] in HARD_BOUNDARY:
             now = None
             continue
+        if now and (e["ts"] - now.end > config.activity_gap or e["end"] - now.start > config.activity_longest):
+            now = None
         if now:
-            recent = list({(a[0], a[1]): a for k in reversed(now.events[-3:]) for a in events[k]["anchors"]}.values())
-            seen = View(recent)
-            held = e["app"] in now.apps or any(map(seen.holds, e["anchors"]))
-            if e["ts"] - now.end > config.activity_gap or e["end"] - now.start > config.activity_longest or not held or View(e["anchors"]).conflicts(seen):
-                now = None
+            held, named = e["app"] in now.apps, any(kind in A.IDENTITY for kind, _, _ in e["anchors"])
+            if named or not held:  # else neither what the last events hold nor a conflict changes anything
+                seen = View(list({(a[0], a[1]): a for k in reversed(now.events[-3:]) for a in events[k]["anchors"]}.values()))
+                if not (held or any(map(seen.holds, e["anchors"]))) or named and View(e["anchors"]).conflicts(seen):
+                    now = None
         if now is None:
             now = Group(len(done) + 1, e["ts"], e["end"])
             done.append(now)
@@ -182,6 +186,8 @@ class Index:
         self.into[other] = host
 
     def _now(self, *found: set[int]) -> set[int]:
+        if not self.into:
+            return set().union(*found)
         out = set()
         for number in set().union(*found):
             end = number
@@ -275,6 +281,9 @@ def contexts(acts: list[Group], config: EngineConfig) -> list[Group]:
         best.members.append(act.number)
         before = (best, list(act.apps)[-1])
 
+    if len(found) < 2:
+        return found
+
     def fits(a: Group, b: Group) -> bool:
         return any(map(b.view().holds, a.listed())) and not a.view().conflicts(b.view())
 
@@ -311,6 +320,9 @@ def contexts(acts: list[Group], config: EngineConfig) -> list[Group]:
 def group_day(events: list[dict], config: EngineConfig) -> list[tuple[int | None, int | None]]:
     """(activity, context; null: in none) for each event of one day, in order."""
     acts = activities(events, config)
+    if len(acts) == 1:  # the one context of a day that has one activity
+        own, kept = set(acts[0].events), len(acts[0].events) >= config.least_events
+        return [(1, 1 if kept else None) if i in own else (None, None) for i in range(len(events))]
     kept = [c for c in contexts(acts, config) if len(c.events) >= config.least_events]
     activity = {i: a.number for a in acts for i in a.events}
     context = {i: c.number for c in kept for i in c.events}
@@ -335,34 +347,64 @@ def assignments(events: DataFrame, config: EngineConfig = EngineConfig(), anchor
 
     Days come sorted in Arrow batches of many days each; the one that is open is held, whichever batches it lies in. anchors: all_anchors(events), if they are at hand."""
     anchors = all_anchors(events) if anchors is None else anchors
-    listed = anchors.groupBy(*KEYS, "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "type", "norm", "confidence"))), lambda a: F.struct(a["type"].alias("type"), a["norm"].alias("norm"), a["confidence"].cast("double").alias("c"))).alias("anchors"))
-    frame = events.withColumn("app_name", app_name(events)).join(listed, [*KEYS, "ord"], "left").select(*KEYS, "ord", "ts_ms", "end_ms", "type", "app_name", "anchors")
+    # both sides move by days alone, so that rows stay where they are for the join by events and the fold by days
+    listed = anchors.repartition(*KEYS).groupBy(*KEYS, "ord").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "type", "norm", "confidence"))), lambda a: F.struct(a["type"].alias("type"), a["norm"].alias("norm"), a["confidence"].cast("double").alias("c"))).alias("anchors"))
+    moved = events.withColumn("app_name", app_name(events)).select(*KEYS, "ord", "ts_ms", "end_ms", "type", "app_name").repartition(*KEYS)
+    frame = moved.join(listed, [*KEYS, "ord"], "left").select(*moved.columns, "anchors")
     kinds = {f.name: f.dataType.simpleString() for f in frame.schema}
     schema = f"session_id {kinds['session_id']}, work_day {kinds['work_day']}, ord {kinds['ord']}, activity long, context long"
 
     def fold(batches):
-        def rows():
-            for b in batches:
-                yield from zip(b.column(0), b.column(1), b.column(2), *(b.column(i).to_pylist() for i in range(3, 8)))
-
-        out: list = []
-        for (session, day), group in groupby(rows(), key=lambda r: (r[0], r[1])):
-            held = list(group)
-            own = [{"ts": t, "end": t if e is None else e, "type": k, "app": a, "anchors": [(x["type"], x["norm"], x["c"]) for x in anchors or []]} for _, _, _, t, e, k, a, anchors in held]
-            out += [(session, day, r[2], *found) for r, found in zip(held, group_day(own, config))]
-            if len(out) >= 10_000:
-                yield _batch(out, kinds)
-                out = []
-        if out:
-            yield _batch(out, kinds)
+        for b, days in _whole_days(batches):
+            events, found = _rows(b), []
+            for begin, end in zip(days, days[1:]):
+                found += group_day(events[begin:end], config)
+            activity, context = zip(*found)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(activity, pa.int64()), pa.array(context, pa.int64())], names=["session_id", "work_day", "ord", "activity", "context"])
 
     return frame.repartition(*KEYS).sortWithinPartitions(*KEYS, "ts_ms", "ord").mapInArrow(fold, schema)
 
 
-def _batch(rows: list[tuple], kinds: dict[str, str]) -> pa.RecordBatch:
-    first, second, third, activity, context = zip(*rows)
-    scalars = [pa.array([x.as_py() for x in column], column[0].type) for column in (first, second, third)]
-    return pa.RecordBatch.from_arrays([*scalars, pa.array(activity, pa.int64()), pa.array(context, pa.int64())], names=["session_id", "work_day", "ord", "activity", "context"])
+def _begins(b: pa.RecordBatch) -> list[int]:
+    """Where rows begin whose first two columns aren't those of the row before."""
+    new = np.zeros(max(0, b.num_rows - 1), bool)
+    for column in b.columns[:2]:
+        x, y = column.slice(0, len(new)), column.slice(1)
+        new |= pc.fill_null(pc.not_equal(x, y), False).to_numpy(zero_copy_only=False)
+        new |= x.is_null().to_numpy(zero_copy_only=False) != y.is_null().to_numpy(zero_copy_only=False)
+    return [0, *(np.flatnonzero(new) + 1).tolist()]
+
+
+def _whole_days(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[int]]]:
+    """The rows in batches of whole days, and where these begin and end. The day that is open is held."""
+    held: list[pa.RecordBatch] = []
+    closed = lambda: (b := pa.concat_batches(held), [*_begins(b), b.num_rows])
+    for b in batches:
+        if not b.num_rows:
+            continue
+        if held and len(_begins(pa.concat_batches([held[-1].slice(held[-1].num_rows - 1), b.slice(0, 1)]))) > 1:
+            yield closed()
+            held = []
+        if last := _begins(b)[-1]:
+            held.append(b.slice(0, last))
+            yield closed()
+            held = []
+        held.append(b.slice(last))
+    if held:
+        yield closed()
+
+
+def _rows(b: pa.RecordBatch) -> list[dict]:
+    """Events as the fold takes them, of the columns ts_ms, end_ms, type, app_name and anchors. Equal anchors are one tuple."""
+    start, kind, app = b.column(3), b.column(5).to_pylist(), b.column(6).to_pylist()
+    lengths, flat = pc.fill_null(pc.list_value_length(b.column(7)), 0).to_pylist(), b.column(7).flatten()
+    one: dict[Anchor, Anchor] = {}
+    every = [one.setdefault(a, a) for a in zip(*(flat.field(name).to_pylist() for name in ("type", "norm", "c")))]
+    at, out = 0, []
+    for t, e, k, a, n in zip(start.to_pylist(), pc.coalesce(b.column(4), start).to_pylist(), kind, app, lengths):
+        out.append({"ts": t, "end": e, "type": k, "app": a, "anchors": every[at : at + n]})
+        at += n
+    return out
 
 
 def all_anchors(events: DataFrame) -> DataFrame:
@@ -402,8 +444,9 @@ def subjects_of(events: DataFrame, assigned: DataFrame, anchors: DataFrame) -> D
     """KEYS, context, topic: the subject with the largest share of the context's events times its confidence."""
     mine = assigned.where(F.col("context").isNotNull())
     size = mine.groupBy(*KEYS, "context").agg(F.count("*").alias("size"))
-    hits = A.phrases(events).groupBy(*KEYS, "ord", "norm").agg(F.min("pos").alias("pos")).join(A.subject_anchors(events, anchors), [*KEYS, "norm"]).join(mine, [*KEYS, "ord"])
-    counted = hits.groupBy(*KEYS, "context", "norm").agg(F.count("*").alias("n"), F.first("confidence").alias("confidence"), F.first("value").alias("value"), F.min(F.struct("ord", "pos")).alias("seen"))
+    subjects = A.subject_anchors(events, anchors).select(*KEYS, "norm", "value", "confidence", F.explode("seen").alias("at")).select("*", "at.ord")
+    hits = subjects.groupBy(*KEYS, "ord", "norm", "value", "confidence").agg(F.min("at").alias("at")).join(mine, [*KEYS, "ord"])
+    counted = hits.groupBy(*KEYS, "context", "norm").agg(F.count("*").alias("n"), F.first("confidence").alias("confidence"), F.first("value").alias("value"), F.min("at").alias("seen"))
     scored = counted.join(size, [*KEYS, "context"]).withColumn("score", F.col("n") / F.col("size") * F.col("confidence"))
     first = F.row_number().over(Window.partitionBy(*KEYS, "context").orderBy(F.desc("score"), "seen")) == 1
     return scored.withColumn("_f", first).where("_f").select(*KEYS, "context", F.col("value").alias("topic"))

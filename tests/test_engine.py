@@ -230,3 +230,30 @@ def test_brief_of_a_context(spark):
     card = spark.createDataFrame([("s", "d", 1, "working", 2, 2, "b.py"), ("s", "d", 1, "working", 1, 1, "a.py"), ("s", "d", 1, "ran", 1, 1, "make")], f"{keys}, bucket string, ts_ms long, ord long, label string")
     step = spark.createDataFrame([("s", "d", 1, "failing", "make")], f"{keys}, rule string, text string")
     assert [r.text for r in export.brief(card, step).collect()] == ["ran: make\nworking: a.py; b.py\nnext (failing): make"]
+
+
+def test_days_move_once_each_and_titles_are_cut_once(spark):
+    """Nothing moves by events or phrases: three tables move by days, and the fold finds them there."""
+    from chronolens.plans.catalogue import QUERIES
+
+    plan = QUERIES["engine_assignments"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    exchanges = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+    assert len(exchanges) == 3, plan
+    assert all("ord#" not in line and "norm#" not in line for line in exchanges), plan
+
+
+def test_a_day_lies_in_one_batch():
+    import pyarrow as pa
+
+    rng = random.Random(5)
+    days = [(s, d) for s in [None, *range(40)] for d in range(3)]
+    keys = [k for k in days for _ in range(rng.choice([1, 2, 5, 60]))]
+    table = pa.table({"s": pa.array([k[0] for k in keys], pa.int64()), "d": [k[1] for k in keys], "n": range(len(keys))})
+    seen, at = [], 0
+    for b, begins in engine._whole_days(iter(table.to_batches(max_chunksize=7))):
+        got = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+        for i, j in zip(begins, begins[1:]):
+            assert len(set(got[i:j])) == 1
+            seen.append(got[i])
+        assert b.column(2).to_pylist() == list(range(at, at := at + b.num_rows))
+    assert at == len(keys) and seen == days
