@@ -79,14 +79,14 @@ def phrases(events: DataFrame, text: str = "title") -> DataFrame:
     return moved.select(*KEYS, "ord", "app", "p.*")
 
 
-def _distinct(value: Column) -> Column:
+def distinct(value: Column) -> Column:
     """How many values a group has, kept as a set: groups are parts of one day, and rows aren't doubled for it."""
     return F.size(F.collect_set(value)).cast("bigint")
 
 
 def _by_norm(events: DataFrame) -> DataFrame:
     """KEYS, norm, apps, value (the first spelling) and where a phrase was seen: (ord, pos), each place of it."""
-    apps, value = _distinct(F.coalesce("app", F.lit("unknown"))).alias("apps"), F.min_by("phrase", F.struct("ord", "pos")).alias("value")
+    apps, value = distinct(F.coalesce("app", F.lit("unknown"))).alias("apps"), F.min_by("phrase", F.struct("ord", "pos")).alias("value")
     return phrases(events).groupBy(*KEYS, "norm").agg(apps, value, F.collect_list(F.struct("ord", "pos")).alias("seen"))
 
 
@@ -112,7 +112,7 @@ def places(events: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def subject_anchors(events: DataFrame, anchors: DataFrame) -> DataFrame:
     """KEYS, norm, value, confidence, titles, seen: phrases that set some titles apart from the rest."""
-    titled = events.where(F.col("title").isNotNull() & (F.col("title") != "") & (F.col("type") != NO_SUBJECT_TYPE)).groupBy(*KEYS).agg(F.count("*").alias("titled"))
+    titled = events.where(F.col("title").isNotNull() & (F.col("title") != "") & (F.col("type") != NO_SUBJECT_TYPE)).select(*KEYS).groupBy(*KEYS).agg(F.count("*").alias("titled"))
     each = _by_norm(events).withColumn("titles", F.size(F.array_distinct("seen.ord")).cast("bigint"))
     each = each.where(F.col("titles") >= 2).join(titled, KEYS).where(F.col("titles") / F.col("titled") <= 0.5).join(places(events, anchors), [*KEYS, "norm"], "left_anti")
     at_most = lambda x: F.least(F.lit(1.0), x)

@@ -416,19 +416,21 @@ def contexts_frame(events: DataFrame, assigned: DataFrame, anchors: DataFrame |
 
     One row a context: session_id, work_day, context, start, end, n_events, active_ms, label, fallback, repository, branch, project, issue, confidence, key, ord, tz."""
     on = [*KEYS, "ord"]
-    rows = events.withColumn("app_name", app_name(events)).join(assigned.where(F.col("context").isNotNull()), on)
+    # events, assignments and anchors move by days alone: joins by events, groups by contexts and their joins find the rows of a day in one place
+    mine = assigned.where(F.col("context").isNotNull()).repartition(*KEYS)
+    rows = events.withColumn("app_name", app_name(events)).select(*on, "ts_ms", "end_ms", "tz", "app_name").repartition(*KEYS).join(mine, on)
     by = [*KEYS, "context"]
     end = F.coalesce("end_ms", "ts_ms")
     base = rows.groupBy(*by).agg(
         F.min("ts_ms").alias("start"), F.max(end).alias("end"), F.count("*").alias("n_events"), F.first("tz").alias("tz"),
-        F.min_by("app_name", F.struct("ts_ms", "ord")).alias("first_app"), F.countDistinct("app_name").alias("apps"),
+        F.min_by("app_name", F.struct("ts_ms", "ord")).alias("first_app"), A.distinct(F.col("app_name")).alias("apps"),
     )
     spans = rows.groupBy(*by, "activity").agg(F.min("ts_ms").alias("start"), F.max(end).alias("end"))
     active = covered_ms(spans, by).withColumnRenamed("covered_ms", "active_ms")
     anchors = all_anchors(events) if anchors is None else anchors
-    held = anchors.join(assigned.where(F.col("context").isNotNull()), on)
+    held = anchors.repartition(*KEYS).join(mine, on)
     best = lambda kind: F.max_by(F.when(F.col("type") == kind, F.col("value")), F.when(F.col("type") == kind, F.struct(F.col("confidence"), -F.col("ord"), -F.col("rank")))).alias(kind)
-    named = held.groupBy(*by).agg(*[best(k) for k in ("issue", "document", "branch", "repository", "project")], F.countDistinct(F.when(F.col("type").isin(A.STRONG), F.struct("type", "norm"))).alias("strong"))
+    named = held.groupBy(*by).agg(*[best(k) for k in ("issue", "document", "branch", "repository", "project")], A.distinct(F.when(F.col("type").isin(A.STRONG), F.struct("type", "norm"))).alias("strong"))
     topic = subjects_of(events, assigned, anchors)
     out = base.join(active, by).join(named, by, "left").join(topic, by, "left")
     subject = pretty(F.coalesce("topic", "branch", "document"))
@@ -442,7 +444,7 @@ def contexts_frame(events: DataFrame, assigned: DataFrame, anchors: DataFrame |
 
 def subjects_of(events: DataFrame, assigned: DataFrame, anchors: DataFrame) -> DataFrame:
     """KEYS, context, topic: the subject with the largest share of the context's events times its confidence."""
-    mine = assigned.where(F.col("context").isNotNull())
+    mine = assigned.where(F.col("context").isNotNull()).repartition(*KEYS)
     size = mine.groupBy(*KEYS, "context").agg(F.count("*").alias("size"))
     subjects = A.subject_anchors(events, anchors).select(*KEYS, "norm", "value", "confidence", F.explode("seen").alias("at")).select("*", "at.ord")
     hits = subjects.groupBy(*KEYS, "ord", "norm", "value", "confidence").agg(F.min("at").alias("at")).join(mine, [*KEYS, "ord"])

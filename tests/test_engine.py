@@ -257,3 +257,15 @@ def test_a_day_lies_in_one_batch():
             seen.append(got[i])
         assert b.column(2).to_pylist() == list(range(at, at := at + b.num_rows))
     assert at == len(keys) and seen == days
+
+
+def test_contexts_count_names_as_sets_of_their_day(spark):
+    """No aggregate in passes for distinct values, and titles are cut into phrases once for the subjects."""
+    from chronolens.plans.catalogue import engine_events
+
+    events = engine_events(spark, "/root/testdata/sf0.001")
+    anchors = engine.all_anchors(events).localCheckpoint()
+    assigned = engine.assignments(events, anchors=anchors).localCheckpoint()
+    plan = engine.contexts_frame(events, assigned, anchors)._jdf.queryExecution().optimizedPlan().toString()
+    assert "count(distinct" not in plan
+    assert sum("Generate explode" in line and "Codex" not in line and "sequence(0" in line for line in plan.splitlines()) == 1, plan
