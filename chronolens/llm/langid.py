@@ -33,7 +33,7 @@ LEAST = 50
 #: Languages that are learned at most, those of most texts.
 LANGUAGES = 1_000
 #: Bytes of a window and those read before and behind it, and bytes whose states are held at once.
-WINDOW, WARM, GROUP = 2_048, 192, 700_000
+WINDOW, WARM, GROUP = 2_048, 192, 1_400_000
 #: Sizes of the pieces that texts are cut into for learning.
 PIECES = (16, 32, 64, 128)
 

@@ -827,3 +827,12 @@ def test_equal_language_probabilities():
     model = langid.ByteBiGru(["aa", "bb", "cc"])
     model.w = {k: np.zeros_like(v) for k, v in model.w.items()}
     assert model.pool([b"some text"]).argmax(1).tolist() == [0] and model.pool([b"some text"])[0] == pytest.approx([1 / 3] * 3)
+
+
+def test_languages_read_hundreds_of_windows_in_step(monkeypatch):
+    """Five hundred windows of a text are one group of steps, so that a step's fixed cost is shared by all of them."""
+    model, read = langid.ByteBiGru(["a", "b"]), []
+    whole = model._in_step
+    monkeypatch.setattr(model, "_in_step", lambda texts, *at: read.append(len(texts)) or whole(texts, *at))
+    model.pool([b"some words " * (500 * langid.WINDOW // 11)])
+    assert max(read) >= 500
