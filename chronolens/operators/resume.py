@@ -61,7 +61,8 @@ def lines(events: DataFrame) -> DataFrame:
         .when(kind == "manual.note", line("note", F.coalesce(text("text"), F.lit("")), none))
         .when(kind.isin(AGENT_TYPES), line("produced", agent, F.array_join(_list("filesTouched"), ", ")))
     )
-    long = events.withColumn("l", made).where(F.col("l").isNotNull()).select(*KEYS, "ord", "ts_ms", "l.*")
+    # exploded, as a filter on the line would be pushed down to the source and work out the metadata again at each mention
+    long = events.select(*KEYS, "ord", "ts_ms", F.explode(F.array_compact(F.array(made))).alias("l")).select(*KEYS, "ord", "ts_ms", "l.*")
     first = F.row_number().over(Window.partitionBy(*KEYS, "bucket", "key").orderBy("ts_ms", "ord")) == 1
     return long.withColumn("_f", first).where("_f").drop("_f", "key")
 
@@ -109,7 +110,8 @@ def resources(events: DataFrame) -> DataFrame:
     )
     every = F.array_compact(F.concat(some, F.when(kind.isin(AGENT_TYPES) & touched.isNotNull(), touched).otherwise(F.array().cast("array<struct<kind:string,target:string>>"))))
     long = events.select(*KEYS, "ord", "ts_ms", F.posexplode(every).alias("rank", "r")).select(*KEYS, F.lit(0).alias("last"), "ts_ms", "ord", "rank", "r.*")
-    cwd = events.where(text("cwd").isNotNull()).groupBy(*KEYS).agg(F.max_by(text("cwd"), F.struct("ts_ms", "ord")).alias("target"))
+    stood = events.select(*KEYS, "ord", "ts_ms", F.explode(F.array_compact(F.array(text("cwd")))).alias("target"))
+    cwd = stood.groupBy(*KEYS).agg(F.max_by("target", F.struct("ts_ms", "ord")).alias("target"))
     long = long.unionByName(cwd.select(*KEYS, F.lit(1).alias("last"), F.lit(0).cast("bigint").alias("ts_ms"), F.lit(0).cast("bigint").alias("ord"), F.lit(0).alias("rank"), F.lit("terminal").alias("kind"), "target"))
     long = long.withColumn("target", F.trim("target")).where((F.col("target") != "") & ~F.rlike("target", F.lit(THROWAWAY)))
     at = ["last", "ts_ms", "ord", "rank"]

@@ -43,7 +43,7 @@ SELECT session_id, work_day, bucket, ord, label, detail, tone FROM f
 QUALIFY row_number() OVER (PARTITION BY session_id, work_day, bucket ORDER BY ts_ms DESC, ord DESC) <= CASE bucket WHEN 'working' THEN 5 WHEN 'reading' THEN 5 WHEN 'ran' THEN 3 WHEN 'produced' THEN 4 WHEN 'failure' THEN 1 ELSE 1000000 END"""
 )
 def resume_lines(spark, d):
-    card = R.capped(R.lines(work_history(spark, d).withColumn("context", F.lit(1))))
+    card = R.capped(R.lines(work_history(spark, d, DAY).withColumn("context", F.lit(1))))
     return card.select(*DAY, "bucket", "ord", "label", "detail", "tone")
 
 
@@ -58,7 +58,7 @@ o AS (SELECT * FROM r WHERE NOT regexp_matches(target, '(?i)[/\\\\](temp|tmp)[/\
 SELECT session_id, work_day, CAST(row_number() OVER (PARTITION BY session_id, work_day ORDER BY list_position(['workspace', 'folder', 'terminal', 'file', 'url'], kind), late, ts_ms, ord, n) AS INTEGER) AS nth, kind, target FROM o QUALIFY nth <= 10"""
 )
 def resume_resources(spark, d):
-    return R.resources(work_history(spark, d).withColumn("context", F.lit(1))).drop("context")
+    return R.resources(work_history(spark, d, DAY).withColumn("context", F.lit(1))).drop("context")
 
 
 @query(

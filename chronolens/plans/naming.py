@@ -56,7 +56,7 @@ FROM (SELECT *, CAST(floor(active_ms / 60000.0 + 0.5) AS BIGINT) AS t FROM c) LE
 @query(_DETAILED)
 def detailed_standup(spark, d):
     """Each day as one context: where it was, how long, the first two things produced, and whether something failed."""
-    card = R.capped(R.lines(work_history(spark, d).withColumn("context", F.lit(1))))
+    card = R.capped(R.lines(work_history(spark, d, DAY).withColumn("context", F.lit(1))))
     e = silver_events(spark, d)
     c = e.groupBy(*DAY).agg(F.min("ts_ms").alias("start"), F.min("ord").alias("ord"), (F.count("*") * 90_000).alias("active_ms"), F.max("repository").alias("repository"))
     named = c.withColumns({"context": F.lit(1), "label": F.lit("day"), "branch": F.lit("main"), "project": F.lit(None).cast("string")})
@@ -127,7 +127,7 @@ FROM t LEFT JOIN l USING (session_id, work_day) LEFT JOIN o USING (session_id, w
 )
 def agent_briefs(spark, d):
     """The hand-over of every day, taken as one context."""
-    h = work_history(spark, d).withColumn("context", F.lit(1))
+    h = work_history(spark, d, DAY).withColumn("context", F.lit(1))
     c = silver_events(spark, d).groupBy(*DAY).agg(F.max("end_ms").alias("end"), (F.count("*") * 90_000).alias("active_ms"), F.first("tz").alias("tz"))
     none = F.lit(None).cast("string")
     c = c.withColumns({"context": F.lit(1), "label": F.lit("day"), "project": none, "repository": none, "branch": F.lit("main"), "apps": F.array(F.lit("A"), F.lit("B"))})

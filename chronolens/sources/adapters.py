@@ -5,6 +5,8 @@ session_id, ord (position, tie-break of every order), ts_ms, end_ms, tz, work_da
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +45,13 @@ KINDS = [
 PLACES = ["/work/atlas", "/work/borealis", "/work/tmp/x", "/work/atlas/sub"]
 
 
-def work_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All events as a history of work: types, titles and metadata of the collectors' kind, made from event_id and props.k. Columns of silver_events and app_display."""
+def work_history(spark: SparkSession, sf_dir: str, by: Sequence[str] = ()) -> DataFrame:
+    """All events as a history of work: types, titles and metadata of the collectors' kind, made from event_id and props.k. Columns of silver_events and app_display.
+
+    by: columns whose equal values are brought together before anything is made, in parts that don't depend on the file's; what is grouped by them needs no further shuffle."""
     e = silver_events(spark, sf_dir)
-    n, k = F.col("ord"), F.coalesce(F.get_json_object("metadata", "$.k").try_cast("int"), F.lit(0))
+    e = (e.repartition(*by) if by else e).withColumn("_k", F.coalesce(F.get_json_object("metadata", "$.k").try_cast("int"), F.lit(0)))
+    n, k = F.col("ord"), F.col("_k")
     kind = F.get(F.array(*map(F.lit, KINDS)), F.pmod(n, F.lit(10)).cast("int"))
     place = F.get(F.array(*map(F.lit, PLACES)), k % 4)
     text = lambda prefix, m: F.concat(F.lit(prefix), (k % m).cast("string"))
@@ -63,4 +68,4 @@ def work_history(spark: SparkSession, sf_dir: str) -> DataFrame:
         of(text("r", 4), KINDS[9]).alias("runId"), of(F.when(k % 2 == 0, "succeeded").otherwise("failed"), KINDS[9]).alias("status"),
     )
     title = F.when(kind == KINDS[1], text("Guide ", 3)).when(kind == KINDS[8], F.when(k % 3 == 0, "Codex — atlas").otherwise(text("Fix crash ", 6)))
-    return e.withColumns({"type": kind, "title": title, "app": F.concat(F.lit("app"), F.pmod(n, F.lit(10)).cast("string")), "app_display": F.concat(F.lit("App "), F.pmod(n, F.lit(10)).cast("string")), "metadata": F.to_json(made)})
+    return e.withColumns({"type": kind, "title": title, "app": F.concat(F.lit("app"), F.pmod(n, F.lit(10)).cast("string")), "app_display": F.concat(F.lit("App "), F.pmod(n, F.lit(10)).cast("string")), "metadata": F.to_json(made)}).drop("_k")

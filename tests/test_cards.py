@@ -185,3 +185,23 @@ def test_project_cards_leave_no_table_of_sessions_to_the_driver(spark):
     plans = [q(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString() for q in (cards.home_cards, cards.home_week_notes, cards.home_day_band)]
     assert not any("Broadcast" in p for p in plans)
     assert plans[1].count("Window") == 0
+
+
+def test_a_day_is_moved_once_and_its_metadata_is_told_once(spark):
+    """Of a card's lines no filter works the metadata out again, and what is grouped by day needs no shuffle but the first."""
+    from pyspark.sql.functions import lit
+
+    from chronolens.sources.adapters import work_history
+
+    history = work_history(spark, "/root/testdata/sf0.001", ["session_id", "work_day"]).withColumn("context", lit(1))
+    for rows in (resume.capped(resume.lines(history)), resume.resources(history), resume.next_step(history)):
+        optimized, physical = (rows._jdf.queryExecution().optimizedPlan().toString(), rows._jdf.queryExecution().executedPlan().toString())
+        assert not [line for line in optimized.splitlines() if line.lstrip(" :+-").startswith("Filter") and "get_json_object" in line]
+        assert physical.count("REPARTITION_BY_COL") == physical.count("Exchange hashpartitioning") > 0
+
+
+def test_lines_and_places_of_events_without_metadata(spark):
+    rows = [(1, "d", 1, 0, 5, "terminal.command", None, None), (1, "d", 1, 1, 6, "terminal.command", None, '{"commandRedacted":"make","cwd":"/w"}'), (1, "d", 1, 2, 7, "manual.note", None, '{"text":"n","cwd":"/v"}'), (1, "d", 1, 3, 7, "ide.file.saved", None, "torn")]
+    events = spark.createDataFrame(rows, "session_id long, work_day string, context int, ord long, ts_ms long, type string, title string, metadata string")
+    assert sorted((r.ord, r.bucket, r.label) for r in resume.lines(events).collect()) == [(1, "ran", "make"), (2, "note", "n")]
+    assert [(r.kind, r.target) for r in resume.resources(events).collect()] == [("terminal", "/v")]
