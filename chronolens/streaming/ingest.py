@@ -5,7 +5,7 @@ State is kept by stream (one device or shell) and is a few values; late data is
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -20,14 +20,20 @@ from ..sources.staging import fresh_path
 IDLE_MS = 5 * 60_000
 LATE = "6 hours"
 SPAN = "stream_id string, app string, title string, start_ms long, end_ms long"
+SAMPLE = ["ts_ms", "app", "title", "key", "idle_ms"]
 OPEN = "app string, title string, key string, start_ms long, seen_ms long"
 
 
 def _fold(stream_id: str, samples: pd.DataFrame, held: tuple | None, idle_ms: int) -> tuple[list[tuple], tuple | None]:
-    """Closed spans and what stays open, after samples in order of time. A span ends at the sample that has another key, or at the last input before a pause of idle_ms."""
+    """fold() of a frame's columns SAMPLE."""
+    return fold(stream_id, samples[SAMPLE].itertuples(index=False, name=None), held, idle_ms)
+
+
+def fold(stream_id: str, samples: Iterable[tuple], held: tuple | None, idle_ms: int) -> tuple[list[tuple], tuple | None]:
+    """Closed spans and what stays open, after samples (ts_ms, app, title, key, idle_ms), taken in order of time. A span ends at the sample that has another key, or at the last input before a pause of idle_ms."""
     done = []
     close = lambda end: done.append((stream_id, held[0], held[1], held[3], max(held[3], end)))
-    for ts, app, title, key, idle in samples.sort_values("ts_ms", kind="stable")[["ts_ms", "app", "title", "key", "idle_ms"]].itertuples(index=False):
+    for ts, app, title, key, idle in sorted(samples, key=lambda s: s[0]):
         if held and ts < held[4]:
             continue  # later samples were taken in before
         if held and (idle >= idle_ms or ts - held[4] >= idle_ms):

@@ -105,3 +105,19 @@ def test_pauses_of_a_stream(spark, tmp_path):
 def test_latest_before(spark):
     df = spark.createDataFrame([("a", 1, 1, "x"), ("a", 2, 1, "y"), ("a", 2, 2, "z"), ("b", 0, 0, "w")], "k string, ts_ms long, ord long, v string")
     assert sorted((r.k, r.v) for r in ingest.latest_before(df, ["k"]).collect()) == [("a", "z"), ("b", "w")]
+
+
+def test_a_new_stream_costs_three_calls_of_the_state():
+    """What is known is not asked for: a stream without state has no timer, and samples that don't wait have no list. Spans come as rows."""
+    from types import SimpleNamespace
+
+    calls = []
+    note = lambda name, value=None: lambda *_: calls.append(name) or value
+    state = SimpleNamespace(exists=note("exists", False), get=note("get"), update=note("update"), clear=note("clear"), put=note("put"))
+    handle = SimpleNamespace(getValueState=lambda *_: state, getListState=lambda *_: state, listTimers=note("listTimers", iter([])), deleteTimer=note("deleteTimer"), registerTimer=note("registerTimer"))
+    made = spans.Spans(300_000, False)
+    made.init(handle)
+    rows = [spans.Row("stream_id", *spans.COLUMNS)("d", t, a, None, a, 0) for t, a in [(5_000, "y"), (0, "x")]]
+    got = list(made.handleInputRows(("d",), iter(rows), SimpleNamespace(getCurrentWatermarkInMs=lambda: 0)))
+    assert [r.asDict() for r in got] == [{"stream_id": "d", "app": "x", "title": None, "start_ms": 0, "end_ms": 5_000}]
+    assert calls == ["get", "update", "registerTimer"]
