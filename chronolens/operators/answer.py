@@ -68,10 +68,12 @@ def rollup(contexts: DataFrame, ranked: DataFrame, keys: list[str], window: tupl
     Titles of windows are a highlight only where they are the best row. A hard window keeps only contexts that overlap it."""
     if window and hard:
         contexts = contexts.where(overlaps(window))
+    # the best of a context and the best that are no windows are enough, so that each part of the rows hands on a few a context
     nth = F.row_number().over(Window.partitionBy(*keys).orderBy(*_order()))
-    placed = ranked.withColumn("_nth", nth)
-    kept = placed.where((F.col("kind") != "window") | (F.col("_nth") == 1))
-    kept = kept.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("_nth"))).where(F.col("_k") <= HIGHLIGHTS)
+    narrow = ranked.select(*keys, "kind", "score", "last_ms", "key")
+    first = narrow.withColumn("_nth", nth).where(F.col("_nth") <= 1).where(F.coalesce(F.col("kind") == "window", F.lit(True)))
+    others = narrow.where(F.col("kind") != "window").withColumn("_nth", nth).where(F.col("_nth") <= HIGHLIGHTS)
+    kept = first.unionByName(others).withColumn("_k", nth).where(F.col("_k") <= HIGHLIGHTS)
     shown = kept.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_k", "key"))), lambda x: x["key"]).alias("highlights"))
     best = ranked.groupBy(*keys).agg(F.max("score").alias("score"))
     out = contexts.join(best, keys, "left").join(shown, keys, "left")

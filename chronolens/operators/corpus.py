@@ -5,11 +5,15 @@ Rows: key, kind, label, target, context, occurrences, first_ms, last_ms, importa
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.meta import number
+from ..sources.staging import staged
 
 #: Fixed values.
 WEIGHTS = {"lexical": 0.55, "context": 0.20, "recency": 0.15, "importance": 0.10}
@@ -80,6 +84,12 @@ def matches(term: str, tokens: Column) -> Column:
     return F.exists(tokens, lambda t: (t == term) | (t.startswith(term) if len(term) >= 3 else F.lit(False)))
 
 
+def narrowed(rows: DataFrame, terms: list[str]) -> DataFrame:
+    """rows with only those tokens that match one of the terms, written once: weights and scores of these terms are the same, and no text is cut into tokens again for them."""
+    hit = lambda t: reduce(or_, [(t == term) | (t.startswith(term) if len(term) >= 3 else F.lit(False)) for term in terms], F.lit(False))
+    return staged(rows.withColumn("tokens", F.filter("tokens", hit)), "narrowed-rows")
+
+
 def idf(rows: DataFrame, terms: list[str]) -> dict[str, float]:
     """ln(1 + N / (1 + df)) over all rows: one aggregate, one number a term."""
     if not terms:

@@ -62,9 +62,8 @@ SELECT context, start, "end", coalesce(score, 0.0) AS score, coalesce(highlights
 )
 def ask_rollup(spark, d):
     """A document stands for a fact and its source for a context."""
-    docs = table(spark, d, "documents")
-    of = docs.select("doc_id", F.col("source").alias("context"))
-    rows = _rows(spark, d).drop("context").join(of, "doc_id").withColumn("kind", F.when(F.col("doc_id") % 4 == 0, "window").otherwise("note"))
+    of = table(spark, d, "documents").select("doc_id", F.col("source").alias("context"))
+    rows = Q.narrowed(_rows(spark, d).drop("context"), TERMS).join(of, "doc_id").withColumn("kind", F.when(F.col("doc_id") % 4 == 0, "window").otherwise("note"))
     ranked = A.relevant(Q.rank(rows, TERMS, _NOW).withColumn("score", F.round("score", 9)), TERMS)
     held = of.groupBy("context").agg((F.min("doc_id") * HOUR).alias("start"), (F.max("doc_id") * HOUR).alias("end"))
     out = A.rollup(held, ranked, ["context"], (360_000_000, 720_000_000), hard=True)

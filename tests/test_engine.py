@@ -269,3 +269,19 @@ def test_contexts_count_names_as_sets_of_their_day(spark):
     plan = engine.contexts_frame(events, assigned, anchors)._jdf.queryExecution().optimizedPlan().toString()
     assert "count(distinct" not in plan
     assert sum("Generate explode" in line and "Codex" not in line and "sequence(0" in line for line in plan.splitlines()) == 1, plan
+
+
+def test_rollup_hands_on_few_rows_a_context_and_texts_are_cut_once(spark):
+    from chronolens.operators import answer, corpus
+    from chronolens.plans import asking
+
+    ranked = spark.createDataFrame([("a", k, kind, float(s), 0) for k, kind, s in [(1, "window", 9), (2, "window", 8), (3, "note", 7), *((n, "note", 7 - n) for n in range(4, 12))]] + [("b", 20, None, 1.0, 0), ("b", 21, "note", 0.5, 0), ("c", 30, "note", 2.0, 0), ("c", 31, "window", 1.0, 0)], "context string, key long, kind string, score double, last_ms long")
+    contexts = spark.createDataFrame([(c, 0, 1) for c in "abcd"], "context string, start long, end long")
+    out = answer.rollup(contexts, ranked, ["context"])
+    assert {r.context: (r.score, r.highlights) for r in out.collect()} == {"a": (9.0, [1, 3, 4, 5, 6, 7]), "b": (1.0, [20, 21]), "c": (2.0, [30]), "d": (0.0, [])}
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") >= 4  # two limits, each before and after its shuffle
+
+    rows = spark.createDataFrame([(1, ["the", "thesis", "x"]), (2, ["license"]), (3, None)], "doc_id long, tokens array<string>")
+    assert {r.doc_id: r.tokens for r in corpus.narrowed(rows, ["the", "x"]).collect()} == {1: ["the", "thesis", "x"], 2: [], 3: None}
+    assert "documents.parquet" not in str([line for line in asking.ask_rollup(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString().splitlines() if "text" in line])
