@@ -43,7 +43,7 @@ SELECT count(*) AS rows, count(*) FILTER (lex > 0) AS relevant, count(DISTINCT d
 
 @query("\nUNION ALL ".join(_verdict_sql(*q) for q in QUESTIONS))
 def ask_verdict(spark, d):
-    rows, found = _rows(spark, d), []
+    rows, found = Q.narrowed(_rows(spark, d), sorted({t for _, terms, *_ in QUESTIONS for t in terms})), []
     for name, terms, causal, window in QUESTIONS:
         ranked = Q.rank(rows, terms, _NOW, window, hard=window is not None)
         one = A.verdict(ranked, terms, causal)

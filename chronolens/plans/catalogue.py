@@ -521,13 +521,13 @@ _LEX = "scored AS (SELECT *, ((CASE WHEN h0 THEN w0 ELSE 0 END) + (CASE WHEN h1
 
 @query(f"WITH {_CORPUS}, {_IDF}, {_LEX} SELECT doc_id, round(least(1.0, {_SCORE}), 9) AS score FROM scored ORDER BY score DESC, last_ms DESC LIMIT 24")
 def ranked_search(spark, d):
-    r = Q.rank(_search_rows(spark, d), TERMS, _NOW).withColumn("score", F.round("score", 9))
+    r = Q.rank(Q.narrowed(_search_rows(spark, d), TERMS), TERMS, _NOW).withColumn("score", F.round("score", 9))
     return r.orderBy(F.desc("score"), F.desc("last_ms")).limit(24).select("doc_id", "score")
 
 
 @query(f"WITH {_CORPUS}, {_IDF}, {_LEX} SELECT doc_id, round(least(1.0, ({_SCORE}) * 1.25), 9) AS score FROM scored WHERE last_ms < 1800000000 AND last_ms >= 360000000 ORDER BY score DESC, last_ms DESC LIMIT 24")
 def ranked_search_windowed(spark, d):
-    r = Q.rank(_search_rows(spark, d), TERMS, _NOW, (360_000_000, 1_800_000_000), hard=True).withColumn("score", F.round("score", 9))
+    r = Q.rank(Q.narrowed(_search_rows(spark, d), TERMS), TERMS, _NOW, (360_000_000, 1_800_000_000), hard=True).withColumn("score", F.round("score", 9))
     return r.orderBy(F.desc("score"), F.desc("last_ms")).limit(24).select("doc_id", "score")
 
 

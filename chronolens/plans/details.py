@@ -95,7 +95,7 @@ SELECT doc_id, round(least(1.0, ({C._SCORE}) * CASE WHEN doc_id % 3 = 1 AND NOT
 )
 def private_search(spark, d):
     """Private facts are found only by all terms, sensitive ones count less without all."""
-    rows = C._search_rows(spark, d).withColumn("privacy", F.get(F.array(F.lit("private"), F.lit("sensitive"), F.lit("normal")), (F.col("doc_id") % 3).cast("int")))
+    rows = Q.narrowed(C._search_rows(spark, d), C.TERMS).withColumn("privacy", F.get(F.array(F.lit("private"), F.lit("sensitive"), F.lit("normal")), (F.col("doc_id") % 3).cast("int")))
     r = Q.rank(rows, C.TERMS, C._NOW).withColumn("score", F.round("score", 9))
     return r.orderBy(F.desc("score"), F.desc("last_ms")).limit(24).select("doc_id", "score")
 

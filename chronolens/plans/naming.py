@@ -79,7 +79,7 @@ def context_search(spark, d):
     sources = docs.select(F.col("source").alias("context")).distinct()
     contexts = sources.select("context", F.lit("The").alias("label"), F.col("context").alias("repository"), F.when(F.endswith("context", F.lit("1")), "thsh-main").alias("branch"), F.lit("licensebook").alias("project"))
     anchors = sources.where(F.endswith("context", F.lit("2"))).select("context", F.lit("licenseBook").alias("value"))
-    rows = _search_rows(spark, d).drop("context").join(docs.select("doc_id", F.col("source").alias("context")), "doc_id")
+    rows = Q.narrowed(_search_rows(spark, d), TERMS).drop("context").join(docs.select("doc_id", F.col("source").alias("context")), "doc_id")
     ranked = Q.rank(rows, TERMS, _NOW, context_tokens=Q.context_tokens(contexts, anchors))
     out = ranked.withColumns({"score": F.round("score", 9), "context_score": F.round("context_score", 9)})
     return out.orderBy(F.desc("score"), F.desc("last_ms")).limit(24).select("doc_id", "context_score", "score")
