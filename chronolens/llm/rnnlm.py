@@ -26,6 +26,7 @@ import functools
 import itertools
 import os
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -42,6 +43,8 @@ END = "\n"
 HOT, VOCABULARY, CLASS, UNKNOWN = 300_000, 6_144, 64, 64
 #: Tokens of texts that are scored in step, and states that are held until their probabilities are taken.
 BLOCK_TOKENS, HELD_STATES = 500_000, 65_536
+#: Rows of logits that are worked on at once, so that they stay in a processor's cache.
+CACHED = 1_024
 #: The share of the training documents that the network learns from, and documents and tokens of a shard.
 SHARE, SHARD, SHARD_TOKENS = 1.0, 800, 320_000
 #: So many shards are learned from and averaged in one task.
@@ -179,6 +182,25 @@ def spelling(counts: DataFrame, known: set[bytes]) -> Spelling:
     return Spelling([n[i:j].reshape(-1, 256) for i, j in zip(_BEGINS, _BEGINS[1:])], n[_BEGINS[-1] : -1], n[-1])
 
 
+def sums_by_id(ids: np.ndarray, rows: np.ndarray, often: int = 32) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids (small integers), and the sum of each one's rows. Ids of more than `often` rows are summed one by one, the others together: all their first rows, all their second ones, ..."""
+    order = np.argsort(ids.astype(np.int16), kind="stable")
+    own = ids[order]
+    begins = np.flatnonzero(np.diff(own, prepend=-1))
+    counts = np.diff(begins, append=len(ids))
+    falling = np.argsort(-counts, kind="stable")
+    begins, counts = begins[falling], counts[falling]
+    reach = np.searchsorted(-counts, -np.arange(often + 1), "left")  # how many ids have more than so many rows
+    many, total = reach[often], np.empty((len(begins), rows.shape[1]), rows.dtype)
+    one = np.ones(counts[0], rows.dtype)
+    for i, (lo, n) in enumerate(zip(begins[:many].tolist(), counts[:many].tolist())):
+        np.matmul(one[:n], rows.take(order[lo : lo + n], 0), out=total[i])
+    total[many:] = rows.take(order[begins[many:]], 0)
+    for k in range(1, often):
+        total[many : reach[k]] += rows.take(order[begins[many : reach[k]] + k], 0)
+    return own[begins], total
+
+
 class GatedLm:
     """A gated recurrent layer over word ids with a class-factored softmax. Ids are by frequency: class i // CLASS."""
 
@@ -196,41 +218,80 @@ class GatedLm:
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def step(self, x: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+    def by_gate(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of the inputs (3, ids, hidden) and of the state (2, hidden, hidden) for each gate apart; those of the two logistic gates are halved, for step()."""
         h = self.h
-        gates = state @ self.w["zr"]
-        gates += x[:, : 2 * h]
-        gates *= 0.5
-        np.tanh(gates, out=gates)
+        x = np.ascontiguousarray(self.w["x"].reshape(-1, 3, h).transpose(1, 0, 2))
+        zr = np.ascontiguousarray(self.w["zr"].reshape(h, 2, h).transpose(1, 0, 2))
+        x[:2] *= 0.5
+        zr *= 0.5
+        return x, zr
+
+    def step(self, x: np.ndarray, zr: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after inputs x (3, lanes, hidden), and what leads to it: z, r, the candidate, r * state, state - candidate."""
+        gates = np.matmul(state, zr)
+        gates += x[:2]
+        np.tanh(gates, out=gates)  # 1 / (1 + exp(-a)) = (1 + tanh(a / 2)) / 2
         gates += 1
         gates *= 0.5
-        z, r = gates[:, :h], gates[:, h:]
-        cand = (r * state) @ self.w["c"]
-        cand += x[:, 2 * h :]
+        z, r = gates
+        carried = r * state
+        cand = carried @ self.w["c"]
+        cand += x[2]
         np.tanh(cand, out=cand)
-        return cand + z * (state - cand), z, r, cand
+        gap = state - cand
+        after = z * gap
+        after += cand
+        return after, z, r, cand, carried, gap
+
+    def by_class(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Iterator]:
+        """The order of ids by class, their classes and places in these in that order, and parts of CACHED rows of it:
+        begin, end, and (class, begin, end) of the classes' rows in the part."""
+        kind = ids // CLASS
+        order = np.argsort(kind.astype(np.int16), kind="stable")
+        kind = kind[order]
+        edges = np.searchsorted(kind, np.arange(self.classes + 1)).tolist()
+
+        def parts():
+            begin, found = 0, []
+            for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
+                while lo < hi:
+                    stop = min(hi, begin + CACHED)
+                    found.append((k, lo, stop))
+                    lo = stop
+                    if stop == begin + CACHED:
+                        yield begin, stop, found
+                        begin, found = stop, []
+            if found:
+                yield begin, edges[-1], found
+
+        return order, kind, ids[order] - kind * CLASS, parts()
+
+    def outputs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of classes and of words in them, with the biases as one more row."""
+        return np.concatenate([self.w["oc"], self.w["bc"][None]]), np.concatenate([self.w["ow"], self.w["bw"][:, None]], 1)
 
     def log_probabilities(self, states: np.ndarray, ids: np.ndarray) -> np.ndarray:
         """Natural logs of the probabilities of ids after the states, row by row."""
-        out = np.empty(len(ids))
-        kind = ids // CLASS
-        for lo in range(0, len(ids), 16_384):  # so that what is worked on stays in the processor's cache
-            part = slice(lo, lo + 16_384)
-            logits = states[part] @ self.w["oc"]
-            logits += self.w["bc"]
-            top = logits[np.arange(len(logits)), kind[part]].astype(float)
-            np.exp(logits, out=logits)
-            out[part] = top - np.log(logits.sum(1))
-        order = np.argsort(kind.astype(np.int16), kind="stable")
-        edges = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        for k in range(self.classes):
-            for lo in range(edges[k], edges[k + 1], 16_384):
-                rows = order[lo : min(lo + 16_384, edges[k + 1])]
-                logits = states[rows] @ self.w["ow"][k]
-                logits += self.w["bw"][k]
-                top = logits[np.arange(len(rows)), ids[rows] - k * CLASS].astype(float)
-                np.exp(logits, out=logits)
-                out[rows] += top - np.log(logits.sum(1))
+        out, found = np.empty(len(ids)), np.empty(len(ids))
+        order, kind, place, parts = self.by_class(ids)
+        classes, words = self.outputs()
+        s = np.ones((len(ids), self.h + 1), np.float32)
+        s[:, : self.h] = states.take(order, 0)
+        held = np.empty((CACHED, CLASS), np.float32)
+
+        def logs(p, at):
+            top = p.ravel().take(np.arange(0, p.size, p.shape[1]) + at).astype(float)
+            np.exp(p, out=p)
+            return top - np.log(p @ np.ones(p.shape[1], p.dtype))
+
+        for begin, end, runs in parts:
+            found[begin:end] = logs(s[begin:end] @ classes, kind[begin:end])
+            p = held[: end - begin]
+            for k, lo, hi in runs:
+                np.matmul(s[lo:hi], words[k], out=p[lo - begin : hi - begin])
+            found[begin:end] += logs(p, place[begin:end])
+        out[order] = found
         return out
 
     def score(self, texts: list[np.ndarray], end: int) -> list[np.ndarray]:
@@ -238,25 +299,28 @@ class GatedLm:
         lengths = np.array([len(t) for t in texts])
         by_length = np.argsort(-lengths, kind="stable")
         sizes = lengths[by_length]
-        total = int(sizes.sum())
-        when = np.concatenate([np.arange(n) for n in sizes]).astype(np.int32)
-        order = np.argsort(when, kind="stable")  # all first ids, all second ids, ...; within, longer texts first
-        ids = np.concatenate([texts[i] for i in by_length])
-        before = np.concatenate([np.concatenate([[end], texts[i][:-1]]) for i in by_length])
-        ids, before = ids[order], before[order]
+        total, begins = int(sizes.sum()), np.cumsum(sizes) - sizes
+        when = np.arange(total) - np.repeat(begins, sizes)
         active = np.bincount(when)
+        # all first ids, all second ids, ...; within, longer texts first
+        spot = (np.cumsum(active) - active)[when] + np.repeat(np.arange(len(texts)), sizes)
+        flat = np.concatenate([texts[i] for i in by_length])
+        ids, before = np.empty(total, np.int64), np.empty(total, np.int64)
+        ids[spot] = flat
+        flat = np.concatenate([[end], flat[:-1]])
+        flat[begins] = end
+        before[spot] = flat
         states, found = np.empty((HELD_STATES + len(texts), self.h), np.float32), np.empty(total)
         state, at, done = np.zeros((len(texts), self.h), np.float32), 0, 0
+        x, zr = self.by_gate()
         for n in active.tolist():
-            state = self.step(self.w["x"][before[at : at + n]], state[:n])[0]
+            state = self.step(x.take(before[at : at + n], 1), zr, state[:n])[0]
             states[at - done : at - done + n] = state
             at += n
             if at - done >= HELD_STATES or at == total:
                 found[done:at] = self.log_probabilities(states[: at - done], ids[done:at])
                 done = at
-        flat = np.empty(total)
-        flat[order] = found
-        parts = np.split(flat, np.cumsum(sizes)[:-1])
+        parts = np.split(found[spot], begins[1:])
         out: list = [None] * len(texts)
         for i, part in zip(by_length.tolist(), parts):
             out[i] = part
@@ -268,70 +332,85 @@ class GatedLm:
         Behind an end token the state is zero, within a window too, as it is where a text begins in score()."""
         w, h, (steps, lanes) = self.w, self.h, ids.shape
         n, kind_of = ids.size, w["x"].dtype
-        x, live = w["x"][before], (before != UNKNOWN).astype(kind_of)[:, :, None]
+        x, zr = self.by_gate()
+        dead = [np.flatnonzero(b == UNKNOWN) for b in before]
         held, states = [], np.empty((steps, lanes, h), kind_of)
         for t in range(steps):
-            state = state * live[t]
-            states[t], z, r, cand = self.step(x[t], state)
-            held.append((state, z, r, cand))
+            if len(dead[t]):
+                state = state.copy()
+                state[dead[t]] = 0
+            states[t], *rest = self.step(x.take(before[t], 1), zr, state)
+            held.append((state, *rest))
             state = states[t]
-        flat, s = ids.ravel(), np.concatenate([states.reshape(n, h), np.ones((n, 1), kind_of)], 1)  # so that biases are one more row of the weights
-        kind, place = np.divmod(flat, CLASS)
-        g = {k: np.zeros_like(v) for k, v in w.items()}
-        top, loss = np.empty((n, h), kind_of), 0.0
-        classes, turned = np.concatenate([w["oc"], w["bc"][None]]), np.ascontiguousarray(w["oc"].T)
-        words, into = np.concatenate([w["ow"], w["bw"][:, None]], 1), np.ascontiguousarray(w["ow"].transpose(0, 2, 1))
+        order, kind, place, parts = self.by_class(ids.ravel())
+        s = np.ones((n, h + 1), kind_of)
+        s[:, :h] = states.reshape(n, h).take(order, 0)
+        classes, words = self.outputs()
         of_classes, of_words = np.zeros_like(classes), np.zeros_like(words)
-        for lo in range(0, n, 4096):  # so that what is worked on stays in the processor's cache
-            part, rows = slice(lo, lo + 4096), np.arange(min(4096, n - lo))
-            p = s[part] @ classes
-            loss -= float(p[rows, kind[part]].sum())
+        turned, into = np.ascontiguousarray(w["oc"].T), np.ascontiguousarray(w["ow"].transpose(0, 2, 1))
+        top, below, loss = np.empty((n, h), kind_of), np.empty((min(n, CACHED), h), kind_of), 0.0
+        within = np.empty((min(n, CACHED), CLASS), kind_of)
+
+        def slopes(p, at):
+            """p, logits, becomes the loss's slopes by them; returns the rows' losses' sum."""
+            at = np.arange(0, p.size, p.shape[1]) + at
+            flat = p.ravel()
+            own = float(flat.take(at).sum())
             np.exp(p, out=p)
-            sums = p.sum(1)
-            loss += float(np.log(sums).sum())
+            sums = p @ np.ones(p.shape[1], kind_of)
+            flat[at] -= sums
             p *= (1 / (sums * n))[:, None]
-            p[rows, kind[part]] -= kind_of.type(1 / n)
-            of_classes += s[part].T @ p
-            np.matmul(p, turned, out=top[part])
-        order = np.argsort(kind.astype(np.int16), kind="stable")  # class by class, so that no row copies its class's weights
-        own, place = s[order], place[order]
-        below = np.empty_like(top)
-        edges = np.searchsorted(kind[order], np.arange(self.classes + 1)).tolist()
-        for k, (lo, hi) in enumerate(zip(edges, edges[1:])):
-            if lo < hi:
-                p, at = own[lo:hi] @ words[k], np.arange(hi - lo)
-                loss -= float(p[at, place[lo:hi]].sum())
-                np.exp(p, out=p)
-                sums = p.sum(1)
-                loss += float(np.log(sums).sum())
-                p *= (1 / (sums * n))[:, None]
-                p[at, place[lo:hi]] -= kind_of.type(1 / n)
-                of_words[k] = own[lo:hi].T @ p
-                np.matmul(p, into[k], out=below[lo:hi])
-        top[order] += below
-        g["oc"], g["bc"], g["ow"], g["bw"] = of_classes[:h], of_classes[h], np.ascontiguousarray(of_words[:, :h]), of_words[:, h].copy()
-        top = top.reshape(steps, lanes, h)
-        back, inputs = np.zeros((lanes, h), kind_of), np.empty((steps, lanes, 3 * h), kind_of)
+            return float(np.log(sums).sum()) - own
+
+        for begin, end, runs in parts:  # so that what is worked on stays in the processor's cache
+            p = s[begin:end] @ classes
+            loss += slopes(p, kind[begin:end])
+            of_classes += s[begin:end].T @ p
+            np.matmul(p, turned, out=top[begin:end])
+            p = within[: end - begin]
+            for k, lo, hi in runs:
+                np.matmul(s[lo:hi], words[k], out=p[lo - begin : hi - begin])
+            loss += slopes(p, place[begin:end])
+            for k, lo, hi in runs:
+                of_words[k] += s[lo:hi].T @ p[lo - begin : hi - begin]
+                np.matmul(p[lo - begin : hi - begin], into[k], out=below[lo - begin : hi - begin])
+            top[begin:end] += below[: end - begin]
+        g = {"x": np.zeros_like(w["x"]), "oc": of_classes[:h], "bc": of_classes[h], "ow": np.ascontiguousarray(of_words[:, :h]), "bw": of_words[:, h].copy()}
+        by_step = np.empty_like(top)
+        by_step[order] = top
+        top = by_step.reshape(steps, lanes, h)
+        turned_c, turned_z, turned_r = (np.ascontiguousarray(m.T) for m in (w["c"], w["zr"][:, :h], w["zr"][:, h:]))
+        back, inputs, slope = np.zeros((lanes, h), kind_of), np.empty((steps, lanes, 3 * h), kind_of), np.empty((3, lanes, h), kind_of)
+        g["c"], of_z, of_r = np.zeros_like(w["c"]), np.zeros_like(turned_z), np.zeros_like(turned_r)
         for t in reversed(range(steps)):
-            prior, z, r, cand = held[t]
-            d = back + top[t]
-            dz = d * z
-            dc = inputs[t, :, 2 * h :]
-            np.multiply(d - dz, 1 - cand * cand, out=dc)
-            through = dc @ w["c"].T
-            carried = r * prior
-            gates = inputs[t, :, : 2 * h]
-            np.multiply(dz * (1 - z), prior - cand, out=gates[:, :h])
-            np.multiply(through * carried, 1 - r, out=gates[:, h:])
+            prior, z, r, cand, carried, gap = held[t]
+            back += top[t]
+            dz = back * z
+            own_z, own_r, dc = slope
+            np.multiply(cand, cand, out=dc)
+            np.subtract(1, dc, out=dc)
+            back -= dz
+            dc *= back
+            through = dc @ turned_c
+            np.subtract(1, z, out=own_z)
+            own_z *= dz
+            own_z *= gap
+            np.subtract(1, r, out=own_r)
+            own_r *= carried
+            own_r *= through
             g["c"] += carried.T @ dc
-            g["zr"] += prior.T @ gates
+            of_z += prior.T @ own_z
+            of_r += prior.T @ own_r
+            inputs[t].reshape(lanes, 3, h)[:] = slope.transpose(1, 0, 2)
             through *= r
-            back = dz + through
-            back += gates @ w["zr"].T
-            back *= live[t]
-        order = np.argsort(before.ravel().astype(np.int16), kind="stable")
-        found, begins = np.unique(before.ravel()[order], return_index=True)
-        g["x"][found] = np.add.reduceat(inputs.reshape(-1, 3 * h)[order], begins)
+            back = dz
+            back += through
+            back += own_z @ turned_z
+            back += own_r @ turned_r
+            back[dead[t]] = 0
+        g["zr"] = np.concatenate([of_z, of_r], 1)
+        found, total = sums_by_id(before.ravel(), inputs.reshape(-1, 3 * h))
+        g["x"][found] = total
         return g, state, loss / n
 
     def train(self, stream: np.ndarray, end: int, lanes: int = 64, window: int = 16, updates: int = 500, rate: float = 0.04) -> GatedLm:
@@ -352,22 +431,23 @@ class GatedLm:
             ids = grid[:, at:stop].T
             before = np.concatenate([grid[:, at - 1 : at].T if at else np.full((1, lanes), end), ids[:-1]])
             g, state, _ = self.gradients(ids, before, state)
-            norm = np.sqrt(sum(float(np.vdot(x, x)) for x in g.values()))
-            for k, x in g.items():  # in place: m += 0.1 * (x - m), v += 0.01 * (x * x - v), w -= rate * m / (sqrt(v) + 1e-6), m and v corrected for their start
-                if norm > 1:
-                    x *= np.float32(1 / norm)
-                m[k] *= np.float32(0.9)
-                m[k] += np.float32(0.1) * x
-                v[k] *= np.float32(0.99)
-                x *= x
-                x *= np.float32(0.01)
-                v[k] += x
-                np.sqrt(v[k], out=x)
-                x *= np.float32((1 - 0.99**i) ** -0.5)
-                x += np.float32(1e-6)
-                np.divide(m[k], x, out=x)
-                x *= np.float32(rate * (1 - i / (updates + 1)) / (1 - 0.9**i))
-                self.w[k] -= x
+            norm = max(1.0, np.sqrt(sum(float(np.vdot(x, x)) for x in g.values())))
+            # g /= norm, m += 0.1 * (g - m), v += 0.01 * (g * g - v), w -= rate * m / (sqrt(v) + 1e-6), m and v corrected for their start
+            root = (1 - 0.99**i) ** 0.5
+            pace = np.float32(rate * (1 - i / (updates + 1)) / (1 - 0.9**i) * root)
+            for k in g:
+                for own_w, own_m, own_v, x in zip(*(np.array_split(a.reshape(-1), -(-a.size // 16_384)) for a in (self.w[k], m[k], v[k], g[k]))):  # in place, as much as a cache holds
+                    own_m *= np.float32(0.9)
+                    own_m += np.float32(0.1 / norm) * x
+                    own_v *= np.float32(0.99)
+                    x *= x
+                    x *= np.float32(0.01 / norm**2)
+                    own_v += x
+                    np.sqrt(own_v, out=x)
+                    x += np.float32(1e-6 * root)
+                    np.divide(own_m, x, out=x)
+                    x *= pace
+                    own_w -= x
             at = stop
         return self
 
@@ -414,10 +494,15 @@ def shard_count(rows: int, n_tokens: int, shard: int = SHARD, shard_tokens: int
 def trained(train: DataFrame, model: GatedLm, names: dict[bytes, int], share: float = SHARE, shard: int = SHARD, shard_tokens: int = SHARD_TOKENS) -> GatedLm:
     """model after learning from train (doc_id, text), every row once; of less than all with share under 1, those of the smallest hashes."""
     rows = train.select(F.xxhash64("doc_id", "text").alias("place"), F.col("text").cast("binary").alias("text"))
+    return learned(rows.mapInArrow(_encoder(names), "place long, ids binary, n long"), model, share, shard, shard_tokens)
+
+
+def learned(rows: DataFrame, model: GatedLm, share: float = SHARE, shard: int = SHARD, shard_tokens: int = SHARD_TOKENS) -> GatedLm:
+    """model after learning from rows (place: a hash of the document, ids: two bytes each, the end being the last, n: how many), as trained() does from texts."""
     if share < 1:
         rows = rows.where(F.pmod("place", F.lit(1_000_000_007)) < int(share * 1_000_000_007) + 1)
     # equal rows are counted and dealt apart by their number, lest they come to one shard
-    texts = rows.mapInArrow(_encoder(names), "place long, ids binary, n long").groupBy("place", "ids", "n").agg(F.count("*").alias("times"))
+    texts = rows.groupBy("place", "ids", "n").agg(F.count("*").alias("times"))
     texts = texts.withColumn("copy", F.explode(F.expr("sequence(1L, times)"))).select(F.xxhash64("place", "copy").alias("place"), "ids", "n")
     texts = staged(texts, "lm-shards")
     sizes = texts.agg(F.count("*").alias("rows"), F.sum("n").alias("tokens")).first()
@@ -493,11 +578,9 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
     in_vocabulary = [c for w, c in best if w != END.encode()]
     spelled = spelling(counts, set(names))
     frequency = np.array([*spelled.counts, n_end, *in_vocabulary], float)
-    model = GatedLm(frequency)
-    model = trained(train, model, names, share)
-
     kind = docs.schema["doc_id"].dataType.simpleString()
-    held = docs.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "text")
+    flag = lambda c: F.coalesce(c, F.lit(False))
+    told = docs.select("doc_id", flag(held_out).alias("held_out"), flag(learn_from).alias("taught"), F.xxhash64("doc_id", "text").alias("place"), "text")
 
     cold_type = pa.list_(pa.struct([("word", pa.binary()), ("share", pa.float64()), ("spelt", pa.float64())]))
 
@@ -513,7 +596,7 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
         log_mass = np.log10(1 - spelled.seen) - np.log10(np.maximum(spelled.mass, 1e-300))
 
         def block(texts):
-            """n_tokens, n_known, base, score and number of words that aren't among the frequent ones of each, and these words."""
+            """Ids, n_tokens, n_known, base, the part of the score that the network doesn't tell, and number of words that aren't among the frequent ones of each, and these words."""
             words = [tokens(t) for t in texts]
             sizes = np.array([len(w) for w in words])
             joined = [w for ws in words for w in ws]
@@ -533,7 +616,9 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
                 hot_spelt[new] = spelled.log([by_place[i] for i in new.tolist()])
             kind[~unseen], log_spelt[~unseen] = hot_kind[frequent_ones], hot_spelt[frequent_ones]
             ids[outside] = kind
-            found = model.score([np.append(ids[i:j], UNKNOWN) for i, j in zip(edges, edges[1:])], UNKNOWN)
+            whole = np.insert(ids.astype(np.uint16), edges[1:], UNKNOWN).tobytes()
+            ends = (edges + np.arange(len(edges))) * 2
+            coded = [whole[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
             # of a word outside the vocabulary: log10(count * share + 10 ** spelled), the count of a rare one being joined later
             share, spelt = per_count[kind], log_spelt / np.log(10) + log_mass[kind]
             own = np.zeros(len(ids))
@@ -541,39 +626,55 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
             sums = lambda v: np.concatenate([[0.0], np.cumsum(v)])[edges[1:]] - np.concatenate([[0.0], np.cumsum(v)])[edges[:-1]]
             base = sums(np.where(at >= 0, in_base[at], 0.0)) + base_end
             known = sums(at >= 0).astype(np.int64) + known_end
-            score = np.array([f.sum() for f in found]) / np.log(10) + sums(own)
             each = np.bincount(np.searchsorted(edges, rare, "right") - 1, minlength=len(texts))
-            return sizes + 1, known, base, score, each, pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(share[unseen]), pa.array(spelt[unseen])], fields=list(cold_type.value_type))
+            cold = pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(share[unseen]), pa.array(spelt[unseen])], fields=list(cold_type.value_type))
+            return coded, sizes + 1, known, base, sums(own), each, cold
 
         for b in batches:
-            texts = list(_texts(b.column(2)))
-            order, out, group, size = sorted(range(len(texts)), key=lambda i: -len(texts[i])), [], [], 0  # texts of about one length are read in step
-            for i in order:
-                group.append(texts[i])
-                size += len(texts[i])
+            out, group, size = [], [], 0
+            for text in _texts(b.column(4)):
+                group.append(text)
+                size += len(text)
                 if size >= BLOCK_TOKENS * 6:
                     out.append(block(group))
                     group, size = [], 0
-            if group:
+            if group or not out:
                 out.append(block(group))
-            turn = np.argsort(np.array(order, np.int64), kind="stable")
             mark = os.urandom(12)  # with its place, a name of the row; this frame is written once and read from there
             names_ = [mark + i.to_bytes(4, "big") for i in range(b.num_rows)]
-            join = lambda k: np.concatenate([o[k] for o in out])[turn] if out else np.zeros(0)
-            begins = np.concatenate([[0], np.cumsum(np.concatenate([o[4] for o in out]))]) if out else np.zeros(1)
-            words = pa.concat_arrays([o[5] for o in out]) if out else pa.array([], cold_type.value_type)
-            cold = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), words).take(pa.array(turn))
+            join = lambda k: pa.array(np.concatenate([o[k] for o in out]))
+            begins = np.concatenate([[0], np.cumsum(np.concatenate([o[5] for o in out]))])
+            cold = pa.ListArray.from_arrays(pa.array(begins.astype(np.int32)), pa.concat_arrays([o[6] for o in out]))
+            coded = pa.array(itertools.chain.from_iterable(o[0] for o in out), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array(names_, pa.binary()), b.column(0), b.column(1), pa.array(join(0), pa.int64()), pa.array(join(1), pa.int64()), pa.array(join(2), pa.float64()), pa.array(join(3), pa.float64()), cold.cast(cold_type)],
-                names=["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "score", "cold"],
-            )
+                [pa.array(names_, pa.binary()), *b.columns[:4], coded, join(1), join(2), join(3), join(4), cold.cast(cold_type)],
+                names=["row", "doc_id", "held_out", "taught", "place", "ids", "n", "hot_known", "hot_base", "hot_score", "cold"],
+            )
+
+    hot_columns = "hot_known long, hot_base double"
+    rows = staged(told.mapInArrow(run, f"row binary, doc_id {kind}, held_out boolean, taught boolean, place long, ids binary, n long, {hot_columns}, hot_score double, cold array<struct<word: binary, share: double, spelt: double>>"), "lm-rows")
+    model = learned(rows.where("taught").select("place", "ids", "n"), GatedLm(frequency), share)
+
+    def read(batches):
+        for b in batches:
+            ids, out = b.column(6), np.empty(b.num_rows)
+            sizes = b.column(3).to_numpy()
+            order, group, size = np.argsort(-sizes, kind="stable"), [], 0  # texts of about one length are read in step
+            for turn, i in enumerate(order.tolist(), 1):
+                group.append(i)
+                size += sizes[i]
+                if size >= BLOCK_TOKENS or turn == len(order):
+                    found = model.score([np.frombuffer(ids[k].as_buffer(), np.uint16).astype(np.int64) for k in group], UNKNOWN)
+                    out[group] = [f.sum() for f in found]
+                    group, size = [], 0
+            yield pa.RecordBatch.from_arrays([*b.columns[:6], pa.array(out / np.log(10) + b.column(7).to_numpy())], names=["row", "doc_id", "held_out", "n_tokens", "hot_known", "hot_base", "score"])
 
-    rows = staged(held.mapInArrow(run, f"row binary, doc_id {kind}, held_out boolean, n_tokens long, hot_known long, hot_base double, score double, cold array<struct<word: binary, share: double, spelt: double>>"), "lm-rows")
+    scored = rows.select("row", "doc_id", "held_out", "n", "hot_known", "hot_base", "ids", "hot_score").mapInArrow(read, f"row binary, doc_id {kind}, held_out boolean, n_tokens long, {hot_columns}, score double")
     rare = rows.select("row", F.explode("cold").alias("cold")).select("row", "cold.*").join(counts, "word", "left")
     value = F.log10(F.coalesce("c", F.lit(0)) + 0.1) - float(log_all)
     own = F.when(F.col("c").isNull(), F.col("spelt")).otherwise(F.log10(F.col("c") * F.col("share") + F.pow(F.lit(10.0), "spelt")))
     rare = rare.groupBy("row").agg(F.sum(value).alias("cold_base"), F.sum(own).alias("cold_score"), F.count("c").alias("cold_known"))
-    return rows.drop("cold").join(rare, "row", "left").select(
+    return scored.join(rare, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("hot_known") + F.coalesce("cold_known", F.lit(0))).alias("n_known"),
         F.lit(n_train).cast("long").alias("train_tokens"), (F.col("hot_base") + F.coalesce("cold_base", F.lit(0.0))).alias("base_score"), (F.col("score") + F.coalesce("cold_score", F.lit(0.0))).alias("score"),
     )

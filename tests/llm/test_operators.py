@@ -399,6 +399,31 @@ def test_language_model_learns_from_all_documents(spark, monkeypatch):
     assert sum(np.frombuffer(r.ids, np.uint16).tolist().count(names[b"blue"]) for r in dealt) == 4
 
 
+def test_language_model_cuts_texts_once(spark, docs, monkeypatch):
+    """What the network learns from are the ids that are scored: texts are not encoded a second time, and each training row is dealt once."""
+    held = {}
+    monkeypatch.setattr(rnnlm, "staged", lambda df, name: held.setdefault(name, staged(df, name)))
+    monkeypatch.setattr(rnnlm, "_encoder", lambda names: 1 / 0)
+    learn = F.coalesce(F.col("doc_id") % 3 != 0, F.lit(True))
+    got = rnnlm.scores(docs, learn, ~learn).collect()
+    ids = lambda rows: sorted((r.place, bytes(r.ids), r.n) for r in rows)
+    rows = held["lm-rows"].collect()
+    assert len(got) == len(rows) == docs.count() and sum(r.taught for r in rows) == docs.where(learn).count()
+    assert sorted(x[1:] for x in ids(r for r in rows if r.taught)) == sorted(x[1:] for x in ids(held["lm-shards"].collect()))
+    assert all(np.frombuffer(r.ids, np.uint16)[-1] == rnnlm.UNKNOWN and len(r.ids) == 2 * r.n for r in rows)
+
+
+def test_sums_by_id():
+    """Against additions one by one; ids that occur once, often and most often."""
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 33, 3_000):
+        ids, rows = np.minimum(rng.zipf(1.4, n), 500), rng.normal(size=(n, 6))
+        want = np.zeros((501, 6))
+        np.add.at(want, ids, rows)
+        found, total = rnnlm.sums_by_id(ids, rows)
+        assert sorted(found) == sorted(set(ids)) and total == pytest.approx(want[found])
+
+
 def test_decontamination_by_row(spark):
     """A contaminated text takes no clean text of the same or no doc_id with it."""
     item = prose(99, 30)
