@@ -11,6 +11,7 @@ each whole document, end token included.
 
 Counts of words come from all training documents and stay distributed. Words of the highest counts, HOT at most, are read by every task from the
 shared folder; the counts of all other words reach the documents by a join on the word, each of which is rare.
+Texts are cut into words twice: to count these, and to write each row's ids, which both learning and scoring read.
 
 The network learns from all training documents, whole texts, dealt to shards of about SHARD documents, of fewer where these would have
 more than about SHARD_TOKENS tokens. A shard is read to its end, once at least. The first shard gives a start; from it every shard trains on,
@@ -92,6 +93,12 @@ def frequent(counts: DataFrame) -> DataFrame:
 STAND_IN = (np.arange(256)[:, None] * 31 + np.arange(256)[None]) % UNKNOWN
 
 
+def stand_ins(words: list[bytes]) -> np.ndarray:
+    """Of each word."""
+    last = np.frombuffer(b"".join([w[-2:].rjust(2) for w in words]), np.uint8).reshape(-1, 2)
+    return STAND_IN[last[:, 0], last[:, 1]]
+
+
 #: Contexts of one, two and three bytes; of the longer ones so many are told apart by a hash.
 CONTEXTS = (256, 1 << 12, 1 << 14)
 _BEGINS = np.cumsum((0, *CONTEXTS)) * 256
@@ -218,27 +225,31 @@ class GatedLm:
         }
         self.w = {k: v.astype(np.float32) for k, v in self.w.items()}
 
-    def by_gate(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights of the inputs (3, ids, hidden) and of the state (2, hidden, hidden) for each gate apart; those of the two logistic gates are halved, for step()."""
+    def by_gate(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For step(), weights of the inputs (3, ids, hidden), of the state (2, hidden, hidden) in the two logistic gates and in the candidate, as exponents: of 1 / (1 + exp(-a)), and of tanh(a) = 2 / (1 + exp(-2a)) - 1."""
         h = self.h
         x = np.ascontiguousarray(self.w["x"].reshape(-1, 3, h).transpose(1, 0, 2))
         zr = np.ascontiguousarray(self.w["zr"].reshape(h, 2, h).transpose(1, 0, 2))
-        x[:2] *= 0.5
-        zr *= 0.5
-        return x, zr
+        x[:2] *= -1
+        x[2] *= -2
+        return x, -zr, -2 * self.w["c"]
 
-    def step(self, x: np.ndarray, zr: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
-        """The state after inputs x (3, lanes, hidden), and what leads to it: z, r, the candidate, r * state, state - candidate."""
+    @staticmethod
+    def step(x: np.ndarray, zr: np.ndarray, c: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, ...]:
+        """The state after inputs x (3, lanes, hidden), and what leads to it: z, r, the candidate, r * state, state - candidate. An exponential that overflows gives the right limit."""
         gates = np.matmul(state, zr)
         gates += x[:2]
-        np.tanh(gates, out=gates)  # 1 / (1 + exp(-a)) = (1 + tanh(a / 2)) / 2
+        np.exp(gates, out=gates)
         gates += 1
-        gates *= 0.5
+        np.divide(1, gates, out=gates)
         z, r = gates
         carried = r * state
-        cand = carried @ self.w["c"]
+        cand = carried @ c
         cand += x[2]
-        np.tanh(cand, out=cand)
+        np.exp(cand, out=cand)
+        cand += 1
+        np.divide(2, cand, out=cand)
+        cand -= 1
         gap = state - cand
         after = z * gap
         after += cand
@@ -294,6 +305,7 @@ class GatedLm:
         out[order] = found
         return out
 
+    @np.errstate(over="ignore")
     def score(self, texts: list[np.ndarray], end: int) -> list[np.ndarray]:
         """For each text (its ids, the last one being the end) the log probabilities of its ids. The state goes through the whole text."""
         lengths = np.array([len(t) for t in texts])
@@ -312,9 +324,9 @@ class GatedLm:
         before[spot] = flat
         states, found = np.empty((HELD_STATES + len(texts), self.h), np.float32), np.empty(total)
         state, at, done = np.zeros((len(texts), self.h), np.float32), 0, 0
-        x, zr = self.by_gate()
+        x, *weights = self.by_gate()
         for n in active.tolist():
-            state = self.step(x.take(before[at : at + n], 1), zr, state[:n])[0]
+            state = self.step(x.take(before[at : at + n], 1), *weights, state[:n])[0]
             states[at - done : at - done + n] = state
             at += n
             if at - done >= HELD_STATES or at == total:
@@ -326,20 +338,21 @@ class GatedLm:
             out[i] = part
         return out
 
+    @np.errstate(over="ignore")
     def gradients(self, ids: np.ndarray, before: np.ndarray, state: np.ndarray) -> tuple[dict, np.ndarray, float]:
         """Of one window: ids and before (steps, lanes), state (lanes, hidden). Also the state after it and the mean loss.
 
         Behind an end token the state is zero, within a window too, as it is where a text begins in score()."""
         w, h, (steps, lanes) = self.w, self.h, ids.shape
         n, kind_of = ids.size, w["x"].dtype
-        x, zr = self.by_gate()
+        x, *weights = self.by_gate()
         dead = [np.flatnonzero(b == UNKNOWN) for b in before]
         held, states = [], np.empty((steps, lanes, h), kind_of)
         for t in range(steps):
             if len(dead[t]):
                 state = state.copy()
                 state[dead[t]] = 0
-            states[t], *rest = self.step(x.take(before[t], 1), zr, state)
+            states[t], *rest = self.step(x.take(before[t], 1), *weights, state)
             held.append((state, *rest))
             state = states[t]
         order, kind, place, parts = self.by_class(ids.ravel())
@@ -555,9 +568,9 @@ def hot_table(path: str) -> tuple[dict, np.ndarray]:
 
 @functools.lru_cache(maxsize=2)
 def hot_spellings(path: str) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """Of a Python worker: the frequent words by place, their stand-ins, and the natural logs of their spellings, which whoever needs one fills in."""
+    """Of a Python worker: the frequent words by place, their stand-ins, and what their own probabilities add to a score, which whoever needs one fills in; the last is of all other words, 0."""
     words = list(hot_table(path)[0])
-    return words, np.array([STAND_IN[w[-2] if len(w) > 1 else 32, w[-1]] for w in words], np.int64), np.full(len(words), np.nan)
+    return words, stand_ins(words), np.append(np.full(len(words), np.nan), 0.0)
 
 
 def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float = SHARE) -> DataFrame:
@@ -586,49 +599,46 @@ def scores(docs: DataFrame, learn_from: Column, held_out: Column, share: float =
 
     def run(batches):
         place, c = hot_table(hot_path)
-        by_place, hot_kind, hot_spelt = hot_spellings(hot_path)
+        by_place, hot_kind, hot_own = hot_spellings(hot_path)
         end = END.encode()
-        in_base = np.log10(np.append(c, 0) + 0.1) - log_all
-        to_id = np.array([*(names.get(w, -1) for w in by_place), -1], np.int64)
-        counted = np.append(c, 0)
+        # by place, and of words that aren't frequent: what the base gives, the id, and log10(count * share + 10 ** spelled) of those outside the vocabulary, each worked out once a worker
+        in_base = np.append(np.log10(c + 0.1) - log_all, 0.0)
+        to_id = np.array([names.get(w, -1) for w in by_place], np.int64)
+        hot_own[:-1][to_id >= 0] = 0
+        to_id = np.append(np.where(to_id < 0, hot_kind, to_id), 0).astype(np.uint16)
         base_end, known_end = (float(in_base[place[end]]), 1) if end in place else (float(-1 - log_all), 0)
         per_count = spelled.seen / np.maximum(1, spelled.counts)
         log_mass = np.log10(1 - spelled.seen) - np.log10(np.maximum(spelled.mass, 1e-300))
 
+        def parts(words, kind):
+            """share and spelled of words outside the vocabulary"""
+            return per_count[kind], spelled.log(words) / np.log(10) + log_mass[kind]
+
         def block(texts):
             """Ids, n_tokens, n_known, base, the part of the score that the network doesn't tell, and number of words that aren't among the frequent ones of each, and these words."""
             words = [tokens(t) for t in texts]
             sizes = np.array([len(w) for w in words])
-            joined = [w for ws in words for w in ws]
-            at = np.fromiter(map(place.get, joined, itertools.repeat(-1)), np.int64, len(joined))
-            rare = np.flatnonzero(at < 0)
-            ids = to_id[at]
+            joined = list(itertools.chain.from_iterable(words))
+            at = np.fromiter(map(place.get, joined, itertools.repeat(-1)), np.int32, len(joined))
             edges = np.concatenate([[0], np.cumsum(sizes)])
-            outside = np.flatnonzero(ids < 0)
-            unseen = at[outside] < 0
-            others = [joined[i] for i in rare.tolist()]
-            kind, log_spelt = np.empty(len(outside), np.int64), np.empty(len(outside))
-            kind[unseen] = [STAND_IN[w[-2] if len(w) > 1 else 32, w[-1]] for w in others]
-            log_spelt[unseen] = spelled.log(others)
-            frequent_ones = at[outside[~unseen]]
-            new = np.unique(frequent_ones[np.isnan(hot_spelt[frequent_ones])])  # a frequent word is spelt once a worker
+            ids, own = to_id[at], hot_own[at]
+            new = np.unique(at[np.isnan(own)])
             if len(new):
-                hot_spelt[new] = spelled.log([by_place[i] for i in new.tolist()])
-            kind[~unseen], log_spelt[~unseen] = hot_kind[frequent_ones], hot_spelt[frequent_ones]
-            ids[outside] = kind
-            whole = np.insert(ids.astype(np.uint16), edges[1:], UNKNOWN).tobytes()
-            ends = (edges + np.arange(len(edges))) * 2
-            coded = [whole[i:j] for i, j in zip(ends.tolist(), ends[1:].tolist())]
-            # of a word outside the vocabulary: log10(count * share + 10 ** spelled), the count of a rare one being joined later
-            share, spelt = per_count[kind], log_spelt / np.log(10) + log_mass[kind]
-            own = np.zeros(len(ids))
-            own[outside] = np.where(at[outside] >= 0, np.log10(counted[at[outside]] * share + 10.0**spelt + 1e-300), 0.0)
-            sums = lambda v: np.concatenate([[0.0], np.cumsum(v)])[edges[1:]] - np.concatenate([[0.0], np.cumsum(v)])[edges[:-1]]
-            base = sums(np.where(at >= 0, in_base[at], 0.0)) + base_end
-            known = sums(at >= 0).astype(np.int64) + known_end
-            each = np.bincount(np.searchsorted(edges, rare, "right") - 1, minlength=len(texts))
-            cold = pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(share[unseen]), pa.array(spelt[unseen])], fields=list(cold_type.value_type))
-            return coded, sizes + 1, known, base, sums(own), each, cold
+                share, spelt = parts([by_place[i] for i in new.tolist()], hot_kind[new])
+                hot_own[new] = np.log10(c[new] * share + 10.0**spelt + 1e-300)
+                own = hot_own[at]
+            rare = np.flatnonzero(at < 0)
+            others = [joined[i] for i in rare.tolist()]
+            kind = stand_ins(others)
+            ids[rare] = kind
+            share, spelt = parts(others, kind)  # the count of a rare word is joined later
+            whole = np.insert(ids, edges[1:], UNKNOWN).tobytes()
+            ends = ((edges + np.arange(len(edges))) * 2).tolist()
+            coded = [whole[i:j] for i, j in zip(ends, ends[1:])]
+            sums = lambda v: np.diff(np.append(0, np.cumsum(v))[edges])
+            each = np.diff(np.searchsorted(rare, edges))
+            cold = pa.StructArray.from_arrays([pa.array(others, pa.binary()), pa.array(share), pa.array(spelt)], fields=list(cold_type.value_type))
+            return coded, sizes + 1, sizes - each + known_end, sums(in_base[at]) + base_end, sums(own), each, cold
 
         for b in batches:
             out, group, size = [], [], 0
