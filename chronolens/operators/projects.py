@@ -98,14 +98,19 @@ def _shuffled(side: DataFrame) -> DataFrame:
 def owned_events(events: DataFrame, keys: list[str]) -> DataFrame:
     """Events that belong to a project of their key, with columns root (its path_key) and end (not before ts_ms).
 
-    A folder that names itself a project and holds no other one is a project; scratch folders aren't. The owner is an equi-join on the ancestors of an event's folder."""
-    placed = events.withColumn("_key", F.when(~is_scratch(place_of()), path_key(place_of()))).withColumn("end", F.greatest(F.coalesce("end_ms", "ts_ms"), "ts_ms"))
-    placed = placed.where(F.col("_key").isNotNull() & (F.col("_key") != ""))
-    named = placed.where(F.col("type").isin(NAMES_A_PROJECT)).select(*keys, F.col("_key").alias("root")).distinct()
-    above = named.select(*keys, F.explode(ancestors(F.col("root"))).alias("parent"), "root").where("parent <> root").select(*keys, F.col("parent").alias("root")).distinct()
-    roots = named.join(_shuffled(above), [*keys, "root"], "left_anti")
-    folders = placed.select(*keys, "_key").distinct()
-    owner = folders.withColumn("root", F.explode(ancestors(F.col("_key")))).join(_shuffled(roots), [*keys, "root"]).groupBy(*keys, "_key").agg(F.max_by("root", F.length("root")).alias("root"))
+    A folder that names itself a project and holds no other one is a project; scratch folders aren't. The owner is an equi-join on the ancestors of an event's folder.
+    Roots and owners come from the distinct folders, which are found once; events are read for these and once more for each use of the result."""
+    here = events.withColumns({"_place": place_of(), "end": F.greatest(F.coalesce("end_ms", "ts_ms"), "ts_ms")})
+    key = F.when(~is_scratch(F.col("_place")), path_key(F.col("_place")))
+    # exploded, as a filter on the key would be pushed down to the source and tell the metadata again at each mention
+    placed = here.select("*", F.explode(F.array_remove(F.array(F.coalesce(key, F.lit(""))), "")).alias("_key")).drop("_place")
+    # a folder may stand twice, by whether an event there names it: as a key of the grouping this is kept wherever the folders are used, so that Spark finds them once
+    folders = placed.select(*keys, "_key", F.coalesce(F.col("type").isin(NAMES_A_PROJECT), F.lit(False)).alias("_names")).distinct()
+    inside = folders.withColumn("root", F.explode(ancestors(F.col("_key"))))
+    itself = F.col("_key") == F.col("root")
+    marked = inside.groupBy(*keys, "root").agg(F.bool_or(F.col("_names") & itself).alias("_named"), F.bool_or(F.col("_names") & ~itself).alias("_holds"))
+    roots = marked.where("_named and not _holds").select(*keys, "root")
+    owner = inside.join(_shuffled(roots), [*keys, "root"]).groupBy(*keys, "_key").agg(F.max_by("root", F.length("root")).alias("root"))
     return placed.join(_shuffled(owner), [*keys, "_key"]).drop("_key")
 
 

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from chronolens.functions import display, text
@@ -187,6 +188,39 @@ def test_project_cards_leave_no_table_of_sessions_to_the_driver(spark):
     assert plans[1].count("Window") == 0
 
 
+#: query: mentions of metadata that its plan holds at most, scans of events that run
+PLACED = {"home_cards": (60, 3)}
+
+
+@pytest.mark.parametrize("name", PLACED)
+def test_an_event_s_place_is_told_once(spark, name):
+    """No filter on a project's folder tells the metadata again at the source, which made plans larger than the driver's memory; folders are found once for roots and owners."""
+    from chronolens.plans import cards
+
+    mentions, scans = PLACED[name]
+    rows = getattr(cards, name)(spark, "/root/testdata/sf0.001")
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("get_json_object") <= mentions
+    assert not [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter") and "StructsToJson" in line]
+    rows.collect()
+    assert rows._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0].count("FileScan") == scans
+
+
+def test_owners_of_odd_folders(spark):
+    """A folder that is named and also worked in, one named from inside, scratch and blank ones, other separators, no type, no key."""
+    place = lambda **m: json.dumps(m)
+    rows = [
+        ("s", "git.commit", place(worktree="/w/a/")), ("s", "terminal.command", place(cwd="/w/a")), ("s", "terminal.command", place(cwd=" /w/a/src/x ")), ("s", "terminal.command", place(cwd="/w/ab")),
+        ("s", "git.commit", place(worktree="/w")), ("s", "agent.session", place(projectPath="C:\\Code\\P", cwd="/w/a")), ("s", "terminal.command", place(cwd="c:\\code\\p\\lib\\")),
+        ("s", "git.commit", place(worktree="/tmp/t/")), ("s", "git.commit", place(worktree=" / ")), ("s", "git.commit", None), ("s", "git.commit", "torn"), ("s", None, place(cwd="/w/a/y")), ("t", "terminal.command", place(cwd="/w/a")), (None, "git.commit", place(worktree="/w/a")),
+    ]
+    df = spark.createDataFrame([(s, "d", i, i, None, 0, "x", k, "app", None, None, 1, m, 1) for i, (s, k, m) in enumerate(rows)], EVENTS)
+    owned = projects.owned_events(df, ["session_id"])
+    assert sorted(owned.columns) == sorted([*df.columns, "root", "end"])
+    windows = "c:\\code\\p"
+    assert sorted((r.ord, r.root, r.end) for r in owned.collect()) == [(0, "/w/a", 0), (1, "/w/a", 1), (2, "/w/a", 2), (5, windows, 5), (6, windows, 6), (11, "/w/a", 11)]
+
+
 def test_a_day_is_moved_once_and_its_metadata_is_told_once(spark):
     """Of a card's lines no filter works the metadata out again, and what is grouped by day needs no shuffle but the first."""
     from pyspark.sql.functions import lit
