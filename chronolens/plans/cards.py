@@ -127,7 +127,8 @@ SELECT session_id, root, start, "end", n, round(l, 6) AS "left", round(greatest(
 def home_day_band(spark, d):
     spans = H.typed_spans(_owned(spark, d), ["session_id"], F.lit(TODAY).cast("date"))
     out = H.placed(spans, H.axis(spans, ["session_id"], NOW_MS, 60), ["session_id"])
-    return out.withColumns({"left": F.round("left", 6), "width": F.round("width", 6)})
+    # halves as DuckDB rounds them: the product is rounded, not the decimal
+    return out.withColumns({c: F.round(F.col(c) * 1e6) / 1e6 for c in ("left", "width")})
 
 
 @query(

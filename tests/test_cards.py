@@ -189,7 +189,7 @@ def test_project_cards_leave_no_table_of_sessions_to_the_driver(spark):
 
 
 #: query: mentions of metadata that its plan holds at most, scans of events that run
-PLACED = {"home_cards": (60, 3)}
+PLACED = {"home_cards": (60, 3), "home_day_band": (40, 2)}
 
 
 @pytest.mark.parametrize("name", PLACED)
@@ -221,6 +221,20 @@ def test_owners_of_odd_folders(spark):
     assert sorted((r.ord, r.root, r.end) for r in owned.collect()) == [(0, "/w/a", 0), (1, "/w/a", 1), (2, "/w/a", 2), (5, windows, 5), (6, windows, 6), (11, "/w/a", 11)]
 
 
+def test_a_day_band_rounds_halves_as_its_sql(spark, tmp_path):
+    """A span of this session begins at 16.7426875 percent."""
+    import duckdb
+
+    from chronolens.plans import cards, catalogue
+
+    spark.read.parquet("/root/testdata/sf0.1/events.parquet").where("user_id = 12").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.execute("SET TimeZone = 'UTC'")
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = con.execute(catalogue.SQL["home_day_band"]).fetchall()
+    assert want and sorted(map(tuple, cards.home_day_band(spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_a_day_is_moved_once_and_its_metadata_is_told_once(spark):
     """Of a card's lines no filter works the metadata out again, and what is grouped by day needs no shuffle but the first."""
     from pyspark.sql.functions import lit
