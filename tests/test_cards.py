@@ -189,7 +189,7 @@ def test_project_cards_leave_no_table_of_sessions_to_the_driver(spark):
 
 
 #: query: mentions of metadata that its plan holds at most, scans of events that run
-PLACED = {"home_cards": (60, 3), "home_day_band": (40, 2)}
+PLACED = {"home_cards": (60, 3), "home_day_band": (40, 2), "home_week_notes": (25, 3)}
 
 
 @pytest.mark.parametrize("name", PLACED)
